@@ -19,16 +19,8 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     Every round is joins and grouped minima, so no group is gathered in one task; the rounds grow with
     the logarithm of the longest chain. Edges with a null end and loops are left out.
     """
-    current = stage(
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
-        .distinct()
-        if left not in ("u", "v") and right not in ("u", "v")
-        else edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
-        .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .distinct(),
-        "edges",
-    )
+    ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
+    current = stage(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _fingerprint(current)
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
