@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievegrid.llm.mixing import mix_sources
+from sievegrid.llm.near_dup import near_duplicates
+from sievegrid.llm.packing import pack
 from sievegrid.llm.quality_rules import quality_rules
 from sievegrid.llm.secrets import BASE_KINDS, find_secrets
 from sievegrid.session import table
@@ -30,9 +33,25 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mix_sources(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
+    "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {}
