@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm.mixing import mix_sources
 from sievegrid.llm.near_dup import near_duplicates
+from sievegrid.llm.ordinal import fit_toxicity, score_toxicity
 from sievegrid.llm.packing import pack
 from sievegrid.llm.quality_rules import quality_rules
 from sievegrid.llm.secrets import BASE_KINDS, find_secrets
-from sievegrid.session import table
+from sievegrid.llm.training_order import materialise, read_slots
+from sievegrid.llm.url_filters import url_filter
+from sievegrid.llm.vptree import search
+from sievegrid.session import new_path, table
 
+#: A file of ranks of a public byte-level tokenizer; a parameter, never a copy.
+RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,6 +39,39 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards, reads them back: a row a sequence, with its place and a digest of its tokens."""
+    path = new_path(spark, "training-order")
+    if not materialise(table(spark, sf_dir, "documents"), path, RANKS):
+        return spark.createDataFrame([], "doc_id long, seq int, slot long, shard int, place long, n_tokens int, tokens_hash long")
+    return read_slots(spark, path).select(F.col("id").alias("doc_id"), "seq", "slot", "shard", "place", "n_tokens", F.xxhash64("tokens").alias("tokens_hash"))
+
+
+#: (verdict, host, path).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 clean, 1 toxic, 2 toxic and of low quality."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, F.col("toxic") * (2 - F.coalesce("quality", F.lit(1))), 3)
+    return score_toxicity(docs, model)
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -47,10 +86,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_training_order": op1_training_order,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
+    "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_neighbours": op7_neighbours,
+    "op8_toxicity": op8_toxicity,
     "op10_packing": op10_packing,
 }
 
