@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) is the logistic function of (threshold_k - w . x): one weight vector for all grades, thresholds in
-order. x holds hashed words, each 1 / sqrt(distinct words) if it occurs. The fit takes a bounded sample of labelled rows,
+order. x holds hashed words: a word that occurs counts by how far its share of toxic sample documents is from the base rate,
+in standard deviations, so the many words of one or two documents don't drown the few that tell. The fit takes a bounded sample of labelled rows,
 spread over documents by hash; every document is scored, whole, where its text lies.
 
 Defined cases: a null or empty text has no features and gets the base rates; a null id is scored like others; labelled rows
@@ -23,8 +24,8 @@ from sievegrid.llm.textvec import chunks, mix, word_hashes, words
 BITS = 18
 
 
-def features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row, row, feature, value) by chunk; a word's trailing marks don't tell it apart."""
+def features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, row, feature), each once, by chunk; a word's trailing marks don't tell it apart."""
     for first, last, data, offsets in chunks(texts):
         starts, ends, row = words(data, offsets)
         for _ in range(2):
@@ -32,9 +33,7 @@ def features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.n
             ends = ends - mark
         feature = (mix(word_hashes(data, starts, ends)) >> np.uint64(64 - bits)).astype(np.int64)
         key = np.unique((row.astype(np.int64) << bits) | feature)
-        row, feature = key >> bits, key & ((1 << bits) - 1)
-        size = np.bincount(row, minlength=last - first)
-        yield first, last, row, feature, 1.0 / np.sqrt(size[row]) if len(row) else np.zeros(0)
+        yield first, last, key >> bits, key & ((1 << bits) - 1)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -48,10 +47,16 @@ class CumulativeLink:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 300, penalty: float = 1e-4, rate: float = 0.25) -> CumulativeLink:
+    def fit(cls, row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 300, penalty: float = 1e-3, rate: float = 0.05, least_rows: int = 3) -> CumulativeLink:
         """Adam on the mean log-likelihood. The thresholds are the first one and the exponentials of their gaps."""
         n, size = len(grade), 1 << BITS
-        used, feature = np.unique(feature, return_inverse=True)
+        seen = np.bincount(feature, minlength=size).astype(float)
+        toxic = np.bincount(feature, (grade > 0)[row].astype(float), minlength=size)
+        share = (grade > 0).mean()
+        scale = np.where(seen >= least_rows, (toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 3) / 3, 0.0)
+        telling = scale[feature] != 0
+        row, value = row[telling], scale[feature[telling]]
+        used, feature = np.unique(feature[telling], return_inverse=True)
         w = np.zeros(len(used))
         below = np.array([np.clip((grade <= k).mean(), 1e-3, 1 - 1e-3) for k in range(grades - 1)])
         base = np.log(below / (1 - below))
@@ -74,7 +79,7 @@ class CumulativeLink:
             move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
             w, t = w - move[: len(w)], t - move[len(w) :] * 0.2
         weights = np.zeros(size)
-        weights[used] = w
+        weights[used] = w * scale[used]
         return cls(weights, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])))
 
     def probabilities(self, z: np.ndarray) -> np.ndarray:
@@ -93,13 +98,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, id_col: s
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "grade")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, longest: int = 400_000) -> CumulativeLink | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000) -> CumulativeLink | None:
     """Fit on features of at most ``sample`` labelled rows, made on the executors. None if one grade alone occurs."""
     rows = labelled_sample(docs, labels, grade, id_col, text_col, sample, grades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, row, feature, value in features(batch.column(1)):
+            for first, last, row, feature in features(batch.column(1)):
                 per = np.split(feature.astype(np.int32), np.cumsum(np.bincount(row, minlength=last - first))[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(per, pa.list_(pa.int32()))], names=["id", "grade", "feature"])
 
@@ -110,7 +115,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, grades: int,
     size = got["feature"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), size)
     feature = np.concatenate(got["feature"].to_list()).astype(np.int64)
-    return CumulativeLink.fit(row, feature, 1 / np.sqrt(np.maximum(size, 1))[row], got["grade"].to_numpy(), grades)
+    return CumulativeLink.fit(row, feature, got["grade"].to_numpy(), grades)
 
 
 def score_toxicity(docs: DataFrame, model: CumulativeLink | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
@@ -123,8 +128,8 @@ def score_toxicity(docs: DataFrame, model: CumulativeLink | None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, row, feature, value in features(batch.column(1)):
-                p = model.probabilities(np.bincount(row, model.weights[feature] * value, minlength=last - first))
+            for first, last, row, feature in features(batch.column(1)):
+                p = model.probabilities(np.bincount(row, model.weights[feature], minlength=last - first))
                 toxic = 1 - p[:, 0]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(p @ np.arange(p.shape[1])), pa.array(toxic), pa.array(p.argmax(1).astype(np.int32)), pa.array(toxic >= cut)],

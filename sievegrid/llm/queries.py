@@ -13,6 +13,7 @@ from sievegrid.llm.ordinal import fit_toxicity, score_toxicity
 from sievegrid.llm.packing import pack
 from sievegrid.llm.quality_rules import quality_rules
 from sievegrid.llm.secrets import BASE_KINDS, find_secrets
+from sievegrid.llm.site_quality import fit_classifier, site_quality
 from sievegrid.llm.training_order import materialise, read_slots
 from sievegrid.llm.url_filters import url_filter
 from sievegrid.llm.vptree import search
@@ -68,6 +69,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model)
 
 
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no urls; their source stands for the host, source and language for the path."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return site_quality(docs, fit_classifier(docs, labels, F.col("quality")), F.col("source"), F.col("lang"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -94,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_neighbours": op7_neighbours,
     "op8_toxicity": op8_toxicity,
+    "op9_site_quality": op9_site_quality,
     "op10_packing": op10_packing,
 }
 
