@@ -1 +1 @@
-"""See the modules of this package."""
+"""Readers and writers of releases, market indexes, sparse features, evidence and provenance."""
