@@ -2,12 +2,13 @@
 
 1. Each text's set of word shingles gives a digest and 128 registers. Texts of equal sets form one class, found by
    grouping on the digest, so copies never meet pairwise.
-2. Registers in 32 bands of 4 are grouped by value. Within a bucket every class is paired with the bucket's
-   smallest id only (a star), so a bucket of g classes makes g - 1 pairs.
+2. Registers in 32 bands of 4 are grouped by value. Within a bucket every class is paired with one hub only, so a
+   bucket of g classes makes g - 1 pairs. The hub is the class whose buckets are largest in all: of texts copied with
+   changes, the one that they were copied from.
 3. Pairs whose joint likelihood rules the threshold out are dropped, the rest verified on full sets, salted by hub.
-4. Buckets that still hold several components are gone through in blocks of about 256 classes; pairs inside one
-   component need no test, the others are fitted and verified as before. So every pair that shares a band is linked,
-   found to be apart, or already in one component: no cap on partners.
+4. In buckets that still hold several components, classes outside the largest are fitted to and verified against all
+   others, in blocks of bounded size; only links come out. So every pair that shares a band is linked, found to be apart,
+   or already in one component: no cap on partners.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32, about 5e-8.
 
@@ -31,7 +32,8 @@ from sievegrid.operators.graph import connected_components
 from sievegrid.session import stage, unstage
 
 BAND_ROWS = 4
-BLOCK = 256
+#: Total size of the sets in a block of a bucket.
+BLOCK_SHINGLES = 400_000
 MEMBERS_PER_SALT = 64
 #: A pair is dropped unseen if its best fit is below the threshold and so much likelier (in log) than the threshold.
 RULED_OUT = 22.0
@@ -128,58 +130,106 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a bucket, are in different components and were not paired with the bucket's hub."""
+def _least_alike(threshold: float) -> int:
+    """The fewest equal registers of two sets of like size that the likelihood doesn't rule out, less a few for unlike sizes."""
+    m = setsketch.REGISTERS
+    same = np.arange(m + 1)
+    first, second = np.zeros((m + 1, m), np.uint16), np.zeros((m + 1, m), np.uint16)
+    place = np.arange(m)[None]
+    apart = place >= same[:, None]
+    first[apart & (place % 2 == 0)] = 1
+    second[apart & (place % 2 == 1)] = 1
+    size = np.full(m + 1, 1000)
+    return max(int(np.flatnonzero(_possible(size, size, first, second, threshold))[0]) - 4, 1)
+
+
+def _shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others, none of them empty."""
+    every = np.concatenate(many)
+    found = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    return np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in many])[:-1]]))
+
+
+def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links (a, b) of pairs that share a bucket, are in different components and were not paired with its hub.
+
+    At least one of such a pair is outside its bucket's largest component. Those are dealt to blocks against all
+    of the bucket, by total set size, so a task's group is bounded whatever the bucket holds. Inside a group the most alike come
+    first and a component once reached is not tried again; a pair is tested where it shares its first band only.
+    """
+    threshold = percent / 100
     named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and size >= 3")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    rows = (
-        named.where("rep <> hub")
-        .join(mixed.select("key", blocks.alias("blocks")), "key")
-        .withColumn("block", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "rep", "component")
-        .join(classes.select("rep", "n", "regs"), "rep")
-        .select("key", "i", "j", "second", "rep", "component", "n", "regs")
-    )
-
-    def pairs_of(reps: list, comps: list, second: np.ndarray, n: np.ndarray, regs: np.ndarray, same_block: bool) -> tuple[list, list]:
-        label = np.unique(np.array(comps, dtype=object).astype(str), return_inverse=True)[1]
+    by = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1 and size > 2")
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
+    rows = named.join(mixed.select("key", "main"), "key").join(sizes, "rep").withColumn("open", F.col("component") != F.col("main"))
+    rows = stage(rows.select("key", "rep", "component", "open", "n", (F.col("rep") == F.col("hub")).alias("is_hub")), "open-members")
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("all"), F.ceil(F.sum(F.when(F.col("open"), F.col("n"))) / F.lit(BLOCK_SHINGLES)).alias("opens"))
+    rows = rows.join(blocks, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    sides = rows.select("key", place("all").alias("i"), every("opens").alias("j"), F.lit(0).alias("role"), "rep", "component", "open", "is_hub")
+    sides = sides.unionByName(rows.where("open").select("key", every("all").alias("i"), place("opens").alias("j"), F.lit(1).alias("role"), "rep", "component", "open", "is_hub"))
+    texts = sides.join(docs.select(F.col("id").alias("rep"), "text"), "rep").select("key", "i", "j", "role", "rep", "component", "open", "is_hub", "text")
+
+    least = _least_alike(threshold)
+
+    def links_of(held: list[tuple]) -> tuple[list, list]:
+        _, role, rep, component, is_open, is_hub, own, regs = zip(*held, strict=True)
+        role, is_open, is_hub = np.array(role), np.array(is_open), np.array(is_hub)
+        sets, regs = list(own), np.stack(regs)
+        n, keys = np.array([len(x) for x in sets]), setsketch.bands(regs, BAND_ROWS)
+        band = int(np.flatnonzero(keys[0] == held[0][0][0])[0]) if (keys[0] == held[0][0][0]).any() else 0
+        label = np.unique([str(c) for c in component], return_inverse=True)[1]
+        root = np.arange(label.max() + 1)
+        order = np.argsort(np.argsort(np.array(rep)))
+        others = np.flatnonzero(role == 0)
         out_a, out_b = [], []
-        for x in range(len(reps)):
-            rest = np.arange(x + 1, len(reps)) if same_block else np.flatnonzero(second != second[x])
-            rest = rest[(rest > x) & (label[rest] != label[x])]
+        for x in np.flatnonzero(role == 1):
+            rest = others[(root[label[others]] != root[label[x]]) & ~(is_hub[others] | is_hub[x])]
+            rest = rest[~is_open[rest] | (order[rest] > order[x])]
             rest = rest[np.minimum(n[rest], n[x]) >= threshold * np.maximum(n[rest], n[x])]
-            rest = rest[(regs[rest] == regs[x]).sum(1) * 2 >= regs.shape[1]]
-            if len(rest):
-                rest = rest[_possible(np.full(len(rest), n[x]), n[rest], np.broadcast_to(regs[x], regs[rest].shape), regs[rest], threshold)]
-            for y in rest:
-                out_a.append(min(reps[x], reps[y]))
-                out_b.append(max(reps[x], reps[y]))
+            alike = (regs[rest] == regs[x]).sum(1)
+            fine = (alike >= least) & ~(keys[rest, :band] == keys[x, :band]).any(1)
+            rest, alike = rest[fine], alike[fine]
+            rest = rest[np.argsort(-alike, kind="stable")]
+            step = 8  # the most alike come first; what they link needs no test
+            while len(rest):
+                some, rest = rest[:step], rest[step:]
+                shared = _shared(sets[x], [sets[y] for y in some])
+                for y in some[100 * shared >= percent * (n[x] + n[some] - shared)]:
+                    if root[label[y]] != root[label[x]]:
+                        out_a.append(rep[x])
+                        out_b.append(rep[y])
+                        root[root == root[label[y]]] = root[label[x]]
+                rest, step = rest[root[label[rest]] != root[label[x]]], 512
         return out_a, out_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, kind = [], None, None
+        held: list[tuple] = []
+        kind = None
 
         def done() -> pa.RecordBatch:
-            _, i, j, second, reps, comps, n, regs = zip(*held, strict=True)
-            a, b = pairs_of(list(reps), list(comps), np.array(second), np.array(n), np.frombuffer(b"".join(regs), np.uint16).reshape(len(n), -1), i[0] == j[0])
+            a, b = links_of(held)
             return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
         for batch in batches:
             kind = batch.column(4).type
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if row[:3] != group and held:
-                    yield done()
-                    held = []
-                group = row[:3]
-                held.append(row)
+            plain = [batch.column(i).to_pylist() for i in range(8)]
+            for first, last, values, bounds in shingle_sets(batch.column(8), width):
+                regs = setsketch.registers(values, bounds)
+                for r in range(first, last):
+                    group = tuple(c[r] for c in plain[:3])
+                    if held and held[0][0] != group:
+                        yield done()
+                        held.clear()
+                    own = values[bounds[r - first] : bounds[r - first + 1]].copy()
+                    held.append((group, *[c[r] for c in plain[3:]], own, regs[r - first].copy()))
         if held:
             yield done()
 
     kind = members.schema["rep"].dataType.simpleString()
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, f"a {kind}, b {kind}").where("a <> b").distinct()
+    return texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -197,17 +247,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = able.select("id", "n", "d1", "d2").join(classes.select("rep", "n", "d1", "d2"), ["n", "d1", "d2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
     found = _bands(classes)
-    hubs = found.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
-    members = stage(found.join(hubs, "key"), "band-members")
+    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stage(found.join(sizes, "key"), "band-sizes")
+    central = stage(shared.groupBy("rep").agg(F.sum("size").alias("score")), "centrality")
+    scored = shared.join(central, "rep").select("key", "rep", "score")
+    hubs = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
+    members = stage(scored.join(hubs, "key"), "band-members")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     likely = stage(_likely(stars, classes, threshold), "likely")
     links = stage(_verified(likely, known, width, percent), "links")
     labels = stage(connected_components(copies.unionByName(links), "a", "b"), "labels")
 
-    more = stage(_open_pairs(members, classes, labels, threshold), "open-pairs")
+    more = stage(_open_links(members, classes, labels, known, width, percent), "open-links")
     if not more.isEmpty():
-        links = _verified(more, known, width, percent)
-        labels = stage(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links), "a", "b"), "labels")
+        labels = stage(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b"), "labels")
     unstage(members)
     out = sketched.select("id", "n").join(labels, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
