@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 
-#: Fixed value: the pre-token pattern that the byte-level ranks were made with.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the pre-token pattern that the byte-level ranks were made with, in its faster form without backtracking.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: A longer run is encoded by the stretch, cut before a space that follows a letter.
 STRETCH = 1 << 20
 
@@ -38,6 +38,10 @@ class Encoder:
             at = cut
         return [*out, *self.encoding.encode_ordinary(text[at:]), self.end]
 
+    def sizes(self, texts: pa.Array) -> np.ndarray:
+        """Numbers of ids, ends included."""
+        return np.fromiter((len(self.ids(t or "")) for t in texts.to_pylist()), np.int64, len(texts))
+
     def encode(self, texts: pa.Array, rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, ids, bounds) by chunks of rows."""
         for first in range(0, len(texts), rows):

@@ -71,6 +71,13 @@ class Permutation:
         return self._walk(slot, True)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as one binary column, without a copy a row."""
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
 def materialise(
     docs: DataFrame,
     path: str,
@@ -87,8 +94,7 @@ def materialise(
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            for _, _, _, bounds in encoder(ranks_path).encode(batch.column(1)):
-                n += int((-(-np.diff(bounds) // seq_len)).sum())
+            n += int((-(-encoder(ranks_path).sizes(batch.column(1)) // seq_len)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
 
     counts = {r.part: r.n for r in base.mapInArrow(counted, "part long, n long").collect()}  # a row a partition
@@ -121,7 +127,7 @@ def materialise(
                 record[:, HEADER:] = tokens.view(np.uint8).reshape(len(owner), -1)
                 slot = order.slots(offsets[part] + done + np.arange(len(owner)))
                 done += len(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array([r.tobytes() for r in record], pa.binary())], names=["slot", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), _binary(record)], names=["slot", "record"])
         if done != counts.get(part, 0):
             raise RuntimeError(f"partition {part} has {done} sequences and had {counts.get(part, 0)}: the input changed")
 
@@ -137,7 +143,7 @@ def stride(seq_len: int) -> int:
 
 
 def read_slots(spark: SparkSession, path: str, seq_len: int = 256, shard_rows: int = 16384) -> DataFrame:
-    """(slot, shard, place, id, seq, n_tokens, tokens) of every record, read back from the shards."""
+    """(slot, shard, place, id, seq, n_tokens, tokens) of every record, read back from the shards; tokens as uint16 bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     width = stride(seq_len)
 
@@ -149,7 +155,6 @@ def read_slots(spark: SparkSession, path: str, seq_len: int = 256, shard_rows: i
                     rows = data[a : a + 2048]
                     field = lambda i, j, kind, rows=rows: np.ascontiguousarray(rows[:, i:j]).view(kind).ravel()
                     place = np.arange(a, a + len(rows))
-                    tokens = field(HEADER, HEADER + 2 * seq_len, "<u2").astype(np.int32)
                     ids = field(0, 8, "<i8")
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -159,9 +164,9 @@ def read_slots(spark: SparkSession, path: str, seq_len: int = 256, shard_rows: i
                             pa.array(ids, mask=ids == NO_ID),
                             pa.array(field(8, 12, "<i4")),
                             pa.array(field(12, 16, "<i4")),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * seq_len), pa.array(tokens)),
+                            _binary(rows[:, HEADER : HEADER + 2 * seq_len]),
                         ],
                         names=["slot", "shard", "place", "id", "seq", "n_tokens", "tokens"],
                     )
 
-    return files.select("shard", "content").mapInArrow(run, "slot long, shard int, place long, id long, seq int, n_tokens int, tokens array<int>")
+    return files.select("shard", "content").mapInArrow(run, "slot long, shard int, place long, id long, seq int, n_tokens int, tokens binary")
