@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievegrid.llm import secrets
 from sievegrid.llm.mixing import mix_sources
 from sievegrid.llm.near_dup import near_duplicates
 from sievegrid.llm.ordinal import fit_toxicity, score_toxicity
@@ -105,4 +106,24 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    patterns = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX, "account": secrets.ACCOUNT, "endpoint": secrets.ENDPOINT, "candidate": secrets.CANDIDATE}
+    value = _quoted(r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""")
+    parts = " UNION ALL ".join(f"SELECT r, '{k}' AS kind, {i} AS rank, string_split_regex(t, {_quoted(p)}) AS gaps, regexp_extract_all(t, {_quoted(p)}, 0) AS found FROM d" for i, (k, p) in enumerate(patterns.items()))
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), raw AS ({parts}),
+ placed AS (SELECT r, kind, rank, found[k] AS m, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS s FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM raw)),
+ parts AS (SELECT r, kind, rank, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM placed WHERE kind <> 'assign' OR length(regexp_extract(m, {value}, 1)) >= 12),
+ near AS (SELECT w.r, w.kind, w.rank, w.s, w.e, p.kind AS k2, p.s >= w.e OR p.e <= w.s AS apart FROM parts w JOIN parts p ON p.r = w.r AND p.s < w.e + 200 AND p.e > w.s - 200 WHERE w.rank > 2),
+ votes AS (SELECT r, kind, rank, s, e, bool_or(apart AND k2 = 'account') AS a, bool_or(apart AND k2 = 'endpoint') AS p, bool_or(apart AND k2 = 'access') AS x, bool_or(apart AND k2 IN ('assign', 'hex')) AS b, bool_or(apart AND k2 = 'candidate') AS c, bool_or(NOT apart AND k2 IN ('assign', 'access', 'hex')) AS covered FROM near GROUP BY ALL),
+ spans AS (SELECT r, kind, rank, s, e FROM parts WHERE rank <= 2 UNION ALL SELECT r, kind, rank, s, e FROM votes WHERE NOT covered AND CASE kind WHEN 'candidate' THEN x OR (a AND p) WHEN 'account' THEN b OR (p AND c) ELSE b OR x OR (a AND c) END)
+ SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+ sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (WHERE rank <= 2), '')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e), '') AS spans
+ FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id"""
+
+
+ORACLE: dict[str, str] = {"op3_secrets": _secrets_sql()}
