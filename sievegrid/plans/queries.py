@@ -15,6 +15,7 @@ from sievegrid.operators import preparation as prep
 from sievegrid.operators import selection as sel
 from sievegrid.operators import splits as S
 from sievegrid.operators import statistics as stat
+from sievegrid.operators import tables as X
 from sievegrid.plans import study as T
 from sievegrid.session import table
 
@@ -697,3 +698,165 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     t = L.Training(width=len(rows.first()["features"]), hidden=(16,), epochs=2)
     weights, _ = L.train_federated(rows, "holder", t, 3)
     return L.score(rows, weights, t).select("vec_id", "label", "score")
+
+
+# Extension, diagnostic and report tables.
+
+_SCOPED = f"{T.FAMILIES}, recalls AS (SELECT scope, seed, learner, condition, dose, parameter, tuning_value, population, alpha, avg(hits::DOUBLE / trials) AS recall, count(*) AS families FROM families, (VALUES ('pooled'), ('primary')) s(scope) WHERE trials >= CASE WHEN population = 'federation-wide' THEN 1 ELSE 3 END GROUP BY ALL)"
+
+
+def _recalls(spark: SparkSession, sf: str) -> DataFrame:
+    minima = spark.createDataFrame([("main", 3)], "experiment string, min_trials int")
+    scopes = spark.createDataFrame([("pooled", "main"), ("primary", "main")], "scope string, experiment string")
+    return X.seed_recalls(T.families(spark, sf), minima, scopes)
+
+
+@query("x1_seed_recalls", f"WITH {_SCOPED} SELECT * REPLACE (round(recall, 6) AS recall) FROM recalls")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _recalls(spark, sf)
+
+
+_ABSENT = "condition = 'family-absent'"
+_DIFFERENCE = "SELECT scope, population, alpha, seed, max(recall) FILTER (WHERE condition = 'peer-present' AND {first}) - max(recall) FILTER (WHERE {second}) AS d FROM recalls WHERE learner = 'fedavg' AND parameter IS NULL GROUP BY ALL"
+
+
+@query("x2_arm_difference", f"WITH {_SCOPED} SELECT scope, population, alpha, seed, round(d, 6) AS difference FROM ({_DIFFERENCE.format(first='dose IS NULL', second=_ABSENT)})")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.arm_difference(_recalls(spark, sf), "fedavg", X.arm_is("peer-present"), X.arm_is("family-absent"))
+
+
+@query("x3_double_difference", f"WITH {_SCOPED}, a AS ({_DIFFERENCE.format(first='dose IS NULL', second='dose = 0')}), b AS ({_DIFFERENCE.format(first='dose = 100', second='dose = 0')}) SELECT scope, population, alpha, seed, round(a.d - b.d, 6) AS difference FROM a JOIN b USING (scope, population, alpha, seed)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _recalls(spark, sf)
+    zero = X.arm_is("peer-present", 0)
+    return X.double_difference(X.arm_difference(rows, "fedavg", X.arm_is("peer-present"), zero), X.arm_difference(rows, "fedavg", X.arm_is("peer-present", 100), zero))
+
+
+_FAMILY_CURVES = f"{T.FAMILIES}, q AS (SELECT *, hits::DOUBLE / trials AS r FROM families WHERE condition = 'peer-present' AND trials > 0 AND parameter IS NULL), gg AS (SELECT *, r - max(r) FILTER (WHERE dose = 0) OVER (PARTITION BY experiment, seed, salt, population, alpha, learner, client, family) AS gain FROM q), curves AS (SELECT experiment, population, alpha, learner, family, dose, avg(gain) AS gain, count(DISTINCT seed) AS seeds FROM gg WHERE gain IS NOT NULL GROUP BY ALL)"
+
+
+@query("x7_family_curves", f"WITH {_FAMILY_CURVES} SELECT * REPLACE (round(gain, 6) AS gain) FROM curves")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.dose_family_curves(T.families(spark, sf))
+
+
+@query("x8_consistency", f"WITH {T.EXPOSURE}, {T.TARGETS}, p AS (SELECT e.seed, e.family, dose, coalesce(sum(rows) FILTER (WHERE e.client <> t.client), 0) AS pr, coalesce(sum(rows) FILTER (WHERE e.client = t.client), 0) AS tr FROM exposure e JOIN targets t ON t.seed = e.seed AND t.family = e.family WHERE dose IS NOT NULL GROUP BY ALL), l AS (SELECT 'realised-dose' AS measure, dose, pr <> dose AS bad, pr AS n FROM p UNION ALL SELECT 'target-zero', dose, tr <> 0, tr FROM p) SELECT 'main' AS experiment, measure, dose AS level, count(*) AS checked, count(*) FILTER (WHERE bad) AS mismatched, sum(n)::BIGINT AS rows FROM l GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.dose_consistency(T.exposure(spark, sf), T.targets(spark, sf))
+
+
+_LARGE = f"{_SEED_EFFECTS}, sm AS (SELECT learner, family, seed, avg(knowledge_gain) AS gain, min(trials) AS trials FROM effects GROUP BY ALL), large AS (SELECT learner, family, avg(gain) AS gain, stddev_samp(gain) AS gain_sd, count(*) AS seeds, min(trials) AS min_trials, min(trials) >= 12 AS enough FROM sm GROUP BY ALL)"
+
+
+def _large(spark: SparkSession, sf: str) -> DataFrame:
+    return X.large_family_table(D.family_seed_effects(T.families(spark, sf), 0.05), None, 12)
+
+
+@query("x14_large_families", f"WITH {_LARGE} SELECT * REPLACE (round(gain, 6) AS gain, round(gain_sd, 6) AS gain_sd) FROM large")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _large(spark, sf)
+
+
+@query("x16_reliability", f"WITH {_LARGE}, t AS (SELECT learner, avg(gain) AS m, var_samp(gain) AS b, avg(gain_sd * gain_sd / seeds) AS n FROM large GROUP BY 1) SELECT learner, measure, round(CASE measure WHEN 'gain_mean' THEN m WHEN 'gain_sd' THEN sqrt(b) WHEN 'noise_sd' THEN sqrt(n) WHEN 'signal_sd' THEN sqrt(greatest(b - n, 0)) ELSE greatest(b - n, 0) / b END, 6) AS value FROM t, (VALUES ('gain_mean'), ('gain_sd'), ('noise_sd'), ('signal_sd'), ('reliability')) v(measure)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.reliability(_large(spark, sf), ["learner"])
+
+
+@query("x18_stability", f"WITH {_CONTROLLED}, g AS (SELECT DISTINCT family FROM study WHERE label = 1), s AS (SELECT family, count(*) AS n, sum(target_test_rows)::BIGINT AS t FROM controlled WHERE eligible GROUP BY 1) SELECT g.family, 1::BIGINT AS seed, coalesce(n, 0) AS eligible_pairs, coalesce(t, 0) AS eligible_test_rows, coalesce(n, 0) > 0 AS eligible FROM g LEFT JOIN s USING (family)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.stability_grid(_pairs(spark, sf).withColumn("seed", F.lit(1).cast("long")), T.lines(spark, sf).where("label = 1").select("family").distinct())
+
+
+@query("g10_support_levels", f"WITH {T.EXPOSURE}, {T.TARGETS}, p AS (SELECT e.seed, e.family, sum(rows)::BIGINT AS peer_rows, max(rows) / sum(rows) AS top FROM exposure e JOIN targets t ON t.seed = e.seed AND t.family = e.family AND t.client <> e.client WHERE dose IS NULL GROUP BY ALL) SELECT seed, CASE WHEN top >= 0.9 THEN 'single' WHEN top >= 0.35 THEN 'dominant' ELSE 'spread' END AS stratum, count(*) AS cells, round(avg(peer_rows), 6) AS gain FROM p GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    cells = X.peer_concentration(T.exposure(spark, sf), T.targets(spark, sf)).withColumn("gain", F.col("peer_rows"))
+    return X.support_levels(cells, ["seed"], 0.9, 0.35)
+
+
+@query("g17_increments", f"WITH {_FAMILY_CURVES}, s AS (SELECT *, lag(dose) OVER w AS low, lag(gain) OVER w AS before FROM curves WHERE dose IS NOT NULL WINDOW w AS (PARTITION BY population, alpha, family ORDER BY dose)) SELECT population, alpha, family, low, dose AS high, round((gain - before) / (dose - low) * 10, 6) AS step FROM s WHERE low IS NOT NULL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.dose_increments(X.dose_family_curves(T.families(spark, sf)), ["population", "alpha", "family"])
+
+
+@query("g19_responses", f"WITH {_FAMILY_CURVES}, r AS (SELECT population, alpha, family, arg_max(gain, dose) AS top, max(gain) FILTER (WHERE dose IS NULL) AS nat, min(dose) FILTER (WHERE gain >= 0.1 AND dose IS NOT NULL) AS onset FROM curves GROUP BY ALL) SELECT population, alpha, family, round(top, 6) AS top_gain, round(nat, 6) AS natural_gain, onset AS onset_dose, CASE WHEN NOT top >= 0.1 THEN 'nonresponsive' WHEN onset <= 10 THEN 'early' ELSE 'late' END AS response FROM r")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.response_classes(X.dose_family_curves(T.families(spark, sf)), ["population", "alpha", "family"], 0.1, 10)
+
+
+@query("g27_score_health", f"WITH {T.LINES} SELECT client, count(score) AS scores, 0::BIGINT AS nonfinite, round(min(score), 6) AS minimum, round(max(score), 6) AS maximum, count(*) FILTER (WHERE abs(score) > 0.9) AS above_large, count(*) FILTER (WHERE abs(score) > 1.2) AS above_extreme FROM lines GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.score_health(T.lines(spark, sf), ["client"], 0.9, 1.2)
+
+
+_TAXONOMY = f"{_SEED_EFFECTS}, m AS (SELECT family, round(avg(full_) - avg(absent_recall), 9) AS headroom, round(avg(full_), 9) AS full_recall, round(avg(knowledge_gain), 9) AS gain, round(avg(absent_recall) - avg(local_recall), 9) AS pooling FROM (SELECT *, coalesce(full_recall, peer_recall) AS full_ FROM effects) GROUP BY 1)"
+
+
+@query("y6_taxonomy", f"WITH {_TAXONOMY} SELECT family, round(headroom, 6) AS headroom, round(full_recall, 6) AS full_recall, round(gain, 6) AS gain, round(pooling, 6) AS pooling, CASE WHEN full_recall < 0.55 THEN 1 ELSE 0 END::BIGINT AS poor_classes, concat_ws(' ', CASE WHEN headroom < 0.2 THEN 'low_headroom' END, CASE WHEN headroom >= 0.2 AND full_recall >= 0.55 AND gain >= 0.2 THEN 'exposure_limited' END, CASE WHEN full_recall < 0.55 THEN 'poor_full' END, CASE WHEN pooling >= 0.2 AND abs(gain) < 0.2 THEN 'pooling_sufficient' END, CASE WHEN gain <= -0.2 THEN 'negative_transfer' END) AS labels FROM m")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    effects = D.family_seed_effects(T.families(spark, sf), 0.05).withColumn("full_", F.coalesce("full_recall", "peer_recall"))
+    nine = lambda c: F.round(c, 9)
+    means = effects.groupBy("family").agg(nine(F.avg("full_") - F.avg("absent_recall")).alias("headroom"), nine(F.avg("full_")).alias("full_recall"), nine(F.avg("knowledge_gain")).alias("gain"), nine(F.avg("absent_recall") - F.avg("local_recall")).alias("pooling"))
+    return X.taxonomy(means, 0.2, 0.55, ["full_recall"])
+
+
+@query("r6_calibration", f"WITH {_CLIENTS} SELECT c.client, c.alpha, calibration_benign, trials AS benign_test, round(hits / trials, 6) AS realised_fpr, operating_status, round(hits / trials - c.alpha, 6) AS deviation, abs(hits / trials - c.alpha) > 0.02 AS breach FROM clients c JOIN thresholds t ON t.client = c.client AND t.alpha = c.alpha WHERE population = 'benign'")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    _, pool, thresholds = _evaluated(spark, sf)
+    return X.operating_calibration(E.client_counts(pool, thresholds, _ALPHAS).select("client", "alpha", "population", "hits", "trials"), thresholds, 0.02)
+
+
+@query("r7_fpr_summary", f"WITH {_CLIENTS}, k AS (SELECT client, hits / trials AS f, hits / trials - alpha AS d FROM clients WHERE population = 'benign') SELECT client, count(*) AS rows, round(avg(f), 6) AS realised_fpr, round(avg(d), 6) AS deviation, round(max(abs(d)), 6) AS max_deviation, count(*) FILTER (WHERE abs(d) > 0.02) AS breaches FROM k GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    _, pool, thresholds = _evaluated(spark, sf)
+    counts = E.client_counts(pool, thresholds, _ALPHAS).select("client", "alpha", "population", "hits", "trials")
+    return X.fpr_summary(X.operating_calibration(counts, thresholds, 0.02))
+
+
+@query("r13_rescue", f"WITH {_SEED_EFFECTS} SELECT family, learner, round(avg(peer_recall), 6) AS peer_recall, round(avg(full_recall), 6) AS full_recall, CASE WHEN avg(full_recall) IS NULL THEN 'not-classifiable' WHEN avg(peer_recall) >= 0.5 THEN 'rescued' ELSE 'poorly-rescued' END AS level FROM effects GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    effects = D.family_effects(D.family_seed_effects(T.families(spark, sf), 0.05))
+    return D.classify_rescue(effects, 0.5).select("family", "learner", "peer_recall", "full_recall", "level")
+
+
+@query("c22_masking", f"WITH {T.SUMMARY}, w AS (SELECT seed, learner, alpha, max(value) FILTER (WHERE metric = 'own-domain-recall' AND condition = 'peer-present') - max(value) FILTER (WHERE metric = 'own-domain-recall' AND condition = 'family-absent') AS a, max(value) FILTER (WHERE metric = 'federation-wide-recall' AND condition = 'peer-present') - max(value) FILTER (WHERE metric = 'federation-wide-recall' AND condition = 'family-absent') AS r FROM summary WHERE dose IS NULL AND parameter IS NULL GROUP BY ALL) SELECT 'main' AS experiment, learner, alpha, count(*) AS seeds, count(*) FILTER (WHERE sign(a) * sign(r) < 0) AS disagree, count(*) FILTER (WHERE r >= 0.1 AND a <= 0) AS missed, count(*) FILTER (WHERE r <= -0.1 AND a >= 0) AS reassured FROM w WHERE a IS NOT NULL AND r IS NOT NULL GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.masking(T.summary(spark, sf), "own-domain-recall", "federation-wide-recall", 0.1)
+
+
+@query("c05_band_outcome", f"WITH {_LARGE} SELECT learner, family, CASE WHEN gain_sd IS NULL THEN 'unresolved' WHEN gain - gain_sd >= -0.15 AND gain + gain_sd <= 0.15 THEN 'equivalent' WHEN gain - gain_sd > 0.15 OR gain + gain_sd < -0.15 THEN 'exceeds-band' ELSE 'unresolved' END AS outcome FROM large")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    low, high = F.col("gain") - F.col("gain_sd"), F.col("gain") + F.col("gain_sd")
+    return _large(spark, sf).select("learner", "family", X.band_outcome(low, high, 0.15).alias("outcome"))
+
+
+@query("e03_campaign_status", f"WITH p AS (SELECT experiment, seed FROM (VALUES ('first'), ('second')) e(experiment), (SELECT unnest(range(1, 21)) AS seed)), s AS (SELECT *, CASE WHEN seed % 5 = 0 THEN 'missing' WHEN seed % 7 = 0 THEN 'failed' ELSE 'completed' END AS status FROM p) SELECT experiment, count(*) AS planned, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'missing') AS missing FROM s GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    planned = spark.createDataFrame([("first",), ("second",)], "experiment string").crossJoin(spark.range(1, 21).toDF("seed")).withColumn("salt", F.lit(0))
+    runs = planned.where("seed % 5 <> 0").withColumn("status", F.when(F.col("seed") % 7 == 0, F.lit("failed")).otherwise(F.lit("completed")))
+    return X.campaign_status(runs, planned, ["completed", "failed", "missing"])
+
+
+@query("g23_dose_models")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """AIC, cross-validated error and equivalent dose of three dose models; a block's curves are one row a seed."""
+    import numpy as np
+    import pandas as pd
+
+    rows = T.families(spark, sf).where("learner = 'fedavg' and condition = 'peer-present' and parameter is null")
+    seeds = rows.groupBy("population", "alpha", "seed", "dose").agg(F.avg(F.col("hits") / F.col("trials")).alias("recall"))
+    base = F.max(F.when(F.col("dose") == 0, F.col("recall"))).over(Window.partitionBy("population", "alpha", "seed"))
+    seeds = seeds.withColumn("gain", F.col("recall") - base)
+
+    def reduce(group: pd.DataFrame) -> pd.DataFrame:
+        known = group[group["dose"].notna()]
+        wide = known.pivot(index="seed", columns="dose", values="gain").sort_index()
+        natural = float(group[group["dose"].isna()]["gain"].mean())
+        doses, curves = wide.columns.to_numpy(float), wide.to_numpy()
+        out = []
+        for model in ("log-linear", "emax", "isotonic"):
+            parameters, fitted = stat.fit_curve(curves, doses, model)
+            count = len(np.unique(fitted)) if model == "isotonic" else len(parameters)
+            out.append({"population": group["population"].iloc[0], "alpha": group["alpha"].iloc[0], "model": model, "aic": stat.akaike(curves, fitted, count), "cv": stat.cross_validated(curves, doses, model), "equivalent": stat.equivalent_dose(fitted, natural, doses)})
+        return pd.DataFrame(out)
+
+    return seeds.groupBy("population", "alpha").applyInPandas(reduce, "population string, alpha double, model string, aic double, cv double, equivalent double")
