@@ -26,7 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    judged = quality_rules(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,4 +127,30 @@ def _secrets_sql() -> str:
  FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id"""
 
 
-ORACLE: dict[str, str] = {"op3_secrets": _secrets_sql()}
+#: The rules of quality_rules() with its default parameters.
+QUALITY_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+ c AS (SELECT r, doc_id, lang, t, w, len(w) AS n_words, array_to_string(w, '') AS letters, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+ m AS (SELECT *, regexp_replace(letters, '\p{Ll}+', '', 'g') AS rare FROM c),
+ k AS (SELECT r, doc_id, lang, n_words, length(letters) AS word_chars, length(rare) AS n_rare, length(regexp_replace(rare, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  length(regexp_replace(rare, '[^\p{Lu}]+', '', 'g')) AS upper_, length(regexp_replace(rare, '[^\p{Nd}]+', '', 'g')) AS digit, length(regexp_replace(regexp_replace(rare, '[#*$%&|<>]+', '', 'g'), '[^\p{P}]+', '', 'g')) AS mark FROM m),
+ tri AS (SELECT r, i, (w[i], w[i + 1], w[i + 2]) AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ again AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+ rep AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) v(o) GROUP BY 1),
+ short AS (SELECT r, lang, lower(x) AS word FROM (SELECT r, lang, unnest(w) AS x FROM w) WHERE length(x) <= 4),
+ top AS (SELECT lang, word, count(*) AS n FROM short GROUP BY lang, word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= 32),
+ cells AS (SELECT r, lang, class, n::DOUBLE AS n FROM k, LATERAL (VALUES ('lower', word_chars - n_rare), ('upper', upper_), ('digit', digit), ('symbol', n_symbols), ('mark', mark), ('other', n_rare - upper_ - digit - n_symbols - mark)) v(class, n)),
+ shares AS (SELECT r, coalesce(n / nullif(sum(n) OVER (PARTITION BY r), 0), 0) AS p, coalesce(sum(n) OVER (PARTITION BY lang, class) / nullif(sum(n) OVER (PARTITION BY lang), 0), 0) AS q FROM cells),
+ cd AS (SELECT r, sqrt(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2) AS class_distance FROM shares GROUP BY 1),
+ ref AS (SELECT lang, sum(n_words) AS ref_words FROM k GROUP BY 1),
+ grid AS (SELECT k.r, greatest(k.n_words, 1)::DOUBLE AS n, t.word, t.n / ref_words AS q FROM k JOIN ref USING (lang) JOIN top t USING (lang)),
+ seen AS (SELECT r, word, count(*) AS s FROM short GROUP BY ALL),
+ g2 AS (SELECT g.r, g.n, q, coalesce(s, 0) / g.n AS p, coalesce(s, 0) AS s FROM grid g LEFT JOIN seen ON seen.r = g.r AND seen.word = g.word),
+ g3 AS (SELECT r, p, q FROM g2 UNION ALL SELECT r, (max(n) - sum(s)) / max(n), 1 - sum(q) FROM g2 GROUP BY r),
+ wd AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END), 0) / 2) AS word_distance FROM g3 GROUP BY 1),
+ j AS (SELECT k.*, coalesce(n_repeat_words, 0) AS n_rep, n_words >= 50 AND ref_words >= 2000 AS judged, class_distance, word_distance FROM k JOIN ref USING (lang) LEFT JOIN rep USING (r) LEFT JOIN cd USING (r) LEFT JOIN wd USING (r)),
+ f AS (SELECT *, n_words < 50 OR 100 * n_rep > 50 * n_words AS base_failed FROM j)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_rep AS n_repeat_words, base_failed, NOT base_failed AND (NOT judged OR coalesce(class_distance, 0) <= 0.33) AND (NOT judged OR coalesce(word_distance, 0) <= 0.48) AS kept,
+ CASE WHEN judged THEN round(class_distance, 6) END AS class_distance, CASE WHEN judged THEN round(word_distance, 6) END AS word_distance FROM f"""
+
+ORACLE: dict[str, str] = {"op3_secrets": _secrets_sql(), "op6_quality_rules": QUALITY_SQL}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm import mixing, near_dup, packing, quality_rules, secrets, setsketch, site_quality, training_order, url_filters, vptree
 from sievegrid.llm.ordinal import CumulativeLink, fit_toxicity, score_toxicity
-from sievegrid.llm.queries import QUERIES, RANKS, URL_RULES
+from sievegrid.llm.queries import ORACLE, QUERIES, RANKS, URL_RULES
 from sievegrid.llm.tokens import Encoder
 from sievegrid.session import new_path, table
 
@@ -472,5 +472,19 @@ def test_queries_carry_what_their_contracts_name(spark, sf):
     }
     for name, columns in names.items():
         assert QUERIES[name](spark, sf).columns[: len(columns)] == columns
-    r = QUERIES["op3_secrets"](spark, sf).where("n_assign > 0").first()
-    assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+    for r in QUERIES["op3_secrets"](spark, sf).collect():  # these texts have no weak parts
+        assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+
+
+def test_queries_with_sql_agree_with_duckdb(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name, sql in ORACLE.items():
+        got, want = QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        rows = lambda df, columns=columns: sorted(tuple("null" if x is None or x != x else round(x, 5) + 0.0 if isinstance(x, float) else x for x in r) for r in df[columns].astype(object).values.tolist())
+        assert list(map(str, rows(got))) == list(map(str, rows(want)))
