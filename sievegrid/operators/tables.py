@@ -188,3 +188,55 @@ def campaign_status(runs: DataFrame, planned: DataFrame, states: list[str]) -> D
     """(experiment, planned, a column a state): planned runs without a record are missing."""
     both = planned.join(runs, ["experiment", "seed", "salt"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
     return both.groupBy("experiment").agg(F.count(F.lit(1)).alias("planned"), *[F.count_if(F.col("status") == s).alias(s) for s in states])
+
+
+def contrast_effects(differences: DataFrame, keys: list[str], group: list[str], resamples: int = 9999) -> DataFrame:
+    """Paired effects of each key with p values adjusted by Holm inside each group of keys."""
+    from sievegrid.operators.statistics import holm_adjusted, paired_effects
+
+    effects = paired_effects(differences, keys, "difference", resamples=resamples)
+    return holm_adjusted(effects, group, "p", keys[-1], "holm_p")
+
+
+def tradeoff(summary: DataFrame, baseline: Column, tolerance: float) -> DataFrame:
+    """(metric, alpha, learner, condition, dose, parameter, tuning_value, mean_difference, worst_difference, within): arms less the baseline arm, seed by seed."""
+    keys = ["experiment", "seed", "salt", "alpha", "metric"]
+    base = F.max(F.when(baseline, F.col("value"))).over(Window.partitionBy(*keys))
+    rows = summary.withColumn("difference", F.col("value") - base).where(~baseline & F.col("difference").isNotNull())
+    out = rows.groupBy("metric", "alpha", *ARM).agg(F.avg("difference").alias("mean_difference"), F.min("difference").alias("worst_difference"))
+    return out.withColumn("within", F.col("mean_difference") >= -tolerance)
+
+
+def headroom(summary: DataFrame, learner: str, gate: float) -> DataFrame:
+    """(metric, alpha, seeds, mean_gap, worst_gap, gated): full exposure less peers present."""
+    keys = ["experiment", "seed", "salt", "alpha", "metric"]
+    full = F.max(F.when((F.col("condition") == "full-exposure") & F.col("dose").isNull(), F.col("value")))
+    peer = F.max(F.when((F.col("learner") == learner) & arm_is("peer-present"), F.col("value")))
+    gaps = summary.groupBy(*keys).agg((full - peer).alias("gap")).where("gap is not null")
+    return gaps.groupBy("metric", "alpha").agg(F.count(F.lit(1)).alias("seeds"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("worst_gap")).withColumn("gated", F.col("mean_gap") >= gate)
+
+
+def seed_concordance(gains: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first, second, rho): rank correlation of families' gains between every two seeds; seeds are few."""
+    from sievegrid.operators.statistics import spearman_table
+
+    a = gains.select(*keys, "family", F.col("seed").alias("first"), F.col("gain").alias("x"))
+    b = gains.select(*keys, "family", F.col("seed").alias("second"), F.col("gain").alias("y"))
+    both = a.join(b, [*keys, "family"]).where("first < second")
+    return spearman_table(both, [*keys, "first", "second"], "x", "y").drop("n")
+
+
+def influence(means: DataFrame, item: str, a: str, b: str) -> DataFrame:
+    """(left_out, rho, change): how much each item moves the rank correlation."""
+    from sievegrid.operators.statistics import leave_one_out_table, spearman_table
+
+    whole = spearman_table(means, [], a, b).select(F.col("rho").alias("all"))
+    return leave_one_out_table(means, item, a, b).crossJoin(F.broadcast(whole)).select("left_out", "rho", (F.col("all") - F.col("rho")).alias("change"))  # one row
+
+
+def associations(table: DataFrame, keys: list[str], outcome: str, predictors: list[str]) -> DataFrame:
+    """(keys, predictor, rho, n): rank correlation of an outcome with each predictor, in one pass over long rows."""
+    from sievegrid.operators.statistics import spearman_table
+
+    long = table.select(*keys, outcome, F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).cast("double").alias("x")) for p in predictors])).alias("c")).select(*keys, outcome, "c.*")
+    return spearman_table(long, [*keys, "predictor"], outcome, "x")

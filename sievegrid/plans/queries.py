@@ -860,3 +860,109 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         return pd.DataFrame(out)
 
     return seeds.groupBy("population", "alpha").applyInPandas(reduce, "population string, alpha double, model string, aic double, cv double, equivalent double")
+
+
+@query("c02_worst_counts", f"WITH {T.FAMILIES}, s AS (SELECT seed, alpha, population, client, sum(hits)::DOUBLE / sum(trials) AS r FROM families WHERE learner = 'local' GROUP BY ALL), w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY seed, alpha, population ORDER BY r, client) = 1) SELECT alpha, population, client, count(*) AS seeds FROM w GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["seed", "alpha", "population"]
+    clients = T.families(spark, sf).where("learner = 'local'").groupBy(*keys, "client").agg(F.sum("hits").alias("hits"), F.sum("trials").alias("trials"))
+    return D.worst_clients(clients, keys).groupBy("alpha", "population", "client").agg(F.count(F.lit(1)).alias("seeds"))
+
+
+@query("c03_tradeoff", f"WITH {T.SUMMARY}, d AS (SELECT *, value - max(value) FILTER (WHERE learner = 'local') OVER (PARTITION BY experiment, seed, salt, alpha, metric) AS d FROM summary) SELECT metric, alpha, learner, condition, dose, parameter, tuning_value, round(avg(d), 6) AS mean_difference, round(min(d), 6) AS worst_difference, avg(d) >= -0.02 AS within FROM d WHERE learner <> 'local' GROUP BY metric, alpha, learner, condition, dose, parameter, tuning_value")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.tradeoff(T.summary(spark, sf), F.col("learner") == "local", 0.02)
+
+
+@query("c07_headroom", f"WITH {T.SUMMARY}, g AS (SELECT seed, alpha, metric, max(value) FILTER (WHERE condition = 'full-exposure') - max(value) FILTER (WHERE learner = 'fedavg' AND condition = 'peer-present' AND dose IS NULL AND parameter IS NULL) AS gap FROM summary GROUP BY ALL) SELECT metric, alpha, count(*) AS seeds, round(avg(gap), 6) AS mean_gap, round(max(gap), 6) AS worst_gap, avg(gap) >= 0.1 AS gated FROM g WHERE gap IS NOT NULL GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.headroom(T.summary(spark, sf), "fedavg", 0.1)
+
+
+@query("c14_robustness")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Micro gain of all families, without the top ones, and of distinct vectors, with interval and p."""
+    rows = T.families(spark, sf)
+    variants = {"all": D.micro_gain(rows, 0.05, None), "top-removed": D.micro_gain(rows, 0.05, D.top_families(rows, 3)), "deduplicated": D.micro_gain(rows, 0.05, None, "unique_hits", "unique_trials")}
+    stacked = None
+    for name, part in variants.items():
+        part = part.withColumn("variant", F.lit(name))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return stat.paired_effects(stacked, ["experiment", "variant"], "gain")
+
+
+@query("c18_associations", f"WITH {_SEED_EFFECTS}, m AS (SELECT learner, family, round(avg(knowledge_gain), 9) AS gain, round(avg(peer_recall), 9) AS peer_recall, round(avg(local_recall), 9) AS local_recall, round(avg(trials), 9) AS trials FROM effects GROUP BY ALL), l AS (SELECT learner, gain, predictor, CASE predictor WHEN 'peer_recall' THEN peer_recall WHEN 'local_recall' THEN local_recall ELSE trials END AS x FROM m, (VALUES ('peer_recall'), ('local_recall'), ('trials')) p(predictor)), r AS (SELECT learner, predictor, rank() OVER (PARTITION BY learner, predictor ORDER BY gain) + (count(*) OVER (PARTITION BY learner, predictor, gain) - 1) / 2.0 AS a, rank() OVER (PARTITION BY learner, predictor ORDER BY x) + (count(*) OVER (PARTITION BY learner, predictor, x) - 1) / 2.0 AS b FROM l) SELECT learner, predictor, round(corr(a, b), 6) AS rho, count(*) AS n FROM r GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    effects = D.family_seed_effects(T.families(spark, sf), 0.05)
+    nine = lambda c, name: F.round(F.avg(c), 9).alias(name)
+    means = effects.groupBy("learner", "family").agg(nine("knowledge_gain", "gain"), nine("peer_recall", "peer_recall"), nine("local_recall", "local_recall"), nine("trials", "trials"))
+    return X.associations(means, ["learner"], "gain", ["peer_recall", "local_recall", "trials"])
+
+
+@query("s09_effect_table")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.decompose(T.summary(spark, sf)).where("estimand in ('total_gain', 'pooling_gain', 'knowledge_gain')").withColumnRenamed("value", "difference")
+    return X.contrast_effects(rows, ["experiment", "alpha", "metric", "learner", "estimand"], ["experiment", "alpha", "metric", "learner"], 999)
+
+
+@query("x5_control_contrasts")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _recalls(spark, sf)
+    pairs = {"all-less-none": (X.arm_is("peer-present"), X.arm_is("family-absent")), "ten-less-zero": (X.arm_is("peer-present", 10), X.arm_is("peer-present", 0)), "hundred-less-ten": (X.arm_is("peer-present", 100), X.arm_is("peer-present", 10))}
+    stacked = None
+    for name, (a, b) in pairs.items():
+        part = X.arm_difference(rows, "fedavg", a, b).withColumn("contrast", F.lit(name))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return X.contrast_effects(stacked, ["scope", "population", "alpha", "contrast"], ["scope", "population", "alpha"], 999)
+
+
+@query("y1_influence", f"WITH {_FAMILY_MEANS}, m AS (SELECT * FROM means WHERE learner = 'fedavg'), x AS (SELECT o.family AS left_out, m.gain, m.peer FROM m o JOIN m ON m.family <> o.family UNION ALL SELECT '', gain, peer FROM m), r AS (SELECT left_out, rank() OVER (PARTITION BY left_out ORDER BY gain) + (count(*) OVER (PARTITION BY left_out, gain) - 1) / 2.0 AS a, rank() OVER (PARTITION BY left_out ORDER BY peer) + (count(*) OVER (PARTITION BY left_out, peer) - 1) / 2.0 AS b FROM x), c AS (SELECT left_out, corr(a, b) AS rho FROM r GROUP BY 1) SELECT left_out, round(rho, 6) AS rho, round((SELECT rho FROM c WHERE left_out = '') - rho, 6) AS change FROM c WHERE left_out <> ''")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.influence(_means(spark, sf).where("learner = 'fedavg'"), "family", "gain", "peer")
+
+
+@query("y2_seed_concordance", f"WITH {_GAINS}, p AS (SELECT a.learner, a.seed AS first, b.seed AS second, a.gain AS x, b.gain AS y FROM gains a JOIN gains b ON a.learner = b.learner AND a.family = b.family AND a.seed < b.seed), r AS (SELECT learner, first, second, rank() OVER (PARTITION BY learner, first, second ORDER BY x) + (count(*) OVER (PARTITION BY learner, first, second, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY learner, first, second ORDER BY y) + (count(*) OVER (PARTITION BY learner, first, second, y) - 1) / 2.0 AS b FROM p) SELECT learner, first, second, round(corr(a, b), 6) AS rho FROM r GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.seed_concordance(_gains(spark, sf).select("learner", "family", "seed", "gain"), ["learner"])
+
+
+@query("y3_support", f"WITH {T.EXPOSURE}, {T.TARGETS} SELECT 'main' AS experiment, e.seed, 0::BIGINT AS salt, e.family, sum(rows)::BIGINT AS peer_rows, count(*) FILTER (WHERE rows > 0) AS peers, round(max(rows) / sum(rows), 6) AS top_share FROM exposure e JOIN targets t ON t.seed = e.seed AND t.family = e.family AND t.client <> e.client WHERE dose IS NULL GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.peer_concentration(T.exposure(spark, sf), T.targets(spark, sf))
+
+
+@query("r10_arm_comparison", f"WITH {T.SUMMARY} SELECT learner, condition, round(avg(value) FILTER (WHERE metric = 'own-domain-recall'), 6) AS \"own-domain-recall\", round(avg(value) FILTER (WHERE metric = 'federation-wide-recall'), 6) AS \"federation-wide-recall\" FROM summary WHERE alpha = 0.05 AND dose IS NULL AND parameter IS NULL GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.summary(spark, sf).where("alpha = 0.05 and dose is null and parameter is null")
+    return rows.groupBy("learner", "condition").pivot("metric", ["own-domain-recall", "federation-wide-recall"]).agg(F.avg("value"))
+
+
+_STATES = "WITH l AS (SELECT label AS holder, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), s AS (SELECT holder, pos, avg(x) AS weight, count(*) AS rows FROM l GROUP BY ALL)"
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    long = table(spark, sf, "embeddings").select(F.col("label").alias("holder"), F.posexplode("embedding").alias("pos", "x"))
+    return long.groupBy("holder", "pos").agg(F.avg(F.col("x").cast("double")).alias("weight"), F.count(F.lit(1)).alias("rows")).withColumn("arm", F.lit(0))
+
+
+@query("l05_average_states", f"{_STATES} SELECT 0::BIGINT AS arm, pos, round(sum(weight * rows) / sum(rows), 5) AS weight FROM s GROUP BY pos")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from sievegrid.operators.learners import average_states
+
+    return average_states(_states(spark, sf), ["arm"]).withColumn("weight", F.round("weight", 5))
+
+
+@query("l06_robust_states", f"{_STATES}, a AS (SELECT pos, list_sort(list(weight)) AS w FROM s GROUP BY pos) SELECT 0::BIGINT AS arm, pos, round(w[(len(w) + 1) // 2], 5) AS median, round(list_sum(w[2:len(w) - 1]) / (len(w) - 2), 5) AS trimmed FROM a")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from sievegrid.operators.learners import robust_states
+
+    rows = _states(spark, sf)
+    median, trimmed = robust_states(rows, ["arm"], "median"), robust_states(rows, ["arm"], "trimmed")
+    both = median.withColumnRenamed("weight", "median").join(trimmed.withColumnRenamed("weight", "trimmed"), ["arm", "pos"])
+    return both.select("arm", "pos", F.round("median", 5).alias("median"), F.round("trimmed", 5).alias("trimmed"))
+
+
+@query("l02_transform", "WITH l AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT pos, round(avg(x), 5) AS mean, round(stddev_pop(x) + 1e-6, 5) AS spread FROM l GROUP BY 1 HAVING avg(CASE WHEN x <> 0 THEN 1.0 ELSE 0 END) BETWEEN 0.01 AND 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
+    return V.prevalence_transform(rows, "features", 0.01, 1.0).select("pos", F.round("mean", 5).alias("mean"), F.round("spread", 5).alias("spread"))
