@@ -83,7 +83,8 @@ def schedule(spark: SparkSession, plan: list[tuple]) -> DataFrame:
     before = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("chunk", "place", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rows = chunks.mapInArrow(dealt, "chunk long, slot long, place long, inside long")
-    return rows.join(offsets, ["chunk", "place"]).select("slot", "place", (F.col("offset") + F.col("inside")).alias("rank"))
+    # Spark takes the slots for as few as the chunks they come from, and would broadcast them.
+    return rows.hint("merge").join(offsets, ["chunk", "place"]).select("slot", "place", (F.col("offset") + F.col("inside")).alias("rank"))
 
 
 def mix_sources(
@@ -124,6 +125,6 @@ def mix_sources(
         "row", "place", "width", "begin", end.alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / F.col("width")), F.floor((end - 1) / F.col("width")))).alias("block")
     )
     inside = F.least("end", (F.col("block") + 1) * F.col("width")) - F.greatest("begin", F.col("block") * F.col("width"))
-    taken = pieces.join(times, ["place", "block"]).groupBy("row").agg(F.sum(inside * F.col("times")).alias("taken"))
+    taken = pieces.join(times.hint("merge"), ["place", "block"]).groupBy("row").agg(F.sum(inside * F.col("times")).alias("taken"))
     out = keyed.join(taken, "row", "left").select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out, slots.select("slot", F.col("source").alias(source_col), "block", "epoch")
