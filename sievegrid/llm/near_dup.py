@@ -6,6 +6,7 @@
    bucket of g classes makes g - 1 pairs. The hub is the class whose buckets are largest in all: of texts copied with
    changes, the one that they were copied from.
 3. Pairs whose joint likelihood rules the threshold out are dropped, the rest verified on full sets, salted by hub.
+   All texts are shuffled once, to keep those that share a band with another; joins with texts merge at every size.
 4. In buckets that still hold several components, classes outside the largest are fitted to and verified against all
    others, in blocks of bounded size; only links come out. So every pair that shares a band is linked, found to be apart,
    or already in one component: no cap on partners.
@@ -101,7 +102,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS_PER_SALT)).alias("salts"))
     members = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
     hubs = degree.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    rows = members.unionByName(hubs).join(docs.select("id", "text"), "id").select("a", "salt", "role", "id", "text")
+    rows = members.unionByName(hubs).join(docs.select("id", "text").hint("merge"), "id").select("a", "salt", "role", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, hub_sets = None, []
@@ -170,7 +171,7 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, docs:
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     sides = rows.select("key", place("all").alias("i"), every("opens").alias("j"), F.lit(0).alias("role"), "rep", "component", "open", "is_hub")
     sides = sides.unionByName(rows.where("open").select("key", every("all").alias("i"), place("opens").alias("j"), F.lit(1).alias("role"), "rep", "component", "open", "is_hub"))
-    texts = sides.join(docs.select(F.col("id").alias("rep"), "text"), "rep").select("key", "i", "j", "role", "rep", "component", "open", "is_hub", "text")
+    texts = sides.join(docs.select(F.col("id").alias("rep"), "text").hint("merge"), "rep").select("key", "i", "j", "role", "rep", "component", "open", "is_hub", "text")
 
     least = _least_alike(threshold)
 
@@ -255,12 +256,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stage(scored.join(hubs, "key"), "band-members")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     likely = stage(_likely(stars, classes, threshold), "likely")
-    links = stage(_verified(likely, known, width, percent), "links")
+    shared_texts = stage(known.join(central.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), "shared-texts")
+    links = stage(_verified(likely, shared_texts, width, percent), "links")
     labels = stage(connected_components(copies.unionByName(links), "a", "b"), "labels")
 
-    more = stage(_open_links(members, classes, labels, known, width, percent), "open-links")
+    more = stage(_open_links(members, classes, labels, shared_texts, width, percent), "open-links")
     if not more.isEmpty():
         labels = stage(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b"), "labels")
-    unstage(members)
+    for done in (members, shared, shared_texts):
+        unstage(done)
     out = sketched.select("id", "n").join(labels, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
