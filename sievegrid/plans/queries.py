@@ -682,11 +682,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.where("family <> known").select("family", "known", F.round("distance", 5).alias("distance"))
 
 
-@query("v3_relatedness")
+@query("v3_relatedness", "WITH l AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS x, sum(x) > 0 AS a FROM l GROUP BY ALL), d AS (SELECT a.label AS family, b.label AS known, sqrt(sum((a.x - b.x) ** 2)) AS d, count(*) FILTER (WHERE a.a AND b.a) / count(*) FILTER (WHERE a.a OR b.a) AS j FROM m a JOIN m b USING (pos) WHERE a.label <> b.label GROUP BY ALL) SELECT family, known, round(d, 5) AS distance, round(j, 6) AS jaccard, row_number() OVER (PARTITION BY family ORDER BY d, known) AS rank FROM d")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     means = V.centroids(table(spark, sf, "embeddings"), "label", "embedding")
     pairs = V.distances(means.withColumnRenamed("label", "family"), means.withColumnRenamed("label", "known"), "family", "known").where("family <> known")
-    return V.relatedness(pairs, "family", "known")
+    return V.relatedness(pairs, "family", "known").withColumn("distance", F.round("distance", 5))
 
 
 @query("l10_federated")
