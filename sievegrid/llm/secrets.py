@@ -30,26 +30,40 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def spans_of(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
+#: Matches to a block: places are summed inside blocks, then over blocks, so work stays near linear in the matches.
+BLOCK = 64
+
+
+def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """Spans of all matches, leftmost and non-overlapping. The text between matches gives the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast(SPAN)
+    width = lambda x: x["gap"] + x["n"]
+    zero = F.lit(0)
 
     def placed(matches: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        sizes = F.zip_with(gaps, matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n")))
+
+        def blocked(x: Column) -> Column:
+            blocks = F.transform(F.sequence(zero, F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, BLOCK))
+            return let(blocks, walked)
+
+        def walked(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda x: F.aggregate(x, zero, lambda a, y: a + width(y)))
+            first = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("list"))
+            starts = F.aggregate(totals, first, lambda a, t: F.struct((a["at"] + t).alias("at"), F.concat(a["list"], F.array(a["at"])).alias("list")), lambda a: a["list"])
+            return F.flatten(F.zip_with(blocks, starts, spans_in))
+
+        def spans_in(x: Column, start: Column) -> Column:
+            def span(y: Column, j: Column) -> Column:
+                begin = start + F.aggregate(F.slice(x, 1, j), zero, lambda a, z: a + width(z)) + y["gap"]
+                return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + y["n"]).alias("end"))
 
-        def walk(g: Column) -> Column:
-            sizes = F.zip_with(F.transform(g, F.length), F.transform(matches, F.length), lambda a, b: F.struct(a.alias("gap"), F.coalesce(b, F.lit(0)).alias("n")))
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-            step = lambda a, x: F.struct(
-                (a["at"] + x["gap"] + x["n"]).alias("at"),
-                F.when(x["n"] > 0, F.concat(a["spans"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"))))).otherwise(a["spans"]).alias("spans"),
-            )
-            return F.aggregate(sizes, start, step, lambda a: F.transform(a["spans"], lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+            return F.transform(x, span)
 
-        return let(gaps, walk)
+        return let(sizes, blocked)
 
-    return let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
+    return let(found, lambda m: F.when(F.size(m) == 0, F.array().cast(SPAN)).otherwise(placed(m)))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
