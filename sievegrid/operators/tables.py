@@ -198,6 +198,19 @@ def contrast_effects(differences: DataFrame, keys: list[str], group: list[str],
     return holm_adjusted(effects, group, "p", keys[-1], "holm_p")
 
 
+def dose_contrasts(recalls: DataFrame, learner: str, levels: list[int]) -> DataFrame:
+    """Paired differences with their contrast: each dose and all peers over dose 0, each dose over the one below, dose 0 over none."""
+    zero = arm_is("peer-present", 0)
+    pairs = {f"onset-{d}": (arm_is("peer-present", d), zero) for d in levels} | {"natural": (arm_is("peer-present"), zero)}
+    pairs |= {f"increment-{a}-{b}": (arm_is("peer-present", b), arm_is("peer-present", a)) for a, b in zip(levels, levels[1:], strict=False)}
+    pairs["zero-less-absent"] = (zero, arm_is("family-absent"))
+    keys = ["scope", "population", "alpha", "seed"]
+    value = lambda arm: F.max(F.when(arm, F.col("recall")))
+    wide = recalls.where(F.col("learner") == learner).groupBy(*keys).agg(*[(value(a) - value(b)).alias(name) for name, (a, b) in pairs.items()])
+    cell = F.explode(F.array(*[F.struct(F.lit(n).alias("contrast"), F.col(n).alias("difference")) for n in pairs])).alias("c")
+    return wide.select(*keys, cell).select(*keys, "c.*").where("difference is not null")
+
+
 def tradeoff(summary: DataFrame, baseline: Column, tolerance: float) -> DataFrame:
     """(metric, alpha, learner, condition, dose, parameter, tuning_value, mean_difference, worst_difference, within): arms less the baseline arm, seed by seed."""
     keys = ["experiment", "seed", "salt", "alpha", "metric"]
