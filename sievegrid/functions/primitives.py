@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievegrid.operators.ordering import prefix_by_value
+
 
 def draw(*parts: Column | str | int) -> Column:
     """A pseudo-random whole number below 2^32, fixed by its parts; other engines can compute it too."""
@@ -73,12 +75,12 @@ def average_rank(value: str, *groups: str) -> Column:
     return F.rank().over(own.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
 
 
-def higher_quantile(df: DataFrame, groups: list[str], value: str, p: Column, out: str, carry: list[str] | None = None) -> DataFrame:
-    """The value at place ceil(p * (n - 1)) of each group, from 0. carry: columns that are one per group, p's among them."""
-    own = Window.partitionBy(*groups)
-    placed = df.withColumn("_at", F.row_number().over(own.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
-    at = F.ceil(p * (F.col("_n") - 1))
-    return placed.where(F.col("_at") == at).select(*groups, *(carry or []), F.col(value).alias(out), F.col("_n").alias("n"))
+def higher_quantile(df: DataFrame, groups: list[str], value: str, p: Column, out: str) -> DataFrame:
+    """The value at place ceil(p * (n - 1)) of each group, from 0, and the group's n. p: of the groups' columns."""
+    ranked = prefix_by_value(df, groups, value, {"_c": F.count(F.lit(1))})
+    at = F.ceil(p * (F.col("_c_all") - 1))
+    here = (F.col("_c_before") <= at) & (at < F.col("_c_before") + F.col("_c"))
+    return ranked.where(here).select(*groups, F.col(value).alias(out), F.col("_c_all").alias("n"))
 
 
 def arm_values(df: DataFrame, keys: list[str], value: str, arms: dict[str, Column]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.functions.primitives import any_of, average_rank, higher_quantile, null_safe_join, safe_sum
+from sievegrid.functions.primitives import any_of, higher_quantile, null_safe_join, safe_sum
+from sievegrid.operators.ordering import prefix_by_value
 
 ARM = ["learner", "condition", "dose", "parameter", "tuning_value"]
 POPULATIONS = ["benign", "known-family", "own-domain", "federation-wide"]
@@ -67,30 +68,32 @@ def family_counts(pool: DataFrame, thresholds: DataFrame, row: str, feature: str
     return flagged.groupBy("client", "alpha", "population", "family").agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("trials"), F.count_if(hit & F.col("first")).alias("unique_hits"), F.count_if(F.col("first")).alias("unique_trials"))
 
 
+def class_curve(rows: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
+    """(groups, score, p, q and their sums below and in all): positives and negatives by score."""
+    return prefix_by_value(rows, groups, score, {"p": F.count_if(F.col(label) == 1), "q": F.count_if(F.col(label) == 0)})
+
+
 def auroc(rows: DataFrame, groups: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """(groups, auroc) by average ranks; groups of one class are left out."""
-    ranked = rows.withColumn("_r", average_rank(score, *groups))
-    sums = ranked.groupBy(*groups).agg(F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("r"), F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    return sums.where("p > 0 and q > 0").select(*groups, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"))
+    """(groups, auroc): the part of pairs in which the positive scores higher, ties half; groups of one class are left out."""
+    wins = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2))
+    sums = class_curve(rows, groups, label, score).groupBy(*groups).agg(wins.alias("wins"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return sums.where("p > 0 and q > 0").select(*groups, (F.col("wins") / (F.col("p") * F.col("q"))).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, groups: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """(groups, auprc): the sum over distinct scores, from the top, of precision times the recall gained."""
-    by = rows.groupBy(*groups, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*groups).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by.withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum("n").over(down))
-    sums = steps.groupBy(*groups).agg(F.sum("p").alias("pos"), F.sum("n").alias("rows"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("area"))
-    return sums.where("pos > 0 and pos < rows").select(*groups, (F.col("area") / F.col("pos")).alias("auprc"))
+    tp, fp = F.col("p_all") - F.col("p_before"), F.col("q_all") - F.col("q_before")
+    sums = class_curve(rows, groups, label, score).groupBy(*groups).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"), F.sum(F.col("p") * F.try_divide(tp, tp + fp)).alias("area"))
+    return sums.where("pos > 0 and neg > 0").select(*groups, (F.col("area") / F.col("pos")).alias("auprc"))
 
 
 def recall_at_fpr(rows: DataFrame, groups: list[str], fpr: float, label: str = "label", score: str = "score") -> DataFrame:
     """(groups, recall): the ROC curve at exactly ``fpr``, interpolated between distinct scores."""
-    by = rows.groupBy(*groups, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    own = Window.partitionBy(*groups)
-    down = own.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    curve = by.withColumn("y", F.try_divide(F.sum("p").over(down), F.sum("p").over(own))).withColumn("x", F.try_divide(F.sum("q").over(down), F.sum("q").over(own)))
-    before = own.orderBy(F.desc(score))
-    curve = curve.withColumn("y0", F.coalesce(F.lag("y").over(before), F.lit(0.0))).withColumn("x0", F.coalesce(F.lag("x").over(before), F.lit(0.0)))
+    curve = class_curve(rows, groups, label, score)
+    curve = curve.withColumns({
+        "y": F.try_divide(F.col("p_all") - F.col("p_before"), F.col("p_all")), "x": F.try_divide(F.col("q_all") - F.col("q_before"), F.col("q_all")),
+        "y0": F.try_divide(F.col("p_all") - F.col("p_before") - F.col("p"), F.col("p_all")), "x0": F.try_divide(F.col("q_all") - F.col("q_before") - F.col("q"), F.col("q_all")),
+    })
     inside = curve.where((F.col("x0") <= fpr) & (F.col("x") > fpr))
     at = F.col("y0") + (F.col("y") - F.col("y0")) * (fpr - F.col("x0")) / (F.col("x") - F.col("x0"))
     return inside.select(*groups, at.alias("recall"))

@@ -1,4 +1,4 @@
-"""Dense ranks and running sums in a shuffled order, without gathering a hot group in one task."""
+"""Ranks, running sums and the first rows of a group, without gathering a hot group in one task."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that a group is cut in where its number of buckets is joined to its rows.
+SALTS = 64
+
+
 def shuffled_prefix(
     df: DataFrame,
     groups: list[str],
@@ -41,3 +45,47 @@ def shuffled_prefix(
         .withColumn(out, F.col("_offset") + F.col("_inside"))
         .drop(*keys, "_size", "_hash", "_buckets", "_bucket", "_offset", "_inside")
     )
+
+
+def prefix_by_value(df: DataFrame, groups: list[str], value: str, measures: dict[str, Column], buckets: int = 128) -> DataFrame:
+    """(groups, value, and for each measure m, m_before, m_all): its sum at a value, over smaller values, over the group.
+
+    Rows are summed by value first, map-side combined. A group's values are cut at approximate quantiles: windows stay inside
+    a cut, and only the cuts' totals are summed across cuts. The result is exact wherever the cuts lie. Null values are left out.
+    """
+    names = list(measures)
+    keys = [f"_g{i}" for i in range(len(groups))]
+    v = F.col(f"`{value}`")
+    by = df.where(v.isNotNull()).groupBy(*[F.col(f"`{g}`") for g in groups], v).agg(*[m.alias(n) for n, m in measures.items()])
+    by = by.withColumns({k: F.struct(F.col(f"`{g}`")) for k, g in zip(keys, groups, strict=True)})
+    cuts = by.groupBy(*keys).agg(F.percentile_approx(v, [i / buckets for i in range(1, buckets)], F.lit(10 * buckets)).alias("_cuts"))
+    if keys:
+        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = by.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    else:
+        placed = by.crossJoin(F.broadcast(cuts))  # one row
+    placed = placed.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
+    totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    own = Window.partitionBy(*keys)
+    before = own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names], *[F.sum(f"_t_{n}").over(own).alias(f"{n}_all") for n in names])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumns({f"_i_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names}).join(offsets, [*keys, "_bucket"])
+    return ranked.select(*groups, value, *names, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in names], *[f"{n}_all" for n in names])
+
+
+def first_rows(df: DataFrame, groups: list[str], order: list[Column | str], most: Column | int, ceiling: int | None = None) -> DataFrame:
+    """The first ``most`` rows of each group. ``ceiling``: a bound of ``most`` where that is a column.
+
+    Each of a group's parts, cut by hash, keeps its first rows; the group's own are among them, so the last window sees
+    at most SALTS times as many rows as are wanted.
+    """
+    bound = most if isinstance(most, int) else ceiling
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    part = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+    rows = df
+    if bound is not None:
+        near = Window.partitionBy(*groups, "_part").orderBy(*order)
+        rows = rows.withColumn("_part", part).withColumn("_place", F.row_number().over(near)).where(F.col("_place") <= bound).drop("_part", "_place")
+    last = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return rows.withColumn("_place", last).where(F.col("_place") <= (F.lit(most) if isinstance(most, int) else most)).drop("_place")

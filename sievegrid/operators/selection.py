@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.primitives import draw
+from sievegrid.operators.ordering import first_rows
 
 #: Every set below is (client, row, family, label, ...) of fit rows with a seeded order a client.
 
@@ -31,15 +32,13 @@ def capped(orders: DataFrame, targets: DataFrame, row: str, dose: int) -> DataFr
     marked = orders.join(hidden, "family", "left")
     of_target = F.col("_target").isNotNull() & (F.col("label") == 1)
     peer = of_target & (F.col("client") != F.col("_target"))
-    place = F.row_number().over(Window.partitionBy("family", peer).orderBy("priority", row))
-    ranked = marked.withColumn("_place", F.when(peer, place))
-    return ranked.where(~of_target | F.coalesce(F.col("_place") <= dose, F.lit(False))).drop("_target", "_place")
+    taken = first_rows(marked.where(peer), ["family"], ["priority", row], dose)
+    return marked.where(F.coalesce(~of_target, F.lit(True))).unionByName(taken).drop("_target")
 
 
 def within_budget(orders: DataFrame, row: str, budget: int) -> DataFrame:
     """The first ``budget`` rows of each client's order, after exclusions."""
-    place = F.row_number().over(Window.partitionBy("client").orderBy("order", row))
-    return orders.withColumn("_place", place).where(F.col("_place") <= budget).drop("_place")
+    return first_rows(orders, ["client"], ["order", row], budget)
 
 
 def exposure_counts(training: DataFrame, targets: DataFrame) -> DataFrame:
@@ -54,8 +53,7 @@ def dose_extras(orders: DataFrame, targets: DataFrame, row: str, dose: int, seed
     """(client, row, family, label): the first ``dose`` of each family's peer rows in one seeded order, so doses are nested."""
     hidden = targets.select("family", F.col("client").alias("_target"))
     peers = orders.where("label = 1").join(hidden, "family").where("client <> _target")
-    place = F.row_number().over(Window.partitionBy("family", "_target").orderBy(draw("dose", seed, F.col(row)), row))
-    return peers.withColumn("_place", place).where(F.col("_place") <= dose).select("client", row, "family", "label")
+    return first_rows(peers, ["family", "_target"], [draw("dose", seed, F.col(row)), row], dose).select("client", row, "family", "label")
 
 
 def substitute(base: DataFrame, extras: DataFrame, row: str, seed: int) -> DataFrame:
@@ -118,5 +116,5 @@ def placebo_extras(orders: DataFrame, base: DataFrame, choices: list[dict], row:
     spark = orders.sparkSession
     wanted = spark.createDataFrame([(x["placebo"], c, n) for x in choices for c, n in x["allocated"].items()], "family string, client string, n int")
     free = orders.where("label = 1").join(base.select(row), row, "left_anti").join(F.broadcast(wanted), ["family", "client"])
-    place = F.row_number().over(Window.partitionBy("family", "client").orderBy(draw("placebo", seed, F.col(row)), row))
-    return free.withColumn("_place", place).where("_place <= n").select("client", row, "family", "label")
+    most = max((n for x in choices for n in x["allocated"].values()), default=0)
+    return first_rows(free, ["family", "client"], [draw("placebo", seed, F.col(row)), row], F.col("n"), most).select("client", row, "family", "label")

@@ -80,3 +80,30 @@ def test_cell_facts(spark):
     got = {r.family: r for r in G.with_cell_facts(cells, pairs, peers, descriptors).collect()}
     assert (got["f"].reallocated_share, got["f"].fit_ratio, got["f"].is_reallocated, got["f"].distance, got["f"].overlap, got["f"].peer_rows) == (0.4, 0.5, True, 0.5, 0.25, 7)
     assert got["g"].need is None and got["g"].distance is None
+
+
+def test_prefix_by_value_is_exact_with_a_hot_group_and_ties(spark):
+    from sievegrid.operators.ordering import prefix_by_value
+
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 3 else None, float(rng.integers(0, 500)), int(rng.integers(0, 5))) for i in range(4000)] + [("one", 1.0, 7), ("hot", None, 9)]
+    df = spark.createDataFrame(rows, "g string, v double, n int")
+    got = prefix_by_value(df, ["g"], "v", {"s": F.sum("n"), "c": F.count(F.lit(1))}).collect()
+    known = [r for r in rows if r[1] is not None]
+    assert len(got) == len({(g, v) for g, v, _ in known})
+    for r in got:
+        mine = [x for x in known if x[0] == r.g]
+        assert (r.s, r.c) == (sum(x[2] for x in mine if x[1] == r.v), sum(x[1] == r.v for x in mine))
+        assert (r.s_before, r.s_all, r.c_all) == (sum(x[2] for x in mine if x[1] < r.v), sum(x[2] for x in mine), len(mine))
+    whole = prefix_by_value(df, [], "v", {"c": F.count(F.lit(1))}).collect()
+    assert max(r.c_before + r.c for r in whole) == len(known)
+
+
+def test_first_rows_are_those_of_a_plain_window(spark):
+    from sievegrid.operators.ordering import first_rows
+
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.lit("cold")).alias("g"), F.pmod(F.xxhash64("id"), F.lit(100)).alias("o"))
+    got = {(r.g, r.id) for r in first_rows(df, ["g"], ["o", "id"], 25).collect()}
+    rows = sorted((r.g, r.o, r.id) for r in df.collect())
+    want = {(g, i) for name in ("hot", "cold") for g, _, i in [r for r in rows if r[0] == name][:25]}
+    assert got == want
