@@ -122,7 +122,8 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row whose id is divisible by ``every``.
 
-    ``sample`` bounds the rows that choose the pivots; there are about sqrt(sample) / 2 of them.
+    ``sample`` bounds the rows that choose the pivots. There are about sqrt(rows) / 2 of them, at most sample / 4, so a cell
+    grows with the root of the table. A shard meets its queries in blocks of about ``query_block``, as many as it has queries for.
     """
     sound = stage(_sound(vectors, id_col, vector_col).distinct(), "sound-vectors")
     spark = vectors.sparkSession
@@ -141,7 +142,7 @@ def search(
 
     drawn = classes.orderBy(F.xxhash64("rep", F.lit(5))).limit(sample).select("vector").toPandas()["vector"]
     points = _lift(np.array([np.asarray(x, float) for x in drawn]), norm)
-    pivots = points[_spread(points, max(1, int(np.sqrt(len(points)) / 2)))]
+    pivots = points[_spread(points, max(1, min(sample // 4, int(np.sqrt(sizes[0]["n"]) / 2))))]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +158,6 @@ def search(
     index = kept.join(cells.select("cell", "shards"), "cell").select("cell", F.pmod(F.xxhash64("rep", F.lit(9)), "shards").alias("shard"), F.lit(None).cast("double").alias("bound"), "rep", "vector")
 
     asked = sound.where(F.pmod("id", F.lit(every)) == 0).select("id", "vector")
-    blocks = max(1, -(-asked.count() // query_block))
     names = np.array([r["cell"] for r in layout])
     shards = np.array([r["shards"] for r in layout])
     radius, inner = np.array([r["radius"] for r in layout]), np.array([r["inner"] for r in layout])
@@ -188,9 +188,14 @@ def search(
 
     def searched(queries: DataFrame, nearest: bool) -> DataFrame:
         columns = "cell long, shard long, bound double, rep long, vector array<double>"
-        block = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(blocks)).alias("block")
-        left = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        right = queries.mapInArrow(targets(nearest), columns).select("*", block)
+        routed = queries.mapInArrow(targets(nearest), columns)
+        load = routed.where("shard = 0").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block)).alias("blocks")).collect()  # a row a pivot
+        if not load:
+            return spark.createDataFrame([], "query_id long, rep long, away double")
+        blocks = F.create_map(*[F.lit(x) for r in load for x in (r["cell"], r["blocks"])])
+        left = index.withColumn("blocks", blocks[F.col("cell")]).where("blocks is not null")
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        right = routed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), blocks[F.col("cell")]))
 
         def both(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             if not len(points) or not len(queries):
