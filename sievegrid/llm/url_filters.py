@@ -3,7 +3,7 @@
 Hosts are linked by the absolute links of their pages, and each host with its parent domain, both ways. Personalised
 PageRank from trusted seeds follows the edges; distrust follows them backwards from blocked seeds: who links to a
 blocked host is suspect. Seeds are the hosts of pages that an allowing or blocking rule fits, by number of pages. A page
-without a rule gets its host's verdict: block if distrust is above ``threshold`` times trust and above nothing.
+without a rule gets its host's verdict: block if distrust is above ``threshold`` times trust by more than EVEN.
 
 Each step is a join of edges with ranks and a grouped sum, map-side combined. Ranks have a row a host, edges a row a
 pair of hosts, whatever the number of pages and links; a host's out-weight is joined once.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from sievegrid.session import stage
 
+#: Ranks no farther apart are even: the order of their sums may tell them apart.
+EVEN = 1e-12
 #: (verdict, host, path).
 Rule = tuple[str, str, str]
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
@@ -105,6 +107,6 @@ def url_filter(
     distrust = propagate(back, votes.where("blocked > 0").select("host", F.col("blocked").alias("mass")), rounds, damping)
     scored = votes.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
     scored = stage(scored, "host-scores").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    method = F.when(F.col("distrust") > F.col("trust") * threshold, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("distrust") > F.col("trust") * threshold + EVEN, F.lit("block")).otherwise(F.lit("allow"))
     joined = judged.withColumn("salt", F.pmod(F.hash("id", "path"), F.lit(32))).join(scored, ["host", "salt"], "left")
     return joined.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("host") == "", F.lit("allow")), method, F.lit("allow")).alias("verdict"), "trust", "distrust")

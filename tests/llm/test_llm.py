@@ -481,7 +481,8 @@ def test_queries_with_sql_agree_with_duckdb(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in ORACLE.items():
         got, want = QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()
         columns = sorted(got.columns)
