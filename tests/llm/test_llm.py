@@ -487,5 +487,5 @@ def test_queries_with_sql_agree_with_duckdb(spark):
         got, want = QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()
         columns = sorted(got.columns)
         assert columns == sorted(want.columns)
-        rows = lambda df, columns=columns: sorted(tuple("null" if x is None or x != x else round(x, 5) + 0.0 if isinstance(x, float) else x for x in r) for r in df[columns].astype(object).values.tolist())
+        rows = lambda df, columns=columns: sorted((tuple("null" if x is None or x != x else round(x, 5) + 0.0 if isinstance(x, float) else x for x in r) for r in df[columns].astype(object).values.tolist()), key=str)
         assert list(map(str, rows(got))) == list(map(str, rows(want)))
