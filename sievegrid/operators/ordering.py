@@ -23,6 +23,8 @@ def shuffled_prefix(
     A row's place is its hash: first the hash's bucket, then the hash within it. A group of n rows has about
     n / rows_per_bucket buckets of like size, so windows stay small whatever a group holds; only the
     buckets' totals (one row a bucket) are summed across buckets. Group keys may be null. ``df`` is read twice.
+    The join with the groups' counts is salted: were it by the keys alone, the windows would keep its partitioning,
+    with a group's buckets all in one task.
     Rows that are equal in all that ``seed`` is made of may swap places.
     """
     keys = [f"_g{i}" for i in range(len(groups))]
@@ -31,7 +33,8 @@ def shuffled_prefix(
     )
     counts = with_keys.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).alias("_buckets"))
     if keys:
-        placed = with_keys.join(counts, keys)
+        salted = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = with_keys.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
     else:
         placed = with_keys.withColumn("_buckets", F.lit(counts.first()[0]))
     placed = placed.withColumn("_bucket", F.pmod("_hash", F.greatest("_buckets", F.lit(1))))
