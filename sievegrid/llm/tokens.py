@@ -36,7 +36,9 @@ class Encoder:
                 break
             out += self.encoding.encode_ordinary(text[at:cut])
             at = cut
-        return [*out, *self.encoding.encode_ordinary(text[at:]), self.end]
+        rest = self.encoding.encode_ordinary(text[at:])
+        rest.append(self.end)
+        return out + rest if out else rest
 
     def sizes(self, texts: pa.Array) -> np.ndarray:
         """Numbers of ids, ends included."""
