@@ -1,7 +1,9 @@
 """Detectors by holder: local, pooled, federated, fine-tuned and blended fits, and scoring.
 
-A fit is one group's reducer over its training rows, which a row budget bounds; holders, arms and seeds fit in parallel. A federated
-round is one job: every holder starts from the shared weights, and weights come back a row a holder.
+A group's training rows are dealt by hash into parts of about ``Training.part`` rows; all rows are kept, and no worker holds more than
+a few parts. Parts fit in parallel, and a group's weights are their mean by rows, so a group of one part is one plain fit. A federated
+round is one job: every part starts from the shared weights; parts are averaged within holders, then holders by the rule. Only the
+shared weights come to the driver. Rows that are equal in every column, whatever their number, share a part: give rows an id.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievegrid.operators.ordering import SALTS
+from sievegrid.session import stage
+
 
 @dataclass(frozen=True)
 class Training:
-    """hidden: sizes of ReLU layers; none for a linear model. proximal: pull to the weights a fit starts from."""
+    """hidden: sizes of ReLU layers; none for a linear model. proximal: pull to the weights a fit starts from. part: rows fitted at once."""
 
     width: int
     hidden: tuple[int, ...] = (32,)
@@ -26,6 +31,7 @@ class Training:
     rate: float = 0.01
     proximal: float = 0.0
     seed: int = 1
+    part: int = 4096
 
 
 def derive_seed(*parts: int | str) -> int:
@@ -59,6 +65,11 @@ def fit(state: list[np.ndarray], x: np.ndarray, y: np.ndarray, t: Training) -> t
     """(state, mean loss of the last epoch): mini-batch Adam on the logistic loss."""
     if len(np.unique(y)) < 2:
         raise ValueError("a fit needs both classes")
+    return _fit_part(state, x, y, t)
+
+
+def _fit_part(state: list[np.ndarray], x: np.ndarray, y: np.ndarray, t: Training) -> tuple[list[np.ndarray], float]:
+    """As fit(); a part may be of one class where its group has both."""
     rng = np.random.default_rng(t.seed)
     anchor = [w.copy() for w in state]
     state = [w.copy() for w in state]
@@ -111,36 +122,62 @@ def robust_states(states: DataFrame, key: list[str], rule: str) -> DataFrame:
     return states.groupBy(*key, "pos").agg(value.alias("weight"))
 
 
-def fit_by(training: DataFrame, keys: list[str], t: Training, start: np.ndarray | None = None) -> DataFrame:
-    """(keys, rows, loss, weights): one fit a group of (keys, features, label); groups of one class are left out."""
-    types = dict(training.dtypes)
+def parts_of(training: DataFrame, keys: list[str], t: Training) -> DataFrame:
+    """(keys, labels, features): a row a part, its features one after another; groups of one class are left out.
+
+    The hash is of all columns. Within a part, rows are in order of label and features, so a fit does not depend on the input's order.
+    """
+    names = [f"_g{i}" for i in range(len(keys))]
+    rows = training.withColumns({n: F.struct(F.col(f"`{k}`").alias("v")) for n, k in zip(names, keys, strict=True)} | {"_hash": F.xxhash64(*[F.col(f"`{c}`") for c in training.columns])})
+    sizes = rows.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / F.lit(t.part)).alias("_parts"), F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least < _most")
+    salted = sizes.select(*names, "_parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    placed = rows.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)).cast("int")).join(salted, [*names, "_salt"])
+    row = F.struct(F.col("label").cast("double").alias("y"), F.col("features").cast("array<double>").alias("x"))
+    parts = placed.groupBy(*names, F.pmod("_hash", "_parts").alias("_part")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return parts.select(*[F.col(n)["v"].alias(k) for n, k in zip(names, keys, strict=True)], F.col("_rows.y").alias("labels"), F.flatten("_rows.x").alias("features"))
+
+
+def fit_parts(parts: DataFrame, keys: list[str], t: Training, start: np.ndarray | None = None) -> DataFrame:
+    """(keys, rows, pos, weight): the groups' weights, means by rows of their parts'; the loss is at pos -1."""
+    types = dict(parts.dtypes)
     begin = flat(initial(t)) if start is None else start
 
-    def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(group["features"].to_numpy()).astype(float), group["label"].to_numpy(float)
-        order = np.lexsort((*x.T[::-1], y))  # rows come in no order; the fit must not depend on it
-        if len(np.unique(y)) < 2:
-            return pd.DataFrame({**{k: [] for k in keys}, "rows": [], "loss": [], "weights": []})
-        state, loss = fit(unflat(begin, t), x[order], y[order], t)
-        return pd.DataFrame([{k: group[k].iloc[0] for k in keys} | {"rows": len(y), "loss": loss, "weights": flat(state)}])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for labels, features in zip(b["labels"], b["features"], strict=True):
+                state, loss = _fit_part(unflat(begin, t), np.asarray(features, float).reshape(len(labels), t.width), np.asarray(labels, float), t)
+                out.append(np.concatenate([[loss], flat(state)]))
+            yield b[keys].assign(rows=b["labels"].map(len).astype("int64"), weights=out)
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rows long, weights array<double>"
+    fitted = parts.mapInPandas(run, schema).select(*keys, "rows", F.posexplode("weights").alias("pos", "weight"))
+    mean = (F.sum(F.col("weight") * F.col("rows")) / F.sum("rows")).alias("weight")
+    return fitted.groupBy(*keys, (F.col("pos") - 1).alias("pos")).agg(F.sum("rows").alias("rows"), mean)
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rows long, loss double, weights array<double>"
-    return training.select(*keys, "features", "label").groupBy(*keys).applyInPandas(reduce, schema)
+
+def fit_by(training: DataFrame, keys: list[str], t: Training, start: np.ndarray | None = None) -> DataFrame:
+    """(keys, rows, loss, weights): one fit a group of (keys, features, label); groups of one class are left out."""
+    fitted = fit_parts(parts_of(training, keys, t), keys, t, start)
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "weight")))["weight"]
+    n = len(flat(initial(t)))
+    return fitted.groupBy(*keys).agg(F.max("rows").alias("rows"), ordered.alias("_all")).select(*keys, "rows", F.col("_all")[0].alias("loss"), F.slice("_all", 2, n).alias("weights"))
 
 
 def train_federated(training: DataFrame, holder: str, t: Training, rounds: int, rule: str = "mean") -> tuple[np.ndarray, list[dict]]:
     """(weights, trace): every round each holder fits from the shared weights, which are then averaged or made robustly."""
     shared, trace = flat(initial(t)), []
+    parts = stage(parts_of(training, [holder], t), "holder-parts")
     for r in range(rounds):
-        fitted = fit_by(training, [holder], replace(t, seed=derive_seed(t.seed, r)), shared)
-        rows = fitted.orderBy(holder).collect()  # a row a holder
-        n, w = np.array([x["rows"] for x in rows], float), np.array([x["weights"] for x in rows])
+        fitted = fit_parts(parts, [holder], replace(t, seed=derive_seed(t.seed, r)), shared)
         if rule == "mean":
-            shared = (w * n[:, None]).sum(0) / n.sum()
+            states = average_states(fitted, [])
         else:
-            ordered = np.sort(w, axis=0)
-            shared = ordered[(len(w) - 1) // 2] if rule == "median" else ordered[1:-1].mean(0)
-        trace.append({"round": r, "loss": float((n * [x["loss"] for x in rows]).sum() / n.sum()), "finite": bool(np.isfinite(shared).all())})
+            fitted = stage(fitted, "holder-states")
+            states = average_states(fitted.where("pos < 0"), []).unionByName(robust_states(fitted.where("pos >= 0"), [], rule))
+        got = np.array([x["weight"] for x in states.orderBy("pos").collect()])  # a row a weight
+        shared = got[1:]
+        trace.append({"round": r, "loss": float(got[0]), "finite": bool(np.isfinite(shared).all())})
     return shared, trace
 
 

@@ -696,7 +696,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).cast("long").alias("label"), (F.pmod("vec_id", F.lit(4))).alias("holder"))
     t = L.Training(width=len(rows.first()["features"]), hidden=(16,), epochs=2)
-    weights, _ = L.train_federated(rows, "holder", t, 3)
+    weights, _ = L.train_federated(rows, "holder", t, 20)
     return L.score(rows, weights, t).select("vec_id", "label", "score")
 
 

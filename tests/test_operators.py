@@ -195,6 +195,20 @@ def test_learners_separate_and_federate(spark):
     assert np.abs(near - weights).sum() < np.abs(free - weights).sum()
 
 
+def test_a_large_holder_is_fitted_in_bounded_parts_that_keep_all_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (1000, 3))
+    rows = spark.createDataFrame([(i, 0 if i % 10 else None, [float(v) for v in x[i]], int(x[i, 0] > 0)) for i in range(1000)], "id long, holder long, features array<double>, label long")
+    t = L.Training(width=3, hidden=(), epochs=2, batch=32, rate=0.05, part=64)
+    parts = L.parts_of(rows, ["holder"], t).toPandas()
+    assert parts["labels"].map(len).sum() == 1000 and parts["labels"].map(len).max() < 128 and len(parts) > 10
+    assert sorted(round(v, 9) for f in parts["features"] for v in f) == sorted(np.round(x.ravel(), 9))
+    assert {r.rows for r in L.fit_by(rows, ["holder"], t).collect()} == {100, 900}
+    for rule in ("mean", "median"):
+        weights, trace = L.train_federated(rows, "holder", t, 3, rule)
+        assert trace[-1]["loss"] < trace[0]["loss"] and weights[0] > 3 * np.abs(weights[1:3]).max()
+
+
 def test_sources_and_stages(spark, tmp_path):
     import gzip
 
