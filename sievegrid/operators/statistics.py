@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -184,34 +185,153 @@ def chi2_tail(x: float, k: int) -> float:
     return lead * out
 
 
-def reml(response: np.ndarray, factors: list[np.ndarray], start: np.ndarray | None = None, rounds: int = 200) -> np.ndarray:
-    """Variance components of crossed random effects and the residual, last: expectation-maximisation on the restricted likelihood."""
-    y = response - response.mean()
-    scale = y.var()
-    if scale <= 0:
-        return np.zeros(len(factors) + 1)
-    y = y / math.sqrt(scale)
-    n = len(y)
-    grams = [(f[:, None] == f[None]).astype(float) for f in factors] + [np.eye(n)]
-    levels = [len(np.unique(f)) for f in factors] + [n]
-    v = np.full(len(grams), 1 / len(grams)) if start is None else np.maximum(start / scale, 1e-4)
-    for _ in range(rounds):
-        inverse = np.linalg.inv(sum(a * g for a, g in zip(v, grams, strict=True)) + 1e-10 * np.eye(n))
-        ones = inverse.sum(1)
-        p = inverse - np.outer(ones, ones) / ones.sum()
-        py = p @ y
-        new = np.array([a + a * a * (py @ g @ py - (p * g).sum()) / q for a, g, q in zip(v, grams, levels, strict=True)])
-        new = np.maximum(new, 0.0)
-        if np.abs(new - v).max() < 1e-8:
-            v = new
+@dataclass(frozen=True)
+class CrossedSums:
+    """Sums of batches of crossed designs, all that their restricted likelihoods need: a matrix of as many rows as levels, not observations.
+
+    both: (batch, levels, levels) rows that two levels share; total: (batch, levels) sums of the response, whose mean is 0;
+    n, square: (batch,) rows and the sum of squares; sizes: levels of each factor, in order.
+    """
+
+    both: np.ndarray
+    total: np.ndarray
+    n: np.ndarray
+    square: np.ndarray
+    sizes: tuple[int, ...]
+
+    def take(self, rows: np.ndarray) -> CrossedSums:
+        return CrossedSums(self.both[rows], self.total[rows], self.n[rows], self.square[rows], self.sizes)
+
+
+def _moments(s: CrossedSums, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(y'P G P y, trace of P G) of each component by Henderson's equations, at variances v (batch, components)."""
+    noise = v[:, -1] + 1e-10
+    root = np.sqrt(np.repeat(v[:, :-1], s.sizes, axis=1))
+    inner = root[:, :, None] * s.both * root[:, None] + noise[:, None, None] * np.eye(s.both.shape[1])
+    m = root[:, :, None] * np.linalg.inv(inner) * root[:, None]
+    one = np.diagonal(s.both, axis1=1, axis2=2)[:, : s.sizes[0]].sum(1)  # each row has one level of the first factor
+    ones = np.diagonal(s.both, axis1=1, axis2=2)  # a level's rows are its sum of ones
+    apply = lambda a, x: np.einsum("bij,bj->bi", a, x)
+    dot = lambda x, y: (x * y).sum(1)
+    m1, wm = apply(m, ones), s.both @ m
+    c = (one - dot(ones, m1)) / noise
+    beta = (0 - dot(s.total, m1)) / noise / c
+    left = s.total - beta[:, None] * ones  # the residual's sums by level
+    square = s.square + beta**2 * s.n
+    ml = apply(m, left)
+    by_level = (left - apply(wm, left)) / noise[:, None]
+    one_level = (ones - apply(wm, ones)) / noise[:, None]
+    spread = (np.diagonal(s.both, axis1=1, axis2=2) - (wm * s.both).sum(2)) / noise[:, None]
+    ends = np.cumsum((0, *s.sizes[:-1]))
+    up = np.add.reduceat(by_level**2, ends, axis=1)
+    trace = np.add.reduceat(spread - one_level**2 / c[:, None], ends, axis=1)
+    whole = lambda square, sums, solved: (square - 2 * dot(sums, solved) + dot(solved, apply(s.both, solved))) / noise**2
+    up_rest = whole(square, left, ml)
+    trace_rest = (s.n - np.trace(wm, axis1=1, axis2=2)) / noise - whole(s.n, ones, m1) / c
+    return np.column_stack([up, up_rest]), np.column_stack([trace, trace_rest])
+
+
+def reml_sums(s: CrossedSums, start: np.ndarray | None = None, rounds: int = 5000) -> np.ndarray:
+    """(batch, components): variances of the crossed effects and the residual, last, by multiplicative steps on the restricted likelihood, extrapolated from two to the next."""
+    scale = s.square / s.n
+    live = np.flatnonzero(scale > 1e-15)
+    k = len(s.sizes) + 1
+    out = np.zeros((len(scale), k))
+    if not len(live):
+        return out
+    t = s.take(live)
+    t = CrossedSums(t.both, t.total / np.sqrt(scale[live])[:, None], t.n, t.n.astype(float), t.sizes)
+    v = np.full((len(live), k), 1 / k) if start is None else np.maximum(start[live] / scale[live][:, None], 1e-4)
+    def step(t: CrossedSums, x: np.ndarray) -> np.ndarray:
+        up, trace = _moments(t, np.exp(x))
+        return np.clip(x + np.clip(np.log(np.maximum(up, 1e-30)) - np.log(np.maximum(trace, 1e-30)), -6, 6) / 2, -40, 5)
+
+    x, at = np.log(v), np.arange(len(live))
+    for k in range(rounds // 3):
+        some = t.take(at)
+        one = step(some, x[at])
+        two = step(some, one)
+        r, w = one - x[at], two - 2 * one + x[at]
+        ahead = np.clip(np.sqrt((r * r).sum(1) / np.maximum((w * w).sum(1), 1e-300)), 1, 64 if k < rounds // 6 else 1)[:, None]
+        guess = np.clip(x[at] + np.clip(2 * ahead * r + ahead * ahead * w, -4, 4), -40, 5)
+        x[at] = step(some, guess)
+        at = at[(np.abs(np.exp(one) - np.exp(two)).max(1) > 1e-9) | (np.abs(np.exp(x[at]) - np.exp(two)).max(1) > 1e-7)]
+        if not len(at):
             break
-        v = new
-    return v * scale
+    v = np.where(x < -25, 0.0, np.exp(x))
+    out[live] = v * scale[live][:, None]
+    return out
+
+
+def crossed_sums(n: np.ndarray, total: np.ndarray, square: np.ndarray, factors: list[np.ndarray], draws: np.ndarray | None = None) -> CrossedSums:
+    """Sums of a design from those of its cells. draws: (batch, k) levels of the last factor, each taken as a level of its own; None for the design itself."""
+    codes = [np.unique(f, return_inverse=True)[1] for f in factors]
+    sizes = [int(c.max()) + 1 for c in codes]
+    first, q = np.cumsum([0, *sizes[:-2]]), sum(sizes[:-1])
+    if draws is None:
+        draws = np.arange(sizes[-1])[None]
+    both, levels, sums = np.zeros((sizes[-1], q, q)), np.zeros((sizes[-1], q)), np.zeros((sizes[-1], q))
+    for a, i in zip(codes[:-1], first, strict=True):
+        np.add.at(levels, (codes[-1], i + a), n)
+        np.add.at(sums, (codes[-1], i + a), total)
+        for b, j in zip(codes[:-1], first, strict=True):
+            np.add.at(both, (codes[-1], i + a, j + b), n)
+    by = lambda x: np.bincount(codes[-1], x, minlength=sizes[-1])[draws]
+    size, value, squares = by(n), by(total), by(square)
+    k = draws.shape[1]
+    out = np.zeros((len(draws), q + k, q + k))
+    out[:, :q, :q] = both[draws].sum(1)
+    out[:, q:, :q] = levels[draws]
+    out[:, :q, q:] = levels[draws].transpose(0, 2, 1)
+    out[:, q + np.arange(k), q + np.arange(k)] = size
+    rows, mean = size.sum(1), value.sum(1) / size.sum(1)
+    totals = np.concatenate([sums[draws].sum(1), value], axis=1) - mean[:, None] * np.diagonal(out, axis1=1, axis2=2)
+    return CrossedSums(out, totals, rows, np.maximum(squares.sum(1) - rows * mean**2, 0), (*sizes[:-1], k))
+
+
+def reml(response: np.ndarray, factors: list[np.ndarray], start: np.ndarray | None = None, rounds: int = 5000) -> np.ndarray:
+    """Variance components of crossed random effects and the residual, last, of the greatest restricted likelihood."""
+    y = response - response.mean()
+    return reml_sums(crossed_sums(np.ones(len(y)), y, y * y, factors), None if start is None else np.asarray(start)[None], rounds)[0]
+
+
+def _as_shares(v: np.ndarray) -> np.ndarray:
+    total = v.sum(-1, keepdims=True)
+    return np.divide(v, total, out=np.zeros_like(v), where=total > 0)
 
 
 def reml_shares(response: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
-    v = reml(response, factors)
-    return v / v.sum() if v.sum() > 0 else v
+    return _as_shares(reml(response, factors))
+
+
+def reml_share_table(cells: DataFrame, group: str, factors: list[str], value: str, draws: int = 2000, block: int = 100, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """(group, source, share, low, high): shares of the variance, with percentile intervals over resampled levels of the last factor.
+
+    Fits see sums by cell of the factors alone; draws are fitted in blocks, which run in parallel, from the group's own fit on.
+    """
+    sums = cells.where(F.col(value).isNotNull()).groupBy(group, *factors).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("square"))
+    count = -(-draws // block)
+    blocks = sums.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count)))).repartition(count + 1, group, "block")  # few bytes, much work
+    kind = dict(cells.dtypes)[group]
+
+    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
+        g = rows.sort_values(factors)
+        parts = [g[c].to_numpy(float) for c in ("n", "total", "square")]
+        codes = [g[c].astype("category").cat.codes.to_numpy() for c in factors]
+        own = reml_sums(crossed_sums(*parts, codes))
+        b, found = int(rows["block"].iloc[0]), own
+        if b > 0:
+            k = len(np.unique(codes[-1]))
+            chosen = np.stack([np.random.default_rng([seed, d]).integers(0, k, k) for d in range((b - 1) * block, min(b * block, draws))])
+            some = crossed_sums(*parts, codes, chosen)
+            found = reml_sums(some, np.repeat(own, len(chosen), 0))
+        shares = _as_shares(found)
+        names = [*factors, "residual"]
+        return pd.DataFrame({group: rows[group].iloc[0], "own": b == 0, "source": names * len(shares), "share": shares.ravel()})
+
+    fitted = blocks.groupBy(group, "block").applyInPandas(reduce, f"`{group}` {kind}, own boolean, source string, share double")
+    tail, drawn = (1 - level) / 2, F.when(~F.col("own"), F.col("share"))
+    return fitted.groupBy(group, "source").agg(F.max(F.when(F.col("own"), F.col("share"))).alias("share"), F.percentile(drawn, F.lit(tail)).alias("low"), F.percentile(drawn, F.lit(1 - tail)).alias("high"))
 
 
 def isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -660,16 +660,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c21_reml_shares")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    import pandas as pd
-
-    def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["client", "family", "seed"])
-        codes = [g[c].astype("category").cat.codes.to_numpy() for c in ("client", "family", "seed")]
-        shares = stat.reml_shares(g["knowledge_gain"].to_numpy(float), codes)
-        return pd.DataFrame({"population": group["population"].iloc[0], "source": ["client", "family", "seed", "residual"], "share": shares})
-
-    cells = D.hidden_cells(T.families(spark, sf), 0.05).where("seed <= 3").select("population", "client", "family", "seed", "knowledge_gain")
-    return cells.groupBy("population").applyInPandas(reduce, "population string, source string, share double")
+    return stat.reml_share_table(D.hidden_cells(T.families(spark, sf), 0.05), "population", ["client", "family", "seed"], "knowledge_gain")
 
 
 # Descriptors.

@@ -165,6 +165,44 @@ def test_variance_components_find_the_effect():
     assert shares[0] > 0.9 and shares.sum() == pytest.approx(1)
 
 
+def test_variance_components_are_stationary_for_the_whole_covariance():
+    rng = np.random.default_rng(3)
+    c, f, s = (rng.integers(0, k, 150) for k in (5, 8, 6))
+    y = rng.normal(0, 0.5, 5)[c] + rng.normal(0, 0.3, 6)[s] + rng.normal(0, 0.4, 150)
+    v = stat.reml(y, [c, f, s])
+    grams = [(x[:, None] == x[None]).astype(float) for x in (c, f, s)] + [np.eye(150)]
+    inverse = np.linalg.inv(sum(a * g for a, g in zip(v, grams, strict=True)))
+    p = inverse - np.outer(inverse.sum(1), inverse.sum(1)) / inverse.sum()
+    for a, g in zip(v, grams, strict=True):
+        slope = ((p @ y) @ g @ (p @ y) - (p * g).sum()) * a
+        assert abs(slope) < 1e-4 and (a > 1e-6 or (p @ y) @ g @ (p @ y) < (p * g).sum())
+
+
+def test_resampled_sums_are_those_of_the_resampled_rows():
+    rng = np.random.default_rng(4)
+    c, f, s = (rng.integers(0, k, 90) for k in (3, 4, 5))
+    y = rng.normal(0, 1, 5)[s] + rng.normal(0, 1, 90)
+    draw = np.array([0, 3, 3, 1, 4])
+    rows = [np.flatnonzero(s == d) for d in draw]
+    chosen, new = np.concatenate(rows), np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
+    got = stat.reml_sums(stat.crossed_sums(np.ones(90), y, y * y, [c, f, s], draw[None]))[0]
+    assert got == pytest.approx(stat.reml(y[chosen], [c[chosen], f[chosen], new]), abs=1e-6)
+
+
+def test_variance_shares_of_the_query_use_every_seed(spark, sf):
+    from sievegrid.operators import decomposition
+    from sievegrid.plans import queries, study
+
+    cells = decomposition.hidden_cells(study.families(spark, sf), 0.05).toPandas()
+    got = queries.QUERIES["c21_reml_shares"](spark, sf).toPandas().set_index(["population", "source"])
+    for population, g in cells.groupby("population"):
+        codes = [g[x].astype("category").cat.codes.to_numpy() for x in ("client", "family", "seed")]
+        assert len(set(codes[2])) == 6
+        want = stat.reml_shares(g["knowledge_gain"].to_numpy(float), codes)
+        assert [got.loc[(population, x), "share"] for x in ("client", "family", "seed", "residual")] == pytest.approx(list(want), abs=1e-6)
+    assert (got["low"] <= got["high"]).all() and (got["high"] > got["low"]).any()
+
+
 def test_cluster_bootstrap_tells_difference(spark):
     rows = spark.range(1000).select((F.col("id") % 200).alias("g"), (F.rand(3) < 0.9).alias("a"), (F.rand(4) < 0.4).alias("b"))
     r = stat.cluster_bootstrap(rows, "g", F.col("a"), F.col("b"), 300, 1).first()
