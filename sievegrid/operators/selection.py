@@ -45,8 +45,9 @@ def exposure_counts(training: DataFrame, targets: DataFrame) -> DataFrame:
     """(client, family, rows, train_rows) for every client and target family."""
     total = training.groupBy("client").agg(F.count(F.lit(1)).alias("train_rows"))
     of = training.where("label = 1").groupBy("client", "family").agg(F.count(F.lit(1)).alias("rows"))
-    grid = total.crossJoin(F.broadcast(targets.select("family").distinct().limit(1000)))  # target families are at most a few dozen
-    return grid.join(of, ["client", "family"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    grid = targets.select("family").distinct().crossJoin(total)  # a row a client is the small side
+    counted = grid.join(of, ["client", "family"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return counted.select("client", "family", "train_rows", "rows")
 
 
 def dose_extras(orders: DataFrame, targets: DataFrame, row: str, dose: int, seed: int) -> DataFrame:

@@ -158,6 +158,16 @@ def test_dose_curves():
     assert [stat.equivalent_dose(curve, x, doses) for x in (0.25, -1, 9)] == [75.0, 0.0, math.inf]
 
 
+def test_exposure_keeps_every_target_family(spark):
+    from sievegrid.operators import selection
+
+    training = spark.createDataFrame([("a", "f1", 1), ("a", "f1", 1), ("b", "f2", 0)], "client string, family string, label long")
+    targets = spark.range(1200).select(F.concat(F.lit("f"), F.col("id")).alias("family"))
+    got = selection.exposure_counts(training, targets)
+    assert got.columns == ["client", "family", "train_rows", "rows"] and got.count() == 2400
+    assert [tuple(r) for r in got.where("rows > 0").collect()] == [("a", "f1", 2, 2)]
+
+
 def test_variance_components_find_the_effect():
     rng = np.random.default_rng(0)
     c, f, s = np.repeat(np.arange(6), 27), np.tile(np.repeat(np.arange(9), 3), 6), np.tile(np.arange(3), 54)
