@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,5 +66,23 @@ def unstage(df: DataFrame) -> None:
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
         plain = folder.replace("file:///", "file:/")
         if plain.startswith(root.replace("file:///", "file:/")):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def bucketed(df: DataFrame, name: str, keys: list[str], rows: int, rows_per_bucket: int = 500_000) -> Iterator[DataFrame]:
+    """The table, kept by ``keys`` in buckets for as long as the block runs: joins on the keys shuffle the other side only."""
+    spark = df.sparkSession
+    buckets = min(max(-(-rows // rows_per_bucket), 1), 8192)
+    path, kept = new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(kept)
+    try:
+        yield spark.table(kept)
+    finally:
+        spark.sql(f"DROP TABLE {kept}")
+        _delete(spark, path)
