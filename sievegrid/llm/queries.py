@@ -62,7 +62,7 @@ URL_RULES = [
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter(table(spark, sf_dir, "pages"), URL_RULES)
-    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+    return judged.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,28 +128,26 @@ def _secrets_sql() -> str:
  FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id"""
 
 
-def _urls_sql(rounds: int = 6, damping: float = 0.85) -> str:
-    """url_filter() with its default parameters: a common table a round of propagation."""
+def _urls_sql(steps: int = 400, damping: float = 0.85) -> str:
+    """url_filter() with its default parameters: the sum over walks of up to so many steps, far more than its tolerance asks for."""
     upper = url_filters.A_TO_Z
     host = lambda url: f"translate(regexp_extract(CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END, '^[^/?#]*'), '{upper}', '{upper.lower()}')"
     longest = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     choose = lambda pick: "CASE " + " ".join(f"WHEN (host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}') THEN '{pick(r)}'" for r in longest) + " END"
 
-    def ranks(name: str, steps: str, mass: str) -> str:
-        share = f"{name}_share AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM {steps})"
-        start = f"{name}0 AS MATERIALIZED (SELECT host, {mass} / sum({mass}) OVER () AS rank FROM votes WHERE {mass} > 0)"
-        walk = [f"{name}{k} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (SELECT dst AS host, sum(rank * share) * {damping} AS rank FROM {name}{k - 1} JOIN {name}_share ON host = src GROUP BY 1 UNION ALL SELECT host, rank * (1 - {damping}) FROM {name}0) GROUP BY 1)" for k in range(1, rounds + 1)]
-        last = f"{name} AS (SELECT host, sum(rank) AS {name} FROM (SELECT host, rank FROM {name}{rounds} UNION ALL SELECT host, rank * greatest(1 - (SELECT sum(rank) FROM {name}{rounds}), 0) FROM {name}0) GROUP BY 1)"
-        return ", ".join([share, start, *walk, last])
+    def ranks(name: str, edges: str, mass: str) -> str:
+        share = f"{name}_share AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM {edges})"
+        walks = f"{name}_walks AS (SELECT 0 AS k, host, {mass}::DOUBLE AS rank FROM votes WHERE {mass} > 0 UNION ALL SELECT k + 1, dst, sum(rank * share) * {damping} FROM {name}_walks JOIN {name}_share ON host = src WHERE k < {steps} GROUP BY k, dst)"
+        return f"{share}, {walks}, {name} AS MATERIALIZED (SELECT host, sum(rank) / sum(sum(rank)) OVER () AS {name} FROM {name}_walks GROUP BY 1)"
 
-    return f"""WITH u AS (SELECT page_id, coalesce(html, '') AS html, coalesce({host("url")}, '') AS host, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    return f"""WITH RECURSIVE u AS (SELECT page_id, coalesce(html, '') AS html, coalesce({host("url")}, '') AS host, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
  p AS (SELECT page_id, html, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM u),
  j AS MATERIALIZED (SELECT page_id, host, path, {choose(lambda r: r[1] + r[2])} AS rule, {choose(lambda r: r[0])} AS ruled FROM p),
- l AS (SELECT host AS src, unnest(regexp_extract_all(html, {_quoted(url_filters.LINK)}, 1)) AS link FROM p), up AS (SELECT DISTINCT host AS src, regexp_replace(host, '^[^.]*\\.', '') AS dst FROM p WHERE len(string_split(host, '.')) > 2),
+ l AS (SELECT host AS src, ':' || unnest(regexp_extract_all(html, {_quoted(url_filters.LINK)}, 1)) AS link FROM p), up AS (SELECT DISTINCT host AS src, regexp_replace(host, '^[^.]*\\.', '') AS dst FROM p WHERE len(string_split(host, '.')) > 2),
  e AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS weight FROM (SELECT src, {host("link")} AS dst, 1 AS w FROM l UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2), back AS (SELECT dst AS src, src AS dst, weight FROM e),
  votes AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS allowed, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM j GROUP BY 1),
  {ranks("trust", "e", "allowed")}, {ranks("distrust", "back", "blocked")}
- SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN j.host <> '' AND coalesce(distrust, 0) > coalesce(trust, 0) + {url_filters.EVEN} THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+ SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN j.host <> '' AND coalesce(distrust, 0) > coalesce(trust, 0) * (1 + {url_filters.EVEN}) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
  FROM j LEFT JOIN trust ON trust.host = j.host LEFT JOIN distrust ON distrust.host = j.host"""
 
 

@@ -3,10 +3,14 @@
 Hosts are linked by the absolute links of their pages, and each host with its parent domain, both ways. Personalised
 PageRank from trusted seeds follows the edges; distrust follows them backwards from blocked seeds: who links to a
 blocked host is suspect. Seeds are the hosts of pages that an allowing or blocking rule fits, by number of pages. A page
-without a rule gets its host's verdict: block if distrust is above ``threshold`` times trust by more than EVEN.
+without a rule gets its host's verdict: block if distrust is above ``threshold`` times trust by more than the share EVEN.
 
-Each step is a join of edges with ranks and a grouped sum, map-side combined. Ranks have a row a host, edges a row a
-pair of hosts, whatever the number of pages and links; a host's out-weight is joined once.
+Ranks are the fixed point in which mass at hosts without edges onward returns to the seeds. It is proportional to the sum
+over all walks from the seeds, so rounds add the walks of one more step, until they add less than ``tolerance`` of
+the whole, and the sums are scaled to 1 at the end. Both sides walk together.
+
+Each step is a join of ranks with edges and a grouped sum, map-side combined. Edges are kept in buckets by their start,
+so that rounds shuffle ranks only; a host of many edges has them in several buckets, and its rank goes to each.
 
 Defined cases: a null url or one without "://" has an empty host and path, no rule, and is allowed; a null page has no
 links; repeated rows get repeated results; an empty table gives an empty one; no other column is read.
@@ -17,13 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.session import stage
+from sievegrid.session import bucketed, stage, unstage
 
-#: Ranks no farther apart are even: the order of their sums may tell them apart.
-EVEN = 1e-12
+#: Ranks that differ by no more than this share are even: the order of their sums may tell them apart.
+EVEN = 1e-6
+#: Edges of one host to a bucket, about.
+EDGES_PER_SALT = 100_000
+#: Rounds between two looks at what they add.
+STRIDE = 8
 #: (verdict, host, path).
 Rule = tuple[str, str, str]
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: A link's target from its scheme or, where it takes the page's, from its slashes.
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -53,8 +62,8 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
 
 def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     """(src, dst, weight) from links between hosts and between a host and its parent domain."""
-    links = pages.where(F.col(html).contains("://")).select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("link"))
-    linked = links.select("src", host_of(F.col("link")).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    links = pages.where(F.col(html).contains("//")).select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("link"))
+    linked = links.select("src", host_of(F.concat(F.lit(":"), "link")).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     own = pages.select(F.col(host).alias("src")).distinct()
     parent = F.regexp_replace("src", r"^[^.]*\.", "")
     up = own.where(F.size(F.split("src", r"\.")) > 2).select("src", parent.alias("dst"), F.lit(1.0).alias("weight"))
@@ -63,26 +72,41 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return both.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, mass), whose masses are scaled to 1.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most_rounds: int = 2000) -> DataFrame:
+    """(side, host, rank): personalised PageRank on each side, its ranks summing to 1.
 
-    Mass at hosts without edges onward goes back to the seeds. The ranks are written every few rounds to cut the lineage.
+    edges: (side, src, dst, weight); seeds: (side, host, mass), masses above 0.
     """
-    total = seeds.agg(F.sum("mass")).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
-    start = stage(seeds.select("host", (F.col("mass") / F.lit(float(total))).alias("mass")), "seeds")
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    steps = stage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "steps")
-    ranks = start.select("host", F.col("mass").alias("rank"))
-    for k in range(1, rounds + 1):
-        moved = ranks.join(steps, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
-        ranks = moved.unionByName(start.select("host", (F.col("mass") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 3 == 0 or k == rounds:
+    out = stage(edges.groupBy("side", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count(F.lit(1)) / F.lit(EDGES_PER_SALT)).cast("int").alias("fans")), "out-weights")
+    ahead = out.select("side", F.col("src").alias("dst"), F.col("fans").alias("fans_on"))
+    steps = edges.join(out, ["side", "src"]).join(ahead, ["side", "dst"], "left")
+    steps = steps.select("side", "src", F.pmod(F.xxhash64("dst"), "fans").cast("int").alias("salt"), "dst", (F.col("weight") / F.col("out")).alias("share"), F.coalesce("fans_on", F.lit(0)).alias("next_fans"))
+    total = seeds.groupBy("side").agg(F.sum("mass").alias("total"))
+    start = seeds.join(total, "side").join(out.select("side", F.col("src").alias("host"), "fans"), ["side", "host"], "left")
+    start = stage(start.select("side", "host", (F.col("mass") / F.col("total") * (1 - damping)).alias("rank"), F.coalesce("fans", F.lit(0)).alias("fans")), "seeds")
+    ranks, sums = start, _sums(start)
+    with bucketed(steps, "host-steps", ["side", "src", "salt"], edges.count()) as kept:
+        for _ in range(0, most_rounds, STRIDE):
+            before, at = ranks, sums
+            for _ in range(STRIDE):
+                from_hosts = ranks.where("fans > 0").select("side", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"))
+                moved = from_hosts.join(kept, ["side", "src", "salt"]).select("side", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.col("next_fans").alias("fans"))
+                ranks = moved.unionByName(start).groupBy("side", "host").agg(F.sum("rank").alias("rank"), F.max("fans").alias("fans"))
             ranks = stage(ranks, "ranks")
-    lost = 1 - (ranks.agg(F.sum("rank")).first()[0] or 0.0)
-    home = start.select("host", (F.col("mass") * max(lost, 0.0)).alias("rank"))
-    return ranks.unionByName(home).groupBy("host").agg(F.sum("rank").alias("rank"))
+            sums = _sums(ranks)
+            if before is not start:
+                unstage(before)
+            if all(sums[side] - at[side] <= tolerance * sums[side] for side in sums):
+                return ranks.join(_as_rows(ranks), "side").select("side", "host", (F.col("rank") / F.col("total")).alias("rank"))
+    raise RuntimeError(f"ranks did not settle in {most_rounds} rounds")
+
+
+def _as_rows(ranks: DataFrame) -> DataFrame:
+    return ranks.groupBy("side").agg(F.sum("rank").alias("total"))
+
+
+def _sums(ranks: DataFrame) -> dict[str, float]:
+    return {r["side"]: r["total"] for r in _as_rows(ranks).collect()}  # a row a side
 
 
 def url_filter(
@@ -91,8 +115,8 @@ def url_filter(
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
-    rounds: int = 6,
     damping: float = 0.85,
+    tolerance: float = 1e-8,
     threshold: float = 1.0,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust), a row a page."""
@@ -100,13 +124,12 @@ def url_filter(
     read = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
     judged = read.select("id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
-    edges = stage(host_edges(read, "host", "html"), "host-edges")
-    votes = stage(judged.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").cast("double").alias("allowed"), F.count_if(F.col("ruled") == "block").cast("double").alias("blocked")), "votes")
-    trust = propagate(edges, votes.where("allowed > 0").select("host", F.col("allowed").alias("mass")), rounds, damping)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, votes.where("blocked > 0").select("host", F.col("blocked").alias("mass")), rounds, damping)
-    scored = votes.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
-    scored = stage(scored, "host-scores").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    method = F.when(F.col("distrust") > F.col("trust") * threshold + EVEN, F.lit("block")).otherwise(F.lit("allow"))
+    linked = stage(host_edges(read, "host", "html"), "host-edges")
+    votes = stage(judged.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").cast("double").alias("trust"), F.count_if(F.col("ruled") == "block").cast("double").alias("distrust")), "votes")
+    edges = linked.select(F.lit("trust").alias("side"), "src", "dst", "weight").unionByName(linked.select(F.lit("distrust").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    seeds = votes.select("host", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("mass")) for s in ("trust", "distrust")])).alias("v")).select("v.side", "host", "v.mass").where("mass > 0")
+    ranks = propagate(edges, seeds, damping, tolerance).groupBy("host").agg(*[F.sum(F.when(F.col("side") == s, F.col("rank")).otherwise(0.0)).alias(s) for s in ("trust", "distrust")])
+    scored = stage(votes.select("host").join(ranks, "host", "left").na.fill(0.0, ["trust", "distrust"]), "host-scores").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    method = F.when(F.col("distrust") > F.col("trust") * threshold * (1 + EVEN), F.lit("block")).otherwise(F.lit("allow"))
     joined = judged.withColumn("salt", F.pmod(F.hash("id", "path"), F.lit(32))).join(scored, ["host", "salt"], "left")
     return joined.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("host") == "", F.lit("allow")), method, F.lit("allow")).alias("verdict"), "trust", "distrust")
