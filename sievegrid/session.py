@@ -55,10 +55,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table once into the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written inside needs its shuffles no more; loops would fill the disks with them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     spark = df.sparkSession
@@ -80,7 +93,8 @@ def bucketed(df: DataFrame, name: str, keys: list[str], rows: int, rows_per_buck
     spark = df.sparkSession
     buckets = min(max(-(-rows // rows_per_bucket), 1), 8192)
     path, kept = new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(kept)
+    with _shuffles_dropped(spark):
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(kept)
     try:
         yield spark.table(kept)
     finally:
