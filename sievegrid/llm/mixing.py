@@ -65,8 +65,8 @@ def schedule(spark: SparkSession, plan: list[tuple]) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column(0).to_pylist():
-                n = np.bincount(points(chunk)[1], minlength=len(places))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(places), pa.array(n)], names=["chunk", "place", "n"])
+                found, n = np.unique(points(chunk)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(places[found]), pa.array(n)], names=["chunk", "place", "n"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +103,8 @@ def mix_sources(
 
     documents: (id, size, source, source_size, target, taken), a row a document; taken counts its words in the mix.
     slots: (slot, source, block, epoch) in the order of training. Blocks have ``block_words`` words, fewer in a source
-    that would have under ``least_blocks`` of them. The sources' table, a row a source, passes through the driver.
+    that would have under ``least_blocks`` of them. A source's slots are at most ``most`` times its blocks: whole epochs, and
+    the first blocks once more where ``most`` is no whole number. The sources' table, a row a source, passes through the driver.
     """
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
@@ -115,7 +116,7 @@ def mix_sources(
     rows = plan.selectExpr("place", "blocks", "target / width as wanted").orderBy("place").collect()
 
     slots = schedule(spark, [tuple(r) for r in rows]).join(plan.select("place", "source", "blocks"), "place")
-    slots = slots.where(F.col("rank") < F.col("blocks") * F.lit(int(most))).select("slot", "place", "source", F.pmod("rank", "blocks").alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
+    slots = slots.where(F.col("rank") < F.floor(F.col("blocks") * F.lit(float(most)))).select("slot", "place", "source", F.pmod("rank", "blocks").alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
     times = slots.groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"))
 
     keyed = sized.withColumn("key", F.struct("source")).join(plan.select(F.struct("source").alias("key"), "place", "source_size", "target", "width"), "key").drop("key")

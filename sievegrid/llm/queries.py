@@ -92,7 +92,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    packed = pack(table(spark, sf_dir, "documents"), RANKS)
+    return packed.withColumn("tokens_hash", F.xxhash64("tokens")).drop("tokens")
 
 
 QUERIES: dict[str, Query] = {

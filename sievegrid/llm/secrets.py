@@ -12,7 +12,9 @@ empty one; no other column is read. Positions count code points, ends are exclus
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.llm.native import let, text_of
@@ -34,15 +36,15 @@ SPAN = "array<struct<kind:string,start:int,end:int>>"
 BLOCK = 64
 
 
-def spans_of(text: Column, pattern: str, kind: str) -> Column:
-    """Spans of all matches, leftmost and non-overlapping. The text between matches gives the places."""
+def spans_of(text: Column, pattern: str, kind: str, fits: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of all matches, leftmost and non-overlapping, of those that fit. The text between matches gives the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     width = lambda x: x["gap"] + x["n"]
     zero = F.lit(0)
 
     def placed(matches: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-        sizes = F.zip_with(gaps, matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n")))
+        sizes = F.zip_with(gaps, matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"), (fits(b) if fits else F.lit(True)).alias("fits")))
 
         def blocked(x: Column) -> Column:
             blocks = F.transform(F.sequence(zero, F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, BLOCK))
@@ -57,9 +59,9 @@ def spans_of(text: Column, pattern: str, kind: str) -> Column:
         def spans_in(x: Column, start: Column) -> Column:
             def span(y: Column, j: Column) -> Column:
                 begin = start + F.aggregate(F.slice(x, 1, j), zero, lambda a, z: a + width(z)) + y["gap"]
-                return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + y["n"]).alias("end"))
+                return F.when(y["fits"], F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + y["n"]).alias("end")))
 
-            return F.transform(x, span)
+            return F.array_compact(F.transform(x, span))
 
         return let(sizes, blocked)
 
@@ -75,7 +77,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = base.select(
         "row",
         "id",
-        _assigns(F.col("text")).alias("assign"),
+        spans_of(F.col("text"), ASSIGN, "assign", _long_enough).alias("assign"),
         spans_of(F.col("text"), ACCESS, "access").alias("access"),
         spans_of(F.col("text"), HEX, "hex").alias("hex"),
         spans_of(F.col("text"), ACCOUNT, "account").alias("account"),
@@ -110,29 +112,59 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), ordered(F.col("base")).alias("base"), ordered(F.col("weak")).alias("weak"), ordered(F.concat("base", "weak")).alias("spans"))
 
 
-def _assigns(text: Column) -> Column:
-    """Assignments whose value has 12 or more characters. Shorter ones still take up their text."""
+def _long_enough(assignment: Column) -> Column:
+    """Its value has 12 or more characters. Shorter ones still take up their text."""
     value = r"""(?s)^.*?[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-    spans = spans_of(text, ASSIGN, "assign")
-    long_enough = lambda s: F.length(F.regexp_extract(F.substring(text, s["start"] + 1, s["end"] - s["start"]), value, 1)) >= 12
-    return F.filter(spans, long_enough)
+    return F.length(F.regexp_extract(assignment, value, 1)) >= 12
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
-    """The same rows and columns; every span found is replaced by [kind]. The longest of spans that overlap names it."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = stage(marked, "to-redact")
-    found = find_secrets(marked.select(F.col("_row").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", scope)
-    found = found.where(F.size("spans") > 0).select(F.col("id").alias("_row"), F.col("spans").alias("_spans"))
-    text = F.col(f"`{text_col}`")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: Code points to a block in which spans are cut out: a place costs a block's length, not the text's.
+CUT = 512
+
+
+def _regions(spans: DataFrame) -> DataFrame:
+    """(row, start, end, kind) of maximal runs of spans that overlap; the first names its run."""
+    inside = Window.partitionBy("row").orderBy("start", "rank", "end")
+    reach = F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.withColumn("new", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1)))
+    runs = begun.withColumn("run", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "rank", "end")).alias("kind"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        return F.when(s["end"] <= a["at"], a).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.when(s["start"] >= a["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))).alias("out"))
-        )
 
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, 1 << 30)))
-    joined = marked.join(found, "_row", "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*[f"`{c}`" for c in docs.columns])
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
+    """The same rows and columns; every run of spans that overlap is replaced by [kind], the kind of its first.
+
+    Texts with findings are cut into blocks, a row each, and put together again, so work is linear in the text and its spans.
+    """
+    row, clean = _free(docs, "row_of"), _free(docs, "clean")
+    marked = stage(docs.withColumn(row, F.monotonically_increasing_id()), "to-redact")
+    text = F.col(f"`{text_col}`")
+    found = find_secrets(marked.select(F.col(row).alias("id"), text.alias("text")), "id", "text", scope)
+    spans = found.select(F.col("id").alias("row"), F.posexplode("spans").alias("rank", "s")).select("row", "rank", "s.*")
+    regions = stage(_regions(spans), "regions")
+    texts = marked.select(F.col(row).alias("row"), text.cast("string").alias("text")).join(regions.select("row").distinct(), "row", "left_semi")
+    blocks = texts.select("row", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))).alias("block", "piece"))
+    cuts = regions.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / CUT).cast("int"), F.floor((F.col("end") - 1) / CUT).cast("int"))))
+    at = F.col("block") * CUT
+    cuts = cuts.select(
+        "row",
+        "block",
+        F.greatest(F.col("start") - at, F.lit(0)).alias("start"),
+        F.least(F.col("end") - at, F.lit(CUT)).alias("end"),
+        F.when(F.col("start") >= at, F.concat(F.lit("["), "kind", F.lit("]"))).otherwise(F.lit("")).alias("mark"),
+    )
+    cuts = cuts.groupBy("row", "block").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mark"))).alias("cuts"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, c: F.struct(c["end"].cast("int").alias("at"), F.concat(a["out"], F.substring("piece", a["at"] + 1, c["start"].cast("int") - a["at"]), c["mark"]).alias("out"))
+    rest = F.aggregate("cuts", begin, step, lambda a: F.concat(a["out"], F.substring("piece", a["at"] + 1, F.lit(CUT))))
+    pieces = blocks.join(cuts, ["row", "block"], "left").select("row", "block", F.when(F.col("cuts").isNull(), F.col("piece")).otherwise(rest).alias("piece"))
+    whole = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("p")).select(F.col("row").alias(row), F.array_join("p.piece", "").alias(clean))
+    return marked.join(whole, row, "left").withColumn(text_col, F.coalesce(clean, text)).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -1,13 +1,16 @@
-"""Token ids of columns of texts, by a public tokenizer's ranks."""
+"""Token ids of columns of texts, by a public tokenizer's ranks, which the driver reads and broadcasts: under 1 MB."""
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 #: Fixed value: the pre-token pattern that the byte-level ranks were made with, in its faster form without backtracking.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -18,9 +21,8 @@ STRETCH = 1 << 20
 class Encoder:
     """Ids below 2^16; ``end`` is the first free one."""
 
-    def __init__(self, ranks_path: str) -> None:
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, content: bytes) -> None:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
 
@@ -49,3 +51,15 @@ class Encoder:
         for first in range(0, len(texts), rows):
             part = [np.array(self.ids(t or ""), np.uint16) for t in texts.slice(first, rows).to_pylist()]
             yield first, first + len(part), np.concatenate(part), np.concatenate([[0], np.cumsum([len(p) for p in part])])
+
+
+def share_ranks(spark: SparkSession, path: str) -> Broadcast:
+    """The content of a file that only the driver needs to see."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+@lru_cache(maxsize=2)
+def encoder(content: bytes) -> Encoder:
+    """One a worker."""
+    return Encoder(content)

@@ -18,7 +18,6 @@ rows are written as often as they occur; an empty table gives no shards; no othe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.llm.textvec import U, mix
-from sievegrid.llm.tokens import Encoder
+from sievegrid.llm.tokens import encoder, share_ranks
 
 HEADER = 16
 NO_ID = -(1 << 63)
 ROUNDS = 6
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    """One a worker."""
-    return Encoder(path)
-
-
 class Permutation:
     """A keyed permutation of range(n)."""
 
@@ -90,11 +83,12 @@ def materialise(
 ) -> int:
     """Write the shards below ``path`` (shard=0, shard=1, ...); the number of sequences."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ranks = share_ranks(docs.sparkSession, ranks_path)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            n += int((-(-encoder(ranks_path).sizes(batch.column(1)) // seq_len)).sum())
+            n += int((-(-encoder(ranks.value).sizes(batch.column(1)) // seq_len)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
 
     counts = {r.part: r.n for r in base.mapInArrow(counted, "part long, n long").collect()}  # a row a partition
@@ -110,7 +104,7 @@ def materialise(
         part = TaskContext.get().partitionId()
         done = 0
         for batch in batches:
-            for first, last, ids, bounds in encoder(ranks_path).encode(batch.column(1)):
+            for first, last, ids, bounds in encoder(ranks.value).encode(batch.column(1)):
                 size = np.diff(bounds)
                 number = -(-size // seq_len)
                 owner = np.repeat(np.arange(last - first), number)
@@ -122,7 +116,7 @@ def materialise(
                 record[:, :8] = names[owner].astype("<i8").view(np.uint8).reshape(-1, 8)
                 record[:, 8:12] = seq.astype("<i4").view(np.uint8).reshape(-1, 4)
                 record[:, 12:16] = held.astype("<i4").view(np.uint8).reshape(-1, 4)
-                tokens = np.full((len(owner), seq_len), encoder(ranks_path).end, "<u2")
+                tokens = np.full((len(owner), seq_len), encoder(ranks.value).end, "<u2")
                 tokens[np.arange(seq_len)[None] < held[:, None]] = ids
                 record[:, HEADER:] = tokens.view(np.uint8).reshape(len(owner), -1)
                 slot = order.slots(offsets[part] + done + np.arange(len(owner)))

@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -166,6 +168,35 @@ def test_secrets_of_odd_rows_and_redaction(spark, odd, empty):
     assert {(r.doc_id, r.text) for r in secrets.redact(docs).collect()} == {(1, "é [assign], end"), (None, "[hex]")}
 
 
+def test_scan_and_redaction_are_linear_in_a_text(spark):
+    took = {}
+    for n in (4_000, 40_000, 400_000):
+        docs = spark.createDataFrame([(1, " ".join(f"token=abcdefgh{i:06d} é" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        found = secrets.find_secrets(docs).selectExpr("size(base) AS n", "base[size(base) - 1].end AS last").first()
+        took[n] = time.time() - began
+        assert tuple(found) == (n, 23 * n - 3)
+    assert took[400_000] < 12 * max(took[40_000], 2.0)
+    docs = spark.createDataFrame([(1, " ".join(f"token=abcdefgh{i:06d} é" for i in range(40_000)))], "doc_id long, text string")
+    assert secrets.redact(docs).first().text == " ".join(["[assign] é"] * 40_000)
+
+
+def test_redaction_merges_overlaps_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CUT", 16)
+    texts = ["🎉é " * 5 + "password=0123456789abcdef0123 " + "x" * 9 + " AKIA" + "Z" * 40 + " end", "no finding", "token=" + "k" * 100, "é" * 31 + " 0123456789abcdef"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    for r in secrets.redact(docs).collect():
+        want, at = "", 0
+        for kind, start, end in spans[r.doc_id]:
+            if start >= at:
+                want += texts[r.doc_id][at:start] + f"[{kind}]"
+            at = max(at, end)
+        assert r.text == want + texts[r.doc_id][at:]
+    clash = docs.withColumn("row_of", F.lit("x")).withColumn("clean", F.lit("y")).withColumn("_row", F.lit("z"))
+    assert {(r.row_of, r.clean, r["_row"]) for r in secrets.redact(clash).collect()} == {("x", "y", "z")}
+
+
 # 6
 
 
@@ -234,6 +265,18 @@ def test_mix_comes_near_its_targets_and_repeats(spark, sf):
         assert all(abs(part[s] / 500 - whole[s] / len(order)) < 0.02 for s in whole)
 
 
+def test_mix_takes_a_part_of_an_epoch(spark):
+    rows = [(i, "w " * 100, "a" if i < 100 else "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs, weights=(3, 1), budget=1.0, most=1.6)[0].collect()
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+        assert r.taken <= 2 * r.size
+    assert {r.source: r.target for r in out} == {"a": 16_000.0, "b": 14_000.0}
+    assert taken["a"] == pytest.approx(16_000, rel=0.02) and taken["b"] == pytest.approx(14_000, rel=0.02)
+
+
 def test_mix_of_odd_rows(odd, empty):
     rows = mixing.mix_sources(odd)[0].collect()
     assert len(rows) == len(ODD) and all(r.taken == 0 for r in rows if r.size == 0)
@@ -252,22 +295,26 @@ def test_bucket_boundaries_are_optimal():
         assert cost(packing.best_boundaries(lengths, counts, 3)) == best
 
 
-def test_packing_keeps_every_word_within_budget(spark, sf, odd, empty):
+def test_packing_keeps_every_token_within_budget(spark, sf, odd, empty):
     docs = table(spark, sf, "documents")
-    rows = packing.pack(docs, buckets=4, max_len=256, budget=4096).collect()
-    total = Counter()
-    for r in rows:
+    rows = packing.pack(docs, RANKS, buckets=4, max_len=256, budget=4096).collect()
+    total, texts = Counter(), {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        texts.setdefault(r.doc_id, []).extend(np.frombuffer(r.tokens, "<u2").tolist())
+        assert len(r.tokens) == 2 * r.length
         assert r.start == r.piece * 256 and r.length <= r.bucket_len and r.padding == r.bucket_len - r.length
         total[r.doc_id] += r.length
-    assert total == Counter({r.doc_id: len(words(r.text)) for r in docs.collect()})
+    encoder = Encoder(Path(RANKS).read_bytes())
+    for r in docs.collect():
+        assert texts[r.doc_id] == encoder.ids(r.text) and total[r.doc_id] == len(encoder.ids(r.text))
     batches = Counter((r.bucket, r.bucket_len, r.batch) for r in rows)
     assert all(n * size <= 4096 for (_, size, _), n in batches.items())
     assert len({(r.bucket, r.batch, r.slot) for r in rows}) == len(rows)
     for bucket in {b for b, _, _ in batches}:
         full = sorted((k for k in batches if k[0] == bucket), key=lambda k: k[2])
         assert all(batches[k] == 4096 // k[1] for k in full[:-1])
-    assert {r.doc_id for r in packing.pack(odd).where("bucket is null").collect()} == {1, 2}
-    assert packing.pack(empty).count() == 0
+    assert {r.doc_id for r in packing.pack(odd, RANKS).where("bucket is null").collect()} == {1, 2}
+    assert packing.pack(empty, RANKS).count() == 0
 
 
 # 1
@@ -287,7 +334,7 @@ def test_shards_read_back_as_the_tokens_of_the_texts(spark, odd, empty):
     n = training_order.materialise(docs, path, RANKS, seq_len=64, shard_rows=100)
     got = training_order.read_slots(spark, path, 64, 100).collect()
     assert sorted(r.slot for r in got) == list(range(n)) and all(r.slot == r.shard * 100 + r.place for r in got)
-    encoder, texts = Encoder(RANKS), {}
+    encoder, texts = Encoder(Path(RANKS).read_bytes()), {}
     for r in sorted(got, key=lambda r: (r.id, r.seq)):
         texts.setdefault(r.id, []).extend(np.frombuffer(r.tokens, "<u2")[: r.n_tokens].tolist())
     for d, t in rows:
@@ -301,7 +348,7 @@ def test_shards_read_back_as_the_tokens_of_the_texts(spark, odd, empty):
 
 
 def test_stretches_of_long_texts_encode_alike():
-    e = Encoder(RANKS)
+    e = Encoder(Path(RANKS).read_bytes())
     text = "word another  one, and 12 more. " * 50_000
     assert e.ids(text)[:-1] == e.encoding.encode_ordinary(text)
 
