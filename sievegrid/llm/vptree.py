@@ -2,12 +2,15 @@
 
 Largest inner product becomes least distance by one more component: vectors x get sqrt(M^2 - |x|^2), M the largest
 norm, and queries, scaled to length M, get 0; then |q - x|^2 = 2 M^2 - 2 M (q . x) / |q|. Vectors are dealt to the
-nearest of a few pivots (from a bounded sample; every vector is indexed), cells to shards of about ``shard_rows``. A query
-first searches shards of its nearest cell, and the k-th distance found there bounds the search of all other shards. Cells and
-branches are cut by the triangle inequality, with that bound times ``factor``: 1 is exact, less prunes more.
+nearest of a few pivots (from a bounded sample; every vector is indexed), cells to shards of at most about ``shard_rows``.
 
-Equal vectors are indexed once; a class takes at most k + 1 of its smallest ids into a result, which is all a query can use.
-Results carry the inner product of the original vectors in double precision.
+A query's cells are ordered by the least distance that the triangle inequality and the planes between pivots allow. It
+searches the first cell, then the next 3, 12, 48 and so on, each round with the bound that the rounds before left, and
+keeps its k + 1 best classes after each. A cell or branch is passed over if it lies beyond the bound times ``factor``: 1 is exact, less prunes more.
+Only what beats the bound leaves a shard, so a query has a bounded number of candidates a round, whatever the table's size.
+
+Equal vectors are one class, indexed and asked once; a class takes at most k + 1 of its smallest ids into a result, which is all a query
+can use. Shards give the inner product of the original vectors in double precision, so vectors are not joined again.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most, or hold null or non-finite components
 take no part, nor do rows without an id; rows that repeat an id and vector count once; an empty table gives an empty result.
@@ -15,7 +18,7 @@ take no part, nor do rows without an id; rows that repeat an id and vector count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,21 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.session import stage
+from sievegrid.session import stage, unstage
 
-LEAF = 48
+LEAF = 256
+#: Components of all vectors of a shard, at most.
+SHARD_CELLS = 1 << 22
 
 
 class VantageTree:
     """A vantage-point tree over rows of ``points``; queries go down it together."""
 
-    def __init__(self, points: np.ndarray, seed: int = 1) -> None:
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 1) -> None:
+        self.points, self.leaf = points, leaf
+        self.squares = (points * points).sum(1)
         self.rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, rows: np.ndarray) -> tuple:
-        if len(rows) <= LEAF:
+        if len(rows) <= self.leaf:
             return ("leaf", rows)
         vantage = rows[self.rng.integers(len(rows))]
         rest = rows[rows != vantage]
@@ -53,6 +59,7 @@ class VantageTree:
         self.best = np.full((len(queries), k), np.inf)
         self.rows = np.full((len(queries), k), -1, np.int64)
         self.bound, self.factor, self.queries = bound.astype(float).copy(), factor, queries
+        self.lengths = (queries * queries).sum(1)
         self.visited = 0
         if len(self.points):
             self._visit(self.root, np.arange(len(queries)))
@@ -60,17 +67,21 @@ class VantageTree:
 
     def _offer(self, q: np.ndarray, rows: np.ndarray, away: np.ndarray) -> None:
         self.visited += away.size
+        near = away <= self.bound[q][:, None]
+        some = np.flatnonzero(near.any(axis=1))
+        if not len(some):
+            return
+        q, away = q[some], np.where(near[some], away[some], np.inf)
         k = self.best.shape[1]
         both = np.concatenate([self.best[q], away], axis=1)
-        names = np.concatenate([self.rows[q], np.broadcast_to(rows, away.shape)], axis=1)
+        names = np.concatenate([self.rows[q], np.where(np.isfinite(away), rows, -1)], axis=1)
         take = np.argpartition(both, k - 1, axis=1)[:, :k]
         self.best[q] = np.take_along_axis(both, take, 1)
         self.rows[q] = np.take_along_axis(names, take, 1)
         self.bound[q] = np.minimum(self.bound[q], self.best[q].max(axis=1))
 
     def _distances(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        a, b = self.queries[q], self.points[rows]
-        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0.0))
+        return np.sqrt(np.maximum(self.lengths[q][:, None] + self.squares[rows][None] - 2 * self.queries[q] @ self.points[rows].T, 0.0))
 
     def _visit(self, node: tuple, q: np.ndarray) -> None:
         if not len(q):
@@ -115,109 +126,134 @@ def search(
     vector_col: str = "embedding",
     every: int = 20,
     k: int = 20,
-    factor: float = 0.6,
+    factor: float = 0.25,
     sample: int = 4096,
-    shard_rows: int = 4096,
-    query_block: int = 4096,
+    shard_rows: int = 8192,
+    query_block: int = 1024,
 ) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row whose id is divisible by ``every``.
 
-    ``sample`` bounds the rows that choose the pivots. There are about sqrt(rows) / 2 of them, at most sample / 4, so a cell
-    grows with the root of the table. A shard meets its queries in blocks of about ``query_block``, as many as it has queries for.
+    ``sample`` bounds the rows that choose the pivots: one for each ``shard_rows`` vectors, at most sample / 4.
+    A shard meets its queries in blocks of about ``query_block``, as many as it has queries for.
     """
     sound = stage(_sound(vectors, id_col, vector_col).distinct(), "sound-vectors")
     spark = vectors.sparkSession
     sizes = sound.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).orderBy(F.desc("n"), "d").limit(1).collect()
-    out_schema = "query_id long, rank int, id long, score double"
     if not sizes:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     dim, norm = sizes[0]["d"], sizes[0]["norm"]
-    sound = sound.where(F.size("vector") == dim)
-
+    shard_rows = max(min(shard_rows, SHARD_CELLS // dim), 1)
     digest = F.struct(F.xxhash64("vector"), F.hash("vector"), F.element_at("vector", 1).alias("x"))
+    sound = sound.where(F.size("vector") == dim).withColumn("class", digest)
+
     smallest = Window.partitionBy("class").orderBy("id")
-    ranked = sound.withColumn("class", digest).withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= k + 1)
+    ranked = sound.withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= k + 1)
     classes = ranked.groupBy("class").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.any_value("vector").alias("vector"))
-    classes = stage(classes.select(F.col("ids")[0].alias("rep"), "ids", "vector"), "vector-classes")
+    asking = sound.where(F.pmod("id", F.lit(every)) == 0).select("class", "id")
+    classes = classes.join(asking.select("class").distinct().withColumn("asked", F.lit(True)), "class", "left")
+    classes = stage(classes.select("class", F.col("ids")[0].alias("rep"), "ids", "vector", F.col("asked").isNotNull().alias("asked")), "vector-classes")
 
     drawn = classes.orderBy(F.xxhash64("rep", F.lit(5))).limit(sample).select("vector").toPandas()["vector"]
     points = _lift(np.array([np.asarray(x, float) for x in drawn]), norm)
-    pivots = points[_spread(points, max(1, min(sample // 4, int(np.sqrt(sizes[0]["n"]) / 2))))]
+    pivots = points[: max(1, min(sample // 4, -(-classes.count() // shard_rows)))]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _lift(_matrix(batch.column(1)), norm) if batch.num_rows else np.zeros((0, pivots.shape[1]))
-            away = _away(x, pivots)
-            cell = away.argmin(1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int64)), pa.array(away.min(1) if len(x) else np.zeros(0))], names=["rep", "vector", "cell", "away"])
+            if batch.num_rows:
+                away = _away(_lift(_matrix(batch.column(1)), norm), pivots)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away.argmin(1)), pa.array(away.min(1))], names=["rep", "vector", "cell", "away"])
 
-    kept = classes.select("rep", "vector").mapInArrow(placed, "rep long, vector array<double>, cell long, away double")
-    kept = stage(kept, "cells")
+    kept = stage(classes.select("rep", "vector").mapInArrow(placed, "rep long, vector array<double>, cell long, away double"), "cells")
     cells = kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.min("away").alias("inner")).withColumn("shards", F.ceil(F.col("n") / F.lit(shard_rows)))
     layout = cells.orderBy("cell").collect()  # a row a pivot: bounded by the sample
-    index = kept.join(cells.select("cell", "shards"), "cell").select("cell", F.pmod(F.xxhash64("rep", F.lit(9)), "shards").alias("shard"), F.lit(None).cast("double").alias("bound"), "rep", "vector")
-
-    asked = sound.where(F.pmod("id", F.lit(every)) == 0).select("id", "vector")
-    names = np.array([r["cell"] for r in layout])
-    shards = np.array([r["shards"] for r in layout])
-    radius, inner = np.array([r["radius"] for r in layout]), np.array([r["inner"] for r in layout])
-
-    def targets(nearest: bool):  # noqa: ANN202
+    index = kept.join(F.broadcast(cells.select("cell", "shards")), "cell").select("cell", F.pmod(F.xxhash64("rep", F.lit(9)), "shards").alias("shard"), "rep", "vector")
+
+    plan = _Cells(pivots, norm, layout)
+    asked = classes.where("asked").select("rep", "vector")
+    best, first, width = None, 0, 1
+    while first < len(layout):
+        bounds = None if best is None else best.where(F.col("at") == k + 1).select(F.col("query").alias("rep"), F.col("score").alias("kth"))
+        queries = asked.withColumn("kth", F.lit(None).cast("double")) if bounds is None else asked.join(bounds, "rep", "left").select("rep", "vector", "kth")
+        routed = stage(queries.mapInArrow(plan.route(first, first + width, factor), "cell long, shard long, bound double, rep long, vector array<double>"), "routed")
+        found = _searched(index, routed, norm, k, factor, query_block)
+        if found is not None:
+            found = found if best is None else found.unionByName(best.select("query", "rep", "score"))
+            found = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("at") <= k + 1)
+            best = stage(found, "nearest")
+        unstage(routed)
+        first, width = first + width, 3 * (first + width)
+
+    pairs = best.join(classes.select("rep", "ids"), "rep").select("query", F.explode("ids").alias("id"), (-F.col("score")).alias("less"))
+    lists = pairs.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("less", "id"))), 1, k + 1).alias("near"))
+    answers = classes.where("asked").select("class", F.col("rep").alias("query")).join(lists, "query").select("class", "near")
+    told = asking.join(answers, "class").select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    return told.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.id", (-F.col("x.less")).alias("score"))
+
+
+class _Cells:
+    """Where queries go: their cells by the least distance that points in them can have."""
+
+    def __init__(self, pivots: np.ndarray, norm: float, layout: list) -> None:
+        self.norm = norm
+        self.names, self.shards, self.radius, self.inner = (np.array([r[c] for r in layout]) for c in ("cell", "shards", "radius", "inner"))
+        self.pivots = pivots[self.names]
+        self.apart = np.maximum(_away(self.pivots, self.pivots), 1e-12)
+
+    def least(self, away: np.ndarray) -> np.ndarray:
+        """The greatest of three lower bounds: cells are within balls and rings about their pivots, and beyond the planes between pivots."""
+        home = away.argmin(1)
+        plane = (away**2 - away.min(1)[:, None] ** 2) / (2 * self.apart[home])
+        out = np.maximum(np.maximum(away - self.radius, self.inner - away), plane)
+        out[np.arange(len(away)), home] = -1.0
+        return np.maximum(out, -1.0)
+
+    def route(self, first: int, last: int, factor: float) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                q = _aim(_matrix(batch.column(1)), norm)
-                away = _away(q, pivots[names])
-                home = away.argmin(1)
-                if nearest:
-                    bound = np.full(len(q), np.inf)
-                    chosen = np.arange(len(names))[None] == home[:, None]
-                else:
-                    bound = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-                    reach = np.where(np.isfinite(bound), bound, np.inf)[:, None] * factor + 1e-9
-                    chosen = (away - reach <= radius[None]) & (away + reach >= inner[None])
-                    chosen[np.arange(len(q)), home] = False
-                who, cell = np.nonzero(chosen)
-                times = shards[cell]
-                who, cell = np.repeat(who, times), np.repeat(cell, times)
-                shard = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.RecordBatch.from_arrays([pa.array(names[cell]), pa.array(shard), pa.array(bound[who]), batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who))], names=["cell", "shard", "bound", "rep", "vector"])
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    x = _matrix(part.column(1))
+                    kth = part.column(2).to_numpy(zero_copy_only=False).astype(float)
+                    score = np.where(np.isfinite(kth), kth, 0.0) / np.sqrt((x * x).sum(1))
+                    bound = np.where(np.isfinite(kth), np.sqrt(np.maximum(2 * self.norm**2 - 2 * self.norm * score, 0.0)) * (1 + 1e-9) + 1e-9, np.inf)
+                    least = self.least(_away(_aim(x, self.norm), self.pivots))
+                    cell = np.argsort(least, axis=1, kind="stable")[:, first:last]
+                    alive = np.take_along_axis(least, cell, 1) <= bound[:, None] * factor
+                    who, at = np.nonzero(alive)
+                    cell = cell[who, at]
+                    times = self.shards[cell]
+                    who, cell = np.repeat(who, times), np.repeat(cell, times)
+                    shard = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+                    names = part.column(0).take(pa.array(who)), part.column(1).take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays([pa.array(self.names[cell]), pa.array(shard), pa.array(bound[who]), *names], names=["cell", "shard", "bound", "rep", "vector"])
 
         return run
 
-    def searched(queries: DataFrame, nearest: bool) -> DataFrame:
-        columns = "cell long, shard long, bound double, rep long, vector array<double>"
-        routed = queries.mapInArrow(targets(nearest), columns)
-        load = routed.where("shard = 0").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block)).alias("blocks")).collect()  # a row a pivot
-        if not load:
-            return spark.createDataFrame([], "query_id long, rep long, away double")
-        blocks = F.create_map(*[F.lit(x) for r in load for x in (r["cell"], r["blocks"])])
-        left = index.withColumn("blocks", blocks[F.col("cell")]).where("blocks is not null")
-        left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-        right = routed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), blocks[F.col("cell")]))
-
-        def both(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            if not len(points) or not len(queries):
-                return pd.DataFrame({"query_id": [], "rep": [], "away": []}).astype({"query_id": "int64", "rep": "int64", "away": "float64"})
-            x, q = np.stack(points["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
-            bound = queries["bound"].fillna(np.inf).to_numpy()
-            rows, away = VantageTree(_lift(x, norm)).search(_aim(q, norm), k + 1, bound, factor)
-            who, at = np.nonzero(rows >= 0)
-            return pd.DataFrame({"query_id": queries["rep"].to_numpy()[who], "rep": points["rep"].to_numpy()[rows[who, at]], "away": away[who, at]})
-
-        return left.groupBy("cell", "shard", "block").cogroup(right.groupBy("cell", "shard", "block")).applyInPandas(both, "query_id long, rep long, away double")
-
-    first = stage(searched(asked, True), "home-results")
-    best = Window.partitionBy("query_id").orderBy("away", "rep")
-    bounds = first.withColumn("at", F.row_number().over(best)).where(F.col("at") == k + 1).select(F.col("query_id").alias("id"), F.col("away").alias("bound"))
-    second = searched(asked.join(bounds, "id", "left").select("id", "vector", "bound"), False)
-    found = first.unionByName(second).join(classes.select("rep", "ids", "vector"), "rep")
-    pairs = found.join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
-    score = F.aggregate(F.zip_with("asked", "vector", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = pairs.select("query_id", score.alias("score"), F.explode("ids").alias("id")).where("query_id <> id")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+def _searched(index: DataFrame, routed: DataFrame, norm: float, k: int, factor: float, query_block: int) -> DataFrame | None:
+    """(query, rep, score) of the k + 1 best of each shard that are within the query's bound; None if nothing is routed."""
+    load = routed.where("shard = 0").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block)).alias("blocks")).collect()  # a row a pivot
+    if not load:
+        return None
+    blocks = F.create_map(*[F.lit(x) for r in load for x in (r["cell"], r["blocks"])])
+    left = index.withColumn("blocks", blocks[F.col("cell")]).where("blocks is not null")
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    right = routed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), blocks[F.col("cell")]))
+
+    def both(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(points) or not len(queries):
+            return pd.DataFrame({"query": [], "rep": [], "score": []}).astype({"query": "int64", "rep": "int64", "score": "float64"})
+        x, q = np.stack(points["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
+        rows, _ = VantageTree(_lift(x, norm)).search(_aim(q, norm), k + 1, queries["bound"].to_numpy(), factor)
+        who, at = np.nonzero(rows >= 0)
+        row = rows[who, at]
+        score = np.zeros(len(who))
+        for d in range(x.shape[1]):
+            score += q[who, d] * x[row, d]
+        return pd.DataFrame({"query": queries["rep"].to_numpy()[who], "rep": points["rep"].to_numpy()[row], "score": score})
+
+    keys = ["cell", "shard", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, "query long, rep long, score double")
 
 
 def _lift(x: np.ndarray, norm: float) -> np.ndarray:
@@ -230,16 +266,3 @@ def _aim(q: np.ndarray, norm: float) -> np.ndarray:
 
 def _away(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0.0))
-
-
-def _spread(points: np.ndarray, count: int) -> np.ndarray:
-    """Rows far from each other: each next one is the farthest of the best few from those chosen."""
-    chosen = [0]
-    away = _away(points, points[:1])[:, 0]
-    while len(chosen) < min(count, len(points)):
-        far = int(away.argmax())
-        if away[far] <= 1e-9:
-            break
-        chosen.append(far)
-        away = np.minimum(away, _away(points, points[far : far + 1])[:, 0])
-    return np.array(chosen)
