@@ -21,6 +21,7 @@ without an id are not linked, have a null component and are kept; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,17 +132,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _least_alike(threshold: float) -> int:
-    """The fewest equal registers of two sets of like size that the likelihood doesn't rule out, less a few for unlike sizes."""
+@cache
+def _least_alike(threshold: float, ratios: int = 21) -> int:
+    """The fewest equal registers that the likelihood does not rule out, of sets of any sizes that the threshold allows.
+
+    Tried are all numbers of greater and less registers, at ``ratios`` ratios of the sizes from the threshold to 1.
+    """
     m = setsketch.REGISTERS
-    same = np.arange(m + 1)
-    first, second = np.zeros((m + 1, m), np.uint16), np.zeros((m + 1, m), np.uint16)
-    place = np.arange(m)[None]
-    apart = place >= same[:, None]
-    first[apart & (place % 2 == 0)] = 1
-    second[apart & (place % 2 == 1)] = 1
-    size = np.full(m + 1, 1000)
-    return max(int(np.flatnonzero(_possible(size, size, first, second, threshold))[0]) - 4, 1)
+    size = 100_000
+    for same in range(m + 1):
+        more, ratio = (x.ravel() for x in np.meshgrid(np.arange(m - same + 1), np.linspace(threshold, 1, ratios)))
+        best, above = setsketch.fit_counts(more, m - same - more, np.full(len(more), same), np.full(len(more), size), np.ceil(size * ratio), threshold)
+        if ((best >= threshold) | (above < RULED_OUT)).any():
+            return max(same, 1)
+    return m
+
+
+def _common(sets: list[np.ndarray], names: np.ndarray) -> np.ndarray:
+    """How much of each set other sets hold; sets of one name are the same set. No two share more than the lesser of theirs."""
+    first = np.unique(names, return_index=True)[1]
+    values, held = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
+    return np.array([(held[np.searchsorted(values, s)] > 1).sum() for s in sets])
 
 
 def _shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
@@ -155,7 +166,8 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, docs:
     """Verified links (a, b) of pairs that share a bucket, are in different components and were not paired with its hub.
 
     At least one of such a pair is outside its bucket's largest component. Those are dealt to blocks against all
-    of the bucket, by total set size, so a task's group is bounded whatever the bucket holds. Inside a group the most alike come
+    of the bucket, by total set size, so a task's group is bounded whatever the bucket holds. Inside a group pairs go whose sizes, or
+    whose shingles that any other text of the group has, are too few to link them; of the rest the most alike come
     first and a component once reached is not tried again; a pair is tested where it shares its first band only.
     """
     threshold = percent / 100
@@ -184,12 +196,19 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, docs:
         label = np.unique([str(c) for c in component], return_inverse=True)[1]
         root = np.arange(label.max() + 1)
         order = np.argsort(np.argsort(np.array(rep)))
+        common = _common(sets, np.array(rep))
         others = np.flatnonzero(role == 0)
+        o_n, o_common, o_label, o_order = n[others], common[others], label[others], order[others]
+        o_hub, o_closed = is_hub[others], ~is_open[others]
         out_a, out_b = [], []
         for x in np.flatnonzero(role == 1):
-            rest = others[(root[label[others]] != root[label[x]]) & ~(is_hub[others] | is_hub[x])]
-            rest = rest[~is_open[rest] | (order[rest] > order[x])]
-            rest = rest[np.minimum(n[rest], n[x]) >= threshold * np.maximum(n[rest], n[x])]
+            if is_hub[x]:
+                continue
+            most = np.minimum(o_common, common[x])
+            fine = (100 * most >= percent * (o_n + n[x] - most)) & (root[o_label] != root[label[x]]) & ~o_hub & (o_closed | (o_order > order[x]))
+            rest = others[fine]
+            if not len(rest):
+                continue
             alike = (regs[rest] == regs[x]).sum(1)
             fine = (alike >= least) & ~(keys[rest, :band] == keys[x, :band]).any(1)
             rest, alike = rest[fine], alike[fine]
@@ -252,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stage(found.join(sizes, "key"), "band-sizes")
     central = stage(shared.groupBy("rep").agg(F.sum("size").alias("score")), "centrality")
     scored = shared.join(central, "rep").select("key", "rep", "score")
-    hubs = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
+    hubs = scored.groupBy("key").agg(F.min_by("rep", F.struct(-F.col("score"), "rep")).alias("hub"))
     members = stage(scored.join(hubs, "key"), "band-members")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     likely = stage(_likely(stars, classes, threshold), "likely")

@@ -57,12 +57,16 @@ def _log_likelihood(j: np.ndarray, u: np.ndarray, v: np.ndarray, more: np.ndarra
 
 
 def joint_fit(first: np.ndarray, second: np.ndarray, n_first: np.ndarray, n_second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """fit_counts() of pairs of registers."""
+    more, less = (first > second).sum(-1).astype(float), (first < second).sum(-1).astype(float)
+    return fit_counts(more, less, first.shape[-1] - more - less, n_first, n_second, threshold)
+
+
+def fit_counts(more: np.ndarray, less: np.ndarray, same: np.ndarray, n_first: np.ndarray, n_second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(similarity of greatest likelihood, its log-likelihood above that of the threshold), for known set sizes.
 
     The joint likelihood of how many registers are greater, less and equal has one maximum in the similarity.
     """
-    more, less = (first > second).sum(-1).astype(float), (first < second).sum(-1).astype(float)
-    same = first.shape[-1] - more - less
     total = np.maximum(n_first + n_second, 1).astype(float)
     u, v = n_first / total, n_second / total
     top = np.minimum(u, v) / np.maximum(np.maximum(u, v), 1e-12)
