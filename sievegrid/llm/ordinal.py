@@ -88,7 +88,7 @@ class CumulativeLink:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str, text_col: str, sample: int, grades: int) -> DataFrame:
-    """At most ``sample`` rows (text, grade), each grade's share at most its part of it; chosen by the id's hash."""
+    """Rows (id, text, grade) of at most ``sample`` labelled ids, each grade's share at most its part of it; chosen by the id's hash."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), grade.cast("int").alias("grade")).where("id is not null and grade is not null").distinct()
     parts = [known.where(F.col("grade") == g).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample // grades) for g in range(grades)]
     chosen = parts[0]
@@ -109,7 +109,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, grades: int,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(per, pa.list_(pa.int32()))], names=["id", "grade", "feature"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, grade int, feature array<int>").orderBy("id", "grade", F.hash("feature")).limit(2 * sample).toPandas()
+    got = rows.mapInArrow(run, f"id {kind}, grade int, feature array<int>").orderBy(F.xxhash64("id", F.lit(11)), "id", "grade", F.hash("feature")).limit(sample).toPandas()
     if got["grade"].nunique() < 2:
         return None
     size = got["feature"].map(len).to_numpy()
