@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = f"file://{tempfile.mkdtemp(prefix='sievegrid-')}"
     spark.conf.set("spark.checkpoint.dir", root)
@@ -48,13 +48,31 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/sievegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+#: Paths made inside scratch() blocks that are open.
+_scratch: list[list[str]] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_folder(spark)}/sievegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end, but for tables staged with ``keep``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table once into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, keep)
     with _shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
