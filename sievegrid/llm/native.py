@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -39,3 +39,11 @@ def upto(n: Column) -> Column:
 
 def total(values: Column, kind: str = "long") -> Column:
     return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + x.cast(kind))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

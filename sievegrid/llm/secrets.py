@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.llm.native import let, text_of
+from sievegrid.llm.native import free_name, let, text_of
 from sievegrid.session import stage
 
 BASE_KINDS = ["assign", "access", "hex"]
@@ -136,7 +136,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
 
     Texts with findings are cut into blocks, a row each, and put together again, so work is linear in the text and its spans.
     """
-    row, clean = _free(docs, "row_of"), _free(docs, "clean")
+    row, clean = free_name(docs, "row_of"), free_name(docs, "clean")
     marked = stage(docs.withColumn(row, F.monotonically_increasing_id()), "to-redact")
     text = F.col(f"`{text_col}`")
     found = find_secrets(marked.select(F.col(row).alias("id"), text.alias("text")), "id", "text", scope)
@@ -161,10 +161,3 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
     whole = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("p")).select(F.col("row").alias(row), F.array_join("p.piece", "").alias(clean))
     return marked.join(whole, row, "left").withColumn(text_col, F.coalesce(clean, text)).select(*[f"`{c}`" for c in docs.columns])
 
-
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that the table does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
