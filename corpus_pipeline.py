@@ -4,32 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegrid.llm.mixing import mix_sources
+from sievegrid.llm.native import free_name
 from sievegrid.llm.near_dup import near_duplicates
 from sievegrid.llm.packing import pack
 from sievegrid.llm.quality_rules import quality_rules
+from sievegrid.llm.queries import RANKS
 from sievegrid.llm.secrets import redact
-from sievegrid.session import stage, table
+from sievegrid.session import scratch, stage, table, unstage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents without those of which every row is judged not to be kept; rows without an id stay."""
-    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row is judged by itself, whatever its id."""
+    return quality_rules(docs, carry=True).where("kept").select("carried.*")
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality_rules(docs))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a column that tells its rows apart."""
+    row = free_name(docs, "row_of")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id."""
-    return _without(docs, near_duplicates(docs))
+    """One row of each near-duplicate group stays, that of the smallest id; rows without an id come last, ties by their order."""
+    keyed, row = _keyed(docs)
+    groups = near_duplicates(keyed, id_col=row).select(F.col(row).alias("row"), "component_id")
+    named = groups.join(keyed.select(F.col(row).alias("row"), "doc_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"].alias("first"))
+    gone = named.join(first, "component_id").where("row <> first").select(F.col("row").alias(row))
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +47,23 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is repeated as often as the mix takes its words, to the nearest whole number."""
-    marked = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "to-mix")
-    taken, _ = mix_sources(marked, id_col="_row")
+    keyed, row = _keyed(docs)
+    taken, _ = mix_sources(keyed, id_col=row)
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    repeats = taken.select("_row", F.when(copies > 0, F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))).otherwise(F.array().cast("array<int>")).alias("_copies"))
-    return marked.join(repeats, "_row").withColumn("_copy", F.explode("_copies")).select(*docs.columns)
+    wanted = taken.select(row, copies.alias("copies")).where("copies > 0")
+    numbered = keyed.join(wanted, row).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(row))
+    return numbered.select(*docs.columns)
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    """(doc_id, copy, piece, ..., batch, slot, tokens): the texts as token ids, piece by piece with their batches.
+
+    ``copy`` numbers the rows of one document and text from 1: the mix repeats a document, all else has been made single.
+    """
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("row_of")
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_of")).withColumn("copy", F.row_number().over(same))
+    packed = pack(numbered.select(F.struct("doc_id", "copy", "row_of").alias("key"), "text"), RANKS, id_col="key")
+    return packed.select("key.doc_id", "key.copy", *[c for c in packed.columns if c != "key"])
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -63,9 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name.replace(" ", "-"))
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, function in STAGES:
+        with scratch(spark):  # what a stage made on its way, texts with secrets among it, goes
+            docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        if before is not None:
+            unstage(before)
+        before = docs
     return docs
