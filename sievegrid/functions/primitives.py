@@ -58,6 +58,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def replace_strict(c: Column, mapping: dict[str, str]) -> Column:
+    """The mapped value; a value without one fails the job."""
+    found = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[c]
+    return F.when(c.isNull(), F.lit(None)).when(c.isin(list(mapping)), found).otherwise(F.raise_error(F.concat(F.lit("no replacement for "), c)).cast("string"))
+
+
 def sorted_tokens(c: Column, mark: str = "|") -> Column:
     return F.array_join(F.array_sort(F.split(c, f"[{mark}]")), mark)
 

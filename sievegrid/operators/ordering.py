@@ -77,6 +77,16 @@ def prefix_by_value(df: DataFrame, groups: list[str], value: str, measures: dict
     return ranked.select(*groups, value, *names, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in names], *[f"{n}_all" for n in names])
 
 
+def rank_by_value(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
+    """Adds ``out``: 0, 1, 2, ... by (value, tie), a number and a key; rows of null value are left out.
+
+    Values are ranked in ranges, their rows inside each value, so no task takes all rows.
+    """
+    before = prefix_by_value(df, [], value, {"_c": F.count(F.lit(1))}).select(F.col(value).alias("_v"), "_c_before")
+    inside = F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1
+    return df.withColumn("_inside", inside).join(before, F.col(value) == F.col("_v")).withColumn(out, F.col("_c_before") + F.col("_inside")).drop("_inside", "_v", "_c_before")
+
+
 def first_rows(df: DataFrame, groups: list[str], order: list[Column | str], most: Column | int, ceiling: int | None = None) -> DataFrame:
     """The first ``most`` rows of each group. ``ceiling``: a bound of ``most`` where that is a column.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions.primitives import draw
 from sievegrid.operators.ordering import first_rows
+from sievegrid.operators.splits import running_before
 
 #: Every set below is (client, row, family, label, ...) of fit rows with a seeded order a client.
 
@@ -16,6 +17,11 @@ def training_orders(rows: DataFrame, row: str, seed: int, salt: int) -> DataFram
     return rows.where("role = 'fit'").withColumn("order", draw("order", seed, salt, F.col(row))).withColumn("priority", draw("priority", seed, salt, F.col(row)))
 
 
+def placed_orders(orders: DataFrame, row: str) -> DataFrame:
+    """With ``place``, a row's position in its client's order, from 0; a hot client is ranked in ranges of the draw."""
+    return running_before(orders, F.col("order"), row, F.lit(1).cast("long"), "place", ["client"])
+
+
 def hidden_rows(orders: DataFrame, targets: DataFrame, condition: str) -> DataFrame:
     """Without what the condition hides: the target's family from it, from all ("family-absent"), or nothing."""
     bad = orders.withColumn("_f", F.when(F.col("label") == 1, F.col("family")))

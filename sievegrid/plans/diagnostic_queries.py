@@ -62,16 +62,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c01_anchored_effects")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return stat.paired_effects(G.anchored_worst(clients(spark, sf), _CLIENT_KEYS), ["alpha", "population", "learner", "estimand"], "difference", resamples=999)
+    return stat.paired_effects(G.anchored_worst(clients(spark, sf), _CLIENT_KEYS), ["alpha", "population", "learner", "estimand"], "difference")
 
 
 @query("c04_synthesis")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     knowledge = D.decompose(T.summary(spark, sf)).where("estimand = 'knowledge_gain' and learner = 'fedavg' and alpha = 0.05")
-    effects = stat.paired_effects(knowledge, ["metric"], "value", resamples=999)
+    effects = stat.paired_effects(knowledge, ["metric"], "value")
     rows = T.families(spark, sf)
     micro = D.micro_gain(rows, 0.05, None).withColumn("variant", F.lit("all")).unionByName(D.micro_gain(rows, 0.05, D.top_families(rows, 3)).withColumn("variant", F.lit("top-removed")))
-    pooled = stat.paired_effects(micro, ["variant"], "gain", resamples=999)
+    pooled = stat.paired_effects(micro, ["variant"], "gain")
     return G.evidence_synthesis(effects, pooled, {"own-domain-recall": "own domain", "federation-wide-recall": "federation", "all": "federation, micro", "top-removed": "federation, micro, top removed"})
 
 
@@ -131,7 +131,7 @@ def dose_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x06_dose_contrasts", f"WITH {_DOSE_CONTRASTS} SELECT scope, population, alpha, contrast, round(avg(difference), 6) AS mean, round(median(difference), 6) AS median, count(*) FILTER (WHERE difference > 0) AS positive, count(*) AS seeds FROM dc WHERE difference IS NOT NULL GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return X.contrast_effects(dose_differences(spark, sf), ["scope", "population", "alpha", "contrast"], ["scope", "population", "alpha"], 999).select("scope", "population", "alpha", "contrast", "mean", "median", "positive", "seeds")
+    return X.contrast_effects(dose_differences(spark, sf), ["scope", "population", "alpha", "contrast"], ["scope", "population", "alpha"]).select("scope", "population", "alpha", "contrast", "mean", "median", "positive", "seeds")
 
 
 _PRIORITY, _CONTRAST, _SINGLE = ["Brand#11", "Brand#12", "Brand#13"], ["Brand#21", "Brand#22"], ["Brand#11", "Brand#12", "Brand#31"]
@@ -163,7 +163,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x12_representation_effects")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    effects = stat.paired_effects(representation_groups(spark, sf), ["representation", "population", "group"], "difference", resamples=999)
+    effects = stat.paired_effects(representation_groups(spark, sf), ["representation", "population", "group"], "difference")
     return stat.holm_adjusted(effects, ["representation", "population"], "p", "group", "holm_p")
 
 
@@ -176,7 +176,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
  SELECT representation, population, "group", scenario, omitted, round(avg(x), 6) AS mean, round(median(x), 6) AS median, count(*) FILTER (WHERE x > 0) AS positive, count(*) AS seeds FROM s GROUP BY ALL""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.sensitivity_scenarios(representation_groups(spark, sf), ["representation", "population", "group"], "difference", F.col("seed") % 2 == 0, 199)
+    found = G.sensitivity_scenarios(representation_groups(spark, sf), ["representation", "population", "group"], "difference", F.col("seed") % 2 == 0)
     return found.select("representation", "population", "group", "scenario", "omitted", "mean", "median", "positive", "seeds")
 
 
@@ -211,18 +211,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g03_strata_effects")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return G.strata_effects(control(spark, sf), _STRATUM, _KINDS, 0.05, 999)
+    return G.strata_effects(control(spark, sf), _STRATUM, _KINDS, 0.05)
 
 
 @query("g04_client_effects")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return G.client_effects(control(spark, sf), _STRATUM, ["placebo_effect", "gain_less_placebo"], 5, 999)
+    return G.client_effects(control(spark, sf), _STRATUM, ["placebo_effect", "gain_less_placebo"], 5)
 
 
 @query("g05_reallocation_effects")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     stratum = F.when(F.substring("family", 7, 1) == "1", F.lit("reallocated")).otherwise(F.lit("not-reallocated"))
-    return G.split_effects(control(spark, sf), _STRATUM, "placebo_effect", stratum, "reallocated", "not-reallocated", 0.05, 999)
+    return G.split_effects(control(spark, sf), _STRATUM, "placebo_effect", stratum, "reallocated", "not-reallocated", 0.05)
 
 
 @query("g06_slopes", f"WITH {_CONTROL} SELECT population, alpha, count(*) AS n, round(regr_slope(gain, without), 6) AS slope, round(regr_intercept(gain, without), 6) AS intercept FROM cc WHERE gain IS NOT NULL GROUP BY ALL")
@@ -269,13 +269,13 @@ _EFFECTS = "round(avg(gain), 6) AS mean, round(median(gain), 6) AS median, count
 
 @query("g16_dose_effects", f"WITH {_PAIRS} SELECT population, alpha, dose_code, {_EFFECTS} FROM lv GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return G.dose_effects(G.level_means(gains(spark, sf), _STRATUM), _STRATUM, 199).select(*_STRATUM, "dose_code", "mean", "median", "positive", "seeds")
+    return G.dose_effects(G.level_means(gains(spark, sf), _STRATUM), _STRATUM).select(*_STRATUM, "dose_code", "mean", "median", "positive", "seeds")
 
 
 @query("g18_family_onsets")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     keys = [*_STRATUM, "family"]
-    return G.dose_onsets(G.dose_effects(G.level_means(gains(spark, sf), keys), keys, 199), keys, 0.1, 10)
+    return G.dose_onsets(G.dose_effects(G.level_means(gains(spark, sf), keys), keys), keys, 0.1, 10)
 
 
 _RESPONSES = f"{Q._FAMILY_CURVES}, rs AS (SELECT population, alpha, family, arg_max(gain, dose) FILTER (WHERE dose IS NOT NULL) AS top_gain FROM curves WHERE learner = 'fedavg' GROUP BY ALL)"
@@ -297,7 +297,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     keys = [*_STRATUM, "client"]
     levels = G.level_means(gains(spark, sf).where("dose_code > 0"), keys)
-    return G.dose_effects(levels, keys, 199, 5).select(*keys, "dose_code", "mean", "median", "positive", "seeds")
+    return G.dose_effects(levels, keys, least_seeds=5).select(*keys, "dose_code", "mean", "median", "positive", "seeds")
 
 
 @query(
@@ -309,7 +309,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = G.level_means(gains(spark, sf).where("dose_code = 100"), [*_STRATUM, "family"])
-    return G.heterogeneity(rows, _STRATUM, 199).select(*_STRATUM, "families", "units", "between", "within", "icc", "eta")
+    return G.heterogeneity(rows, _STRATUM).select(*_STRATUM, "families", "units", "between", "within", "icc", "eta")
 
 
 # Scores.
@@ -445,7 +445,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     cells = synthesis(spark, sf).where("learner = 'fedavg'")
     means = cells.groupBy("population", "family").agg(nine(F.avg("gain")).alias("gain"))
-    return G.rank_concordance(means, large(spark, sf).withColumn("gain", nine("gain")), ["population"], 199).select("population", "rho", "n")
+    return G.rank_concordance(means, large(spark, sf).withColumn("gain", nine("gain")), ["population"], 999).select("population", "rho", "n")
 
 
 @query(
@@ -455,7 +455,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     names = ["local_recall", "headroom", "log_rows", "trials"]
     table = large(spark, sf).withColumns({c: nine(c) for c in [*names, "gain"]})
-    return G.rank_associations(table, [], "gain", names, 4, 199).select("predictor", "rho", "n")
+    return G.rank_associations(table, [], "gain", names, 4, 999).select("predictor", "rho", "n")
 
 
 # Reports.
@@ -510,7 +510,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("r11_collaboration")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.decompose(T.summary(spark, sf)).where("estimand in ('total_gain', 'pooling_gain', 'knowledge_gain')")
-    return stat.paired_effects(rows, ["alpha", "learner", "metric", "estimand"], "value", resamples=199)
+    return stat.paired_effects(rows, ["alpha", "learner", "metric", "estimand"], "value")
 
 
 @query(

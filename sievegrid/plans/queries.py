@@ -16,6 +16,7 @@ from sievegrid.operators import selection as sel
 from sievegrid.operators import splits as S
 from sievegrid.operators import statistics as stat
 from sievegrid.operators import tables as X
+from sievegrid.operators.ordering import rank_by_value
 from sievegrid.plans import study as T
 from sievegrid.session import table
 
@@ -390,14 +391,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("d30_best_attempt")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.lines(spark, sf).withColumn("reason", F.when(F.col("label") == 0, F.lit("not-in-family-set")).otherwise(F.lit("eligible")))
-    return S.best_attempt(rows, "package", 1, 0, 4, T.RULE)
+    return S.best_attempt(rows, "package", 1, 0, 16, T.RULE)
 
 
 @query("d33_overlap", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS row FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09) AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     item = table(spark, sf, "lineitem").withColumn("s_suppkey", F.col("l_suppkey"))
     kept = prep.overlap(table(spark, sf, "supplier"), "s_suppkey", [item.where("l_discount > 0.09"), item.where("l_quantity > 49")])
-    return kept.select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("row"))
+    return rank_by_value(kept.select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey", "row").select("s_suppkey", "row")
 
 
 @query("d36_sparse", "WITH l AS (SELECT vec_id, unnest(embedding) AS val, generate_subscripts(embedding, 1) - 1 AS idx FROM embeddings) SELECT idx, count(*) AS n, round(sum(sign(val) * ln(1 + abs(val::DOUBLE))), 4) AS total FROM l WHERE val <> 0 GROUP BY 1")
@@ -596,7 +597,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("s06_cluster_bootstrap")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.study(spark, sf).where("role = 'test' and label = 1")
-    return stat.cluster_bootstrap(rows, "package", F.col("score") > 0.5, F.col("score") > 0.6, 400, 3)
+    return stat.cluster_bootstrap(rows, "package", F.col("score") > 0.5, F.col("score") > 0.6, 2000, 3)
 
 
 @query("s17_variance", f"WITH {_GAINS}, c AS (SELECT learner, family, seed, gain, avg(gain) OVER (PARTITION BY learner) AS g, avg(gain) OVER (PARTITION BY learner, family) AS f, avg(gain) OVER (PARTITION BY learner, seed) AS s FROM gains), t AS (SELECT learner, sum((gain - g) ** 2) AS a, sum((f - g) ** 2) AS bf, sum((s - g) ** 2) AS bs, count(DISTINCT family) AS nf, count(DISTINCT seed) AS ns FROM c GROUP BY 1) SELECT learner, source, round(ss, 6) AS sum_squares, d AS degrees, round(coalesce(ss / nullif(a, 0), 0), 6) AS share FROM (SELECT learner, a, 'family' AS source, bf AS ss, nf - 1 AS d FROM t UNION ALL SELECT learner, a, 'seed', bs, ns - 1 FROM t UNION ALL SELECT learner, a, 'residual', greatest(a - bf - bs, 0), (nf - 1) * (ns - 1) FROM t)")
@@ -893,7 +894,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("s09_effect_table")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.decompose(T.summary(spark, sf)).where("estimand in ('total_gain', 'pooling_gain', 'knowledge_gain')").withColumnRenamed("value", "difference")
-    return X.contrast_effects(rows, ["experiment", "alpha", "metric", "learner", "estimand"], ["experiment", "alpha", "metric", "learner"], 999)
+    return X.contrast_effects(rows, ["experiment", "alpha", "metric", "learner", "estimand"], ["experiment", "alpha", "metric", "learner"])
 
 
 @query("x5_control_contrasts")
@@ -904,7 +905,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     for name, (a, b) in pairs.items():
         part = X.arm_difference(rows, "fedavg", a, b).withColumn("contrast", F.lit(name))
         stacked = part if stacked is None else stacked.unionByName(part)
-    return X.contrast_effects(stacked, ["scope", "population", "alpha", "contrast"], ["scope", "population", "alpha"], 999)
+    return X.contrast_effects(stacked, ["scope", "population", "alpha", "contrast"], ["scope", "population", "alpha"])
 
 
 @query("y1_influence", f"WITH {_FAMILY_MEANS}, m AS (SELECT * FROM means WHERE learner = 'fedavg'), x AS (SELECT o.family AS left_out, m.gain, m.peer FROM m o JOIN m ON m.family <> o.family UNION ALL SELECT '', gain, peer FROM m), r AS (SELECT left_out, rank() OVER (PARTITION BY left_out ORDER BY gain) + (count(*) OVER (PARTITION BY left_out, gain) - 1) / 2.0 AS a, rank() OVER (PARTITION BY left_out ORDER BY peer) + (count(*) OVER (PARTITION BY left_out, peer) - 1) / 2.0 AS b FROM x), c AS (SELECT left_out, corr(a, b) AS rho FROM r GROUP BY 1) SELECT left_out, round(rho, 6) AS rho, round((SELECT rho FROM c WHERE left_out = '') - rho, 6) AS change FROM c WHERE left_out <> ''")

@@ -8,9 +8,22 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def read_release(spark: SparkSession, path: str) -> DataFrame:
-    """All Parquet files one folder below ``path``."""
-    return spark.read.parquet(f"{path}/*/*.parquet")
+
+
+def read_release(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """All Parquet files one folder below ``path``; with ``base``, the folders' names between it and the files are columns."""
+    reader = spark.read if base is None else spark.read.option("basePath", base)
+    return reader.parquet(f"{path}/*/*.parquet")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header and a declared schema; a value that does not fit its type fails the read."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def write_report(df: DataFrame, path: str, order: list[str]) -> None:
+    """A small report table as one sorted CSV file."""
+    df.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_market_index(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
