@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievegrid.session import stage
+
 
 #: Parts that a group is cut in where its number of buckets is joined to its rows.
 SALTS = 64
@@ -32,6 +34,7 @@ def shuffled_prefix(
         {k: F.struct(F.col(f"`{g}`")) for k, g in zip(keys, groups, strict=True)} | {"_size": size.cast("long"), "_hash": seed}
     )
     counts = with_keys.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).alias("_buckets"))
+    counts = stage(counts, "group-buckets")  # so that Spark knows their size before it plans the join
     if keys:
         salted = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         placed = with_keys.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
