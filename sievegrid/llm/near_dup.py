@@ -282,7 +282,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = stage(_open_links(members, classes, labels, shared_texts, width, percent), "open-links")
     if not more.isEmpty():
         labels = stage(connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b"), "labels")
-    for done in (members, shared, shared_texts):
-        unstage(done)
     out = sketched.select("id", "n").join(labels, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = stage(out, "near-duplicates")
+    for done in (sketched, classes, members, shared, central, likely, shared_texts, links, more):
+        unstage(done)
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.llm.native import free_name, let, text_of
-from sievegrid.session import stage
+from sievegrid.session import stage, unstage
 
 BASE_KINDS = ["assign", "access", "hex"]
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -159,5 +159,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
     rest = F.aggregate("cuts", begin, step, lambda a: F.concat(a["out"], F.substring("piece", a["at"] + 1, F.lit(CUT))))
     pieces = blocks.join(cuts, ["row", "block"], "left").select("row", "block", F.when(F.col("cuts").isNull(), F.col("piece")).otherwise(rest).alias("piece"))
     whole = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("p")).select(F.col("row").alias(row), F.array_join("p.piece", "").alias(clean))
+    whole = stage(whole, "redacted")
+    unstage(regions)
     return marked.join(whole, row, "left").withColumn(text_col, F.coalesce(clean, text)).select(*[f"`{c}`" for c in docs.columns])
 
