@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = near_duplicates(keyed, id_col=row).select(F.col(row).alias("row"), "component_id")
     named = groups.join(keyed.select(F.col(row).alias("row"), "doc_id"), "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"].alias("first"))
-    gone = named.join(first, "component_id").where("row <> first").select(F.col("row").alias(row))
+    gone = stage(named.join(first, "component_id").where("row <> first").select(F.col("row").alias(row)), "gone")
     return keyed.join(gone, row, "left_anti").select(*docs.columns)
 
 
@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, row = _keyed(docs)
     taken, _ = mix_sources(keyed, id_col=row)
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    wanted = taken.select(row, copies.alias("copies")).where("copies > 0")
+    wanted = stage(taken.select(row, copies.alias("copies")).where("copies > 0"), "copies")
     numbered = keyed.join(wanted, row).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(row))
     return numbered.select(*docs.columns)
 
