@@ -48,7 +48,7 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-#: Paths made inside scratch() blocks that are open.
+#: Paths made inside recording() blocks that are open.
 _scratch: list[list[str]] = []
 
 
@@ -60,14 +60,22 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is staged inside is deleted at the end, but for tables staged with ``keep``."""
+def recording() -> Iterator[list[str]]:
+    """The paths of what is staged inside, but for tables staged with ``keep``."""
     _scratch.append([])
     try:
-        yield
+        yield _scratch[-1]
     finally:
-        for path in _scratch.pop():
+        _scratch.pop()
+
+
+def discard(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> None:
+    """Delete staged paths, but for those that ``reader`` reads."""
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in reader.inputFiles()} if reader is not None and paths else set()
+    for path in list(paths):
+        if path.rpartition("/")[2] not in read:
             _delete(spark, path)
+            paths.remove(path)
 
 
 def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
