@@ -70,7 +70,7 @@ def test_rows_are_judged_by_themselves(spark):
     fine = " ".join(f"w{i}" for i in range(90))
     rows = [(None, "junk", "en", "x", 1), (None, fine, "en", "x", 1), (None, fine, "en", "x", 1), (7, fine + " end", "en", "x", 1), (7, "junk again", "en", "x", 1), (5, fine, "en", "x", 1), (7, "v " + " ".join(f"v{i}" for i in range(90)), "en", "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    good = corpus_pipeline.keep_good(spark, docs, "")
+    good = corpus_pipeline.keep_good(spark, docs, "")  # not written: the next stage leaves what it reads
     assert Counter(map(tuple, good.collect())) == Counter(r for r in rows if len(r[1]) > 20)
     single = corpus_pipeline.drop_near_copies(spark, good, "")
     assert sorted((r.doc_id, r.text[:2]) for r in single.collect()) == [(5, "w0"), (7, "v ")]
