@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,11 +15,31 @@ from sievegrid.llm.packing import pack
 from sievegrid.llm.quality_rules import quality_rules
 from sievegrid.llm.queries import RANKS
 from sievegrid.llm.secrets import redact
-from sievegrid.session import scratch, stage, table, unstage
+from sievegrid.session import discard, recording, stage, table, unstage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: What the stage called last has staged.
+_left: list[str] = []
 
 
+def tidy(function: Stage) -> Stage:
+    """A stage whose beginning deletes what the one before staged on its way, texts with secrets among it.
+
+    The earlier stage's result has been written by then; if this one's documents still read what it staged, that stays.
+    """
+
+    @wraps(function)
+    def run_tidily(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left, docs)
+        with recording() as paths:
+            result = function(spark, docs, sf_dir)
+        _left.extend(paths)
+        return result
+
+    return run_tidily
+
+
+@tidy
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row is judged by itself, whatever its id."""
     return quality_rules(docs, carry=True).where("kept").select("carried.*")
@@ -30,6 +51,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return stage(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
 
 
+@tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays, that of the smallest id; rows without an id come last, ties by their order."""
     keyed, row = _keyed(docs)
@@ -40,11 +62,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keyed.join(gone, row, "left_anti").select(*docs.columns)
 
 
+@tidy
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is repeated as often as the mix takes its words, to the nearest whole number."""
     keyed, row = _keyed(docs)
@@ -55,6 +79,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return numbered.select(*docs.columns)
 
 
+@tidy
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, copy, piece, ..., batch, slot, tokens): the texts as token ids, piece by piece with their batches.
 
@@ -81,9 +106,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES:
-        with scratch(spark):  # what a stage made on its way, texts with secrets among it, goes
-            docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
         if before is not None:
             unstage(before)
         before = docs
+    discard(spark, _left)
     return docs
