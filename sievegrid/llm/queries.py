@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import secrets, url_filters
+from sievegrid.llm import licenses, secrets, url_filters
+from sievegrid.llm.licenses import PHRASES, TEMPLATES, license_scan
 from sievegrid.llm.mixing import mix_sources
+from sievegrid.llm.native import A_TO_Z, let, words_of
 from sievegrid.llm.near_dup import near_duplicates
 from sievegrid.llm.ordinal import fit_toxicity, score_toxicity
 from sievegrid.llm.packing import pack
+from sievegrid.llm.periodic import periodic_runs
 from sievegrid.llm.quality_rules import quality_rules
 from sievegrid.llm.secrets import BASE_KINDS, find_secrets
 from sievegrid.llm.site_quality import fit_classifier, site_quality
+from sievegrid.llm.spelling import letter_runs, variants, word_counts
 from sievegrid.llm.training_order import materialise, read_slots
 from sievegrid.llm.url_filters import url_filter
 from sievegrid.llm.vptree import search
-from sievegrid.session import new_path, table
+from sievegrid.session import new_path, stage, table
 
 #: A file of ranks of a public byte-level tokenizer; a parameter, never a copy.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -96,6 +100,56 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("tokens_hash", F.xxhash64("tokens")).drop("tokens")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a tenth of the ids, chosen by checksum, are made periodic from some word on before the scan."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    g = F.floor(F.col("h") / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i >= a, F.get(words, a + F.pmod(i - a, p))).otherwise(w)), " ")
+
+    planted = F.when(F.col("h") % 10 == 0, let(words_of(F.col("text")), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))).otherwise(F.col("text"))
+    found = periodic_runs(docs.select("doc_id", planted.alias("text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run in 199, chosen by checksum, loses a letter before words are counted."""
+    runs = letter_runs(table(spark, sf_dir, "documents")).withColumn("h", F.crc32(F.concat(F.col("id").cast("string"), F.lit(":"), "run")))
+    at = F.pmod("h", F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(F.col("h") % 199 == 0, less).otherwise(F.col("run")).alias("word"))
+    return variants(stage(word_counts(words), "word-counts"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.start").alias("first_word"),
+        F.array_max("places.start").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        F.round("score", 6).alias("score"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_training_order": op1_training_order,
     "op2_near_duplicates": op2_near_duplicates,
@@ -107,6 +161,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_site_quality": op9_site_quality,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_license_scan": op13_license_scan,
 }
 
 
@@ -178,4 +235,46 @@ QUALITY_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_rep AS n_repeat_words, base_failed, NOT base_failed AND (NOT judged OR coalesce(class_distance, 0) <= 0.33) AND (NOT judged OR coalesce(word_distance, 0) <= 0.48) AS kept,
  CASE WHEN judged THEN round(class_distance, 6) END AS class_distance, CASE WHEN judged THEN round(word_distance, 6) END AS word_distance FROM f"""
 
-ORACLE: dict[str, str] = {"op3_secrets": _secrets_sql(), "op4_url_filter": _urls_sql(), "op6_quality_rules": QUALITY_SQL}
+
+def _licenses_sql(least: float = 0.8) -> str:
+    """license_scan() with its default parameters: every block against every template of its size."""
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES)
+    templates = ", ".join(f"('{label}', {licenses.block_size(t)}, {sorted(set(t.split()))})" for label, t in TEMPLATES)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{A_TO_Z}', '{A_TO_Z.lower()}'), {word}) AS w FROM documents),
+ ph AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {phrases}) v(p, label)), te AS (SELECT label, s, t, ceil(len(t) * {least} - 1e-9) AS need FROM (VALUES {templates}) v(label, s, t)),
+ place AS (SELECT r, label, i - 1 AS start FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) x JOIN ph ON w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+ sizes AS (SELECT s, list_distinct(flatten(list(t))) AS own FROM te GROUP BY s),
+ block AS (SELECT r, s, k, list_distinct(list_filter(w[k * s + 1:(k + 2) * s], lambda x: list_contains(own, x))) AS b FROM (SELECT r, w, s, own, unnest(range(0, (len(w) + s - 1) // s)) AS k FROM d, sizes)),
+ hit AS (SELECT r, label, len(list_intersect(b, t)) / len(t) AS c FROM block JOIN te USING (s) WHERE len(b) >= need AND len(list_intersect(b, t)) >= need),
+ base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM place GROUP BY r),
+ every AS (SELECT r, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(c) AS c FROM (SELECT r, label, 1.0 AS c FROM place UNION ALL SELECT r, label, c FROM hit) GROUP BY r)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(c, 0.0), 6) AS score FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r)"""
+
+
+def _spelling_sql() -> str:
+    """The words' checksums from a table of remainders, near words by equal words less one place."""
+    table_of = ", ".join(str(_remainder(i)) for i in range(256))
+    letters = "[A-Za-z\u00C0-\u00FF]{6,}"
+    return f"""WITH RECURSIVE crc AS (SELECT [{table_of}]::UBIGINT[] AS tab),
+ runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{letters}')), '{A_TO_Z}', '{A_TO_Z.lower()}') AS run FROM documents) GROUP BY ALL),
+ bytes AS (SELECT doc_id, run, c, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+ sums AS (SELECT run, c, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i + 1])::UBIGINT), lambda a, b: xor(tab[((xor(a, b) & 255) + 1)::BIGINT], a >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM bytes, crc),
+ edited AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:(h % len(run))::BIGINT] || run[(h % len(run))::BIGINT + 2:] ELSE run END AS word, c FROM sums),
+ words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM edited WHERE len(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+ less AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+ near AS (SELECT DISTINCT * FROM (SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION ALL SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word UNION ALL SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word)),
+ best AS (SELECT word, n, count(*) AS n_near, (min((-m, other)))[2] AS form, max(m) AS form_n FROM near GROUP BY word, n),
+ told AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * words.n THEN form END AS form, CASE WHEN form_n >= 5 * words.n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+ chain AS (SELECT word, form AS root, 1 AS k FROM told WHERE form IS NOT NULL UNION ALL SELECT chain.word, form, k + 1 FROM chain JOIN told ON told.word = root WHERE form IS NOT NULL)
+ SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM told LEFT JOIN (SELECT word, max_by(root, k) AS root FROM chain GROUP BY word) USING (word)"""
+
+
+def _remainder(byte: int) -> int:
+    """What CRC-32's reflected polynomial leaves of a byte."""
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+ORACLE: dict[str, str] = {"op3_secrets": _secrets_sql(), "op4_url_filter": _urls_sql(), "op6_quality_rules": QUALITY_SQL, "op12_spelling_variants": _spelling_sql(), "op13_license_scan": _licenses_sql()}

@@ -44,10 +44,14 @@ def chunks(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, in
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of every word."""
-    inside = ~_SPACE[data]
+    return stretches(~_SPACE[data], offsets)
+
+
+def stretches(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of the longest stretches of bytes inside, which rows' ends cut."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
+    edges = offsets[:-1][offsets[:-1] < len(inside)]
     begins[edges] = inside[edges]
     stops = inside.copy()
     stops[:-1] &= ~inside[1:]
@@ -57,6 +61,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def packed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words, row of each): the words as an Arrow array of bytes."""
+    starts, ends, row = words(data, offsets)
+    return packed(data, starts, ends), row
+
+
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces of ``data`` from starts to ends, which are ordered and don't overlap, as an Arrow array of bytes."""
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    inside = data[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
+    at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(inside)])
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word, of A-Z lower-cased if asked."""
     data = _LOWER[data] if lower else data

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievegrid.llm.native import A_TO_Z
 from sievegrid.session import bucketed, stage, unstage
 
 #: Ranks that differ by no more than this share are even: the order of their sums may tell them apart.
@@ -33,7 +34,6 @@ STRIDE = 8
 Rule = tuple[str, str, str]
 #: A link's target from its scheme or, where it takes the page's, from its slashes.
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
-A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def host_of(url: Column) -> Column:
