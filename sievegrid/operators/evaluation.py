@@ -36,11 +36,11 @@ def calibrate(benign: DataFrame, alphas: list[float], min_exceedances: int, grou
     return found.select(*groups, "alpha", "threshold", F.col("n").alias("calibration_benign"), status.alias("operating_status"))
 
 
-def with_missing_thresholds(thresholds: DataFrame, clients: DataFrame, alphas: list[float]) -> DataFrame:
-    """A client without benign calibration rows gets threshold 0 and insufficient evidence."""
+def with_missing_thresholds(thresholds: DataFrame, clients: DataFrame, alphas: list[float], keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """A client (of each of ``keys``) without benign calibration rows gets threshold 0 and insufficient evidence."""
     grid = clients.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    filled = grid.join(thresholds, ["client", "alpha"], "left")
-    return filled.select("client", "alpha", F.coalesce("threshold", F.lit(0.0)).alias("threshold"), F.coalesce("calibration_benign", F.lit(0)).alias("calibration_benign"), F.coalesce("operating_status", F.lit("insufficient-evidence")).alias("operating_status"))
+    filled = grid.join(thresholds, [*keys, "client", "alpha"], "left")
+    return filled.select(*keys, "client", "alpha", F.coalesce("threshold", F.lit(0.0)).alias("threshold"), F.coalesce("calibration_benign", F.lit(0)).alias("calibration_benign"), F.coalesce("operating_status", F.lit("insufficient-evidence")).alias("operating_status"))
 
 
 def population_of() -> Column:
@@ -53,19 +53,31 @@ def population_of() -> Column:
 def client_counts(pool: DataFrame, thresholds: DataFrame, alphas: list[float]) -> DataFrame:
     """(client, alpha, population, hits, trials), zeros included."""
     test = pool.where("role = 'test'").withColumn("population", F.explode(population_of())).select(F.col("pool").alias("client"), "population", "score")
-    flagged = test.join(thresholds.select("client", "alpha", "threshold"), "client")
-    counts = flagged.groupBy("client", "alpha", "population").agg(F.count_if(F.col("score") > F.col("threshold")).alias("hits"), F.count(F.lit(1)).alias("trials"))
+    counts = count_hits(test, thresholds, ["client"], ["population"])
     grid = thresholds.select("client", "alpha").withColumn("population", F.explode(F.array(*[F.lit(p) for p in POPULATIONS])))
     return grid.join(counts, ["client", "alpha", "population"], "left").na.fill(0, ["hits", "trials"])
 
 
+def count_hits(rows: DataFrame, thresholds: DataFrame, keys: list[str], groups: list[str], first: Column | None = None) -> DataFrame:
+    """(keys, alpha, groups, hits, trials) of (keys, groups, score), and with ``first`` the counts of the rows that it marks."""
+    hit = F.col("score") > F.col("threshold")
+    counts = [F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("trials")]
+    if first is not None:
+        counts += [F.count_if(hit & first).alias("unique_hits"), F.count_if(first).alias("unique_trials")]
+    return rows.join(thresholds.select(*keys, "alpha", "threshold"), keys).groupBy(*keys, "alpha", *groups).agg(*counts)
+
+
+def hidden_first(pool: DataFrame, row: str, feature: str) -> DataFrame:
+    """Hidden families' test rows, once a population, with ``first``: the first row of its vector there."""
+    both = F.array(F.lit("own-domain"), F.lit("federation-wide"))
+    hidden = pool.where("role = 'test' and unseen").withColumn("population", F.explode(F.when(F.col("own"), both).otherwise(F.array(F.lit("federation-wide")))))
+    return hidden.withColumn("first", F.row_number().over(Window.partitionBy("pool", "population", "family", feature).orderBy(row)) == 1)
+
+
 def family_counts(pool: DataFrame, thresholds: DataFrame, row: str, feature: str) -> DataFrame:
     """(client, alpha, population, family, hits, trials, unique_hits, unique_trials) of hidden families; unique: first row of a vector."""
-    hidden = pool.where("role = 'test' and unseen").withColumn("population", F.explode(F.when(F.col("own"), F.array(F.lit("own-domain"), F.lit("federation-wide"))).otherwise(F.array(F.lit("federation-wide")))))
-    first = F.row_number().over(Window.partitionBy("pool", "population", "family", feature).orderBy(row)) == 1
-    flagged = hidden.withColumn("first", first).withColumnRenamed("pool", "_pool").drop("client").withColumnRenamed("_pool", "client").join(thresholds.select("client", "alpha", "threshold"), "client")
-    hit = F.col("score") > F.col("threshold")
-    return flagged.groupBy("client", "alpha", "population", "family").agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("trials"), F.count_if(hit & F.col("first")).alias("unique_hits"), F.count_if(F.col("first")).alias("unique_trials"))
+    rows = hidden_first(pool, row, feature).select(F.col("pool").alias("client"), "population", "family", "first", "score")
+    return count_hits(rows, thresholds, ["client"], ["population", "family"], F.col("first"))
 
 
 def class_curve(rows: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
@@ -73,18 +85,25 @@ def class_curve(rows: DataFrame, groups: list[str], label: str, score: str) -> D
     return prefix_by_value(rows, groups, score, {"p": F.count_if(F.col(label) == 1), "q": F.count_if(F.col(label) == 0)})
 
 
-def auroc(rows: DataFrame, groups: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """(groups, auroc): the part of pairs in which the positive scores higher, ties half; groups of one class are left out."""
+def discrimination(rows: DataFrame, groups: list[str], label: str = "label", score: str = "score") -> DataFrame:
+    """(groups, auroc, auprc) from one curve; groups of one class are left out.
+
+    auroc: the part of pairs in which the positive scores higher, ties half. auprc: the sum over distinct scores, from the top, of precision
+    times the recall gained.
+    """
     wins = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2))
-    sums = class_curve(rows, groups, label, score).groupBy(*groups).agg(wins.alias("wins"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return sums.where("p > 0 and q > 0").select(*groups, (F.col("wins") / (F.col("p") * F.col("q"))).alias("auroc"))
+    tp, fp = F.col("p_all") - F.col("p_before"), F.col("q_all") - F.col("q_before")
+    area = F.sum(F.col("p") * F.try_divide(tp, tp + fp))
+    sums = class_curve(rows, groups, label, score).groupBy(*groups).agg(wins.alias("wins"), area.alias("area"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return sums.where("p > 0 and q > 0").select(*groups, (F.col("wins") / (F.col("p") * F.col("q"))).alias("auroc"), (F.col("area") / F.col("p")).alias("auprc"))
+
+
+def auroc(rows: DataFrame, groups: list[str], label: str = "label", score: str = "score") -> DataFrame:
+    return discrimination(rows, groups, label, score).drop("auprc")
 
 
 def average_precision(rows: DataFrame, groups: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """(groups, auprc): the sum over distinct scores, from the top, of precision times the recall gained."""
-    tp, fp = F.col("p_all") - F.col("p_before"), F.col("q_all") - F.col("q_before")
-    sums = class_curve(rows, groups, label, score).groupBy(*groups).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"), F.sum(F.col("p") * F.try_divide(tp, tp + fp)).alias("area"))
-    return sums.where("pos > 0 and neg > 0").select(*groups, (F.col("area") / F.col("pos")).alias("auprc"))
+    return discrimination(rows, groups, label, score).drop("auroc")
 
 
 def recall_at_fpr(rows: DataFrame, groups: list[str], fpr: float, label: str = "label", score: str = "score") -> DataFrame:

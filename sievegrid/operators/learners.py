@@ -1,8 +1,9 @@
 """Detectors by holder: local, pooled, federated, fine-tuned and blended fits, and scoring.
 
 A group's training rows are dealt by hash into parts of about ``Training.part`` rows; all rows are kept, and no worker holds more than
-a few parts. Parts fit in parallel, and a group's weights are their mean by rows, so a group of one part is one plain fit. A federated
-round is one job: every part starts from the shared weights; parts are averaged within holders, then holders by the rule. Only the
+a few parts. Parts fit in parallel, and a group's weights are their mean by rows, so a group of one part is one plain fit: a study's
+holders, whose rows a budget bounds, are. A federated round is one job: every part starts from the shared weights; parts are averaged
+within holders, then holders by the rule. Weights are summed as arrays inside tasks, then in two steps across them. Only the
 shared weights come to the driver. Rows that are equal in every column, whatever their number, share a part: give rows an id.
 """
 
@@ -31,7 +32,7 @@ class Training:
     rate: float = 0.01
     proximal: float = 0.0
     seed: int = 1
-    part: int = 4096
+    part: int = 8192
 
 
 def derive_seed(*parts: int | str) -> int:
@@ -70,12 +71,20 @@ def fit(state: list[np.ndarray], x: np.ndarray, y: np.ndarray, t: Training) -> t
 
 def _fit_part(state: list[np.ndarray], x: np.ndarray, y: np.ndarray, t: Training) -> tuple[list[np.ndarray], float]:
     """As fit(); a part may be of one class where its group has both."""
+    loss = 0.0
+    for _, state, loss in epochs_of(state, x, y, t):  # noqa: B007
+        pass
+    return state, loss
+
+
+def epochs_of(state: list[np.ndarray], x: np.ndarray, y: np.ndarray, t: Training) -> Iterator[tuple[int, list[np.ndarray], float]]:
+    """(epoch, state, mean loss) after each epoch: what a fit of so many epochs gives."""
     rng = np.random.default_rng(t.seed)
     anchor = [w.copy() for w in state]
     state = [w.copy() for w in state]
     m1, m2 = [np.zeros_like(w) for w in state], [np.zeros_like(w) for w in state]
-    step, loss = 0, 0.0
-    for _ in range(t.epochs):
+    step = 0
+    for epoch in range(1, t.epochs + 1):
         losses = []
         order = rng.permutation(len(x))
         for a in range(0, len(x), t.batch):
@@ -94,8 +103,7 @@ def _fit_part(state: list[np.ndarray], x: np.ndarray, y: np.ndarray, t: Training
                 d = grads[k] + t.proximal * (state[k] - anchor[k])
                 m1[k], m2[k] = 0.9 * m1[k] + 0.1 * d, 0.999 * m2[k] + 0.001 * d * d
                 state[k] = state[k] - t.rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-        loss = float(np.mean(losses))
-    return state, loss
+        yield epoch, state, float(np.mean(losses))
 
 
 def flat(state: list[np.ndarray]) -> np.ndarray:
@@ -118,7 +126,12 @@ def average_states(states: DataFrame, key: list[str]) -> DataFrame:
 def robust_states(states: DataFrame, key: list[str], rule: str) -> DataFrame:
     """As average_states, by "trimmed" (without the least and the greatest) or "median" (the lower one); a value a holder."""
     w = F.sort_array(F.collect_list("weight"))
-    value = F.element_at(w, F.floor((F.size(w) + 1) / 2).cast("int")) if rule == "median" else F.aggregate(F.slice(w, 2, F.size(w) - 2), F.lit(0.0), lambda a, x: a + x) / (F.size(w) - 2)
+    if rule == "median":
+        value = F.element_at(w, F.floor((F.size(w) + 1) / 2).cast("int"))
+    else:  # the lone value or the mean of two where nothing is left between the least and the greatest
+        cut = F.when(F.size(w) > 2, F.lit(1)).otherwise(F.lit(0))
+        inner = F.slice(w, 1 + cut, F.size(w) - 2 * cut)
+        value = F.aggregate(inner, F.lit(0.0), lambda a, x: a + x) / F.size(inner)
     return states.groupBy(*key, "pos").agg(value.alias("weight"))
 
 
@@ -137,47 +150,85 @@ def parts_of(training: DataFrame, keys: list[str], t: Training) -> DataFrame:
     return parts.select(*[F.col(n)["v"].alias(k) for n, k in zip(names, keys, strict=True)], F.col("_rows.y").alias("labels"), F.flatten("_rows.x").alias("features"))
 
 
-def fit_parts(parts: DataFrame, keys: list[str], t: Training, start: np.ndarray | None = None) -> DataFrame:
-    """(keys, rows, pos, weight): the groups' weights, means by rows of their parts'; the loss is at pos -1."""
-    types = dict(parts.dtypes)
-    begin = flat(initial(t)) if start is None else start
+#: Bytes of sums that a task holds before it hands them on.
+HELD = 1 << 26
+
+
+def fit_many(parts: DataFrame, keys: list[str], t: Training) -> DataFrame:
+    """(keys, epochs, rows, loss, weights): means by rows over the parts of the same keys; a row a key and number of epochs.
+
+    A row of parts is a fit: (keys, labels, features, start, at, proximal, seed), where ``start`` are the weights to go on from, null for
+    t's own first ones, and ``at`` the numbers of epochs, ascending, at which weights are wanted: fewer epochs are a stop on the way to more.
+    """
+    kinds = dict(parts.dtypes)
+    first = flat(initial(t))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            out = []
-            for labels, features in zip(b["labels"], b["features"], strict=True):
-                state, loss = _fit_part(unflat(begin, t), np.asarray(features, float).reshape(len(labels), t.width), np.asarray(labels, float), t)
-                out.append(np.concatenate([[loss], flat(state)]))
-            yield b[keys].assign(rows=b["labels"].map(len).astype("int64"), weights=out)
+            for r in b.itertuples(index=False):
+                y, x = np.asarray(r.labels, float), np.asarray(r.features, float).reshape(len(r.labels), t.width)
+                start = first if r.start is None else np.asarray(r.start, float)
+                own = replace(t, epochs=int(max(r.at)), proximal=float(r.proximal), seed=int(r.seed))
+                for epoch, state, loss in epochs_of(unflat(start, t), x, y, own):
+                    if epoch in r.at:
+                        key = (*(getattr(r, k) for k in keys), epoch)
+                        sums[key] = sums.get(key, 0.0) + len(y) * np.concatenate([[1.0, loss], flat(state)])
+            if sum(v.nbytes for v in sums.values()) > HELD:
+                yield _sums(sums, keys)
+                sums = {}
+        if sums:
+            yield _sums(sums, keys)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", epochs int, sums array<double>, salt int"
+    out = parts.select(*keys, "labels", "features", "start", "at", "proximal", "seed").mapInPandas(run, schema)
+    for group in ([*keys, "epochs", "salt"], [*keys, "epochs"]):
+        out = out.groupBy(*group).applyInPandas(_added, out.schema)
+    n = F.get("sums", F.lit(0))
+    mean = F.transform(F.slice("sums", 3, len(first)), lambda w: w / n)
+    return out.select(*keys, "epochs", F.round(n).cast("long").alias("rows"), (F.get("sums", F.lit(1)) / n).alias("loss"), mean.alias("weights"))
+
+
+def _sums(sums: dict[tuple, np.ndarray], keys: list[str]) -> pd.DataFrame:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    out = pd.DataFrame([dict(zip([*keys, "epochs"], k, strict=True)) for k in sums])
+    return out.assign(sums=list(sums.values()), salt=(context.partitionId() if context else 0) % 32)
+
+
+def _added(b: pd.DataFrame) -> pd.DataFrame:
+    """One row, the sums added in an order of their own, so that reruns agree."""
+    x = np.stack(b["sums"].to_numpy())
+    return b.head(1).assign(sums=[x[np.lexsort(x[:, :3].T)].sum(axis=0)])
+
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rows long, weights array<double>"
-    fitted = parts.mapInPandas(run, schema).select(*keys, "rows", F.posexplode("weights").alias("pos", "weight"))
-    mean = (F.sum(F.col("weight") * F.col("rows")) / F.sum("rows")).alias("weight")
-    return fitted.groupBy(*keys, (F.col("pos") - 1).alias("pos")).agg(F.sum("rows").alias("rows"), mean)
+def as_fits(parts: DataFrame, t: Training, start: np.ndarray | None = None) -> DataFrame:
+    """Each part as a fit of t."""
+    begin = F.lit(None).cast("array<double>") if start is None else F.lit(start)
+    return parts.withColumns({"start": begin, "at": F.array(F.lit(t.epochs)), "proximal": F.lit(float(t.proximal)), "seed": F.lit(t.seed)})
 
 
 def fit_by(training: DataFrame, keys: list[str], t: Training, start: np.ndarray | None = None) -> DataFrame:
     """(keys, rows, loss, weights): one fit a group of (keys, features, label); groups of one class are left out."""
-    fitted = fit_parts(parts_of(training, keys, t), keys, t, start)
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "weight")))["weight"]
-    n = len(flat(initial(t)))
-    return fitted.groupBy(*keys).agg(F.max("rows").alias("rows"), ordered.alias("_all")).select(*keys, "rows", F.col("_all")[0].alias("loss"), F.slice("_all", 2, n).alias("weights"))
+    return fit_many(as_fits(parts_of(training, keys, t), t, start), keys, t).drop("epochs")
 
 
 def train_federated(training: DataFrame, holder: str, t: Training, rounds: int, rule: str = "mean") -> tuple[np.ndarray, list[dict]]:
     """(weights, trace): every round each holder fits from the shared weights, which are then averaged or made robustly."""
     shared, trace = flat(initial(t)), []
-    parts = stage(parts_of(training, [holder], t), "holder-parts")
+    parts = stage(parts_of(training, [holder], t).withColumn("all", F.lit(0)), "holder-parts")
     for r in range(rounds):
-        fitted = fit_parts(parts, [holder], replace(t, seed=derive_seed(t.seed, r)), shared)
+        fits = as_fits(parts, replace(t, seed=derive_seed(t.seed, r)), shared)
         if rule == "mean":
-            states = average_states(fitted, [])
+            got = fit_many(fits, ["all"], t).first()
+            loss, shared = got["loss"], np.array(got["weights"])
         else:
-            fitted = stage(fitted, "holder-states")
-            states = average_states(fitted.where("pos < 0"), []).unionByName(robust_states(fitted.where("pos >= 0"), [], rule))
-        got = np.array([x["weight"] for x in states.orderBy("pos").collect()])  # a row a weight
-        shared = got[1:]
-        trace.append({"round": r, "loss": float(got[0]), "finite": bool(np.isfinite(shared).all())})
+            fitted = stage(fit_many(fits, [holder], t), "holder-states")
+            loss = fitted.agg(F.sum(F.col("loss") * F.col("rows")) / F.sum("rows")).first()[0]
+            states = robust_states(fitted.select(holder, "rows", F.posexplode("weights").alias("pos", "weight")), [], rule)
+            shared = np.array([x["weight"] for x in states.orderBy("pos").collect()])  # a row a weight
+        trace.append({"round": r, "loss": float(loss), "finite": bool(np.isfinite(shared).all())})
     return shared, trace
 
 

@@ -18,7 +18,7 @@ from sievegrid.operators import statistics as stat
 from sievegrid.operators import tables as X
 from sievegrid.operators.ordering import rank_by_value
 from sievegrid.plans import study as T
-from sievegrid.session import table
+from sievegrid.session import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -465,7 +465,7 @@ _CLIENTS = f"""{_POOLS}, member AS (SELECT pool AS client, population, score FRO
 
 
 def _evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = T.study(spark, sf)
+    rows = stage(T.study(spark, sf), "study")
     pool = E.pools(rows, T.targets(spark, sf))
     found = E.calibrate(rows.where("role = 'calibration' and label = 0").select("client", "score"), _ALPHAS, 10, ["client"])
     return rows, pool, E.with_missing_thresholds(found, rows.select("client").distinct(), _ALPHAS)
@@ -506,16 +506,40 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return E.recall_at_fpr(T.study(spark, sf).where("role = 'test'"), ["client"], 0.05)
 
 
-@query("v0j_summary", f"WITH {_CLIENTS}, r AS (SELECT *, hits::DOUBLE / nullif(trials, 0) AS v FROM clients), long AS (SELECT alpha, 'own-domain-unseen-recall' AS metric, avg(v) AS value FROM r WHERE population = 'own-domain' AND trials >= 5 GROUP BY 1 UNION ALL SELECT alpha, 'federation-unseen-recall', avg(v) FROM r WHERE population = 'federation-wide' GROUP BY 1 UNION ALL SELECT alpha, 'worst-client-unseen-recall', min(v) FROM r WHERE population = 'federation-wide' GROUP BY 1 UNION ALL SELECT alpha, 'worst-client-fnr', max(1 - v) FROM r WHERE population = 'federation-wide' GROUP BY 1 UNION ALL SELECT alpha, 'client-recall-dispersion', stddev_pop(v) FROM r WHERE population = 'federation-wide' GROUP BY 1 UNION ALL SELECT alpha, 'known-family-recall', avg(v) FROM r WHERE population = 'known-family' GROUP BY 1 UNION ALL SELECT alpha, 'realised-fpr', avg(v) FROM r WHERE population = 'benign' GROUP BY 1 UNION ALL SELECT alpha, 'worst-client-fpr', max(v) FROM r WHERE population = 'benign' GROUP BY 1 UNION ALL SELECT alpha, 'fpr-dispersion', stddev_pop(v) FROM r WHERE population = 'benign' GROUP BY 1) SELECT l.alpha, metric, round(value, 6) AS value, s.status AS operating_status FROM long l JOIN (SELECT alpha, CASE WHEN bool_or(operating_status <> 'valid') THEN 'insufficient-evidence' ELSE 'valid' END AS status FROM thresholds GROUP BY 1) s ON s.alpha = l.alpha WHERE value IS NOT NULL")
+_FAMILIES = """families AS (SELECT client, alpha, population, family, count(*) FILTER (WHERE score > threshold) AS hits, count(*) AS trials FROM (SELECT pool AS client, family, score, population FROM pool, (VALUES ('own-domain'), ('federation-wide')) p(population) WHERE role = 'test' AND unseen AND (own OR population = 'federation-wide')) JOIN thresholds USING (client) GROUP BY ALL)"""
+_CURVES = """bins AS (SELECT client, role AS split, score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS q FROM study WHERE role <> 'fit' GROUP BY ALL),
+ sums AS (SELECT client, split, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM bins WINDOW w AS (PARTITION BY client, split ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ curves AS (SELECT client, split, sum(q * (tp - p / 2.0)) / (sum(p) * sum(q)) AS auroc, sum(p * tp / (tp + fp)) / sum(p) AS auprc FROM sums GROUP BY ALL HAVING sum(p) > 0 AND sum(q) > 0)"""
+_METRICS = {
+    "own-domain-unseen-recall": "avg(v) FILTER (WHERE population = 'own-domain' AND trials >= 5)",
+    "federation-unseen-recall": "avg(v) FILTER (WHERE population = 'federation-wide')",
+    "worst-client-unseen-recall": "min(v) FILTER (WHERE population = 'federation-wide')",
+    "worst-client-fnr": "max(1 - v) FILTER (WHERE population = 'federation-wide')",
+    "client-recall-dispersion": "stddev_pop(v) FILTER (WHERE population = 'federation-wide')",
+    "known-family-recall": "avg(v) FILTER (WHERE population = 'known-family')",
+    "realised-fpr": "avg(v) FILTER (WHERE population = 'benign')",
+    "worst-client-fpr": "max(v) FILTER (WHERE population = 'benign')",
+    "fpr-dispersion": "stddev_pop(v) FILTER (WHERE population = 'benign')",
+}
+_FAMILY_METRICS = {"family-macro-unseen-recall": "avg(hits / trials)", "family-recall-dispersion": "stddev_pop(hits / trials)", "micro-unseen-recall": "sum(hits) / sum(trials)"}
+_CURVE_METRICS = {"auroc": "avg(auroc) FILTER (WHERE split = 'test')", "auprc": "avg(auprc) FILTER (WHERE split = 'test')", "calibration-auroc": "avg(auroc) FILTER (WHERE split = 'calibration')"}
+_LONG = " UNION ALL ".join(
+    [f"SELECT alpha, '{m}' AS metric, {v} AS value FROM r GROUP BY 1" for m, v in _METRICS.items()]
+    + [f"SELECT alpha, '{m}', {v} FROM families WHERE population = 'federation-wide' GROUP BY 1" for m, v in _FAMILY_METRICS.items()]
+    + [f"SELECT alpha, '{m}', (SELECT {v} FROM curves) FROM alphas" for m, v in _CURVE_METRICS.items()]
+)
+
+
+@query("v0j_summary", f"WITH {_CLIENTS}, {_FAMILIES}, {_CURVES}, r AS (SELECT *, hits::DOUBLE / nullif(trials, 0) AS v FROM clients), long AS ({_LONG}) SELECT l.alpha, metric, round(value, 6) AS value, s.status AS operating_status FROM long l JOIN (SELECT alpha, CASE WHEN bool_or(operating_status <> 'valid') THEN 'insufficient-evidence' ELSE 'valid' END AS status FROM thresholds GROUP BY 1) s ON s.alpha = l.alpha WHERE value IS NOT NULL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows, pool, thresholds = _evaluated(spark, sf)
-    whole = E.summarise(E.client_counts(pool, thresholds, _ALPHAS), E.family_counts(pool, thresholds, "line", "feature"), _discrimination(rows), thresholds, 5, [])
-    return whole.where(~F.col("metric").startswith("family-") & ~F.col("metric").isin("micro-unseen-recall", "auroc", "auprc", "calibration-auroc"))
+    thresholds = stage(thresholds, "thresholds")
+    return E.summarise(E.client_counts(pool, thresholds, _ALPHAS), E.family_counts(pool, thresholds, "line", "feature"), _discrimination(rows), thresholds, 5, [])
 
 
 def _discrimination(rows: DataFrame) -> DataFrame:
     split = rows.where("role <> 'fit'").withColumn("split", F.col("role"))
-    return E.auroc(split, ["client", "split"]).join(E.average_precision(split, ["client", "split"]), ["client", "split"])
+    return E.discrimination(split, ["client", "split"])
 
 
 # Decomposition and doses.
