@@ -248,12 +248,3 @@ def score(rows: DataFrame, weights: np.ndarray, t: Training, out: str = "score")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + f", `{out}` double"
     return rows.mapInPandas(run, schema)
-
-
-def fit_trees(training: DataFrame, seed: int, rounds: int = 20):  # noqa: ANN201
-    """Gradient-boosted trees by Spark's own distributed learner; scores are its raw predictions."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    rows = training.select(array_to_vector(F.col("features").cast("array<double>")).alias("vector"), F.col("label").cast("double"))
-    return GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=4, seed=seed).fit(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from sievegrid.operators import decomposition as D
 from sievegrid.operators import evaluation as E
 from sievegrid.operators import execution as R
 from sievegrid.operators import selection as sel
+from sievegrid.operators import trees
 from sievegrid.operators.learners import Training
 from sievegrid.plans import study as T
 from sievegrid.plans.surface_queries import ORACLE, QUERIES  # noqa: F401
@@ -22,14 +24,17 @@ BUDGET = 600
 SCORERS = {"plain": [3, -2, 5, 0], "steep": [1, 7, -1, 2], "flat": [0, 1, 1, 1], "local": [2, 2, 2, -1]}
 
 
-def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """The study's lines with features: whole numbers for exact sums, then their scaled forms with the lines' score for fits."""
-    rows = T.study(spark, sf)
+def with_features(rows: DataFrame) -> DataFrame:
+    """Lines with features: whole numbers for exact sums, then their scaled forms with the lines' score for fits."""
     quantity, discount, tax = (F.split("feature", r"\|")[i].cast("double") for i in range(3))
     month = F.split("month", "-")[1].cast("double")
     return rows.withColumns({"whole": F.array(quantity, discount, tax, month), "features": F.array("score", quantity / 50, discount / 10, tax / 10, month / 12)})
 
 
+def prepared(spark: SparkSession, sf: str) -> DataFrame:
+    return with_features(T.study(spark, sf))
+
+
 def _hidden(spark: SparkSession, sf: str) -> DataFrame:
     return T.targets(spark, sf).select("client", "family").distinct()
 
@@ -103,3 +108,36 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     scores = stage(told.summary.join(named, "arm").where("metric = 'calibration-auroc' and alpha = 0.05"), "grid-scores")
     best = D.select_tuning(scores, 0.05).select("parameter", "tuning_value", F.lit(True).alias("selected"))
     return scores.join(best, ["parameter", "tuning_value"], "left").select("parameter", "tuning_value", "value", F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
+#: Edges between the whole values of quantity, discount, tax and month.
+EDGES = [[i + 0.5 for i in range(a, b)] for a, b in ((1, 50), (0, 10), (0, 8), (1, 12))]
+
+
+@query(
+    "l07_first_cuts",
+    f"""WITH {T.LINES}, x AS (SELECT client, label, unnest([0, 1, 2, 3]) AS feature, unnest([string_split(feature, '|')[1]::DOUBLE, string_split(feature, '|')[2]::DOUBLE, string_split(feature, '|')[3]::DOUBLE, string_split(month, '-')[2]::DOUBLE]) AS x FROM lines),
+ e AS (SELECT feature - 1 AS feature, unnest(edges) AS edge FROM (SELECT unnest([1, 2, 3, 4]) AS feature, unnest({EDGES}) AS edges)),
+ b AS (SELECT client, avg(label) AS p, count(*) AS n FROM lines GROUP BY 1),
+ cells AS (SELECT client, feature, x, count(*) AS n, sum(label) AS y FROM x GROUP BY ALL),
+ cuts AS (SELECT c.client, c.feature, edge, sum(c.n) FILTER (WHERE x <= edge) AS nl, sum(c.y) FILTER (WHERE x <= edge) AS yl, sum(c.n) AS n, sum(c.y) AS y FROM cells c JOIN e ON e.feature = c.feature GROUP BY ALL),
+ sums AS (SELECT c.*, p * (1 - p) AS v, nl * p - yl AS gl, (c.n - nl) * p - (y - yl) AS gr FROM cuts c JOIN b ON b.client = c.client WHERE nl >= 20 AND c.n - nl >= 20),
+ gains AS (SELECT *, gl * gl / (nl * v) + gr * gr / ((n - nl) * v) AS gain FROM sums),
+ best AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY client ORDER BY gain DESC, feature, edge) = 1)
+ SELECT client AS holder, 0 AS node, feature, edge AS threshold, round(gain, 6) AS gain, n AS rows, NULL::DOUBLE AS value FROM best
+ UNION ALL SELECT client, 1, NULL, NULL, NULL, NULL, round(-0.1 * gl / (nl * v), 6) FROM best UNION ALL SELECT client, 2, NULL, NULL, NULL, NULL, round(-0.1 * gr / ((n - nl) * v), 6) FROM best""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Each client's first tree of one level over all lines."""
+    rows = with_features(T.lines(spark, sf)).select("client", "label", F.col("whole").alias("features"))
+    forest = trees.fit_trees(rows, trees.Boosting(rounds=1, depth=1), "client", [np.array(e) for e in EDGES])
+    return forest.table(spark).drop("tree")
+
+
+@query("l07_boosted")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees of each client's fit rows, and how well they tell its calibration and test rows apart."""
+    rows = stage(prepared(spark, sf), "prepared")
+    forest = trees.fit_trees(rows.where("role = 'fit'"), trees.Boosting(rounds=10, depth=3), "client")
+    scored = trees.score_trees(rows.where("role <> 'fit'").select("client", "role", "label", "features"), forest, "client")
+    return E.discrimination(scored, ["client", "role"])
