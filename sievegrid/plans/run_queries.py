@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from sievegrid.operators import decomposition as D
 from sievegrid.operators import evaluation as E
 from sievegrid.operators import execution as R
+from sievegrid.operators import namespaces as N
 from sievegrid.operators import selection as sel
 from sievegrid.operators import trees
 from sievegrid.operators.learners import Training
 from sievegrid.plans import study as T
 from sievegrid.plans.surface_queries import ORACLE, QUERIES  # noqa: F401
 from sievegrid.plans.queries import _POOLS, query
-from sievegrid.session import new_path, stage
+from sievegrid.session import new_path, stage, table
+from sievegrid.sources import sparse
 
 ALPHAS = [0.01, 0.05, 0.1]
 #: Rows a client that a run trains on.
@@ -141,3 +143,96 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     forest = trees.fit_trees(rows.where("role = 'fit'"), trees.Boosting(rounds=10, depth=3), "client")
     scored = trees.score_trees(rows.where("role <> 'fit'").select("client", "role", "label", "features"), forest, "client")
     return E.discrimination(scored, ["client", "role"])
+
+
+# Sparse matrices: a supplier is a row, a quantity a column, the number of its lines the value.
+
+_CELLS = "cells AS (SELECT l_suppkey AS row, l_quantity::INT AS idx, count(*)::DOUBLE AS val FROM lineitem GROUP BY 1, 2)"
+_WANTED = "wanted AS (SELECT c_custkey AS position, l_suppkey AS row FROM customer JOIN (SELECT DISTINCT l_suppkey FROM lineitem) ON l_suppkey = c_custkey % 100)"
+
+
+def _matrix(spark: SparkSession, sf: str, rows_per_block: int = 64) -> DataFrame:
+    item = table(spark, sf, "lineitem")
+    cells = item.groupBy(F.col("l_suppkey").alias("row"), F.col("l_quantity").cast("int").alias("idx")).agg(F.count(F.lit(1)).alias("val"))
+    rows = item.agg(F.max("l_suppkey") + 1).first()[0]
+    path = new_path(spark, "matrix")
+    sparse.save_csr(cells, path, rows, rows_per_block=rows_per_block)
+    return sparse.load_blocks(spark, path)
+
+
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
+    known = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("row")).distinct()
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("position"), (F.col("c_custkey") % 100).alias("row")).join(known, "row")
+
+
+@query("d44_sparse_round_trip", f"WITH {_CELLS} SELECT * FROM cells")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return sparse.load_csr(_matrix(spark, sf), 64)
+
+
+@query("d45_gather", f"WITH {_CELLS}, {_WANTED} SELECT position, row, count(*) AS n, sum(val) AS total, sum(val * idx) AS weighted FROM wanted JOIN cells USING (row) GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = sparse.gather(_matrix(spark, sf), _positions(spark, sf), 64)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return found.select("position", "row", F.size("idx").alias("n"), total(F.col("val")).alias("total"), total(F.zip_with("val", "idx", lambda v, i: v * i)).alias("weighted"))
+
+
+@query("d35_binary_rows", f"WITH {_CELLS}, {_WANTED} SELECT position, w.row, string_agg(CASE WHEN val IS NULL THEN '00' ELSE printf('%02X', val::INT % 256) END, '' ORDER BY i) AS features FROM wanted w CROSS JOIN (SELECT unnest(range(0, 51))::INT AS i) LEFT JOIN cells c ON c.row = w.row AND c.idx = i GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return sparse.binary_rows(_matrix(spark, sf), _positions(spark, sf), 51, 64).withColumn("features", F.hex("features"))
+
+
+@query("d45_products", f"WITH {_CELLS} SELECT row, sum(val * (2 * idx - 7)) AS first, sum(val * (idx % 5)) AS second FROM cells GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    dense = np.array([[2.0 * i - 7, i % 5] for i in range(51)])
+    blocks = _matrix(spark, sf)
+    known = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("row")).distinct()
+    return sparse.products(blocks, dense, 64).join(known, "row").select("row", F.col("products")[0].alias("first"), F.col("products")[1].alias("second"))
+
+
+# Namespaces: orders are samples, their lines of three sorts are representations.
+
+_SORTS = {"returned": "l_returnflag = 'R'", "cheap": "l_discount >= 0.05", "small": "l_quantity <= 30"}
+_KINDS = ", ".join(f"{k} AS (SELECT DISTINCT l_orderkey, l_linestatus FROM lineitem WHERE {w})" for k, w in _SORTS.items())
+_HAS = " AND ".join(f"o_orderkey IN (SELECT l_orderkey FROM {k})" for k in _SORTS)
+
+
+def _assignments(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("sha256"), F.col("o_orderkey").alias("row"), (F.col("o_orderstatus") == "F").cast("long").alias("label"))
+
+
+def _kinds(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Each kind has a row an order and line status, so orders of both are there twice."""
+    item = table(spark, sf, "lineitem")
+    out = {}
+    for k, where in _SORTS.items():
+        cells = item.where(where).groupBy("l_orderkey", "l_linestatus", F.col("l_quantity").cast("int").alias("idx")).agg(F.count(F.lit(1)).cast("float").alias("val"))
+        pairs = cells.groupBy("l_orderkey", "l_linestatus").agg(F.sort_array(F.collect_list(F.struct("idx", "val"))).alias("p"))
+        out[k] = pairs.select(F.upper(F.md5(F.col("l_orderkey").cast("string"))).alias("sha256"), F.ascii("l_linestatus").cast("long").alias("place"), F.col("p.idx").alias("idx"), F.col("p.val").alias("val"))
+    return out
+
+
+@query(
+    "d41_namespace_manifest",
+    f"""WITH {_KINDS}, s AS (SELECT *, {_HAS} AS whole FROM orders) SELECT 'samples' AS name, count(*) AS n FROM s UNION ALL SELECT 'rows', count(*) FROM s WHERE whole UNION ALL SELECT 'malware_rows', count(*) FROM s WHERE whole AND o_orderstatus = 'F' UNION ALL SELECT 'benign_rows', count(*) FROM s WHERE whole AND o_orderstatus <> 'F' """
+    + " ".join(f"UNION ALL SELECT '{k}_missing', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {k}) UNION ALL SELECT '{k}_repeated', (SELECT count(*) - count(DISTINCT l_orderkey) FROM {k} WHERE l_orderkey IN (SELECT o_orderkey FROM orders))" for k in _SORTS),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    told = N.build_namespace(_assignments(spark, sf), _kinds(spark, sf), new_path(spark, "namespace"))
+    return spark.createDataFrame(list(told.items()), "name string, n long")
+
+
+@query(
+    "d40_alignment",
+    f"""WITH {_KINDS}, s AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders WHERE {_HAS}),
+ f AS (SELECT l_orderkey, min(l_linestatus) AS l_linestatus FROM returned GROUP BY 1), v AS (SELECT l_orderkey, count(DISTINCT l_quantity) AS n, sum(l_quantity) AS total FROM lineitem JOIN f USING (l_orderkey, l_linestatus) WHERE l_returnflag = 'R' GROUP BY 1)
+ SELECT o_orderkey AS position, row, n, total FROM s JOIN v ON l_orderkey = o_orderkey""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The returned lines of the namespace's orders, found by the orders' keys."""
+    path = new_path(spark, "namespace")
+    N.build_namespace(_assignments(spark, sf), _kinds(spark, sf), path)
+    samples = spark.read.parquet(f"{path}/samples")
+    asked = samples.select(F.col("source_row").alias("position"), "sha256")
+    rows = N.aligned_rows(sparse.load_blocks(spark, f"{path}/returned"), samples, asked)
+    return rows.select("position", "row", F.size("idx").alias("n"), F.aggregate(F.zip_with("val", "idx", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"))
