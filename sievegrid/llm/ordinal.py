@@ -3,9 +3,11 @@
 P(grade <= k) is the logistic function of (threshold_k - w . x): one weight vector for all grades, thresholds in
 order. x holds hashed words: a word that occurs counts by how far its share of toxic sample documents is from the base rate,
 in standard deviations, so the many words of one or two documents don't drown the few that tell. The fit takes a bounded sample of labelled rows,
-spread over documents by hash; every document is scored, whole, where its text lies.
+spread over documents by hash, at most a part of it of each grade. Grades that it cuts short weigh more in the likelihood, in the base rates
+and in a word's share, each as its part of all labelled rows is to its part of the sample, so probabilities are those of
+the labels at every number of labels; every document is scored, whole, where its text lies.
 
-Defined cases: a null or empty text has no features and gets the base rates; a null id is scored like others; labelled rows
+Defined cases: a null or empty text, or one without words, gets the labels' base rates; a null id is scored like others; labelled rows
 that are null in a label are left out of the fit; repeated rows get repeated results; without labels of both kinds every
 severity is null; an empty table gives an empty one; no other column is read.
 """
@@ -43,22 +45,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class CumulativeLink:
     """Grades 0 to K - 1 with shared weights and ordered thresholds."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray) -> None:
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, base: np.ndarray) -> None:
+        self.weights, self.thresholds, self.base = weights, thresholds, base
 
     @classmethod
-    def fit(cls, row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 300, penalty: float = 1e-3, rate: float = 0.05, least_rows: int = 3) -> CumulativeLink:
-        """Adam on the mean log-likelihood. The thresholds are the first one and the exponentials of their gaps."""
+    def fit(cls, row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 300, penalty: float = 1e-3, rate: float = 0.05, least_rows: int = 3, weight: np.ndarray | None = None) -> CumulativeLink:
+        """Adam on the mean log-likelihood, of rows of ``weight``. The thresholds are the first one and the exponentials of their gaps."""
         n, size = len(grade), 1 << BITS
-        seen = np.bincount(feature, minlength=size).astype(float)
-        toxic = np.bincount(feature, (grade > 0)[row].astype(float), minlength=size)
-        share = (grade > 0).mean()
-        scale = np.where(seen >= least_rows, (toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 3) / 3, 0.0)
+        weight = np.ones(n) if weight is None else weight * n / weight.sum()
+        rows = np.bincount(feature, minlength=size)
+        seen = np.bincount(feature, weight[row], minlength=size)
+        toxic = np.bincount(feature, ((grade > 0) * weight)[row], minlength=size)
+        share = ((grade > 0) * weight).mean()
+        scale = np.where(rows >= least_rows, (toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 3) / 3, 0.0)
         telling = scale[feature] != 0
         row, value = row[telling], scale[feature[telling]]
         used, feature = np.unique(feature[telling], return_inverse=True)
         w = np.zeros(len(used))
-        below = np.array([np.clip((grade <= k).mean(), 1e-3, 1 - 1e-3) for k in range(grades - 1)])
+        below = np.array([np.clip(((grade <= k) * weight).mean(), 1e-3, 1 - 1e-3) for k in range(grades - 1)])
         base = np.log(below / (1 - below))
         t = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
         m1, m2 = np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t))
@@ -68,7 +72,7 @@ class CumulativeLink:
             upper = np.where(grade < grades - 1, _sigmoid(cuts[np.minimum(grade, grades - 2)] - z), 1.0)
             lower = np.where(grade > 0, _sigmoid(cuts[np.maximum(grade - 1, 0)] - z), 0.0)
             p = np.maximum(upper - lower, 1e-9)
-            du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+            du, dl = weight * upper * (1 - upper) / p, weight * lower * (1 - lower) / p
             gz = (du - dl) / n
             gw = np.bincount(feature, gz[row] * value, minlength=len(w)) + penalty * w
             gcuts = -(np.bincount(np.minimum(grade, grades - 2), np.where(grade < grades - 1, du, 0), minlength=grades - 1) - np.bincount(np.maximum(grade - 1, 0), np.where(grade > 0, dl, 0), minlength=grades - 1)) / n
@@ -80,7 +84,7 @@ class CumulativeLink:
             w, t = w - move[: len(w)], t - move[len(w) :] * 0.2
         weights = np.zeros(size)
         weights[used] = w * scale[used]
-        return cls(weights, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])))
+        return cls(weights, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), np.bincount(grade, weight, minlength=grades) / n)
 
     def probabilities(self, z: np.ndarray) -> np.ndarray:
         below = _sigmoid(self.thresholds[None] - z[:, None])
@@ -88,14 +92,19 @@ class CumulativeLink:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str, text_col: str, sample: int, grades: int) -> DataFrame:
-    """Rows (id, text, grade) of at most ``sample`` labelled ids, each grade's share at most its part of it; chosen by the id's hash."""
+    """Rows (id, text, grade, weight) of at most ``sample`` labelled ids, each grade's share at most its part of it; chosen by the id's hash.
+
+    weight: labelled ids of the grade for each that is taken.
+    """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), grade.cast("int").alias("grade")).where("id is not null and grade is not null").distinct()
-    parts = [known.where(F.col("grade") == g).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample // grades) for g in range(grades)]
+    counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a grade
+    share = lambda g: max(counts.get(g, 0) / (sample // grades), 1.0)
+    parts = [known.where(F.col("grade") == g).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample // grades).withColumn("weight", F.lit(share(g))) for g in range(grades)]
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "grade")
+    return texts.join(F.broadcast(chosen), "id").select("id", "text", "grade", "weight")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000) -> CumulativeLink | None:
@@ -106,16 +115,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, grades: int,
         for batch in batches:
             for first, last, row, feature in features(batch.column(1)):
                 per = np.split(feature.astype(np.int32), np.cumsum(np.bincount(row, minlength=last - first))[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(per, pa.list_(pa.int32()))], names=["id", "grade", "feature"])
+                known = [batch.column(c).slice(first, last - first) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*known, pa.array(per, pa.list_(pa.int32()))], names=["id", "grade", "weight", "feature"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, grade int, feature array<int>").orderBy(F.xxhash64("id", F.lit(11)), "id", "grade", F.hash("feature")).limit(sample).toPandas()
+    got = rows.mapInArrow(run, f"id {kind}, grade int, weight double, feature array<int>").orderBy(F.xxhash64("id", F.lit(11)), "id", "grade", F.hash("feature")).limit(sample).toPandas()
     if got["grade"].nunique() < 2:
         return None
     size = got["feature"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), size)
     feature = np.concatenate(got["feature"].to_list()).astype(np.int64)
-    return CumulativeLink.fit(row, feature, got["grade"].to_numpy(), grades)
+    return CumulativeLink.fit(row, feature, got["grade"].to_numpy(), grades, weight=got["weight"].to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: CumulativeLink | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
@@ -130,6 +140,7 @@ def score_toxicity(docs: DataFrame, model: CumulativeLink | None, id_col: str =
         for batch in batches:
             for first, last, row, feature in features(batch.column(1)):
                 p = model.probabilities(np.bincount(row, model.weights[feature], minlength=last - first))
+                p[np.bincount(row, minlength=last - first) == 0] = model.base
                 toxic = 1 - p[:, 0]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(p @ np.arange(p.shape[1])), pa.array(toxic), pa.array(p.argmax(1).astype(np.int32)), pa.array(toxic >= cut)],
