@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,27 @@ from sievegrid.llm.spelling import letter_runs, variants, word_counts
 from sievegrid.llm.training_order import materialise, read_slots
 from sievegrid.llm.url_filters import url_filter
 from sievegrid.llm.vptree import search
-from sievegrid.session import new_path, stage, table
+from sievegrid.session import discard, new_path, recording, stage, table
 
 #: A file of ranks of a public byte-level tokenizer; a parameter, never a copy.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tidied(query: Query) -> Query:
+    """The query, after which only what its result reads stays of what it staged."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with recording() as paths:
+            result = query(spark, sf_dir)
+        read = {part for f in result.inputFiles() for part in f.split("/")}
+        discard(spark, [p for p in paths if p.rpartition("/")[2] not in read])
+        return result
+
+    return run
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"))
     return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
@@ -64,6 +79,7 @@ URL_RULES = [
 ]
 
 
+@tidied
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
@@ -82,6 +98,7 @@ def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality(docs, fit_classifier(docs, labels, F.col("quality")), F.col("source"), F.col("lang"))
 
 
+@tidied
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -127,6 +144,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@tidied
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run in 199, chosen by checksum, loses a letter before words are counted."""
     runs = letter_runs(table(spark, sf_dir, "documents")).withColumn("h", F.crc32(F.concat(F.col("id").cast("string"), F.lit(":"), "run")))
@@ -201,7 +219,7 @@ def _urls_sql(steps: int = 400, damping: float = 0.85) -> str:
     return f"""WITH RECURSIVE u AS (SELECT page_id, coalesce(html, '') AS html, coalesce({host("url")}, '') AS host, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
  p AS (SELECT page_id, html, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM u),
  j AS MATERIALIZED (SELECT page_id, host, path, {choose(lambda r: r[1] + r[2])} AS rule, {choose(lambda r: r[0])} AS ruled FROM p),
- l AS (SELECT host AS src, ':' || unnest(regexp_extract_all(html, {_quoted(url_filters.LINK)}, 1)) AS link FROM p), up AS (SELECT DISTINCT host AS src, regexp_replace(host, '^[^.]*\\.', '') AS dst FROM p WHERE len(string_split(host, '.')) > 2),
+ l AS (SELECT host AS src, ':' || unnest(regexp_extract_all(html, {_quoted(url_filters.LINK)}, 1)) AS link FROM p), up AS (SELECT DISTINCT host AS src, regexp_replace(host, '^[^.]*\\.', '') AS dst FROM p WHERE len(string_split(host, '.')) > 2 AND regexp_replace(host, '^[^.]*\\.', '') NOT IN {url_filters.SUFFIXES}),
  e AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS weight FROM (SELECT src, {host("link")} AS dst, 1 AS w FROM l UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2), back AS (SELECT dst AS src, src AS dst, weight FROM e),
  votes AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS allowed, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM j GROUP BY 1),
  {ranks("trust", "e", "allowed")}, {ranks("distrust", "back", "blocked")}

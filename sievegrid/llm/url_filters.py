@@ -1,6 +1,7 @@
 """URL filters: rules first, then trust and distrust propagated over the host graph.
 
-Hosts are linked by the absolute links of their pages, and each host with its parent domain, both ways. Personalised
+Hosts are linked by the absolute links of their pages, and each host with its parent domain, both ways, unless the parent is a
+suffix under which anybody registers names: of ``suffixes``, or of one label. Personalised
 PageRank from trusted seeds follows the edges; distrust follows them backwards from blocked seeds: who links to a
 blocked host is suspect. Seeds are the hosts of pages that an allowing or blocking rule fits, by number of pages. A page
 without a rule gets its host's verdict: block if distrust is above ``threshold`` times trust by more than the share EVEN.
@@ -30,6 +31,14 @@ EVEN = 1e-6
 EDGES_PER_SALT = 100_000
 #: Rounds between two looks at what they add.
 STRIDE = 8
+# Suffixes of two labels under which names are registered. Callers with the whole public list pass theirs.
+SUFFIXES = (
+    "ac.in", "ac.jp", "ac.kr", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.ph", "com.pk", "com.pl", "com.sg",
+    "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "govt.nz", "me.uk",
+    "ne.jp", "net.au", "net.br", "net.cn", "net.in", "net.nz", "net.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.in", "org.nz",
+    "org.uk", "org.za", "sch.uk",
+)
 #: (verdict, host, path).
 Rule = tuple[str, str, str]
 #: A link's target from its scheme or, where it takes the page's, from its slashes.
@@ -60,13 +69,13 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
     return chosen, verdict
 
 
-def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
+def host_edges(pages: DataFrame, host: str, html: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(src, dst, weight) from links between hosts and between a host and its parent domain."""
     links = pages.where(F.col(html).contains("//")).select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("link"))
     linked = links.select("src", host_of(F.concat(F.lit(":"), "link")).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     own = pages.select(F.col(host).alias("src")).distinct()
     parent = F.regexp_replace("src", r"^[^.]*\.", "")
-    up = own.where(F.size(F.split("src", r"\.")) > 2).select("src", parent.alias("dst"), F.lit(1.0).alias("weight"))
+    up = own.where(F.size(F.split("src", r"\.")) > 2).select("src", parent.alias("dst"), F.lit(1.0).alias("weight")).where(~F.col("dst").isin(*suffixes))
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     both = linked.unionByName(up).unionByName(down)
     return both.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -118,13 +127,14 @@ def url_filter(
     damping: float = 0.85,
     tolerance: float = 1e-8,
     threshold: float = 1.0,
+    suffixes: tuple[str, ...] = SUFFIXES,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust), a row a page."""
     url = F.col(f"`{url_col}`").cast("string")
     read = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
     judged = read.select("id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
-    linked = stage(host_edges(read, "host", "html"), "host-edges")
+    linked = stage(host_edges(read, "host", "html", suffixes), "host-edges")
     votes = stage(judged.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").cast("double").alias("trust"), F.count_if(F.col("ruled") == "block").cast("double").alias("distrust")), "votes")
     edges = linked.select(F.lit("trust").alias("side"), "src", "dst", "weight").unionByName(linked.select(F.lit("distrust").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     seeds = votes.select("host", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("mass")) for s in ("trust", "distrust")])).alias("v")).select("v.side", "host", "v.mass").where("mass > 0")

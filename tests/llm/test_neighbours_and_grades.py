@@ -1,10 +1,10 @@
-"""Neighbours by inner product whatever the norms, and grades' probabilities whatever the number of labels."""
+"""Neighbours by inner product whatever the norms, grades' probabilities whatever the number of labels, hosts under shared suffixes."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import vptree
+from sievegrid.llm import url_filters, vptree
 from sievegrid.llm.ordinal import fit_toxicity, score_toxicity
 
 N, D = 3000, 12
@@ -112,3 +112,14 @@ def test_probabilities_do_not_depend_on_the_sample(spark):
         assert abs(np.mean([got[i].p_toxic for i in truth]) - rate) < 0.03
         flagged = np.array([got[i].toxic for i in truth])
         assert flagged[[not t for t in truth.values()]].mean() < 0.03 and flagged[list(truth.values())].mean() > 0.7
+
+
+def test_suffixes_carry_no_distrust(spark):
+    pages = [(1, "http://bad.co.uk/x", ""), (2, "http://shop.co.uk/", ""), (3, "http://news.co.uk/a", ""), (4, "http://blog.bad.co.uk/", ""), (5, "http://a.host.example/", ""), (6, "http://b.host.example/", "")]
+    rules = [("block", "bad.co.uk", "/x"), ("block", "a.host.example", "/")]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.distrust) for r in url_filters.url_filter(docs, rules, tolerance=1e-3).collect()}
+    assert got[2] == got[3] == ("allow", 0.0)
+    assert [got[i][0] for i in (1, 4, 5, 6)] == ["block"] * 4
+    own = {r.page_id: r.verdict for r in url_filters.url_filter(docs, rules, tolerance=1e-3, suffixes=("host.example",)).collect()}
+    assert own[6] == "allow" and own[2] == "block"
