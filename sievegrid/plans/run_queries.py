@@ -13,11 +13,12 @@ from sievegrid.operators import namespaces as N
 from sievegrid.operators import selection as sel
 from sievegrid.operators import trees
 from sievegrid.operators.learners import Training
+from sievegrid.plans import runs
 from sievegrid.plans import study as T
 from sievegrid.plans.surface_queries import ORACLE, QUERIES  # noqa: F401
 from sievegrid.plans.queries import _POOLS, query
 from sievegrid.session import new_path, stage, table
-from sievegrid.sources import sparse
+from sievegrid.sources import archives, sparse
 
 ALPHAS = [0.01, 0.05, 0.1]
 #: Rows a client that a run trains on.
@@ -236,3 +237,48 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     asked = samples.select(F.col("source_row").alias("position"), "sha256")
     rows = N.aligned_rows(sparse.load_blocks(spark, f"{path}/returned"), samples, asked)
     return rows.select("position", "row", F.size("idx").alias("n"), F.aggregate(F.zip_with("val", "idx", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"))
+
+
+@query("p06_numpy_files", "SELECT l_orderkey AS key, l_quantity AS quantity, l_extendedprice - l_discount AS net, count(*) AS n FROM lineitem GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines written as archives of arrays and read again in slices."""
+    archives.register(spark)
+    path = new_path(spark, "arrays")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.array("l_quantity", "l_extendedprice", "l_discount").alias("values"))
+    lines.write.format("numpy").mode("append").option("slice_rows", 20_000).save(path)
+    back = spark.read.format("numpy").schema("key long, values array<double>").option("slice_rows", 8192).load(path)
+    return back.groupBy("key", F.col("values")[0].alias("quantity"), (F.col("values")[1] - F.col("values")[2]).alias("net")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _line_hash(i: int) -> str:
+    return f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::HUGEINT)::VARCHAR"
+
+
+@query(
+    "d49_run_digests",
+    f"""WITH i AS (SELECT o_custkey AS run, o_orderkey::VARCHAR AS name, o_orderstatus || '|' || o_orderpriority AS value FROM orders), l AS (SELECT run, sha256(length(name) || ':' || name || coalesce('=' || value, '-')) AS h FROM i)
+ SELECT run, sha256(concat_ws('|', count(*), {", ".join(_line_hash(i) for i in range(4))})) AS digest FROM l GROUP BY 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer is a run, its orders the inputs that the run depends on."""
+    inputs = table(spark, sf, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").cast("string").alias("name"), F.concat("o_orderstatus", F.lit("|"), "o_orderpriority").alias("value"))
+    return runs.run_digests(inputs, ["run"])
+
+
+_RUN_STATUS = "CASE WHEN seed = 2 THEN 'stale' WHEN seed = 5 THEN 'failed-validation' WHEN seed > 6 THEN 'missing' ELSE 'completed' END"
+
+
+@query("r01_evidence", f"WITH {T.FAMILIES}, planned AS (SELECT unnest(range(1, 9)) AS seed), f AS (SELECT seed, count(*) AS n, sum(hits) AS hits, count(*) FILTER (WHERE seed > 3 AND tuning_value IS NOT NULL) AS tuned FROM families GROUP BY 1) SELECT seed, {_RUN_STATUS} AS status, CASE WHEN {_RUN_STATUS} = 'completed' THEN n END AS n, CASE WHEN {_RUN_STATUS} = 'completed' THEN hits END AS hits, CASE WHEN {_RUN_STATUS} = 'completed' THEN tuned END AS tuned FROM planned LEFT JOIN f USING (seed)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Family counts of six runs, those of the first three of a schema without tuning values; one run is stale, one failed, two are not there."""
+    families = stage(T.families(spark, sf).withColumn("mode", F.lit("main")), "families")
+    root = new_path(spark, "runs")
+    ran = families.select(*runs.KEY).distinct()
+    status = F.when(F.col("seed") == 5, F.lit("failed-validation")).otherwise(F.lit("completed"))
+    statuses = stage(ran.select(*runs.KEY, status.alias("status"), F.lit(None).cast("string").alias("reason"), F.when(F.col("seed") == 2, F.lit("old")).otherwise(F.lit("now")).alias("digest")), "statuses")
+    runs.write_runs(root, {"families": families.where("seed <= 3").drop("tuning_value")}, statuses.where("seed <= 3"))
+    runs.write_runs(root, {"families": families.where("seed > 3")}, statuses.where("seed > 3"))
+    planned = spark.range(1, 9).select(F.lit("main").alias("mode"), F.lit("main").alias("experiment"), F.col("id").alias("seed"), F.lit(0).cast("long").alias("salt"), F.lit("now").alias("digest"))
+    found = runs.collect_evidence(spark, root, planned, ["families"])
+    told = found.tables["families"].groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"), F.count("tuning_value").alias("tuned"))
+    return found.index.select("seed", "status").join(told, "seed", "left")
