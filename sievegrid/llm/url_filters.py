@@ -7,8 +7,11 @@ blocked host is suspect. Seeds are the hosts of pages that an allowing or blocki
 without a rule gets its host's verdict: block if distrust is above ``threshold`` times trust by more than the share EVEN.
 
 Ranks are the fixed point in which mass at hosts without edges onward returns to the seeds. It is proportional to the sum
-over all walks from the seeds, so rounds add the walks of one more step, until they add less than ``tolerance`` of
-the whole, and the sums are scaled to 1 at the end. Both sides walk together.
+over all walks from the seeds, to which a step adds the walks that are one longer; the sums are scaled to 1 at the end. After every few
+steps the iterates are combined with the weights, adding to 1, whose combined last moves are least (reduced rank extrapolation);
+the weights come from the moves' inner products, a few numbers for the whole table. Steps shrink what is missing to ``damping`` of
+it at least, so the last step's size bounds the error: rounds end when it is below ``tolerance`` of the whole, however the weights were.
+Both sides walk together, with the same weights.
 
 Each step is a join of ranks with edges and a grouped sum, map-side combined. Edges are kept in buckets by their start,
 so that rounds shuffle ranks only; a host of many edges has them in several buckets, and its rank goes to each.
@@ -19,6 +22,7 @@ links; repeated rows get repeated results; an empty table gives an empty one; no
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ from sievegrid.session import bucketed, stage, unstage
 EVEN = 1e-6
 #: Edges of one host to a bucket, about.
 EDGES_PER_SALT = 100_000
-#: Rounds between two looks at what they add.
+#: Steps from one combination to the next.
 STRIDE = 8
 # Suffixes of two labels under which names are registered. Callers with the whole public list pass theirs.
 SUFFIXES = (
@@ -81,8 +85,8 @@ def host_edges(pages: DataFrame, host: str, html: str, suffixes: tuple[str, ...]
     return both.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most_rounds: int = 2000) -> DataFrame:
-    """(side, host, rank): personalised PageRank on each side, its ranks summing to 1.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, most_rounds: int = 2000) -> DataFrame:
+    """(side, host, rank): personalised PageRank on each side, its ranks summing to 1, in all within about ``tolerance`` of them.
 
     edges: (side, src, dst, weight); seeds: (side, host, mass), masses above 0.
     """
@@ -92,30 +96,54 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     steps = steps.select("side", "src", F.pmod(F.xxhash64("dst"), "fans").cast("int").alias("salt"), "dst", (F.col("weight") / F.col("out")).alias("share"), F.coalesce("fans_on", F.lit(0)).alias("next_fans"))
     total = seeds.groupBy("side").agg(F.sum("mass").alias("total"))
     start = seeds.join(total, "side").join(out.select("side", F.col("src").alias("host"), "fans"), ["side", "host"], "left")
-    start = stage(start.select("side", "host", (F.col("mass") / F.col("total") * (1 - damping)).alias("rank"), F.coalesce("fans", F.lit(0)).alias("fans")), "seeds")
-    ranks, sums = start, _sums(start)
+    start = stage(start.select("side", "host", (F.col("mass") / F.col("total") * (1 - damping)).alias("rank"), F.coalesce("fans", F.lit(0)).alias("fans"), F.lit(None).cast("array<double>").alias("past")), "seeds")
+    ranks, before = start.withColumn("past", F.array("rank")), None
+    last = F.element_at("past", -1)
     with bucketed(steps, "host-steps", ["side", "src", "salt"], edges.count()) as kept:
         for _ in range(0, most_rounds, STRIDE):
-            before, at = ranks, sums
-            for _ in range(STRIDE):
-                from_hosts = ranks.where("fans > 0").select("side", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"))
-                moved = from_hosts.join(kept, ["side", "src", "salt"]).select("side", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.col("next_fans").alias("fans"))
-                ranks = moved.unionByName(start).groupBy("side", "host").agg(F.sum("rank").alias("rank"), F.max("fans").alias("fans"))
+            for k in range(1, STRIDE + 1):
+                spread = ranks.select("side", F.col("host").alias("src"), last.alias("rank"), "fans", "past", F.explode(F.sequence(F.lit(-1), F.col("fans") - 1)).alias("salt"))
+                spread = spread.withColumn("past", F.when(F.col("salt") < 0, F.col("past")))  # salt -1 keeps a host's own row, the plan reads ranks once
+                moved = spread.join(kept, ["side", "src", "salt"], "left").where("salt < 0 or dst is not null")
+                own = F.col("salt") < 0
+                moved = moved.select(
+                    "side",
+                    F.when(own, F.col("src")).otherwise(F.col("dst")).alias("host"),
+                    F.when(own, F.lit(0.0)).otherwise(F.col("rank") * F.col("share") * damping).alias("rank"),
+                    F.when(own, F.col("fans")).otherwise(F.col("next_fans")).alias("fans"),
+                    "past",
+                )
+                every = moved.unionByName(start)
+                past = F.coalesce(F.max("past"), F.array_repeat(F.lit(0.0), k))
+                ranks = every.groupBy("side", "host").agg(F.max("fans").alias("fans"), F.concat(past, F.array(F.sum("rank"))).alias("past"))
             ranks = stage(ranks, "ranks")
-            sums = _sums(ranks)
-            if before is not start:
+            if before is not None:
                 unstage(before)
-            if all(sums[side] - at[side] <= tolerance * sums[side] for side in sums):
-                return ranks.join(_as_rows(ranks), "side").select("side", "host", (F.col("rank") / F.col("total")).alias("rank"))
+            moves = _moves(ranks)
+            if all(m["last"] * damping <= tolerance * (1 - damping) * m["total"] for m in moves):
+                scaled = ranks.join(ranks.groupBy("side").agg(F.sum(last).alias("total")), "side")
+                return scaled.select("side", "host", F.greatest(last / F.col("total"), F.lit(0.0)).alias("rank"))
+            weights = _least_move(sum(np.array(m["products"]) for m in moves))
+            before, ranks = ranks, ranks.withColumn("past", F.array(sum(F.col("past")[j + 1] * float(w) for j, w in enumerate(weights))))
     raise RuntimeError(f"ranks did not settle in {most_rounds} rounds")
 
 
-def _as_rows(ranks: DataFrame) -> DataFrame:
-    return ranks.groupBy("side").agg(F.sum("rank").alias("total"))
+def _moves(ranks: DataFrame) -> list:
+    """A row a side: its ranks' sum, the last step's size and the inner products of all steps."""
+    step = [F.col("past")[j + 1] - F.col("past")[j] for j in range(STRIDE)]
+    products = F.array(*[F.sum(a * b) for a in step for b in step])
+    return ranks.groupBy("side").agg(F.sum(F.element_at("past", -1)).alias("total"), F.sum(F.abs(step[-1])).alias("last"), products.alias("products")).collect()
 
 
-def _sums(ranks: DataFrame) -> dict[str, float]:
-    return {r["side"]: r["total"] for r in _as_rows(ranks).collect()}  # a row a side
+def _least_move(products: np.ndarray) -> np.ndarray:
+    """The weights, adding to 1, of least combined move; the last step alone where rounding leaves none."""
+    gram = products.reshape(STRIDE, STRIDE)
+    size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    found = np.linalg.solve(gram / np.outer(size, size) + 1e-13 * np.eye(STRIDE), 1 / size) / size
+    alone = np.eye(STRIDE)[-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weights = found / found.sum()
+    return weights if np.isfinite(weights).all() and np.abs(weights).sum() < 1e6 else alone
 
 
 def url_filter(
@@ -125,7 +153,7 @@ def url_filter(
     url_col: str = "url",
     html_col: str = "html",
     damping: float = 0.85,
-    tolerance: float = 1e-8,
+    tolerance: float = 1e-10,
     threshold: float = 1.0,
     suffixes: tuple[str, ...] = SUFFIXES,
 ) -> DataFrame:
