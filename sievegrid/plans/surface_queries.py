@@ -185,10 +185,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_regionkey", "n_nationkey").groupBy("n_regionkey").applyInPandas(reduce, "n_regionkey long, n long, middle double")
 
 
-@query("p42_approximate", "SELECT true AS near")
+@query("p42_approximate", "SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS near FROM lineitem GROUP BY 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    near = F.abs(F.approx_count_distinct("l_orderkey", 0.02) / F.count_distinct("l_orderkey") - 1) < 0.1
-    return table(spark, sf, "lineitem").agg(near.alias("near"))
+    """The exact counts, and whether the sketches' counts are within a tenth of them."""
+    exact = F.count_distinct("l_orderkey")
+    near = F.abs(F.approx_count_distinct("l_orderkey", 0.02) / exact - 1) < 0.1
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(exact.alias("orders"), near.alias("near"))
 
 
 @query("p47_row_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders")
@@ -254,10 +256,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_release(spark, path, base=path).groupBy("c_mktsegment").agg(_n())
 
 
-@query("d03_validate", "SELECT name, name <> 'label_rule' AS passed, 0 AS negative, (SELECT count(*) FILTER (WHERE l_linenumber > 1) FROM lineitem) AS non_binary FROM (VALUES ('contract'), ('unique_hashes'), ('label_rule')) v(name)")
+@query(
+    "d03_validate",
+    f"""WITH a AS (SELECT count(*) AS n, count(DISTINCT {T.LINE_SQL}) AS k, count(*) FILTER (WHERE l_linenumber < 0) AS negative, count(*) FILTER (WHERE l_linenumber NOT IN (0, 1)) AS non_binary, bool_and(CASE WHEN l_returnflag = 'R' THEN l_quantity::BIGINT >= 10 ELSE l_quantity::BIGINT = 0 END) AS rule FROM lineitem)
+ SELECT 'contract' AS name, n = (SELECT count(*) FROM lineitem) AND negative = 0 AS passed, negative, non_binary FROM a UNION ALL SELECT 'unique_hashes', n = k, negative, non_binary FROM a UNION ALL SELECT 'label_rule', rule, negative, non_binary FROM a""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem")
-    line = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
     release = rows.select(line.alias("hash"), F.col("l_linenumber").alias("feat_0"), (F.col("l_quantity") > 10).cast("int").alias("feat_1"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_quantity").cast("long").alias("vt_count"))
     return prep.check_release(release, ["feat_0", "feat_1"], rows.count(), 10, 0)
 
@@ -288,10 +294,24 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("p_partkey", "p_brand").join(ids, "p_brand").select("p_partkey", "id")
 
 
-@query("d43_namespaces", "SELECT name, name = 'unique_keys' AS passed FROM (VALUES ('row_counts'), ('unique_keys'), ('same_keys')) v(name)")
+_PARTS_OF_LINES = "(SELECT DISTINCT l_partkey FROM lineitem)"
+
+
+@query(
+    "d43_namespaces",
+    f"""SELECT 'row_counts' AS name, (SELECT count(*) FROM part) = (SELECT count(*) FROM {_PARTS_OF_LINES}) AS passed
+ UNION ALL SELECT 'unique_keys', (SELECT count(*) = count(DISTINCT p_partkey) FROM part)
+ UNION ALL SELECT 'same_keys', NOT EXISTS (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM {_PARTS_OF_LINES}) AND NOT EXISTS (SELECT l_partkey FROM {_PARTS_OF_LINES} EXCEPT SELECT p_partkey FROM part)
+ UNION ALL SELECT 'lines_row_counts', (SELECT count(*) FROM lineitem) = (SELECT count(*) FROM orders)
+ UNION ALL SELECT 'lines_unique_keys', (SELECT count(*) = count(DISTINCT l_orderkey) FROM lineitem) AND (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders)
+ UNION ALL SELECT 'lines_same_keys', NOT EXISTS (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders) AND NOT EXISTS (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part")
-    return K.same_rows(part, part.where("p_partkey % 2 = 0"), "p_partkey")
+    """Parts against those that lines name; lines against orders, whose keys are not single in lines."""
+    part, item, orders = (table(spark, sf, t) for t in ("part", "lineitem", "orders"))
+    parts = K.same_rows(part, item.select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey")
+    lines = K.same_rows(item.select(F.col("l_orderkey").alias("o_orderkey")), orders, "o_orderkey")
+    return parts.unionByName(lines.withColumn("name", F.concat(F.lit("lines_"), "name")))
 
 
 @query("d46_arm_columns", "SELECT 'local' AS learner, 'peer-present' AS condition, NULL::BIGINT AS dose, NULL::VARCHAR AS parameter, NULL::DOUBLE AS tuning_value, count(*) AS n FROM region")
@@ -459,9 +479,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return K.operating_check(rates.join(status, "alpha").withColumn("metric", F.lit("realised-fpr")), 0.05)
 
 
-@query("v0l_pool_checks", "SELECT name, true AS passed FROM (VALUES ('calibration_own_only'), ('hidden_test_only')) v(name)")
+_POOL_CHECKS = "SELECT '{0}calibration_own_only' AS name, NOT bool_or(role = 'calibration' AND (NOT own OR client <> pool)) AS passed FROM {1} UNION ALL SELECT '{0}hidden_test_only', NOT bool_or(NOT own AND (role <> 'test' OR NOT unseen OR label <> 1)) FROM {1}"
+
+
+@query("v0l_pool_checks", f"WITH {_POOLS}, leaky AS (SELECT * REPLACE (false AS own) FROM pool) {_POOL_CHECKS.format('', 'pool')} UNION ALL {_POOL_CHECKS.format('leaky_', 'leaky')}")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return K.pool_checks(E.pools(T.study(spark, sf), T.targets(spark, sf)))
+    """The pools, and the same with every row marked as from elsewhere, which must fail."""
+    pool = E.pools(T.study(spark, sf), T.targets(spark, sf))
+    leaky = K.pool_checks(pool.withColumn("own", F.lit(False)))
+    return K.pool_checks(pool).unionByName(leaky.withColumn("name", F.concat(F.lit("leaky_"), "name")))
 
 
 _CELLS = f"""{T.FAMILIES}, cell AS (SELECT seed, client, family, learner, population, max(trials) AS trials, max(hits::DOUBLE / trials) FILTER (WHERE condition = 'peer-present') AS peer, max(hits::DOUBLE / trials) FILTER (WHERE condition = 'family-absent') AS absent FROM families WHERE alpha = 0.05 AND dose IS NULL AND parameter IS NULL AND learner <> 'local' GROUP BY ALL)"""
