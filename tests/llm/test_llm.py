@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -679,5 +680,6 @@ def test_queries_with_sql_agree_with_duckdb(spark):
         got, want = QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()
         columns = sorted(got.columns)
         assert columns == sorted(want.columns)
-        rows = lambda df, columns=columns: sorted((tuple("null" if x is None or x != x else round(x, 5) + 0.0 if isinstance(x, float) else x for x in r) for r in df[columns].astype(object).values.tolist()), key=str)
-        assert list(map(str, rows(got))) == list(map(str, rows(want)))
+        one = lambda x: str(x) if isinstance(x, bool) else "null" if pd.isna(x) else f"{float(x) + 0.0:.5f}" if isinstance(x, int | float) else str(x)
+        rows = lambda df, columns=columns, one=one: sorted(tuple(one(x) for x in r) for r in df[columns].astype(object).values.tolist())
+        assert rows(got) == rows(want)
