@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.operators import decomposition as D
 from sievegrid.operators import diagnostics as G
+from sievegrid.operators import dosefits
 from sievegrid.operators import preparation as prep
 from sievegrid.operators import statistics as stat
 from sievegrid.operators import tables as X
@@ -278,6 +279,48 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return G.dose_onsets(G.dose_effects(G.level_means(gains(spark, sf), keys), keys), keys, 0.1, 10)
 
 
+_GROUP = "population, alpha, family"
+_POINT_FITS = f"""{_PAIRS}, gl AS (SELECT population, alpha, coalesce(family, '') AS family, seed, dose_code, avg(gain) AS gain FROM pg WHERE learner = 'fedavg' GROUP BY GROUPING SETS ((population, alpha, seed, dose_code), (population, alpha, family, seed, dose_code))),
+ un AS (SELECT {_GROUP}, count(DISTINCT seed) AS units, avg(gain) FILTER (WHERE dose_code = -1) AS nat FROM gl GROUP BY ALL),
+ kn AS (SELECT *, ln(1 + dose_code) AS z FROM gl WHERE dose_code <> -1),
+ ls AS (SELECT {_GROUP}, sum(gain * z) AS xy, sum(z * z) AS xx, count(*) AS n, sum(gain * gain) AS sq, count(DISTINCT seed) AS measured FROM kn GROUP BY ALL),
+ us AS (SELECT {_GROUP}, seed, sum(gain * z) AS uxy, sum(z * z) AS uxx FROM kn GROUP BY ALL),
+ er AS (SELECT {_GROUP}, seed, avg((gain - (xy - uxy) / (xx - uxx) * z) ** 2) AS e FROM kn JOIN ls USING ({_GROUP}) JOIN us USING ({_GROUP}, seed) GROUP BY ALL),
+ cv AS (SELECT {_GROUP}, avg(e) AS cv FROM er GROUP BY ALL),
+ ll AS (SELECT {_GROUP}, sum((gain - xy / xx * z) ** 2) AS rss FROM kn JOIN ls USING ({_GROUP}) GROUP BY ALL),
+ ds AS (SELECT {_GROUP}, dose_code, count(*) AS n, sum(gain) AS t FROM kn GROUP BY ALL),
+ st AS (SELECT a.population, a.alpha, a.family, a.dose_code AS j, c.dose_code AS k, sum(m.t) / sum(m.n) AS mean FROM ds a JOIN ds c USING ({_GROUP}) JOIN ds m USING ({_GROUP}) WHERE a.dose_code <= c.dose_code AND m.dose_code BETWEEN a.dose_code AND c.dose_code GROUP BY ALL),
+ lo AS (SELECT {_GROUP}, ds.dose_code, j, min(mean) AS m FROM st JOIN ds USING ({_GROUP}) WHERE ds.dose_code BETWEEN j AND k GROUP BY ALL),
+ iso AS (SELECT {_GROUP}, dose_code, max(m) AS f FROM lo GROUP BY ALL),
+ il AS (SELECT {_GROUP}, sum((gain - f) ** 2) AS irss, count(DISTINCT round(f, 10)) AS steps FROM kn JOIN iso USING ({_GROUP}, dose_code) GROUP BY ALL),
+ mm AS (SELECT {_GROUP}, dose_code, t / n AS m, lag(t / n) OVER w AS pm, lag(dose_code) OVER w AS pd FROM ds WINDOW w AS (PARTITION BY {_GROUP} ORDER BY dose_code)),
+ eq AS (SELECT {_GROUP}, arg_max(m, dose_code) AS top, arg_min(m, dose_code) AS bottom, arg_min(pd + (nat - pm) / (m - pm) * (dose_code - pd), dose_code) FILTER (WHERE m >= nat AND pd IS NOT NULL) AS crossing FROM mm JOIN un USING ({_GROUP}) GROUP BY ALL),
+ pf AS (SELECT *, CASE WHEN rss > 1e-12 * sq THEN n * ln(rss / n) + 4 END AS a, CASE WHEN irss > 1e-12 * sq THEN n * ln(irss / n) + 2 * (steps + 1) END AS b FROM un JOIN ls USING ({_GROUP}) JOIN cv USING ({_GROUP}) JOIN ll USING ({_GROUP}) JOIN il USING ({_GROUP}) JOIN eq USING ({_GROUP}) WHERE measured >= 4)"""
+
+
+def dose_models(spark: SparkSession, sf: str, draws: int) -> DataFrame:
+    """Of all families together, family null, and of each."""
+    keys = [*_STRATUM, "seed", "dose_code"]
+    rows = gains(spark, sf).where("learner = 'fedavg'").select(*keys, "family", "gain")
+    both = rows.groupingSets([keys, [*keys, "family"]], *keys, "family").agg(F.avg("gain").alias("gain"))
+    return dosefits.dose_model_table(both, [*_STRATUM, "family"], draws, least=4)
+
+
+@query("g24_model_block")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return dose_models(spark, sf, 2000)
+
+
+@query(
+    "g24_point_fits",
+    f"""WITH {_POINT_FITS} SELECT population, alpha, nullif(family, '') AS family, units, round(xy / xx, 6) AS log_slope, round(a, 6) AS aic_log_linear, round(b, 6) AS aic_isotonic, round(a - b, 6) AS isotonic_gain, round(cv, 6) AS cv_log_linear, round(nat, 6) AS natural_gain, round(top, 6) AS top_dose_gain,
+ CASE WHEN nat IS NULL THEN NULL WHEN nat <= bottom THEN 0.0 ELSE coalesce(round(crossing, 6), 'Infinity'::DOUBLE) END AS equivalent_dose FROM pf""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["units", "log_slope", "aic_log_linear", "aic_isotonic", "isotonic_gain", "cv_log_linear", "natural_gain", "top_dose_gain", "equivalent_dose"]
+    return dose_models(spark, sf, 0).select(*_STRATUM, "family", *columns)
+
+
 _RESPONSES = f"{Q._FAMILY_CURVES}, rs AS (SELECT population, alpha, family, arg_max(gain, dose) FILTER (WHERE dose IS NOT NULL) AS top_gain FROM curves WHERE learner = 'fedavg' GROUP BY ALL)"
 
 
