@@ -136,7 +136,7 @@ def refits(curves: np.ndarray, natural: np.ndarray, doses: np.ndarray, weights:
     return pd.DataFrame(out)
 
 
-def dose_model_table(levels: DataFrame, keys: list[str], draws: int = 2000, block: int = 250, seed: int = 1, level: float = 0.95, least: int = 1, least_cross: int = 3) -> DataFrame:
+def dose_model_table(levels: DataFrame, keys: list[str], draws: int = 2000, block: int = 500, seed: int = 1, level: float = 0.95, least: int = 1, least_cross: int = 3) -> DataFrame:
     """A row a group of ``keys``: three dose models of its curves, one a seed, with intervals over resampled seeds.
 
     ``levels`` holds (keys, seed, dose_code, gain), NATURAL the code of what all that is available gains. Gains of one seed and dose are
@@ -151,7 +151,8 @@ def dose_model_table(levels: DataFrame, keys: list[str], draws: int = 2000, bloc
     inner = {f"key_{i}": k for i, k in enumerate(keys)}  # keys may be called as what is computed here
     cells = clean.select(*[F.col(k).alias(i) for i, k in inner.items()], "seed", "dose_code", "gain").groupBy(*inner, "seed", "dose_code").agg(F.avg(F.col("gain").cast("double")).alias("gain"))
     count = -(-draws // block)
-    blocks = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count))))
+    parts = max(count + 1, int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be coalesced
+    blocks = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count)))).repartition(parts, *inner, "block")
     kinds = dict(levels.dtypes)
     numbers = ["natural_gain", "top_dose_gain", "equivalent", *[f"aic_{m}" for m in MODELS], "log_slope", "emax_top", "ed50", *[f"cv_{m}" for m in MODELS]]
     schema = {**{i: kinds[k] for i, k in inner.items()}, "own": "boolean", "enough": "boolean", "units": "long", "top_dose": "double", **dict.fromkeys(numbers, "double")}
@@ -169,7 +170,8 @@ def dose_model_table(levels: DataFrame, keys: list[str], draws: int = 2000, bloc
         if b > 0:
             chosen = [np.random.default_rng([seed, d]).integers(0, units, units) for d in range((b - 1) * block, min(b * block, draws))]
             weights = np.stack([np.bincount(c, minlength=units) for c in chosen]).astype(float)
-        out = refits(curves, natural, doses, weights)
+        weights, same = np.unique(weights, axis=0, return_inverse=True)  # few seeds are drawn alike again and again
+        out = refits(curves, natural, doses, weights).iloc[same.ravel()].reset_index(drop=True)
         for model in MODELS:
             out[f"cv_{model}"] = cross_validated(curves, doses, model) if b == 0 and units >= least_cross else np.nan
         return out.assign(**named, enough=True, top_dose=doses[-1])
