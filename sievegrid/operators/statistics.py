@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from statistics import NormalDist
 
 import numpy as np
@@ -190,7 +190,8 @@ class CrossedSums:
     """Sums of batches of crossed designs, all that their restricted likelihoods need: a matrix of as many rows as levels, not observations.
 
     both: (batch, levels, levels) rows that two levels share; total: (batch, levels) sums of the response, whose mean is 0;
-    n, square: (batch,) rows and the sum of squares; sizes: levels of each factor, in order.
+    n, square: (batch,) rows and the sum of squares; sizes: levels of each factor, in order. An interaction of factors stays out of ``both``:
+    pairs: (batch, pairs, levels) rows that a pair and a level share, pair_total: (batch, pairs); it has its own variance where ``paired``.
     """
 
     both: np.ndarray
@@ -198,49 +199,77 @@ class CrossedSums:
     n: np.ndarray
     square: np.ndarray
     sizes: tuple[int, ...]
+    pairs: np.ndarray
+    pair_total: np.ndarray
+    paired: bool = False
 
     def take(self, rows: np.ndarray) -> CrossedSums:
-        return CrossedSums(self.both[rows], self.total[rows], self.n[rows], self.square[rows], self.sizes)
+        return replace(self, **{c: getattr(self, c)[rows] for c in ("both", "total", "n", "square", "pairs", "pair_total")})
 
 
 def _moments(s: CrossedSums, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(y'P G P y, trace of P G) of each component by Henderson's equations, at variances v (batch, components)."""
+    """(y'P G P y, trace of P G) of each component by Henderson's equations, at variances v (batch, components).
+
+    Pairs are disjoint sets of rows, so what they and the residual make of the covariance inverts pair by pair (``shrink``), and the matrix
+    inverted has the other levels only.
+    """
     noise = v[:, -1] + 1e-10
-    root = np.sqrt(np.repeat(v[:, :-1], s.sizes, axis=1))
-    inner = root[:, :, None] * s.both * root[:, None] + noise[:, None, None] * np.eye(s.both.shape[1])
-    m = root[:, :, None] * np.linalg.inv(inner) * root[:, None]
-    one = np.diagonal(s.both, axis1=1, axis2=2)[:, : s.sizes[0]].sum(1)  # each row has one level of the first factor
+    main = len(s.sizes)
+    root = np.sqrt(np.repeat(v[:, :main], s.sizes, axis=1))
     ones = np.diagonal(s.both, axis1=1, axis2=2)  # a level's rows are its sum of ones
+    size = s.pairs[:, :, : s.sizes[0]].sum(2)  # each row has one level of the first factor
+    pair = v[:, main] if s.paired else np.zeros(len(v))
+    shrink = pair[:, None] / (noise[:, None] + pair[:, None] * size)
     apply = lambda a, x: np.einsum("bij,bj->bi", a, x)
+    back = lambda x: np.einsum("bpi,bp->bi", s.pairs, x)
     dot = lambda x, y: (x * y).sum(1)
-    m1, wm = apply(m, ones), s.both @ m
-    c = (one - dot(ones, m1)) / noise
-    beta = (0 - dot(s.total, m1)) / noise / c
-    left = s.total - beta[:, None] * ones  # the residual's sums by level
+    inside = lambda weight: s.both - s.pairs.transpose(0, 2, 1) @ (s.pairs * weight[:, :, None]) if s.paired else s.both
+    w = inside(shrink)
+    inner = root[:, :, None] * w * root[:, None] + noise[:, None, None] * np.eye(w.shape[1])
+    m = root[:, :, None] * np.linalg.inv(inner) * root[:, None]
+    one = ones - back(shrink * size)
+    m1, wm = apply(m, one), w @ m
+    c = (s.n - dot(shrink * size, size) - dot(one, m1)) / noise
+    beta = (-dot(shrink * size, s.pair_total) - dot(s.total - back(shrink * s.pair_total), m1)) / noise / c
+    left, pair_left = s.total - beta[:, None] * ones, s.pair_total - beta[:, None] * size  # the residual's sums by level and pair
     square = s.square + beta**2 * s.n
-    ml = apply(m, left)
-    by_level = (left - apply(wm, left)) / noise[:, None]
-    one_level = (ones - apply(wm, ones)) / noise[:, None]
-    spread = (np.diagonal(s.both, axis1=1, axis2=2) - (wm * s.both).sum(2)) / noise[:, None]
+    twice = shrink * (2 - shrink * size)
+
+    def solved(squares: np.ndarray, sums: np.ndarray, pair_sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the inverse covariance times a vector: its sums by level, by pair, its square."""
+        b = apply(m, sums - back(shrink * pair_sums))
+        rest = pair_sums - apply(s.pairs, b)
+        by_level = (sums - apply(s.both, b) - back(shrink * rest)) / noise[:, None]
+        by_pair = rest * (1 - shrink * size) / noise[:, None]
+        return by_level, by_pair, (squares - 2 * dot(sums, b) + dot(b, apply(s.both, b)) - dot(twice * rest, rest)) / noise**2
+
+    by_level, by_pair, up_rest = solved(square, left, pair_left)
+    one_level, one_pair, one_rest = solved(s.n, ones, size)
+    spread = (np.diagonal(w, axis1=1, axis2=2) - (wm * w).sum(2)) / noise[:, None]
     ends = np.cumsum((0, *s.sizes[:-1]))
-    up = np.add.reduceat(by_level**2, ends, axis=1)
-    trace = np.add.reduceat(spread - one_level**2 / c[:, None], ends, axis=1)
-    whole = lambda square, sums, solved: (square - 2 * dot(sums, solved) + dot(solved, apply(s.both, solved))) / noise**2
-    up_rest = whole(square, left, ml)
-    trace_rest = (s.n - np.trace(wm, axis1=1, axis2=2)) / noise - whole(s.n, ones, m1) / c
-    return np.column_stack([up, up_rest]), np.column_stack([trace, trace_rest])
+    up = [*np.add.reduceat(by_level**2, ends, axis=1).T]
+    trace = [*np.add.reduceat(spread - one_level**2 / c[:, None], ends, axis=1).T]
+    if s.paired:
+        kept = 1 - shrink * size
+        seen = s.pairs * kept[:, :, None]
+        pair_spread = (size * kept - ((seen @ m) * seen).sum(2)) / noise[:, None]
+        up.append((by_pair**2).sum(1))
+        trace.append((pair_spread - one_pair**2 / c[:, None]).sum(1))
+    trace_rest = (s.n - dot(shrink, size) - (m * inside(twice)).sum((1, 2))) / noise - one_rest / c
+    return np.column_stack([*up, up_rest]), np.column_stack([*trace, trace_rest])
 
 
 def reml_sums(s: CrossedSums, start: np.ndarray | None = None, rounds: int = 5000) -> np.ndarray:
     """(batch, components): variances of the crossed effects and the residual, last, by multiplicative steps on the restricted likelihood, extrapolated from two to the next."""
     scale = s.square / s.n
     live = np.flatnonzero(scale > 1e-15)
-    k = len(s.sizes) + 1
+    k = len(s.sizes) + s.paired + 1
     out = np.zeros((len(scale), k))
     if not len(live):
         return out
     t = s.take(live)
-    t = CrossedSums(t.both, t.total / np.sqrt(scale[live])[:, None], t.n, t.n.astype(float), t.sizes)
+    unit = np.sqrt(scale[live])[:, None]
+    t = replace(t, total=t.total / unit, pair_total=t.pair_total / unit, square=t.n.astype(float))
     v = np.full((len(live), k), 1 / k) if start is None else np.maximum(start[live] / scale[live][:, None], 1e-4)
     def step(t: CrossedSums, x: np.ndarray) -> np.ndarray:
         up, trace = _moments(t, np.exp(x))
@@ -263,8 +292,11 @@ def reml_sums(s: CrossedSums, start: np.ndarray | None = None, rounds: int = 500
     return out
 
 
-def crossed_sums(n: np.ndarray, total: np.ndarray, square: np.ndarray, factors: list[np.ndarray], draws: np.ndarray | None = None) -> CrossedSums:
-    """Sums of a design from those of its cells. draws: (batch, k) levels of the last factor, each taken as a level of its own; None for the design itself."""
+def crossed_sums(n: np.ndarray, total: np.ndarray, square: np.ndarray, factors: list[np.ndarray], draws: np.ndarray | None = None, pair: tuple[int, ...] = ()) -> CrossedSums:
+    """Sums of a design from those of its cells. draws: (batch, k) levels of the last factor, each taken as a level of its own; None for the design itself.
+
+    pair: places of the factors, not the last, whose levels together have a variance of their own.
+    """
     codes = [np.unique(f, return_inverse=True)[1] for f in factors]
     sizes = [int(c.max()) + 1 for c in codes]
     first, q = np.cumsum([0, *sizes[:-2]]), sum(sizes[:-1])
@@ -284,15 +316,25 @@ def crossed_sums(n: np.ndarray, total: np.ndarray, square: np.ndarray, factors:
     out[:, q:, :q] = levels[draws]
     out[:, :q, q:] = levels[draws].transpose(0, 2, 1)
     out[:, q + np.arange(k), q + np.arange(k)] = size
+    both_codes = np.unique(np.stack([codes[i] for i in pair]), axis=1, return_inverse=True)[1].ravel() if pair else np.empty(0, dtype=int)
+    pairs = int(both_codes.max()) + 1 if pair else 0
+    met, pair_sums, pair_rows = np.zeros((sizes[-1], pairs, q)), np.zeros((sizes[-1], pairs)), np.zeros((sizes[-1], pairs))
+    if pair:
+        np.add.at(pair_sums, (codes[-1], both_codes), total)
+        np.add.at(pair_rows, (codes[-1], both_codes), n)
+        for a, i in zip(codes[:-1], first, strict=True):
+            np.add.at(met, (codes[-1], both_codes, i + a), n)
+    times = np.stack([np.bincount(d, minlength=sizes[-1]) for d in draws]).astype(float)
+    linked = np.concatenate([np.tensordot(times, met, 1), pair_rows[draws].transpose(0, 2, 1)], axis=2)
     rows, mean = size.sum(1), value.sum(1) / size.sum(1)
     totals = np.concatenate([sums[draws].sum(1), value], axis=1) - mean[:, None] * np.diagonal(out, axis1=1, axis2=2)
-    return CrossedSums(out, totals, rows, np.maximum(squares.sum(1) - rows * mean**2, 0), (*sizes[:-1], k))
+    return CrossedSums(out, totals, rows, np.maximum(squares.sum(1) - rows * mean**2, 0), (*sizes[:-1], k), linked, times @ pair_sums - mean[:, None] * (times @ pair_rows), bool(pair))
 
 
-def reml(response: np.ndarray, factors: list[np.ndarray], start: np.ndarray | None = None, rounds: int = 5000) -> np.ndarray:
-    """Variance components of crossed random effects and the residual, last, of the greatest restricted likelihood."""
+def reml(response: np.ndarray, factors: list[np.ndarray], start: np.ndarray | None = None, rounds: int = 5000, pair: tuple[int, ...] = ()) -> np.ndarray:
+    """Variance components of crossed random effects, their pair if any, and the residual, last, of the greatest restricted likelihood."""
     y = response - response.mean()
-    return reml_sums(crossed_sums(np.ones(len(y)), y, y * y, factors), None if start is None else np.asarray(start)[None], rounds)[0]
+    return reml_sums(crossed_sums(np.ones(len(y)), y, y * y, factors, pair=pair), None if start is None else np.asarray(start)[None], rounds)[0]
 
 
 def _as_shares(v: np.ndarray) -> np.ndarray:
@@ -300,15 +342,32 @@ def _as_shares(v: np.ndarray) -> np.ndarray:
     return np.divide(v, total, out=np.zeros_like(v), where=total > 0)
 
 
-def reml_shares(response: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
-    return _as_shares(reml(response, factors))
+def reml_shares(response: np.ndarray, factors: list[np.ndarray], pair: tuple[int, ...] = ()) -> np.ndarray:
+    return _as_shares(reml(response, factors, pair=pair))
+
+
+#: Numbers that the pairs of draws fitted together may take.
+PAIR_CELLS = 4_000_000
+
+
+def _pair_fits(parts: list[np.ndarray], codes: list[np.ndarray], chosen: np.ndarray, start: np.ndarray, pair: tuple[int, ...]) -> np.ndarray:
+    """Fits of drawn levels; their order tells nothing, so those alike are fitted once."""
+    drawn, same = np.unique(np.sort(chosen, axis=1), axis=0, return_inverse=True)
+    own = crossed_sums(*parts, codes, pair=pair)
+    some = max(1, PAIR_CELLS // max(own.pairs.size, 1))
+    cut = [drawn[i : i + some] for i in range(0, len(drawn), some)]
+    found = [reml_sums(crossed_sums(*parts, codes, d, pair), np.repeat(start, len(d), 0)) for d in cut]
+    return np.concatenate(found)[same.ravel()]
 
 
-def reml_share_table(cells: DataFrame, group: str, factors: list[str], value: str, draws: int = 2000, block: int = 100, seed: int = 1, level: float = 0.95) -> DataFrame:
+def reml_share_table(cells: DataFrame, group: str, factors: list[str], value: str, draws: int = 2000, block: int = 100, seed: int = 1, level: float = 0.95, pair: tuple[str, ...] = ()) -> DataFrame:
     """(group, source, share, low, high): shares of the variance, with percentile intervals over resampled levels of the last factor.
 
-    Fits see sums by cell of the factors alone; draws are fitted in blocks, which run in parallel, from the group's own fit on.
+    Fits see sums by cell of the factors alone; draws are fitted in blocks, which run in parallel, from the group's own fit on. ``pair`` names
+    factors, not the last, whose levels together are a source too; draws alike are fitted once, as many at a time as ``PAIR_CELLS`` allows.
     """
+    if pair and (factors[-1] in pair or not set(pair) <= set(factors)):
+        raise ValueError(f"a pair is of factors other than the last: {pair}")
     sums = cells.where(F.col(value).isNotNull()).groupBy(group, *factors).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("square"))
     count = -(-draws // block)
     blocks = sums.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count)))).repartition(count + 1, group, "block")  # few bytes, much work
@@ -318,15 +377,16 @@ def reml_share_table(cells: DataFrame, group: str, factors: list[str], value: st
         g = rows.sort_values(factors)
         parts = [g[c].to_numpy(float) for c in ("n", "total", "square")]
         codes = [g[c].astype("category").cat.codes.to_numpy() for c in factors]
-        own = reml_sums(crossed_sums(*parts, codes))
+        places = tuple(factors.index(c) for c in pair)
+        own = reml_sums(crossed_sums(*parts, codes, pair=places))
         b, found = int(rows["block"].iloc[0]), own
         if b > 0:
             k = len(np.unique(codes[-1]))
             chosen = np.stack([np.random.default_rng([seed, d]).integers(0, k, k) for d in range((b - 1) * block, min(b * block, draws))])
-            some = crossed_sums(*parts, codes, chosen)
-            found = reml_sums(some, np.repeat(own, len(chosen), 0))
+            some = crossed_sums(*parts, codes, chosen) if not pair else None
+            found = reml_sums(some, np.repeat(own, len(chosen), 0)) if not pair else _pair_fits(parts, codes, chosen, own, places)
         shares = _as_shares(found)
-        names = [*factors, "residual"]
+        names = [*factors, *(["-".join(pair)] if pair else []), "residual"]
         return pd.DataFrame({group: rows[group].iloc[0], "own": b == 0, "source": names * len(shares), "share": shares.ravel()})
 
     fitted = blocks.groupBy(group, "block").applyInPandas(reduce, f"`{group}` {kind}, own boolean, source string, share double")

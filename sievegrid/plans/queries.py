@@ -688,6 +688,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return stat.reml_share_table(D.hidden_cells(T.families(spark, sf), 0.05), "population", ["client", "family", "seed"], "knowledge_gain")
 
 
+@query("s19_pair_shares")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares with client and family together as a source of its own, told from the residual by the seeds."""
+    return stat.reml_share_table(D.hidden_cells(T.families(spark, sf), 0.05), "population", ["client", "family", "seed"], "knowledge_gain", pair=("client", "family"))
+
+
 # Descriptors.
 
 

@@ -199,6 +199,74 @@ def test_resampled_sums_are_those_of_the_resampled_rows():
     assert got == pytest.approx(stat.reml(y[chosen], [c[chosen], f[chosen], new]), abs=1e-6)
 
 
+def dense_slopes(y, v, codes):
+    """(slope of the restricted likelihood by log variance, whether the variance may be 0) of each component, from the whole covariance."""
+    grams = [(x[:, None] == x[None]).astype(float) for x in codes] + [np.eye(len(y))]
+    inverse = np.linalg.inv(sum(a * g for a, g in zip(v, grams, strict=True)))
+    p = inverse - np.outer(inverse.sum(1), inverse.sum(1)) / inverse.sum()
+    each = [(p @ y) @ g @ (p @ y) - (p * g).sum() for g in grams]
+    return [(slope * a, a > 1e-6 or slope < 0) for a, slope in zip(v, each, strict=True)]
+
+
+@pytest.mark.parametrize("case", ["balanced", "holes", "no pair effect"])
+def test_pairs_of_levels_are_a_component_of_the_whole_covariance(case):
+    rng = np.random.default_rng(11)
+    c, f, s = (x.ravel() for x in np.meshgrid(np.arange(5), np.arange(8), np.arange(6), indexing="ij"))
+    if case == "holes":
+        stay = (rng.random(len(c)) < 0.6) & ((c + f) % 4 > 0)
+        c, f, s = np.repeat(c[stay], 1 + s[stay] % 2), np.repeat(f[stay], 1 + s[stay] % 2), np.repeat(s[stay], 1 + s[stay] % 2)
+    together = c * 8 + f
+    pair = 0 if case == "no pair effect" else rng.normal(0, 0.6, 40)[together]
+    y = rng.normal(0, 0.5, 5)[c] + rng.normal(0, 0.3, 8)[f] + rng.normal(0, 0.3, 6)[s] + pair + rng.normal(0, 0.4, len(c))
+    v = stat.reml(y, [c, f, s], pair=(0, 1))
+    # in the order of the components: client, family, seed, both together, residual
+    for slope, may in dense_slopes(y, v, [c, f, s, together]):
+        assert abs(slope) < 1e-4 and may
+    assert (v[3] > 0.1) == (case != "no pair effect")
+
+
+def test_resampled_pairs_are_those_of_the_resampled_rows():
+    rng = np.random.default_rng(4)
+    c, f, s = (rng.integers(0, k, 120) for k in (3, 4, 5))
+    y = rng.normal(0, 1, 12)[c * 4 + f] + rng.normal(0, 1, 5)[s] + rng.normal(0, 1, 120)
+    draws = np.array([[0, 3, 3, 1, 4], [3, 0, 1, 4, 3], [2, 2, 2, 2, 0]])
+    got = stat._pair_fits([np.ones(120), y, y * y], [c, f, s], draws, stat.reml(y, [c, f, s], pair=(0, 1))[None], (0, 1))
+    for d, v in zip(draws, got, strict=True):
+        rows = [np.flatnonzero(s == x) for x in d]
+        chosen, new = np.concatenate(rows), np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
+        assert v == pytest.approx(stat.reml(y[chosen], [c[chosen], f[chosen], new], pair=(0, 1)), abs=1e-5)
+
+
+def test_pair_shares_of_the_query_are_those_of_the_dense_likelihood(spark, sf):
+    from sievegrid.operators import decomposition
+    from sievegrid.plans import queries, study
+
+    cells = decomposition.hidden_cells(study.families(spark, sf), 0.05).toPandas()
+    got = queries.QUERIES["s19_pair_shares"](spark, sf).toPandas().set_index(["population", "source"])
+    assert set(got.index.get_level_values(1)) == {"client", "family", "seed", "client-family", "residual"}
+    for population, g in cells.groupby("population"):
+        codes = [g[x].astype("category").cat.codes.to_numpy().astype(int) for x in ("client", "family", "seed")]
+        y = g["knowledge_gain"].to_numpy(float)
+        v = stat.reml(y, codes, pair=(0, 1))
+        shares = [got.loc[(population, x), "share"] for x in ("client", "family", "seed", "client-family", "residual")]
+        assert shares == pytest.approx(list(v / v.sum()), abs=1e-6) and sum(shares) == pytest.approx(1)
+        codes.append(codes[0] * 1000 + codes[1])
+        y = (y - y.mean()) / y.std()
+        for slope, may in dense_slopes(y, v / g["knowledge_gain"].to_numpy(float).var(), codes):
+            assert abs(slope) < 1e-2 and may
+    assert (got["low"] <= got["high"]).all() and (got["high"] > got["low"]).any()
+
+
+def test_pairs_take_factors_that_stay(spark):
+    cells = spark.createDataFrame([("a", 1, 2, 3, 0.5)], "g string, c long, f long, s long, y double")
+    for pair in (("c", "s"), ("c", "other")):
+        with pytest.raises(ValueError, match="other than the last"):
+            stat.reml_share_table(cells, "g", ["c", "f", "s"], "y", pair=pair)
+    one = stat.reml_share_table(cells, "g", ["c", "f", "s"], "y", draws=3, pair=("c", "f")).collect()
+    assert {r["source"] for r in one} == {"c", "f", "s", "c-f", "residual"} and all(r["share"] == 0 for r in one)
+    assert stat.reml_share_table(cells.limit(0), "g", ["c", "f", "s"], "y", draws=3, pair=("c", "f")).count() == 0
+
+
 def test_variance_shares_of_the_query_use_every_seed(spark, sf):
     from sievegrid.operators import decomposition
     from sievegrid.plans import queries, study
