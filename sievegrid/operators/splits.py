@@ -58,20 +58,20 @@ def client_fit_rows(labelled: DataFrame) -> DataFrame:
     return labelled.where("role = 'fit'").groupBy("client").agg(F.count(F.lit(1)).alias("fit_rows"))
 
 
-def _by_role(counts: DataFrame) -> DataFrame:
+def _by_role(counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     part = lambda role: F.sum(F.when(F.col("role") == role, F.col("rows")))
-    return counts.groupBy("client", "family").agg(part("fit").alias("target_fit_rows"), F.coalesce(part("test"), F.lit(0)).alias("target_test_rows"))
+    return counts.groupBy(*keys, "client", "family").agg(part("fit").alias("target_fit_rows"), F.coalesce(part("test"), F.lit(0)).alias("target_test_rows"))
 
 
-def controlled_pairs(counts: DataFrame, fit_rows: DataFrame, rule: dict[str, int]) -> DataFrame:
-    """A row a (client, family) with fit rows, and whether hiding it leaves enough on every side. rule: least counts."""
-    family = Window.partitionBy("family")
+def controlled_pairs(counts: DataFrame, fit_rows: DataFrame, rule: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row a (client, family) with fit rows, and whether hiding it leaves enough on every side. rule: least counts; keys: of several splits."""
+    family = Window.partitionBy(*keys, "family")
     pairs = (
-        _by_role(counts)
+        _by_role(counts, keys)
         .withColumn("total_fit_rows", F.sum("target_fit_rows").over(family))
         .withColumn("federation_test_rows", F.sum("target_test_rows").over(family))
         .where("target_fit_rows is not null")
-        .join(fit_rows, "client")
+        .join(fit_rows, [*keys, "client"])
         .withColumn("peer_fit_rows", F.col("total_fit_rows") - F.col("target_fit_rows"))
     )
     eligible = (
@@ -83,12 +83,13 @@ def controlled_pairs(counts: DataFrame, fit_rows: DataFrame, rule: dict[str, int
     return pairs.withColumn("eligible", eligible)
 
 
-def natural_pairs(counts: DataFrame, fit_rows: DataFrame, max_share: float, peer_min_fit: int, own_test_min: int) -> DataFrame:
+def natural_pairs(counts: DataFrame, fit_rows: DataFrame, max_share: float, peer_min_fit: int, own_test_min: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Every client with every family that has fit rows anywhere; eligible where the client has few and its peers many."""
-    known = _by_role(counts)
-    total = known.groupBy("family").agg(F.sum("target_fit_rows").alias("total_fit_rows")).where("total_fit_rows is not null")
-    grid = fit_rows.select("client").crossJoin(total)
-    pairs = grid.join(known, ["client", "family"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("target_fit_rows", "target_test_rows")})
+    known = _by_role(counts, keys)
+    total = known.groupBy(*keys, "family").agg(F.sum("target_fit_rows").alias("total_fit_rows")).where("total_fit_rows is not null")
+    clients = fit_rows.select(*keys, "client")
+    grid = clients.join(total, list(keys)) if keys else clients.crossJoin(total)
+    pairs = grid.join(known, [*keys, "client", "family"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("target_fit_rows", "target_test_rows")})
     pairs = pairs.withColumn("target_share", F.try_divide(F.col("target_fit_rows"), F.col("total_fit_rows"))).withColumn("peer_fit_rows", F.col("total_fit_rows") - F.col("target_fit_rows"))
     return pairs.withColumn("eligible", (F.col("target_share") <= max_share) & (F.col("peer_fit_rows") >= peer_min_fit) & (F.col("target_test_rows") >= own_test_min))
 
