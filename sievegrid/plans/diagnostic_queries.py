@@ -504,17 +504,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # Reports.
 
 
-@query(
-    "r03_promotion_blocks",
-    "WITH p AS (SELECT 'main' AS experiment, unnest(range(1, 41)) AS seed, 0::BIGINT AS salt) SELECT experiment, seed, salt, CASE WHEN seed % 5 = 0 THEN 'missing' WHEN seed % 7 = 0 THEN 'failed' ELSE 'stale' END AS block FROM p WHERE seed % 5 = 0 OR seed % 7 = 0 OR seed % 9 = 0",
-)
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    planned = spark.range(1, 41).select(F.lit("main").alias("experiment"), F.col("id").alias("seed"), F.lit(0).cast("long").alias("salt"))
-    status = F.when(F.col("seed") % 7 == 0, F.lit("failed")).otherwise(F.lit("completed"))
-    runs = planned.where("seed % 5 <> 0").withColumns({"status": status, "revision": F.when(F.col("seed") % 9 == 0, F.lit("old")).otherwise(F.lit("new"))})
-    return G.promotion_blocks(runs, planned, "new")
-
-
 @query("r04_manifest_check", "SELECT 'part-' || p_partkey AS path, CASE WHEN p_size % 3 = 0 THEN 'missing' WHEN p_size % 3 = 1 AND p_size > 20 THEN 'changed' ELSE 'stray' END AS state FROM part WHERE p_size % 3 = 0 OR (p_size % 3 = 1 AND p_size > 20) OR p_size % 5 = 0")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from sievegrid.session import table

@@ -851,13 +851,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _large(spark, sf).select("learner", "family", X.band_outcome(low, high, 0.15).alias("outcome"))
 
 
-@query("e03_campaign_status", f"WITH p AS (SELECT experiment, seed FROM (VALUES ('first'), ('second')) e(experiment), (SELECT unnest(range(1, 21)) AS seed)), s AS (SELECT *, CASE WHEN seed % 5 = 0 THEN 'missing' WHEN seed % 7 = 0 THEN 'failed' ELSE 'completed' END AS status FROM p) SELECT experiment, count(*) AS planned, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'missing') AS missing FROM s GROUP BY 1")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    planned = spark.createDataFrame([("first",), ("second",)], "experiment string").crossJoin(spark.range(1, 21).toDF("seed")).withColumn("salt", F.lit(0))
-    runs = planned.where("seed % 5 <> 0").withColumn("status", F.when(F.col("seed") % 7 == 0, F.lit("failed")).otherwise(F.lit("completed")))
-    return X.campaign_status(runs, planned, ["completed", "failed", "missing"])
-
-
 @query("g23_dose_models")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """AIC, cross-validated error and equivalent dose of three dose models; a block's curves are one row a seed."""

@@ -434,19 +434,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return K.placebo_checks(sel.placebo_extras(orders, base, choices, "line", 5), chosen)
 
 
-_ARM_TABLE = f"WITH arms(learner, condition, dose, parameter, tuning_value) AS (VALUES {T._ARM_ROWS})"
-
-
-@query("e24_settings", f"{_ARM_TABLE} SELECT condition, dose::BIGINT AS dose, count(*) AS n FROM arms GROUP BY 1, 2")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(T.ARMS, T.ARM_SCHEMA).groupBy("condition", "dose").agg(_n())
-
-
-@query("e25_planned_arms", f"{_ARM_TABLE} SELECT learner, count(*) AS n FROM arms GROUP BY 1")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(T.ARMS, T.ARM_SCHEMA).groupBy("learner").agg(_n())
-
-
 # Evaluation and statistics.
 
 
@@ -540,9 +527,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return T.families(spark, sf).where("trials > 0").select("client", "family").distinct()
 
 
-@query("g02_arm_label", f"{_ARM_TABLE} SELECT CASE WHEN learner = 'local' THEN 'local' WHEN condition = 'full-exposure' THEN 'full exposure' WHEN condition = 'family-absent' THEN learner || ' without the family' WHEN dose IS NOT NULL THEN learner || ' at ' || dose || ' rows' ELSE learner || ' with peers' END AS label, count(*) AS n FROM arms GROUP BY 1")
+@query("g02_arm_label", f"WITH {T.FAMILIES} SELECT CASE WHEN learner = 'local' THEN 'local' WHEN condition = 'full-exposure' THEN 'full exposure' WHEN condition = 'family-absent' THEN learner || ' without the family' WHEN dose IS NOT NULL THEN learner || ' at ' || dose || ' rows' ELSE learner || ' with peers' END AS label, count(*) AS n FROM families GROUP BY 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(T.ARMS, T.ARM_SCHEMA).groupBy(K.arm_label(F.col("learner"), F.col("condition"), F.col("dose")).alias("label")).agg(_n())
+    return T.families(spark, sf).groupBy(K.arm_label(F.col("learner"), F.col("condition"), F.col("dose")).alias("label")).agg(_n())
 
 
 @query("g30_groups", f"WITH {_CELLS}, f AS (SELECT learner, family, avg(peer - absent) AS gain FROM cell GROUP BY 1, 2) SELECT learner, family AS \"group\", round(gain, 6) AS gain FROM f UNION ALL SELECT learner, 'all families', round(avg(gain), 6) FROM f GROUP BY 1")

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sievegrid.plans.run_queries import ORACLE, QUERIES
+from sievegrid.plans.campaign_queries import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
