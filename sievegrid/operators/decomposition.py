@@ -144,5 +144,7 @@ def worst_clients(clients: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def classify_rescue(effects: DataFrame, poor: float) -> DataFrame:
-    level = F.when(F.col("full_recall").isNull(), F.lit("not-classifiable")).when(F.col("peer_recall") >= F.lit(poor), F.lit("rescued")).otherwise(F.lit("poorly-rescued"))
+    """Adds level: whether full exposure brings a family's recall to ``poor`` at least; without that arm it can't be told."""
+    full = F.col("full_recall")
+    level = F.when(full.isNull(), F.lit("not-classifiable")).when(full < F.lit(poor), F.lit("poorly-rescued")).otherwise(F.lit("rescued"))
     return effects.withColumn("level", level)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions.primitives import arm_values, n_unique, safe_sum
 from sievegrid.operators import statistics as stat
-from sievegrid.operators.evaluation import recall_at_fpr
+from sievegrid.operators.evaluation import fpr_crossings
 
 RUN = ["experiment", "seed", "salt"]
 CELL = [*RUN, "population", "alpha", "client", "family"]
@@ -246,19 +246,28 @@ def scored_targets(rows: DataFrame, targets: DataFrame, thresholds: DataFrame, s
     """A row a target: recall and false positives at its client's threshold, recall at equal test FPR, and the stored recall.
 
     Negatives are the client's benign test rows, positives the family's test rows anywhere. stored: (client, family, hits, trials).
+    Negatives are counted once a client, not once a target: where their rate passes ``alpha`` does not depend on the positives.
+    Without positives recalls are null, without negatives rates and equal_fpr_recall; a target without either is left out.
     """
     test, pairs = rows.where("role = 'test'"), targets.select("client", "family").distinct()
-    negative = test.where("label = 0").select("client", "score").join(pairs, "client").withColumn("label", F.lit(0))
-    positive = test.where("label = 1").select("family", "score").join(pairs, "family").withColumn("label", F.lit(1))
-    both = negative.select("client", "family", "label", "score").unionByName(positive.select("client", "family", "label", "score"))
     at = thresholds.where(F.col("alpha") == alpha).select("client", "threshold")
-    above, bad = F.col("score") > F.col("threshold"), F.col("label") == 1
-    counts = both.join(at, "client").groupBy("client", "family", "threshold").agg(
-        F.count_if(~bad).alias("benign_test"), F.count_if(bad).alias("positive_test"), F.try_divide(F.count_if(above & bad), F.count_if(bad)).alias("calibrated_recall"), F.try_divide(F.count_if(above & ~bad), F.count_if(~bad)).alias("calibrated_fpr")
+    above, n = F.col("score") > F.col("threshold"), F.count(F.lit(1))
+    benign = test.where("label = 0").select("client", "score")
+    rates = benign.join(at, "client").groupBy("client").agg(n.alias("benign_test"), F.count_if(above).alias("false_positives"))
+    facts = at.join(rates, "client", "left").join(fpr_crossings(benign, ["client"], alpha), "client", "left")  # a row a client
+    wanted = pairs.join(facts, "client")
+    seen = test.where("label = 1").select("family", "score").join(wanted.select("client", "family", "threshold", "crossing"), "family")
+    counts = seen.groupBy("client", "family").agg(
+        n.alias("positives"), F.count("score").alias("scored"), F.count_if(above).alias("hits"), F.count_if(F.col("score") > F.col("crossing")).alias("over"), F.count_if(F.col("score") >= F.col("crossing")).alias("with")
     )
-    equal = recall_at_fpr(both, ["client", "family"], alpha).withColumnRenamed("recall", "equal_fpr_recall")
+    slope = (F.lit(alpha) - F.col("crossing_below")) / (F.col("crossing_at") - F.col("crossing_below"))
+    equal = F.when(F.col("crossing").isNotNull(), F.try_divide(F.col("over") + (F.col("with") - F.col("over")) * slope, F.col("scored").cast("double")))
     known = stored.select("client", "family", F.try_divide("hits", "trials").alias("stored_recall"), F.col("trials").alias("stored_trials"))
-    return counts.join(equal, ["client", "family"], "left").join(known, ["client", "family"], "left")
+    told = wanted.join(counts, ["client", "family"], "left").na.fill(0, ["benign_test", "positives"]).where("benign_test + positives > 0")
+    told = told.select(
+        "client", "family", "threshold", "benign_test", F.col("positives").alias("positive_test"), F.try_divide("hits", "positives").alias("calibrated_recall"), F.try_divide("false_positives", "benign_test").alias("calibrated_fpr"), equal.alias("equal_fpr_recall")
+    )
+    return told.join(known, ["client", "family"], "left")
 
 
 def sensitivity_scenarios(paired: DataFrame, keys: list[str], value: str, valid: Column, resamples: int = 9999) -> DataFrame:

@@ -118,6 +118,17 @@ def recall_at_fpr(rows: DataFrame, groups: list[str], fpr: float, label: str = "
     return inside.select(*groups, at.alias("recall"))
 
 
+def fpr_crossings(negatives: DataFrame, groups: list[str], fpr: float, score: str = "score") -> DataFrame:
+    """(groups, crossing, crossing_below, crossing_at): the score at which the negatives' rate, from the top, passes ``fpr``, and the rates above and with it.
+
+    ROC curves of many sets of positives against the same negatives pass ``fpr`` at this score, whatever the positives are.
+    """
+    curve = prefix_by_value(negatives, groups, score, {"q": F.count(F.lit(1))})
+    above = F.col("q_all") - F.col("q_before") - F.col("q")
+    rates = curve.select(*groups, F.col(score).alias("crossing"), (above / F.col("q_all")).alias("crossing_below"), ((above + F.col("q")) / F.col("q_all")).alias("crossing_at"))
+    return rates.where((F.col("crossing_below") <= fpr) & (F.col("crossing_at") > fpr))
+
+
 def summarise(clients: DataFrame, families: DataFrame, discrimination: DataFrame, thresholds: DataFrame, own_min: int, keys: list[str]) -> DataFrame:
     """(keys, alpha, metric, value, operating_status) in long form; keys may hold null."""
     groups = [*keys, "alpha"]

@@ -359,29 +359,30 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SCORED = f"{Q._POOLS}, pairs AS (SELECT DISTINCT client, family FROM targets), both_ AS (SELECT p.client, p.family, 0 AS y, s.score FROM study s JOIN pairs p ON p.client = s.client WHERE s.role = 'test' AND s.label = 0 UNION ALL SELECT p.client, p.family, 1, s.score FROM study s JOIN pairs p ON p.family = s.family WHERE s.role = 'test' AND s.label = 1)"
+_EQUAL = f"""{_SCORED}, k AS (SELECT client, family, score, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS q FROM both_ GROUP BY ALL),
+ c AS (SELECT client, family, score, sum(p) OVER w / sum(p) OVER (PARTITION BY client, family) AS y, sum(q) OVER w / sum(q) OVER (PARTITION BY client, family) AS x FROM k WINDOW w AS (PARTITION BY client, family ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ d AS (SELECT *, coalesce(lag(y) OVER v, 0) AS y0, coalesce(lag(x) OVER v, 0) AS x0 FROM c WINDOW v AS (PARTITION BY client, family ORDER BY score DESC)),
+ e AS (SELECT client, family, y0 + (y - y0) * (0.05 - x0) / (x - x0) AS r FROM d WHERE x0 <= 0.05 AND x > 0.05)"""
 
 
 @query(
     "g26_scored_targets",
-    f"""WITH {_SCORED},
+    f"""WITH {_EQUAL},
  st AS (SELECT family, count(*) FILTER (WHERE score > 0.5) AS hits, count(*) AS trials FROM study WHERE role = 'test' AND label = 1 GROUP BY 1)
  SELECT b.client, b.family, round(threshold, 6) AS threshold, count(*) FILTER (WHERE y = 0) AS benign_test, count(*) FILTER (WHERE y = 1) AS positive_test, round(count(*) FILTER (WHERE y = 1 AND b.score > threshold) / count(*) FILTER (WHERE y = 1), 6) AS calibrated_recall, round(count(*) FILTER (WHERE y = 0 AND b.score > threshold) / count(*) FILTER (WHERE y = 0), 6) AS calibrated_fpr,
- round(any_value(st.hits) / any_value(st.trials), 6) AS stored_recall, any_value(st.trials) AS stored_trials FROM both_ b JOIN thresholds t ON t.client = b.client AND t.alpha = 0.05 LEFT JOIN st ON st.family = b.family GROUP BY b.client, b.family, threshold""",
+ round(any_value(e.r), 6) AS equal_fpr_recall, round(any_value(st.hits) / any_value(st.trials), 6) AS stored_recall, any_value(st.trials) AS stored_trials FROM both_ b JOIN thresholds t ON t.client = b.client AND t.alpha = 0.05 LEFT JOIN st ON st.family = b.family LEFT JOIN e ON e.client = b.client AND e.family = b.family GROUP BY b.client, b.family, threshold""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows, _, thresholds = Q._evaluated(spark, sf)
     targets = T.targets(spark, sf)
     counts = rows.where("role = 'test' and label = 1").groupBy("family").agg(F.count_if(F.col("score") > 0.5).alias("hits"), F.count(F.lit(1)).alias("trials"))
     stored = targets.select("client", "family").distinct().join(counts, "family")
-    return G.scored_targets(rows, targets, thresholds, stored, 0.05).drop("equal_fpr_recall")
+    return G.scored_targets(rows, targets, thresholds, stored, 0.05)
 
 
 @query(
     "g28_equal_fpr",
-    f"""WITH {_SCORED}, k AS (SELECT client, family, score, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS q FROM both_ GROUP BY ALL),
- c AS (SELECT client, family, score, sum(p) OVER w / sum(p) OVER (PARTITION BY client, family) AS y, sum(q) OVER w / sum(q) OVER (PARTITION BY client, family) AS x FROM k WINDOW w AS (PARTITION BY client, family ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- d AS (SELECT *, coalesce(lag(y) OVER v, 0) AS y0, coalesce(lag(x) OVER v, 0) AS x0 FROM c WINDOW v AS (PARTITION BY client, family ORDER BY score DESC)),
- e AS (SELECT client, family, y0 + (y - y0) * (0.05 - x0) / (x - x0) AS r FROM d WHERE x0 <= 0.05 AND x > 0.05)
+    f"""WITH {_EQUAL}
  SELECT b.client, b.family, round(count(*) FILTER (WHERE y = 1 AND b.score > threshold) / count(*) FILTER (WHERE y = 1), 6) AS calibrated_recall, round(any_value(e.r), 6) AS equal_fpr_recall FROM both_ b JOIN thresholds t ON t.client = b.client AND t.alpha = 0.05 LEFT JOIN e ON e.client = b.client AND e.family = b.family GROUP BY b.client, b.family""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:

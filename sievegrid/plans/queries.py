@@ -834,10 +834,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return X.fpr_summary(X.operating_calibration(counts, thresholds, 0.02))
 
 
-@query("r13_rescue", f"WITH {_SEED_EFFECTS} SELECT family, learner, round(avg(peer_recall), 6) AS peer_recall, round(avg(full_recall), 6) AS full_recall, CASE WHEN avg(full_recall) IS NULL THEN 'not-classifiable' WHEN avg(peer_recall) >= 0.5 THEN 'rescued' ELSE 'poorly-rescued' END AS level FROM effects GROUP BY ALL")
+@query("r13_rescue", f"WITH {_SEED_EFFECTS} SELECT family, learner, round(avg(peer_recall), 6) AS peer_recall, round(avg(full_recall), 6) AS full_recall, CASE WHEN avg(full_recall) IS NULL THEN 'not-classifiable' WHEN avg(full_recall) < 0.7 THEN 'poorly-rescued' ELSE 'rescued' END AS level FROM effects GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     effects = D.family_effects(D.family_seed_effects(T.families(spark, sf), 0.05))
-    return D.classify_rescue(effects, 0.5).select("family", "learner", "peer_recall", "full_recall", "level")
+    return D.classify_rescue(effects, 0.7).select("family", "learner", "peer_recall", "full_recall", "level")
 
 
 @query("c22_masking", f"WITH {T.SUMMARY}, w AS (SELECT seed, learner, alpha, max(value) FILTER (WHERE metric = 'own-domain-recall' AND condition = 'peer-present') - max(value) FILTER (WHERE metric = 'own-domain-recall' AND condition = 'family-absent') AS a, max(value) FILTER (WHERE metric = 'federation-wide-recall' AND condition = 'peer-present') - max(value) FILTER (WHERE metric = 'federation-wide-recall' AND condition = 'family-absent') AS r FROM summary WHERE dose IS NULL AND parameter IS NULL GROUP BY ALL) SELECT 'main' AS experiment, learner, alpha, count(*) AS seeds, count(*) FILTER (WHERE sign(a) * sign(r) < 0) AS disagree, count(*) FILTER (WHERE r >= 0.1 AND a <= 0) AS missed, count(*) FILTER (WHERE r <= -0.1 AND a >= 0) AS reassured FROM w WHERE a IS NOT NULL AND r IS NOT NULL GROUP BY ALL")

@@ -107,3 +107,43 @@ def test_first_rows_are_those_of_a_plain_window(spark):
     rows = sorted((r.g, r.o, r.id) for r in df.collect())
     want = {(g, i) for name in ("hot", "cold") for g, _, i in [r for r in rows if r[0] == name][:25]}
     assert got == want
+
+
+def test_scored_targets_are_those_of_curves_of_their_own(spark):
+    """Negatives counted once a client give what a curve of each target gives, with ties, nulls and missing sides."""
+    import random
+
+    from sievegrid.operators.diagnostics import scored_targets
+    from sievegrid.operators.evaluation import recall_at_fpr
+
+    rng = random.Random(8)
+    made = [(rng.choice("ab"), rng.choice(["x", "y"]), rng.choice([0, 0, 1]), "test", rng.randint(0, 25) / 25) for _ in range(900)]
+    made += [("c", "z", 1, "test", 0.5), ("d", "x", 1, "test", 0.4), ("a", "x", 0, "fit", 9.0), ("a", "x", 1, "test", None), (None, "x", 0, "test", 0.1)]
+    kind = "client string, family string, label long, role string, score double"
+    rows = spark.createDataFrame(made, kind)
+    pairs = [("a", "x"), ("a", "y"), ("b", "y"), ("b", "none"), ("c", "x"), ("d", "none"), ("gone", "x")]
+    targets = spark.createDataFrame([(*p, 1) for p in pairs] + [(*pairs[0], 2)], "client string, family string, seed long")
+    thresholds = spark.createDataFrame([(c, a, t) for c, t in (("a", 0.8), ("b", 0.5), ("c", 0.1), ("d", 0.2)) for a in (0.05, 0.2)], "client string, alpha double, threshold double")
+    stored = spark.createDataFrame([("a", "x", 1, 4), ("b", "y", 0, 0)], "client string, family string, hits long, trials long")
+    for alpha in (0.05, 0.2):
+        got = {(r.client, r.family): r for r in scored_targets(rows, targets, thresholds, stored, alpha).collect()}
+        assert set(got) == {("a", "x"), ("a", "y"), ("b", "y"), ("b", "none"), ("c", "x")}
+        cut = {"a": 0.8, "b": 0.5, "c": 0.1}
+        for (client, family), r in got.items():
+            negative = [s for c, _, y, role, s in made if c == client and y == 0 and role == "test"]
+            positive = [s for _, f, y, role, s in made if f == family and y == 1 and role == "test"]
+            assert (r.benign_test, r.positive_test) == (len(negative), len(positive))
+            over = lambda scores: sum(s is not None and s > cut[client] for s in scores)
+            assert r.calibrated_recall == (over(positive) / len(positive) if positive else None)
+            assert r.calibrated_fpr == (over(negative) / len(negative) if negative else None)
+            both = spark.createDataFrame([("g", 0, s) for s in negative] + [("g", 1, s) for s in positive], "g string, label long, score double")
+            want = [x.recall for x in recall_at_fpr(both, ["g"], alpha).collect()]
+            assert (r.equal_fpr_recall is None and want in ([], [None])) or abs(r.equal_fpr_recall - want[0]) < 1e-12
+        assert got["a", "x"].stored_recall == 0.25 and got["b", "y"].stored_recall is None
+
+
+def test_rescue_levels(spark):
+    from sievegrid.operators.decomposition import classify_rescue
+
+    effects = spark.createDataFrame([("a", 0.9, 0.4), ("b", 0.1, 0.5), ("c", 0.9, None)], "family string, peer_recall double, full_recall double")
+    assert {r.family: r.level for r in classify_rescue(effects, 0.5).collect()} == {"a": "poorly-rescued", "b": "rescued", "c": "not-classifiable"}
