@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions.primitives import draw, null_safe_join
 from sievegrid.operators import splits
-from sievegrid.session import stage
+from sievegrid.session import stage, unstage
 
 RUN = ["experiment", "seed", "salt"]
 PARTITION = ["seed", "salt", "attempt"]
@@ -132,6 +132,7 @@ def plan_runs(rows: DataFrame, group: str, experiments: list[Experiment]) -> Pla
     dealt = [reduce(DataFrame.unionByName, hidden).groupBy(*RUN).applyInPandas(_greedy, kind)] if hidden else []
     none = spark.createDataFrame([], kind)
     assignments = stage(reduce(DataFrame.unionByName, [*dealt, *natural], none), "assignments")
+    unstage(counts)
     targets = assignments.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     matrix = runs.join(targets, RUN, "left").select(*RUN, n.alias("targets"), F.when(n > 0, F.lit("completed")).otherwise(F.lit("infeasible")).alias("status"), F.when(n == 0, F.lit(INFEASIBLE)).alias("reason"))

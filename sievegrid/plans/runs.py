@@ -45,8 +45,12 @@ def kept(spark: SparkSession, root: str, name: str, digest: str) -> DataFrame |
 def publish(df: DataFrame, root: str, name: str, digest: str) -> DataFrame:
     spark = df.sparkSession
     attempt = f"{root}/{name}/_{digest}-{uuid.uuid4().hex}"
-    df.write.parquet(attempt)
     fs, made = _fs(spark, attempt)
+    try:
+        df.write.parquet(attempt)
+    except BaseException:
+        fs.delete(made, True)
+        raise
     _, place = _fs(spark, f"{root}/{name}/{digest}")
     if fs.exists(place) or not fs.rename(made, place):
         fs.delete(made, True)

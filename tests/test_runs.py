@@ -1,5 +1,7 @@
 """Kept results, evidence over runs, and NumPy files as a source."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,7 @@ def test_results_are_kept_whole_and_first(spark):
     with pytest.raises(Exception, match="stop"):
         S.publish(broken, root, "stage", "d3")
     assert S.kept(spark, root, "stage", "d3") is None
+    assert sorted(os.listdir(f"{root}/stage".removeprefix("file://"))) == ["d1", "d2"]
 
 
 KEYS = "mode string, experiment string, seed long, salt long"
