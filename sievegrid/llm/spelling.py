@@ -7,6 +7,9 @@ removal meets a whole word, an exchange meets another removal. One edit also lea
 of what the words share in place, so a half joins the key, which keeps the many words of equal letters apart. What
 meets is verified by its letters' order. A pair meets once: what meets by the back half is left out if the fronts are equal.
 
+Joins of words are merge joins by hint: Spark's size check sees the compressed file of the words, not the rows that their letters
+make of it, and would send those whole through the driver.
+
 The forms of words make chains, along which counts grow fivefold or more, so roots take at most five doublings.
 
 Defined cases: a null text has no words; a null id edits no letters; rows that repeat count each time; an empty table
@@ -70,7 +73,7 @@ def near_words(words: DataFrame) -> DataFrame:
         & (F.col("a.side") | (F.expr("left(a.word, a.reach)") != F.expr("left(b.word, a.reach)")))
         & (F.levenshtein("a.word", "b.word", 1) == 1)
     )
-    return a.join(b, meets).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
+    return a.join(b.hint("merge"), meets).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
 
 
 def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
@@ -81,18 +84,18 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     """
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("word")))
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    told = words.join(near, "word", "left")
+    told = words.join(near.hint("merge"), "word", "left")
     fits = -F.col("best.less") >= F.col("n") * ratio
     told = stage(told.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best.word")).alias("form"), F.when(fits, -F.col("best.less")).alias("form_n")), "variants")
     root = roots(told.where("form is not null").select("word", F.col("form").alias("root")))
-    return told.join(root, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return told.join(root.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def roots(links: DataFrame) -> DataFrame:
     """(word, root): where the links (word, root), which have no circles, end; each round doubles their reach."""
     links = stage(links, "roots")
     while True:
-        further = links.join(links.select(F.col("word").alias("root"), F.col("root").alias("next")), "root", "left")
+        further = links.join(links.select(F.col("word").alias("root"), F.col("root").alias("next")).hint("merge"), "root", "left")
         moved = stage(further.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         unstage(links)
         links = moved.select("word", "root")

@@ -11,7 +11,7 @@ import pytest
 
 from sievegrid.llm import licenses, periodic, spelling
 from sievegrid.llm.queries import QUERIES
-from sievegrid.session import table
+from sievegrid.session import stage, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD_SCHEMA = "doc_id long, text string, run string, word string, row string, id string, n string, lang string"
@@ -191,6 +191,12 @@ def test_chains_of_forms_lead_to_their_end(spark):
     assert {v[4] for v in got.values()} == {"lkjihgm"}
 
 
+def test_joins_of_words_send_nothing_to_the_driver(spark):
+    words = stage(spark.createDataFrame([("forever", 50), ("forevr", 5)], "word string, n long"), "words")
+    for table_ in (spelling.near_words(words), spelling.variants(words)):
+        assert "Broadcast" not in table_._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_of_equal_letters_are_not_near(spark):
     """720 orders of the same six letters, a sixth letter exchanged in some."""
     counts = {"".join(p): i + 1 for i, p in enumerate(itertools.permutations("abcdef"))}
