@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.primitives import draw
+from sievegrid.session import stage, unstage
 
 #: The draw's range, 2^32, is cut into 2^RANGE_BITS ranges of like size.
 RANGE_BITS = 10
@@ -40,6 +43,56 @@ def assign_roles(rows: DataFrame, group: str, seed: int, salt: int, attempt: int
     return placed.select(group, F.when(part < fit, F.lit("fit")).when(part < fit + calibration, F.lit("calibration")).otherwise(F.lit("test")).alias("role"))
 
 
+def sized_draws(rows: DataFrame, group: str, seed: int, salt: int, attempts: Iterable[int]) -> DataFrame:
+    """(_group, _size, _orders): each group's rows and its draws of all attempts, staged."""
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_size"))
+    return stage(sizes.withColumn("_orders", F.array(*[draw(seed, salt, i, F.col("_group")) for i in attempts])), "group-sizes")
+
+
+def role_cuts(sizes: DataFrame, attempts: Iterable[int], fit: float = 0.6, calibration: float = 0.2) -> dict[int, list[tuple]]:
+    """Each attempt's two cuts (draw, group) of sized_draws(): a group before the first one is fit, one before the second calibration, others test.
+
+    Totals by range of the draw tell the range in which a cut lies; only such ranges' groups are put in order. The cuts, two an
+    attempt, go to the driver.
+    """
+    attempts = list(attempts)
+    tried = sizes.select("_group", "_size", F.posexplode("_orders").alias("_at", "_order")).withColumn("_attempt", F.array(*[F.lit(i) for i in attempts])[F.col("_at")]).drop("_at")
+    tried = tried.withColumn("_range", F.shiftright("_order", 32 - RANGE_BITS))
+    per = Window.partitionBy("_attempt")
+    totals = tried.groupBy("_attempt", "_range").agg(F.sum("_size").alias("_n"))  # at most 2^RANGE_BITS rows an attempt
+    starts = totals.select("_attempt", "_range", F.coalesce(F.sum("_n").over(per.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(per).alias("_total"))
+    ends = sizes.sparkSession.createDataFrame([(0, fit), (1, fit + calibration)], "_cut int, _end double")
+    last = starts.crossJoin(ends).where(F.col("_start") / F.col("_total") < F.col("_end")).groupBy("_attempt", "_cut", "_end", "_total").agg(F.max_by(F.struct("_range", "_start"), "_range").alias("_at")).select("_attempt", "_cut", "_end", "_total", "_at.*")
+    last = stage(last, "cut-ranges")
+    inside = Window.partitionBy("_attempt", "_cut").orderBy("_order", "_group").rowsBetween(Window.unboundedPreceding, -1)
+    near = tried.join(F.broadcast(last), ["_attempt", "_range"]).withColumn("_before", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))  # last: two rows an attempt
+    found = near.where(F.col("_before") / F.col("_total") >= F.col("_end")).groupBy("_attempt", "_cut").agg(F.min(F.struct("_order", "_group")).alias("_key"))
+    out: dict[int, list[tuple]] = {i: [(0, None), (0, None)] for i in attempts}
+    for r in last.join(found, ["_attempt", "_cut"], "left").collect():
+        key = r["_key"]
+        out[r["_attempt"]][r["_cut"]] = (key["_order"], key["_group"]) if key is not None else ((r["_range"] + 1) << (32 - RANGE_BITS), None)
+    unstage(last)
+    return out
+
+
+def role_by_cuts(order: Column, own: Column, cuts: list[tuple]) -> Column:
+    """The role of a group by its draw and the attempt's cuts; the draw is made once."""
+
+    def role(o: Column) -> Column:
+        before = [(o < at) if key is None else (o < at) | ((o == at) & F.coalesce(own < F.lit(key), own.isNull())) for at, key in cuts]
+        return F.when(before[0], F.lit("fit")).when(before[1], F.lit("calibration")).otherwise(F.lit("test"))
+
+    return F.transform(F.array(order), role)[0]
+
+
+def with_roles(rows: DataFrame, group: str, seed: int, salt: int, attempt: int, fit: float = 0.6, calibration: float = 0.2) -> DataFrame:
+    """Rows with their group's role, as by a join with assign_roles(), without one; rows of no group are left out."""
+    sizes = sized_draws(rows, group, seed, salt, [attempt])
+    cuts = role_cuts(sizes, [attempt], fit, calibration)[attempt]
+    unstage(sizes)
+    return rows.where(F.col(group).isNotNull()).withColumn("role", role_by_cuts(draw(seed, salt, attempt, F.col(group)), F.col(group), cuts))
+
+
 def leakage(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(key, leaking): how many values of each key have rows in more than one role."""
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("c")
@@ -95,18 +148,20 @@ def natural_pairs(counts: DataFrame, fit_rows: DataFrame, max_share: float, peer
 
 
 def best_attempt(rows: DataFrame, group: str, seed: int, salt: int, attempts: int, rule: dict[str, int]) -> DataFrame:
-    """(attempt, eligible): the attempt whose split has most eligible controlled pairs, the first of equals; all in one job."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"))
-    tried = sizes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    placed = running_before(tried, draw(seed, salt, F.col("attempt"), F.col(group)), group, F.col("n"), "before", ["attempt"]).crossJoin(F.broadcast(total))
-    part = F.col("before") / F.col("total")
-    roles = placed.select("attempt", group, F.when(part < 0.6, F.lit("fit")).when(part < 0.8, F.lit("calibration")).otherwise(F.lit("test")).alias("role"))
-    split = rows.join(roles, group)
-    fit_rows = split.where("role = 'fit'").groupBy("attempt", "client").agg(F.count(F.lit(1)).alias("fit_rows"))
-    by = split.where("reason = 'eligible'").groupBy("attempt", "client", "family").agg(F.count_if(F.col("role") == "fit").alias("fit"), F.count_if(F.col("role") == "test").alias("test"))
+    """(attempt, eligible): the attempt whose split has most eligible controlled pairs, the first of equals.
+
+    Rows are read once and counted under all attempts' roles side by side, not once an attempt.
+    """
+    sizes = sized_draws(rows, group, seed, salt, range(attempts))
+    roles = F.concat(*[F.substring(role_by_cuts(F.col("_orders")[i], F.col("_group"), c), 1, 1) for i, c in role_cuts(sizes, range(attempts)).items()])
+    split = rows.join(sizes.select(F.col("_group").alias(group), roles.alias("_roles")), group)
+    counts = [F.count_if(F.substring("_roles", i + 1, 1) == role[0]).alias(f"{role}_{i}") for i in range(attempts) for role in ("fit", "test")]
+    by = split.withColumn("_eligible", F.coalesce(F.col("reason") == "eligible", F.lit(False))).groupBy("client", "family", "_eligible").agg(*counts)
+    cells = F.array(*[F.struct(F.lit(i).alias("attempt"), F.col(f"fit_{i}").alias("fit"), F.col(f"test_{i}").alias("test")) for i in range(attempts)])
+    by = stage(by.select("client", "family", "_eligible", F.explode(cells).alias("c")).select("client", "family", "_eligible", "c.*"), "attempts")  # a row a client, family and attempt
+    fit_rows = by.groupBy("attempt", "client").agg(F.sum("fit").alias("fit_rows"))
     family = Window.partitionBy("attempt", "family")
-    pairs = by.withColumn("all_fit", F.sum("fit").over(family)).withColumn("all_test", F.sum("test").over(family)).where("fit > 0").join(fit_rows, ["attempt", "client"])
+    pairs = by.where("_eligible").withColumn("all_fit", F.sum("fit").over(family)).withColumn("all_test", F.sum("test").over(family)).where("fit > 0").join(fit_rows, ["attempt", "client"])
     eligible = (F.col("fit") >= rule["target_min_fit"]) & (F.col("all_fit") - F.col("fit") >= rule["peer_min_fit"]) & (F.col("all_test") >= rule["federation_min_test"]) & (F.col("fit_rows") - F.col("fit") >= rule["target_min_remaining_fit"])
     return pairs.groupBy("attempt").agg(F.count_if(eligible).alias("eligible")).orderBy(F.desc("eligible"), "attempt").limit(1)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.functions.primitives import fraction
-from sievegrid.operators.splits import assign_roles
+from sievegrid.operators.splits import with_roles
 from sievegrid.session import table
 
 SEEDS = 6
@@ -71,7 +71,7 @@ LINES = f"""lines AS (SELECT {LINE_SQL} AS line, l_orderkey AS package, r_name A
 def study(spark: SparkSession, sf: str, seed: int = 1, salt: int = 0, attempt: int = 0) -> DataFrame:
     """Lines with their role and reason."""
     rows = lines(spark, sf)
-    return rows.join(assign_roles(rows, "package", seed, salt, attempt), "package").withColumn("reason", F.when(F.col("label") == 0, F.lit("not-in-family-set")).otherwise(F.lit("eligible")))
+    return with_roles(rows, "package", seed, salt, attempt).withColumn("reason", F.when(F.col("label") == 0, F.lit("not-in-family-set")).otherwise(F.lit("eligible")))
 
 
 STUDY = f"""{LINES}, sizes AS (SELECT package, count(*) AS n, {draw_sql("1", "0", "0", "package")} AS d FROM lines GROUP BY package),

@@ -348,3 +348,42 @@ def test_sources_and_stages(spark, tmp_path):
     evidence = spark.range(4).select(F.lit("m").alias("mode"), F.lit("e").alias("experiment"), F.col("id").alias("seed"), F.lit(0).alias("salt"), "id")
     readers.write_evidence(evidence, f"{root}/evidence")
     assert readers.read_evidence(spark, f"{root}/evidence", "m").count() == 4
+
+
+def test_roles_by_cuts_are_those_of_the_join(spark):
+    rows = spark.createDataFrame([(i % 211 if i % 50 else None, i) for i in range(3000)], "group long, i long")
+    for attempt in range(3):
+        wanted = rows.join(S.assign_roles(rows, "group", 4, 0, attempt), "group").select("i", "role").collect()
+        told = S.with_roles(rows, "group", 4, 0, attempt).select("i", "role")
+        assert sorted(map(tuple, told.collect())) == sorted(map(tuple, wanted))
+        assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()  # rows stay where they lie
+    assert S.with_roles(rows.where("i < 0"), "group", 4, 0, 0).count() == 0
+    one = rows.where("group = 7")
+    assert {r.role for r in S.with_roles(one, "group", 4, 0, 0).collect()} == {"fit"}
+
+
+def test_best_attempt_reads_rows_once_and_finds_what_the_splits_have(spark):
+    rows = spark.createDataFrame([(i % 97, f"c{i % 5}", f"f{i % 3}", "eligible" if i % 2 else "not") for i in range(2000)], "group long, client string, family string, reason string")
+    rule = {"target_min_fit": 36, "peer_min_fit": 150, "federation_min_test": 60, "target_min_remaining_fit": 150}
+    wanted = []
+    for attempt in range(4):
+        split = rows.join(S.assign_roles(rows, "group", 4, 0, attempt), "group")
+        wanted.append((-S.controlled_pairs(S.role_counts(split), S.client_fit_rows(split), rule).where("eligible").count(), attempt))
+    told = S.best_attempt(rows, "group", 4, 0, 4, rule)
+    assert [(-r.eligible, r.attempt) for r in told.collect()] == [min(wanted)]
+    assert min(wanted) < max(wanted)
+
+
+def test_calibration_ranks_scores_once_for_all_levels(spark):
+    from sievegrid.functions.primitives import higher_quantile
+
+    rows = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("b", 1.0)], "client string, score double")
+    found = higher_quantile(rows, ["client"], "score", 1 - F.col("alpha"), "t", F.array(F.lit(0.01), F.lit(0.1)), "alpha")
+    assert {(r.client, r.alpha): (r.t, r.n) for r in found.collect()} == {("a", 0.01): (99.0, 101), ("a", 0.1): (90.0, 101), ("b", 0.01): (1.0, 1), ("b", 0.1): (1.0, 1)}
+
+
+def test_sketches_of_orders_are_not_kept_for_each_order(spark, sf):
+    from sievegrid.plans.surface_queries import QUERIES
+
+    plan = QUERIES["p42_approximate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "count(distinct" in line]
