@@ -81,12 +81,18 @@ def average_rank(value: str, *groups: str) -> Column:
     return F.rank().over(own.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
 
 
-def higher_quantile(df: DataFrame, groups: list[str], value: str, p: Column, out: str) -> DataFrame:
-    """The value at place ceil(p * (n - 1)) of each group, from 0, and the group's n. p: of the groups' columns."""
+def higher_quantile(df: DataFrame, groups: list[str], value: str, p: Column, out: str, spread: Column | None = None, name: str = "p") -> DataFrame:
+    """The value at place ceil(p * (n - 1)) of each group, from 0, and the group's n. p: of the groups' columns.
+
+    ``spread``: an array of values that ``name``, of which p may be made, takes in turn; values are ranked once for all.
+    """
     ranked = prefix_by_value(df, groups, value, {"_c": F.count(F.lit(1))})
     at = F.ceil(p * (F.col("_c_all") - 1))
     here = (F.col("_c_before") <= at) & (at < F.col("_c_before") + F.col("_c"))
-    return ranked.where(here).select(*groups, F.col(value).alias(out), F.col("_c_all").alias("n"))
+    more = [] if spread is None else [name]
+    if spread is not None:
+        ranked = ranked.withColumn(name, F.explode(spread))
+    return ranked.where(here).select(*groups, *more, F.col(value).alias(out), F.col("_c_all").alias("n"))
 
 
 def arm_values(df: DataFrame, keys: list[str], value: str, arms: dict[str, Column]) -> DataFrame:

@@ -30,8 +30,7 @@ def pools(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def calibrate(benign: DataFrame, alphas: list[float], min_exceedances: int, groups: list[str]) -> DataFrame:
     """(groups, alpha, threshold, calibration_benign, operating_status) from (groups, score) of benign calibration rows."""
-    spread = benign.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    found = higher_quantile(spread, [*groups, "alpha"], "score", 1 - F.col("alpha"), "threshold")
+    found = higher_quantile(benign, groups, "score", 1 - F.col("alpha"), "threshold", F.array(*[F.lit(a) for a in alphas]), "alpha")
     status = F.when(F.col("n") * F.col("alpha") >= min_exceedances, F.lit("valid")).otherwise(F.lit("insufficient-evidence"))
     return found.select(*groups, "alpha", "threshold", F.col("n").alias("calibration_benign"), status.alias("operating_status"))
 

@@ -63,10 +63,11 @@ def prefix_by_value(df: DataFrame, groups: list[str], value: str, measures: dict
     keys = [f"_g{i}" for i in range(len(groups))]
     v = F.col(f"`{value}`")
     by = df.where(v.isNotNull()).groupBy(*[F.col(f"`{g}`") for g in groups], v).agg(*[m.alias(n) for n, m in measures.items()])
+    by = stage(by, "by-value")  # read for the cuts, their totals and the sums
     by = by.withColumns({k: F.struct(F.col(f"`{g}`")) for k, g in zip(keys, groups, strict=True)})
     cuts = by.groupBy(*keys).agg(F.percentile_approx(v, [i / buckets for i in range(1, buckets)], F.lit(10 * buckets)).alias("_cuts"))
     if keys:
-        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = stage(cuts, "cuts").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # so that Spark knows their size before it plans the join
         placed = by.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
     else:
         placed = by.crossJoin(F.broadcast(cuts))  # one row

@@ -464,16 +464,21 @@ _CLIENTS = f"""{_POOLS}, member AS (SELECT pool AS client, population, score FRO
  clients AS (SELECT g.client, g.alpha, g.population, count(*) FILTER (WHERE score > threshold) AS hits, count(score) AS trials FROM grid g LEFT JOIN member m ON m.client = g.client AND m.population = g.population GROUP BY ALL)"""
 
 
-def _evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = stage(T.study(spark, sf), "study")
-    pool = E.pools(rows, T.targets(spark, sf))
+def _thresholds(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """Thresholds of every client of the study; clients are read apart, for rows may lack those that only fit."""
     found = E.calibrate(rows.where("role = 'calibration' and label = 0").select("client", "score"), _ALPHAS, 10, ["client"])
-    return rows, pool, E.with_missing_thresholds(found, rows.select("client").distinct(), _ALPHAS)
+    return E.with_missing_thresholds(found, T.lines(spark, sf).where("package is not null").select("client").distinct(), _ALPHAS)
+
+
+def _evaluated(spark: SparkSession, sf: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calibration and test rows, staged with the columns that are read, their pools, and thresholds."""
+    rows = stage(T.study(spark, sf).where("role <> 'fit'").select("client", "family", "role", "label", "score", *more), "study")
+    return rows, E.pools(rows, T.targets(spark, sf)), _thresholds(spark, sf, rows)
 
 
 @query("v0e_threshold", f"WITH {_POOLS} SELECT client, alpha, round(threshold, 6) AS threshold, calibration_benign, operating_status FROM thresholds")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _evaluated(spark, sf)[2]
+    return _thresholds(spark, sf, T.study(spark, sf))
 
 
 @query("v0f_counts", f"WITH {_CLIENTS} SELECT * FROM clients")
@@ -484,7 +489,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("v0f_families", f"WITH {_POOLS}, h AS (SELECT pool AS client, family, line, feature, score, population, row_number() OVER (PARTITION BY pool, population, family, feature ORDER BY line) = 1 AS first FROM pool, (VALUES ('own-domain'), ('federation-wide')) p(population) WHERE role = 'test' AND unseen AND (own OR population = 'federation-wide')) SELECT h.client, alpha, population, family, count(*) FILTER (WHERE score > threshold) AS hits, count(*) AS trials, count(*) FILTER (WHERE score > threshold AND first) AS unique_hits, count(*) FILTER (WHERE first) AS unique_trials FROM h JOIN thresholds t ON t.client = h.client GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    _, pool, thresholds = _evaluated(spark, sf)
+    _, pool, thresholds = _evaluated(spark, sf, "line", "feature")
     return E.family_counts(pool, thresholds, "line", "feature")
 
 
@@ -532,7 +537,7 @@ _LONG = " UNION ALL ".join(
 
 @query("v0j_summary", f"WITH {_CLIENTS}, {_FAMILIES}, {_CURVES}, r AS (SELECT *, hits::DOUBLE / nullif(trials, 0) AS v FROM clients), long AS ({_LONG}) SELECT l.alpha, metric, round(value, 6) AS value, s.status AS operating_status FROM long l JOIN (SELECT alpha, CASE WHEN bool_or(operating_status <> 'valid') THEN 'insufficient-evidence' ELSE 'valid' END AS status FROM thresholds GROUP BY 1) s ON s.alpha = l.alpha WHERE value IS NOT NULL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows, pool, thresholds = _evaluated(spark, sf)
+    rows, pool, thresholds = _evaluated(spark, sf, "line", "feature")
     thresholds = stage(thresholds, "thresholds")
     return E.summarise(E.client_counts(pool, thresholds, _ALPHAS), E.family_counts(pool, thresholds, "line", "feature"), _discrimination(rows), thresholds, 5, [])
 
