@@ -58,8 +58,9 @@ def _hidden(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Four linear arms, one with a scorer of its own at one client, over all pools: counts by client, then by family."""
-    rows = stage(prepared(spark, sf).drop("features").withColumnRenamed("whole", "features"), "prepared")
-    clients = [r["client"] for r in rows.select("client").distinct().collect()]
+    columns = ["line", "client", "role", "label", "family", "feature", F.col("whole").alias("features")]
+    rows = stage(prepared(spark, sf).where("role <> 'fit'").select(*columns), "prepared")  # fit rows are in no pool
+    clients = [r["client"] for r in T.lines(spark, sf).select("client").distinct().collect()]
     linear = [(k, None, [float(x) for x in w] + [0.0]) for k, w in SCORERS.items() if k != "local"]
     linear += [("local", c, [(-1.0 if c == "ASIA" else 1.0) * x for x in SCORERS["local"]] + [0.0]) for c in clients]
     models = spark.createDataFrame(linear, "arm string, client string, weights array<double>")
