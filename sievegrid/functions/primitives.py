@@ -86,13 +86,12 @@ def higher_quantile(df: DataFrame, groups: list[str], value: str, p: Column, out
 
     ``spread``: an array of values that ``name``, of which p may be made, takes in turn; values are ranked once for all.
     """
-    ranked = prefix_by_value(df, groups, value, {"_c": F.count(F.lit(1))})
     at = F.ceil(p * (F.col("_c_all") - 1))
+    dealt = lambda rows: rows if spread is None else rows.withColumn(name, F.explode(spread))
+    ranked = prefix_by_value(df, groups, value, {"_c": F.count(F.lit(1))}, lambda s: dealt(s).where((F.col("_c_start") <= at) & (at < F.col("_c_end"))))
     here = (F.col("_c_before") <= at) & (at < F.col("_c_before") + F.col("_c"))
     more = [] if spread is None else [name]
-    if spread is not None:
-        ranked = ranked.withColumn(name, F.explode(spread))
-    return ranked.where(here).select(*groups, *more, F.col(value).alias(out), F.col("_c_all").alias("n"))
+    return dealt(ranked).where(here).select(*groups, *more, F.col(value).alias(out), F.col("_c_all").alias("n"))
 
 
 def arm_values(df: DataFrame, keys: list[str], value: str, arms: dict[str, Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +81,15 @@ def family_counts(pool: DataFrame, thresholds: DataFrame, row: str, feature: str
     return count_hits(rows, thresholds, ["client"], ["population", "family"], F.col("first"))
 
 
-def class_curve(rows: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
-    """(groups, score, p, q and their sums below and in all): positives and negatives by score."""
-    return prefix_by_value(rows, groups, score, {"p": F.count_if(F.col(label) == 1), "q": F.count_if(F.col(label) == 0)})
+def class_curve(rows: DataFrame, groups: list[str], label: str, score: str, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(groups, score, p, q and their sums below and in all): positives and negatives by score, in the stretches that ``near`` wants."""
+    return prefix_by_value(rows, groups, score, {"p": F.count_if(F.col(label) == 1), "q": F.count_if(F.col(label) == 0)}, near)
+
+
+def _passing(fpr: float) -> Callable[[DataFrame], DataFrame]:
+    """The stretches in which the negatives' rate, from the top, passes ``fpr``."""
+    rate = lambda c: F.try_divide(F.col("q_all") - F.col(c), F.col("q_all"))
+    return lambda s: s.where((rate("q_end") <= fpr) & (rate("q_start") > fpr))
 
 
 def discrimination(rows: DataFrame, groups: list[str], label: str = "label", score: str = "score") -> DataFrame:
@@ -107,7 +115,7 @@ def average_precision(rows: DataFrame, groups: list[str], label: str = "label",
 
 def recall_at_fpr(rows: DataFrame, groups: list[str], fpr: float, label: str = "label", score: str = "score") -> DataFrame:
     """(groups, recall): the ROC curve at exactly ``fpr``, interpolated between distinct scores."""
-    curve = class_curve(rows, groups, label, score)
+    curve = class_curve(rows, groups, label, score, _passing(fpr))
     curve = curve.withColumns({
         "y": F.try_divide(F.col("p_all") - F.col("p_before"), F.col("p_all")), "x": F.try_divide(F.col("q_all") - F.col("q_before"), F.col("q_all")),
         "y0": F.try_divide(F.col("p_all") - F.col("p_before") - F.col("p"), F.col("p_all")), "x0": F.try_divide(F.col("q_all") - F.col("q_before") - F.col("q"), F.col("q_all")),
@@ -122,7 +130,7 @@ def fpr_crossings(negatives: DataFrame, groups: list[str], fpr: float, score: st
 
     ROC curves of many sets of positives against the same negatives pass ``fpr`` at this score, whatever the positives are.
     """
-    curve = prefix_by_value(negatives, groups, score, {"q": F.count(F.lit(1))})
+    curve = prefix_by_value(negatives, groups, score, {"q": F.count(F.lit(1))}, _passing(fpr))
     above = F.col("q_all") - F.col("q_before") - F.col("q")
     rates = curve.select(*groups, F.col(score).alias("crossing"), (above / F.col("q_all")).alias("crossing_below"), ((above + F.col("q")) / F.col("q_all")).alias("crossing_at"))
     return rates.where((F.col("crossing_below") <= fpr) & (F.col("crossing_at") > fpr))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from sievegrid.session import stage
 
 #: Parts that a group is cut in where its number of buckets is joined to its rows.
 SALTS = 64
+#: Bits of the number of rows that a running sum's window takes.
+STRETCH_BITS = 16
 
 
 def shuffled_prefix(
@@ -53,32 +57,35 @@ def shuffled_prefix(
     )
 
 
-def prefix_by_value(df: DataFrame, groups: list[str], value: str, measures: dict[str, Column], buckets: int = 128) -> DataFrame:
+def prefix_by_value(df: DataFrame, groups: list[str], value: str, measures: dict[str, Column], near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(groups, value, and for each measure m, m_before, m_all): its sum at a value, over smaller values, over the group.
 
-    Rows are summed by value first, map-side combined. A group's values are cut at approximate quantiles: windows stay inside
-    a cut, and only the cuts' totals are summed across cuts. The result is exact wherever the cuts lie. Null values are left out.
+    Rows are summed by value first, map-side combined, then sorted by ranges of (groups, value) and cut into stretches of 2^STRETCH_BITS rows at most: windows
+    stay inside a stretch, and only the stretches' totals are summed across them. The result is exact wherever the ranges lie. Null values
+    are left out. ``near`` tells which of the stretches (groups, and for each m, m_start and m_end, the sums before and with it, m_all) are wanted.
     """
     names = list(measures)
     keys = [f"_g{i}" for i in range(len(groups))]
     v = F.col(f"`{value}`")
-    by = df.where(v.isNotNull()).groupBy(*[F.col(f"`{g}`") for g in groups], v).agg(*[m.alias(n) for n, m in measures.items()])
-    by = stage(by, "by-value")  # read for the cuts, their totals and the sums
+    named = [F.col(f"`{g}`") for g in groups]
+    by = df.where(v.isNotNull()).groupBy(*named, v).agg(*[m.alias(n) for n, m in measures.items()])
+    by = by.repartitionByRange(*named, v).sortWithinPartitions(*named, v).withColumn("_bucket", F.shiftright(F.monotonically_increasing_id(), STRETCH_BITS))
+    by = stage(by, "by-value")  # read for the totals and the sums; ids are of one run
     by = by.withColumns({k: F.struct(F.col(f"`{g}`")) for k, g in zip(keys, groups, strict=True)})
-    cuts = by.groupBy(*keys).agg(F.percentile_approx(v, [i / buckets for i in range(1, buckets)], F.lit(10 * buckets)).alias("_cuts"))
-    if keys:
-        salted = stage(cuts, "cuts").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # so that Spark knows their size before it plans the join
-        placed = by.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
-    else:
-        placed = by.crossJoin(F.broadcast(cuts))  # one row
-    placed = placed.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
-    totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    totals = by.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
     own = Window.partitionBy(*keys)
     before = own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names], *[F.sum(f"_t_{n}").over(own).alias(f"{n}_all") for n in names])
+    offsets = totals.select(*keys, "_bucket", *[f"_t_{n}" for n in names], *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"{n}_start") for n in names], *[F.sum(f"_t_{n}").over(own).alias(f"{n}_all") for n in names])
+    offsets = offsets.withColumns({f"{n}_end": F.col(f"{n}_start") + F.col(f"_t_{n}") for n in names}).drop(*[f"_t_{n}" for n in names])
+    if near is not None:
+        wanted = near(offsets.withColumns({g: F.col(k).getField(g) for k, g in zip(keys, groups, strict=True)})).select(*offsets.columns).distinct()
+        offsets = stage(wanted, "stretches")  # so that Spark knows how few they are before it plans the join
+        by = by.join(offsets, [*keys, "_bucket"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumns({f"_i_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names}).join(offsets, [*keys, "_bucket"])
-    return ranked.select(*groups, value, *names, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in names], *[f"{n}_all" for n in names])
+    ranked = by.withColumns({f"_i_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names})
+    if near is None:
+        ranked = ranked.join(offsets, [*keys, "_bucket"])
+    return ranked.select(*groups, value, *names, *[(F.col(f"{n}_start") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in names], *[f"{n}_all" for n in names])
 
 
 def rank_by_value(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:

@@ -38,6 +38,10 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
     return with_features(T.study(spark, sf))
 
 
+#: What a run reads of a line.
+RUN_COLUMNS = ["line", "client", "role", "label", "family", "feature", "features"]
+
+
 def _hidden(spark: SparkSession, sf: str) -> DataFrame:
     return T.targets(spark, sf).select("client", "family").distinct()
 
@@ -94,7 +98,7 @@ RUN_ARMS = [
 @query("v0o_execute_run")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Ten arms fitted on what three conditions leave of each client's rows, and their summaries."""
-    rows, hidden = stage(prepared(spark, sf), "prepared"), _hidden(spark, sf)
+    rows, hidden = stage(prepared(spark, sf).select(*RUN_COLUMNS), "prepared"), stage(_hidden(spark, sf), "hidden")
     t = Training(width=5, hidden=(16,), epochs=2, batch=64)
     told = R.execute_run(rows, hidden, _trainings(rows, hidden), RUN_ARMS, t, 3, new_path(spark, "run"), 5 * BUDGET, ALPHAS, row="line")
     return told.summary
@@ -103,7 +107,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("l15_tuning_grid")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The grid's calibration AUROCs and each parameter's best value."""
-    rows, hidden = stage(prepared(spark, sf), "prepared"), _hidden(spark, sf)
+    rows, hidden = stage(prepared(spark, sf).select(*RUN_COLUMNS), "prepared"), stage(_hidden(spark, sf), "hidden")
     arms, points = R.grid_arms([1, 2, 4], [0.001, 0.01, 0.1], [1, 2, 5])
     t = Training(width=5, hidden=(16,), epochs=1, batch=64)
     training = {"peer-present": _trainings(rows, hidden)["peer-present"]}
@@ -141,7 +145,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("l07_boosted")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Trees of each client's fit rows, and how well they tell its calibration and test rows apart."""
-    rows = stage(prepared(spark, sf), "prepared")
+    rows = stage(prepared(spark, sf).select("client", "role", "label", "features"), "prepared")
     forest = trees.fit_trees(rows.where("role = 'fit'"), trees.Boosting(rounds=10, depth=3), "client")
     scored = trees.score_trees(rows.where("role <> 'fit'").select("client", "role", "label", "features"), forest, "client")
     return E.discrimination(scored, ["client", "role"])

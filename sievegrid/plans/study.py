@@ -41,9 +41,12 @@ def draw_sql(*parts: str) -> str:
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """(line, package, client, family, label, vt_count, month, feature, score): dimension tables join by their keys."""
     item = table(spark, sf, "lineitem")
-    region = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("client"))
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    nation, region = table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("client"))
     brand = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("family"))
-    rows = item.join(region, F.col("l_suppkey") == F.col("s_suppkey")).join(brand, F.col("l_partkey") == F.col("p_partkey"))
+    # One after another: of a plain table Spark knows the size, of a join it takes the product, and would shuffle all lines by supplier.
+    rows = item.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.join(brand, F.col("l_partkey") == F.col("p_partkey"))
     percent = lambda c: F.round(F.col(c) * 100).cast("long")
     line = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", percent("l_extendedprice"))
     label = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)

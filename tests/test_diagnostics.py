@@ -99,6 +99,35 @@ def test_prefix_by_value_is_exact_with_a_hot_group_and_ties(spark):
     assert max(r.c_before + r.c for r in whole) == len(known)
 
 
+def test_sums_by_value_cut_in_short_stretches_carry_no_cuts_and_read_only_those_wanted(spark, monkeypatch):
+    from sievegrid.functions.primitives import higher_quantile
+    from sievegrid.operators import evaluation, ordering
+    from sievegrid.session import recording
+
+    monkeypatch.setattr(ordering, "STRETCH_BITS", 5)
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 3 else None, float(v), int(y)) for i, (v, y) in enumerate(zip(rng.integers(0, 900, 3000), rng.integers(0, 2, 3000)))]
+    df = spark.createDataFrame(rows, "g string, v double, y int")
+    with recording() as staged:
+        got = ordering.prefix_by_value(df, ["g"], "v", {"c": F.count(F.lit(1))})
+        told = {(r.g, r.v): (r.c, r.c_before, r.c_all) for r in got.collect()}
+    assert not [p for p in staged if p.rpartition("/")[2].startswith("cuts")]  # a row meets no array of its group's cuts
+    for (g, v), n in told.items():
+        mine = [x for h, x, _ in rows if h == g]
+        assert n == (mine.count(v), sum(x < v for x in mine), len(mine))
+    seen = []
+    part = ordering.prefix_by_value(df, ["g"], "v", {"c": F.count(F.lit(1))}, lambda s: seen.append(s) or s.where("c_start <= 500 and 500 < c_end"))
+    assert seen[0].count() > 20 and {r.g for r in part.collect()} == {"hot", None} and part.count() <= 2 * 32
+    quantiles = {r.g: r.t for r in higher_quantile(df, ["g"], "v", F.lit(0.9), "t").collect()}
+    recalls = {r.g: r.recall for r in evaluation.recall_at_fpr(df, ["g"], 0.1, "y", "v").collect()}
+    for g in ("hot", None):
+        mine = sorted(v for h, v, _ in rows if h == g)
+        assert quantiles[g] == mine[int(np.ceil(0.9 * (len(mine) - 1)))]
+        curve = [(0.0, 0.0)] + [tuple(np.mean([v >= cut for h, v, k in rows if h == g and k == y]) for y in (0, 1)) for cut in sorted(set(mine), reverse=True)]
+        (x0, y0), (x, y) = next((a, b) for a, b in zip(curve, curve[1:]) if a[0] <= 0.1 < b[0])
+        assert abs(recalls[g] - (y0 + (y - y0) * (0.1 - x0) / (x - x0))) < 1e-9
+
+
 def test_first_rows_are_those_of_a_plain_window(spark):
     from sievegrid.operators.ordering import first_rows
 
@@ -147,3 +176,11 @@ def test_rescue_levels(spark):
 
     effects = spark.createDataFrame([("a", 0.9, 0.4), ("b", 0.1, 0.5), ("c", 0.9, None)], "family string, peer_recall double, full_recall double")
     assert {r.family: r.level for r in classify_rescue(effects, 0.5).collect()} == {"a": "poorly-rescued", "b": "rescued", "c": "not-classifiable"}
+
+
+def test_lines_meet_their_dimensions_by_size_without_a_shuffle(spark):
+    from sievegrid.plans import study
+
+    for columns in (["client", "family"], ["line", "client", "family", "score"]):  # planned, not run
+        plan = study.lines(spark, "/root/testdata/sf0.1").select(*columns)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "BuildLeft" not in plan  # lines are neither shuffled nor broadcast
