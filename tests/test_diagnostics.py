@@ -184,3 +184,28 @@ def test_lines_meet_their_dimensions_by_size_without_a_shuffle(spark):
     for columns in (["client", "family"], ["line", "client", "family", "score"]):  # planned, not run
         plan = study.lines(spark, "/root/testdata/sf0.1").select(*columns)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "BuildLeft" not in plan  # lines are neither shuffled nor broadcast
+
+
+def test_components_leave_the_edges_of_hubs_in_their_tasks(spark, monkeypatch):
+    from sievegrid.operators import graph
+
+    rng = np.random.default_rng(4)
+    edges = [(0, i) for i in range(5, 60)] + [(1, i) for i in range(61, 120)] + [(i, i + 1) for i in range(200, 230)] + [(130, int(i)) for i in rng.integers(131, 190, 40)] + [(59, 61), (7, 7), (9, None)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    monkeypatch.setattr(graph, "HUB", 8)
+    met, told = graph._with_least(spark.createDataFrame([(9, i) for i in range(12)] + [(8, 3), (8, 5)], "u long, v long"))
+    assert {tuple(r) for r in met.collect()} == {(9, i, 0) for i in range(12)} | {(8, 3, 3), (8, 5, 3)} and told.count() == 2
+    assert "LeftAnti" in met._jdf.queryExecution().optimizedPlan().toString()  # the hub goes another way than the node of two edges
+    got = {r.node: r.component for r in graph.connected_components(df, "a", "b").collect()}
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if b is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    assert got == {x: find(x) for x in list(root)}
