@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.operators.ordering import prefix_by_value
+from sievegrid.operators.ordering import prefix_of, sums_by_value
 
 
 def draw(*parts: Column | str | int) -> Column:
@@ -86,12 +86,17 @@ def higher_quantile(df: DataFrame, groups: list[str], value: str, p: Column, out
 
     ``spread``: an array of values that ``name``, of which p may be made, takes in turn; values are ranked once for all.
     """
-    at = F.ceil(p * (F.col("_c_all") - 1))
+    return quantile_of(*sums_by_value(df, groups, value, {"_c": F.count(F.lit(1))}), groups, value, ["_c"], "_c", p, out, spread, name)
+
+
+def quantile_of(by: DataFrame, stretches: DataFrame, groups: list[str], value: str, names: list[str], of: str, p: Column, out: str, spread: Column | None = None, name: str = "p") -> DataFrame:
+    """As higher_quantile(), of sums_by_value() whose measure ``of`` counts the rows meant; groups without such rows are left out."""
+    at = F.ceil(p * (F.col(f"{of}_all") - 1))
     dealt = lambda rows: rows if spread is None else rows.withColumn(name, F.explode(spread))
-    ranked = prefix_by_value(df, groups, value, {"_c": F.count(F.lit(1))}, lambda s: dealt(s).where((F.col("_c_start") <= at) & (at < F.col("_c_end"))))
-    here = (F.col("_c_before") <= at) & (at < F.col("_c_before") + F.col("_c"))
+    ranked = prefix_of(by, stretches, groups, value, names, lambda s: dealt(s).where((F.col(f"{of}_start") <= at) & (at < F.col(f"{of}_end"))))
+    here = (F.col(f"{of}_before") <= at) & (at < F.col(f"{of}_before") + F.col(of))
     more = [] if spread is None else [name]
-    return dealt(ranked).where(here).select(*groups, *more, F.col(value).alias(out), F.col("_c_all").alias("n"))
+    return dealt(ranked).where(here).select(*groups, *more, F.col(value).alias(out), F.col(f"{of}_all").alias("n"))
 
 
 def arm_values(df: DataFrame, keys: list[str], value: str, arms: dict[str, Column]) -> DataFrame:

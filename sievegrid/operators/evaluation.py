@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.functions.primitives import any_of, higher_quantile, null_safe_join, safe_sum
-from sievegrid.operators.ordering import prefix_by_value
+from sievegrid.functions.primitives import any_of, higher_quantile, null_safe_join, quantile_of, safe_sum
+from sievegrid.operators.ordering import prefix_by_value, prefix_of, sums_by_value
+from sievegrid.session import stage
 
 ARM = ["learner", "condition", "dose", "parameter", "tuning_value"]
 POPULATIONS = ["benign", "known-family", "own-domain", "federation-wide"]
@@ -32,7 +33,10 @@ def pools(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def calibrate(benign: DataFrame, alphas: list[float], min_exceedances: int, groups: list[str]) -> DataFrame:
     """(groups, alpha, threshold, calibration_benign, operating_status) from (groups, score) of benign calibration rows."""
-    found = higher_quantile(benign, groups, "score", 1 - F.col("alpha"), "threshold", F.array(*[F.lit(a) for a in alphas]), "alpha")
+    return _operating(higher_quantile(benign, groups, "score", 1 - F.col("alpha"), "threshold", F.array(*[F.lit(a) for a in alphas]), "alpha"), groups, min_exceedances)
+
+
+def _operating(found: DataFrame, groups: list[str], min_exceedances: int) -> DataFrame:
     status = F.when(F.col("n") * F.col("alpha") >= min_exceedances, F.lit("valid")).otherwise(F.lit("insufficient-evidence"))
     return found.select(*groups, "alpha", "threshold", F.col("n").alias("calibration_benign"), status.alias("operating_status"))
 
@@ -83,7 +87,11 @@ def family_counts(pool: DataFrame, thresholds: DataFrame, row: str, feature: str
 
 def class_curve(rows: DataFrame, groups: list[str], label: str, score: str, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(groups, score, p, q and their sums below and in all): positives and negatives by score, in the stretches that ``near`` wants."""
-    return prefix_by_value(rows, groups, score, {"p": F.count_if(F.col(label) == 1), "q": F.count_if(F.col(label) == 0)}, near)
+    return prefix_by_value(rows, groups, score, _classes(label), near)
+
+
+def _classes(label: str) -> dict[str, Column]:
+    return {"p": F.count_if(F.col(label) == 1), "q": F.count_if(F.col(label) == 0)}
 
 
 def _passing(fpr: float) -> Callable[[DataFrame], DataFrame]:
@@ -98,10 +106,24 @@ def discrimination(rows: DataFrame, groups: list[str], label: str = "label", sco
     auroc: the part of pairs in which the positive scores higher, ties half. auprc: the sum over distinct scores, from the top, of precision
     times the recall gained.
     """
+    return _areas(class_curve(rows, groups, label, score), groups)
+
+
+def calibrated_discrimination(rows: DataFrame, groups: list[str], alphas: list[float], min_exceedances: int) -> tuple[DataFrame, DataFrame]:
+    """(calibrate() of the benign rows of the split "calibration", discrimination()) of (groups, split, label, score): scores are put in order once for both."""
+    keys, names = [*groups, "split"], ["p", "q"]
+    by, stretches = sums_by_value(rows, keys, "score", _classes("label"))
+    stretches = stage(stretches, "all-stretches")
+    of = F.col("split") == "calibration"
+    found = quantile_of(by.where(of), stretches.where(F.col(f"_g{len(groups)}")["split"] == "calibration"), keys, "score", names, "q", 1 - F.col("alpha"), "threshold", F.array(*[F.lit(a) for a in alphas]), "alpha")
+    return _operating(found, groups, min_exceedances), _areas(prefix_of(by, stretches, keys, "score", names), keys)
+
+
+def _areas(curve: DataFrame, groups: list[str]) -> DataFrame:
     wins = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2))
     tp, fp = F.col("p_all") - F.col("p_before"), F.col("q_all") - F.col("q_before")
     area = F.sum(F.col("p") * F.try_divide(tp, tp + fp))
-    sums = class_curve(rows, groups, label, score).groupBy(*groups).agg(wins.alias("wins"), area.alias("area"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    sums = curve.groupBy(*groups).agg(wins.alias("wins"), area.alias("area"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return sums.where("p > 0 and q > 0").select(*groups, (F.col("wins") / (F.col("p") * F.col("q"))).alias("auroc"), (F.col("area") / F.col("p")).alias("auprc"))
 
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,25 +166,32 @@ def score_arms(pools: DataFrame, names: list[str], models: DataFrame, t: Trainin
             size += weights.nbytes
     out = pools.withColumn("scores", F.array_repeat(F.lit(None).cast("double"), len(names)))
     for block in blocks:
-        out = out.mapInPandas(_scorer(block, t), out.schema)
+        out = out.mapInArrow(_scorer(block, t, len(names)), out.schema)
     return out
 
 
-def _scorer(models: list[tuple[int, str | None, np.ndarray]], t: Training):  # noqa: ANN202
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A row of ``width`` numbers a list, null as not a number."""
+    return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _scorer(models: list[tuple[int, str | None, np.ndarray]], t: Training, arms: int):  # noqa: ANN202
     def heads(pool: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, list[np.ndarray]]]]:
         states = [(at, unflat(w, t)) for at, client, w in models if client is None or client == pool]
         if not states:
             return np.zeros((t.width, 0)), np.zeros(0), []
         return np.concatenate([s[0] for _, s in states], axis=1), np.concatenate([s[1] for _, s in states]), [(at, s[2:]) for at, s in states]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, tuple] = {}
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            scores = np.stack(b["scores"].to_numpy()).astype(float)
-            x = np.stack(b["features"].to_numpy()).astype(float)
-            for pool, rows in b.groupby("pool").indices.items():
+            scores, x = _matrix(b.column("scores"), arms).copy(), _matrix(b.column("features"), t.width)
+            pools = b.column("pool").dictionary_encode()
+            codes = pools.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for code, pool in enumerate(pools.dictionary.to_pylist()):
+                rows = np.flatnonzero(codes == code)
                 if pool not in made:
                     made[pool] = heads(pool)
                 matrix, bias, rest = made[pool]
@@ -196,7 +203,10 @@ def _scorer(models: list[tuple[int, str | None, np.ndarray]], t: Training):  # n
                     for k in range(0, len(layers), 2):
                         h = np.maximum(h, 0) @ layers[k] + layers[k + 1]
                     scores[rows, at] = h[:, 0]
-            yield b.assign(scores=[[None if np.isnan(v) else v for v in row] for row in scores.tolist()])
+            place, kind = b.schema.get_field_index("scores"), b.schema.field("scores").type
+            flat = pa.array(scores.ravel(), mask=np.isnan(scores).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1, dtype=np.int32) * arms), flat)
+            yield pa.RecordBatch.from_arrays([lists.cast(kind) if i == place else c for i, c in enumerate(b.columns)], b.schema.names)
 
     return run
 
@@ -222,11 +232,12 @@ def evaluate_arms(scored: DataFrame, names: list[str], alphas: list[float], min_
 
     ``scored`` is read several times and has no features: stage it. An arm without scores at a pool has no rows there.
     """
-    arms = scored.sparkSession.createDataFrame(list(enumerate(names)), "_at int, arm string")
-    each = lambda rows, *columns: rows.select(F.col("pool").alias("client"), *columns, F.posexplode("scores").alias("_at", "score")).where("score is not null").join(arms, "_at").drop("_at")
-    calibration = each(scored.where("own and role = 'calibration'"), "label", F.lit("calibration").alias("split"))
-    found = E.calibrate(calibration.where("label = 0").select("arm", "client", "score"), alphas, min_exceedances, ["arm", "client"])
-    pairs = each(scored.where("own")).select("arm", "client").distinct()
+    arms = F.array(*[F.lit(n) for n in names])
+    each = lambda rows, *columns: rows.select(F.col("pool").alias("client"), *columns, F.posexplode("scores").alias("_at", "score")).where("score is not null").withColumn("arm", arms[F.col("_at")]).drop("_at")
+    both = each(scored.where("own and role in ('calibration', 'test')"), "label", F.col("role").alias("split"))
+    found, discrimination = E.calibrated_discrimination(both, ["arm", "client"], alphas, min_exceedances)
+    told = scored.where("own").select(F.col("pool").alias("client"), F.transform("scores", lambda s: s.isNotNull()).alias("told")).distinct()  # a row a client and set of arms
+    pairs = told.select("client", F.posexplode("told").alias("_at", "_told")).where("_told").select(arms[F.col("_at")].alias("arm"), "client").distinct()
     thresholds = stage(E.with_missing_thresholds(found, pairs, alphas, ["arm"]), "thresholds")
 
     test = scored.where("role = 'test'")
@@ -236,9 +247,6 @@ def evaluate_arms(scored: DataFrame, names: list[str], alphas: list[float], min_
     clients = grid.join(clients, ["arm", "client", "alpha", "population"], "left").na.fill(0, ["hits", "trials"])
     families = E.count_hits(each(E.hidden_first(test, row, feature), "population", "family", "first"), thresholds, ["arm", "client"], ["population", "family"], F.col("first"))
 
-    both = calibration.unionByName(each(test.where("own"), "label", F.lit("test").alias("split")))
-    keys = ["arm", "client", "split"]
-    discrimination = E.discrimination(both, keys)
     clients, families, discrimination = (stage(x, n) for x, n in ((clients, "client-counts"), (families, "family-counts"), (discrimination, "discrimination")))
     return RunTables(thresholds, clients, families, discrimination, E.summarise(clients, families, discrimination, thresholds, own_min, ["arm"]))
 

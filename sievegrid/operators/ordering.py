@@ -57,15 +57,14 @@ def shuffled_prefix(
     )
 
 
-def prefix_by_value(df: DataFrame, groups: list[str], value: str, measures: dict[str, Column], near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(groups, value, and for each measure m, m_before, m_all): its sum at a value, over smaller values, over the group.
+def sums_by_value(df: DataFrame, groups: list[str], value: str, measures: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(by, stretches): the measures' sums at each value, staged, for prefix_of(), which may read them more than once.
 
-    Rows are summed by value first, map-side combined, then sorted by ranges of (groups, value) and cut into stretches of 2^STRETCH_BITS rows at most: windows
-    stay inside a stretch, and only the stretches' totals are summed across them. The result is exact wherever the ranges lie. Null values
-    are left out. ``near`` tells which of the stretches (groups, and for each m, m_start and m_end, the sums before and with it, m_all) are wanted.
+    Rows are summed by value first, map-side combined, then sorted by ranges of (groups, value) and cut into stretches of 2^STRETCH_BITS rows at most. The
+    stretches (groups, and for each m, m_start and m_end, the sums before and with it, m_all) are summed over one another; values are not. Null values are left out.
     """
     names = list(measures)
-    keys = [f"_g{i}" for i in range(len(groups))]
+    keys = _keys(groups)
     v = F.col(f"`{value}`")
     named = [F.col(f"`{g}`") for g in groups]
     by = df.where(v.isNotNull()).groupBy(*named, v).agg(*[m.alias(n) for n, m in measures.items()])
@@ -76,18 +75,35 @@ def prefix_by_value(df: DataFrame, groups: list[str], value: str, measures: dict
     own = Window.partitionBy(*keys)
     before = own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bucket", *[f"_t_{n}" for n in names], *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"{n}_start") for n in names], *[F.sum(f"_t_{n}").over(own).alias(f"{n}_all") for n in names])
-    offsets = offsets.withColumns({f"{n}_end": F.col(f"{n}_start") + F.col(f"_t_{n}") for n in names}).drop(*[f"_t_{n}" for n in names])
+    return by, offsets.withColumns({f"{n}_end": F.col(f"{n}_start") + F.col(f"_t_{n}") for n in names}).drop(*[f"_t_{n}" for n in names])
+
+
+def prefix_of(by: DataFrame, offsets: DataFrame, groups: list[str], value: str, names: list[str], near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(groups, value, and for each measure m, m_before, m_all) of sums_by_value(), in the stretches that ``near`` picks of theirs, else in all.
+
+    Windows stay inside a stretch, and only the stretches' totals are summed across them. The result is exact wherever the ranges lie.
+    """
+    keys = _keys(groups)
     if near is not None:
         wanted = near(offsets.withColumns({g: F.col(k).getField(g) for k, g in zip(keys, groups, strict=True)})).select(*offsets.columns).distinct()
         offsets = stage(wanted, "stretches")  # so that Spark knows how few they are before it plans the join
         by = by.join(offsets, [*keys, "_bucket"])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.col(f"`{value}`")).rowsBetween(Window.unboundedPreceding, -1)
     ranked = by.withColumns({f"_i_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names})
     if near is None:
         ranked = ranked.join(offsets, [*keys, "_bucket"])
     return ranked.select(*groups, value, *names, *[(F.col(f"{n}_start") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in names], *[f"{n}_all" for n in names])
 
 
+def _keys(groups: list[str]) -> list[str]:
+    return [f"_g{i}" for i in range(len(groups))]
+
+
+def prefix_by_value(df: DataFrame, groups: list[str], value: str, measures: dict[str, Column], near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(groups, value, and for each measure m, m_before, m_all): its sum at a value, over smaller values, over the group."""
+    return prefix_of(*sums_by_value(df, groups, value, measures), groups, value, list(measures), near)
+
+
 def rank_by_value(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... by (value, tie), a number and a key; rows of null value are left out.
 

@@ -76,9 +76,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return of_clients.unionByName(told.families)
 
 
-def _trainings(rows: DataFrame, hidden: DataFrame) -> dict[str, DataFrame]:
-    orders = sel.training_orders(rows, "line", 1, 0)
-    return {c: sel.within_budget(sel.hidden_rows(orders, hidden, c), "line", BUDGET) for c in ("peer-present", "family-absent", "full-exposure")}
+def _trainings(rows: DataFrame, hidden: DataFrame, conditions: list[str]) -> dict[str, DataFrame]:
+    return sel.trainings(sel.training_orders(rows, "line", 1, 0), hidden, conditions, "line", BUDGET)
 
 
 RUN_ARMS = [
@@ -100,7 +99,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     """Ten arms fitted on what three conditions leave of each client's rows, and their summaries."""
     rows, hidden = stage(prepared(spark, sf).select(*RUN_COLUMNS), "prepared"), stage(_hidden(spark, sf), "hidden")
     t = Training(width=5, hidden=(16,), epochs=2, batch=64)
-    told = R.execute_run(rows, hidden, _trainings(rows, hidden), RUN_ARMS, t, 3, new_path(spark, "run"), 5 * BUDGET, ALPHAS, row="line")
+    told = R.execute_run(rows, hidden, _trainings(rows, hidden, ["peer-present", "family-absent", "full-exposure"]), RUN_ARMS, t, 3, new_path(spark, "run"), 5 * BUDGET, ALPHAS, row="line")
     return told.summary
 
 
@@ -110,7 +109,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     rows, hidden = stage(prepared(spark, sf).select(*RUN_COLUMNS), "prepared"), stage(_hidden(spark, sf), "hidden")
     arms, points = R.grid_arms([1, 2, 4], [0.001, 0.01, 0.1], [1, 2, 5])
     t = Training(width=5, hidden=(16,), epochs=1, batch=64)
-    training = {"peer-present": _trainings(rows, hidden)["peer-present"]}
+    training = _trainings(rows, hidden, ["peer-present"])
     told = R.execute_run(rows, hidden, training, arms, t, 3, new_path(spark, "grid"), 5 * BUDGET, ALPHAS, row="line")
     named = spark.createDataFrame(points, "arm string, parameter string, tuning_value double")
     scores = stage(told.summary.join(named, "arm").where("metric = 'calibration-auroc' and alpha = 0.05"), "grid-scores")

@@ -225,3 +225,36 @@ def test_the_grid_names_its_points_and_its_base_comes_first(spark):
 def test_fine_tuning_without_its_base_is_refused(spark, rows):
     with pytest.raises(ValueError, match="federated"):
         R.train_arms({"d": rows.where("role = 'fit'")}, [ARMS[0], ARMS[6]], T, 1, new_path(spark, "bad"), 1000)
+
+
+def test_trainings_of_conditions_are_their_first_rows(spark):
+    from sievegrid.operators import selection as sel
+
+    rng = np.random.default_rng(8)
+    made = [(i, [None, "a", "b"][i % 3], "fit" if i % 5 else "test", int(i % 2), f"f{rng.integers(3)}") for i in range(3000)]
+    rows = spark.createDataFrame(made, "row long, client string, role string, label long, family string")
+    targets = spark.createDataFrame([("a", "f0"), ("b", "f1")], "client string, family string")
+    orders = sel.training_orders(rows, "row", 3, 0)
+    for budget in (7, 400, 5000):
+        got = sel.trainings(orders, targets, ["peer-present", "family-absent", "full-exposure"], "row", budget)
+        for condition, own in got.items():
+            want = sel.within_budget(sel.hidden_rows(orders, targets, condition), "row", budget)
+            assert {tuple(r) for r in own.select("client", "row").collect()} == {tuple(r) for r in want.select("client", "row").collect()}
+
+
+def test_a_run_puts_its_scores_in_order_once_and_deals_none_by_arm(spark, monkeypatch):
+    from sievegrid.operators import ordering
+
+    made = [("a", r, i % 2, True, bool(i % 4), "f", i, "v", [float(i), None if i % 3 else -float(i)]) for i, r in enumerate(["calibration", "test"] * 30)]
+    scored = spark.createDataFrame(made, "pool string, role string, label long, own boolean, unseen boolean, family string, row long, feature string, scores array<double>")
+    staged, plans = [], []
+    keep = ordering.stage
+
+    def told(df, name):
+        staged.append(name)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(ordering, "stage", told)
+    R.evaluate_arms(scored, ["x", "y"], [0.1], 1, 1, "row", "feature").summary.collect()
+    assert staged.count("by-value") == 1 and "Join" not in plans[staged.index("by-value")]
