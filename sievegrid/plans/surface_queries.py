@@ -15,7 +15,7 @@ from sievegrid.operators.ordering import rank_by_value
 from sievegrid.plans import diagnostic_queries
 from sievegrid.plans import study as T
 from sievegrid.plans.queries import _ALPHAS, _CLIENTS, _ORDERS, _POOLS, _evaluated, _orders, query
-from sievegrid.session import new_path, table
+from sievegrid.session import new_path, stage, table
 from sievegrid.sources import readers
 
 QUERIES, ORACLE = diagnostic_queries.QUERIES, diagnostic_queries.ORACLE
@@ -355,7 +355,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 def _conditions(spark: SparkSession, sf: str) -> DataFrame:
     orders, hidden = _orders(spark, sf)
-    both = [sel.within_budget(sel.hidden_rows(orders, hidden, c), "line", 300).withColumn("condition", F.lit(c)) for c in ("peer-present", "family-absent")]
+    hidden = stage(hidden, "hidden")
+    both = [rows.withColumn("condition", F.lit(c)) for c, rows in sel.trainings(orders, hidden, ["peer-present", "family-absent"], "line", 300).items()]
     return both[0].unionByName(both[1])
 
 
@@ -367,7 +368,7 @@ _CONDITIONS = f"""{_ORDERS}, peer AS (SELECT * FROM orders_ o WHERE NOT (label =
  SELECT name, CASE name WHEN 'hidden_at_target' THEN (SELECT count(*) = 0 FROM marked WHERE label = 1 AND client = target AND condition = 'peer-present') WHEN 'absent_everywhere' THEN (SELECT count(*) = 0 FROM marked WHERE label = 1 AND target IS NOT NULL AND condition = 'family-absent') WHEN 'peers_present' THEN (SELECT bool_and(n >= 3) FROM peers) WHEN 'equal_sizes' THEN (SELECT bool_and(same) FROM volumes) ELSE (SELECT bool_and(role = 'fit') FROM marked) END AS passed
  FROM (VALUES ('hidden_at_target'), ('absent_everywhere'), ('peers_present'), ('equal_sizes'), ('fit_rows_only')) v(name)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return K.exposure_checks(_conditions(spark, sf), T.targets(spark, sf), 3)
+    return K.exposure_checks(_conditions(spark, sf), stage(T.targets(spark, sf), "targets"), 3)
 
 
 @query("e13_family_fit_rows", f"WITH {T.STUDY} SELECT family, client, count(*) AS rows FROM study WHERE role = 'fit' AND label = 1 GROUP BY 1, 2")

@@ -110,3 +110,10 @@ def test_digest_goes_by_settings_not_order():
     a, b = P.Experiment("a", "hide", RULE, (1,)), P.Experiment("b", "hide", RULE, (2,))
     assert P.settings_digest("main", [a, b]) == P.settings_digest("main", [b, a])
     assert len({P.settings_digest("main", [a]), P.settings_digest("main", [b]), P.settings_digest("smoke", [a]), P.settings_digest("main", [a, b])}) == 4
+
+
+def test_conditions_of_exposure_checks_read_rows_staged_once(spark, sf):
+    from sievegrid.plans import surface_queries as Q
+
+    plan = Q._conditions(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "lineitem" not in plan and "l_orderkey" not in plan
