@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,19 +91,26 @@ def gather(blocks: DataFrame, wanted: DataFrame, rows_per_block: int = ROWS_PER_
     asked = wanted.select("position", F.col("row").cast("long").alias("row"), F.floor(F.col("row") / rows_per_block).alias("block"))
     lots = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).alias("lots"))
     dealt = asked.join(lots, "block").groupBy("block", F.pmod(F.xxhash64("position"), "lots").alias("lot")).agg(F.collect_list(F.struct("position", "row")).alias("asked"))
-    both = dealt.join(blocks, "block", "left")
+    both = dealt.join(blocks, "block", "left").select("block", F.col("asked.position").alias("positions"), F.col("asked.row").alias("rows"), "counts", "gaps", "data")
     kind = dict(wanted.dtypes)["position"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                place = np.array([x["row"] for x in r.asked], np.int64) - r.block * rows_per_block
-                if r.counts is None or place.max() >= len(r.counts) or place.min() < 0:
+            for i in range(b.num_rows):  # a lot at a time, without a Python object a row
+                block, positions, rows, counts, gaps, data = b.slice(i, 1).columns
+                rows, counts = rows.flatten(), None if counts.null_count else counts.flatten().to_numpy()
+                place = rows.to_numpy() - block[0].as_py() * rows_per_block
+                if counts is None or place.max() >= len(counts) or place.min() < 0:
                     raise ValueError("a position lies outside the matrix")
-                bounds, idx, val = decoded(r.counts, r.gaps, r.data)
-                yield pd.DataFrame({"position": [x["position"] for x in r.asked], "row": [x["row"] for x in r.asked], "idx": [idx[bounds[i] : bounds[i + 1]].astype(np.int32) for i in place], "val": [val[bounds[i] : bounds[i + 1]] for i in place]})
-
-    return both.select("block", "asked", "counts", "gaps", "data").mapInPandas(run, f"position {kind}, row long, idx array<int>, val array<float>")
+                bounds, idx, val = decoded(counts, gaps.flatten().to_numpy(), data[0].as_py())
+                sizes = bounds[place + 1] - bounds[place]
+                ends = np.cumsum(sizes)
+                at = np.repeat(bounds[place] - (ends - sizes), sizes) + np.arange(ends[-1])
+                starts = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in (idx[at].astype(np.int32), val[at])]
+                yield pa.RecordBatch.from_arrays([positions.flatten(), rows, *lists], ["position", "row", "idx", "val"])
+
+    return both.mapInArrow(run, f"position {kind}, row long, idx array<int>, val array<float>")
 
 
 def binary_rows(blocks: DataFrame, wanted: DataFrame, width: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:

@@ -191,3 +191,17 @@ def test_a_damaged_namespace_fails_its_checks(spark, kinds):
 def test_no_common_sample_is_an_error(spark, kinds):
     with pytest.raises(ValueError, match="no sample"):
         N.build_namespace(spark.createDataFrame([("x", 1, 0)], "sha256 string, row long, label long"), kinds, new_path(spark, "none"))
+
+
+def test_gathered_rows_come_in_arrow_lots_and_repeat_as_often_as_asked(spark):
+    from sievegrid.session import new_path
+    from sievegrid.sources import sparse
+
+    cells = [(r, i, float(r + i)) for r in range(30) for i in range(r % 4)]
+    path = new_path(spark, "lots")
+    sparse.save_csr(spark.createDataFrame(cells, "row long, idx int, val double"), path, 30, rows_per_block=8)
+    asked = [(f"p{k}", k % 30 if k % 2 else 5) for k in range(200)] + [(None, 7)]
+    got = sparse.gather(sparse.load_blocks(spark, path), spark.createDataFrame(asked, "position string, row long"), 8)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # no Python object a row asked for
+    found = sorted((str(r.position), r.row, list(r.idx), list(r.val)) for r in got.collect())
+    assert found == sorted((str(p), r, list(range(r % 4)), [float(r + i) for i in range(r % 4)]) for p, r in asked)
