@@ -113,11 +113,12 @@ def large_family_sets(support: DataFrame, pairs: DataFrame, own_test_min: int, b
 def permuted_labels(labelled: DataFrame, row: str, seed: int, offset: int) -> DataFrame:
     """Families dealt anew among eligible rows, by a seeded order; other rows keep theirs.
 
-    Both orders are ranked by range and offset (dense_ids), so no task takes all rows.
+    Both orders are ranked by range and offset (dense_ids), so no task takes all rows. Eligible rows are staged: the two orders read them twice each.
     """
     from sievegrid.operators.splits import dense_ids
+    from sievegrid.session import stage
 
-    eligible = labelled.where("reason = 'eligible'").select(F.col(row).alias("_row"), F.col("family").alias("_family"))
+    eligible = stage(labelled.where("reason = 'eligible'").select(F.col(row).alias("_row"), F.col("family").alias("_family")), "eligible")
     here = dense_ids(eligible.select("_row"), draw("place", F.col("_row")), "_row", "_id").select("_row", "_id")
     there = dense_ids(eligible, draw(seed, offset, F.col("_row")), "_row", "_id").select("_id", F.col("_family").alias("_new"))
     moved = here.join(there, "_id").select("_row", "_new")

@@ -387,3 +387,15 @@ def test_sketches_of_orders_are_not_kept_for_each_order(spark, sf):
 
     plan = QUERIES["p42_approximate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "count(distinct" in line]
+
+
+def test_permuting_labels_reads_its_rows_twice_only(spark):
+    from sievegrid.operators.preparation import permuted_labels
+    from sievegrid.session import stage
+
+    rows = stage(spark.range(500).selectExpr("concat('r', id) AS row", "concat('f', id % 7) AS family", "if(id % 3 = 0, 'eligible', 'other') AS reason"), "whole")
+    out = permuted_labels(rows, "row", 1, 7)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("reason") and out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("/whole-") == 1
+    old, new = ({r.row: r.family for r in x.collect()} for x in (rows, out))
+    moved = [k for k in old if int(k[1:]) % 3 == 0]
+    assert sorted(old[k] for k in moved) == sorted(new[k] for k in moved) and all(old[k] == new[k] for k in old if k not in moved)
