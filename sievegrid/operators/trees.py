@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from sievegrid.session import stage, unstage
 
-#: Trees after which raw scores are staged.
-STRIDE = 8
+#: Trees after which raw scores are staged. Each level of a tree scores anew with those that are not, so the work of a tree grows with this number.
+STRIDE = 2
 #: Bytes of sums that a task holds before it hands them on.
 HELD = 1 << 26
 NODE = "holder string, tree int, node int, feature int, threshold double, gain double, rows long, value double"

@@ -111,3 +111,13 @@ def test_odd_trees(spark):
     other = spark.createDataFrame([("new", [1.0, 1.0], 1), ("two", [39.0, None], 1)], SCHEMA)
     got = {r.holder: r.score for r in B.score_trees(other, forest, "holder").collect()}
     assert (got["new"] is None or np.isnan(got["new"])) and got["two"] > forest.base["two"]
+
+
+def test_a_level_scores_with_few_trees_anew(spark, monkeypatch):
+    from sievegrid.operators import trees as B
+
+    rows = spark.createDataFrame([("h", [float(i % 17), float(i % 5)], i * 7 % 13 % 2) for i in range(400)], "client string, features array<double>, label int")
+    fresh, keep = [], B._histograms
+    monkeypatch.setattr(B, "_histograms", lambda known, trees, *more: fresh.append(len(trees)) or keep(known, trees, *more))
+    B.fit_trees(rows, B.Boosting(rounds=5, depth=1, least_rows=5), "client")
+    assert len(fresh) == 5 and max(fresh) <= 1
