@@ -471,9 +471,9 @@ def _thresholds(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calibration and test rows, staged with the columns that are read, their pools, and thresholds."""
+    """Calibration and test rows, staged with the columns that are read, their pools, and thresholds, staged too: they are read more than once, and Spark knows how few they are."""
     rows = stage(T.study(spark, sf).where("role <> 'fit'").select("client", "family", "role", "label", "score", *more), "study")
-    return rows, E.pools(rows, T.targets(spark, sf)), _thresholds(spark, sf, rows)
+    return rows, E.pools(rows, stage(T.targets(spark, sf), "targets")), stage(_thresholds(spark, sf, rows), "thresholds")
 
 
 @query("v0e_threshold", f"WITH {_POOLS} SELECT client, alpha, round(threshold, 6) AS threshold, calibration_benign, operating_status FROM thresholds")
@@ -538,7 +538,6 @@ _LONG = " UNION ALL ".join(
 @query("v0j_summary", f"WITH {_CLIENTS}, {_FAMILIES}, {_CURVES}, r AS (SELECT *, hits::DOUBLE / nullif(trials, 0) AS v FROM clients), long AS ({_LONG}) SELECT l.alpha, metric, round(value, 6) AS value, s.status AS operating_status FROM long l JOIN (SELECT alpha, CASE WHEN bool_or(operating_status <> 'valid') THEN 'insufficient-evidence' ELSE 'valid' END AS status FROM thresholds GROUP BY 1) s ON s.alpha = l.alpha WHERE value IS NOT NULL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows, pool, thresholds = _evaluated(spark, sf, "line", "feature")
-    thresholds = stage(thresholds, "thresholds")
     return E.summarise(E.client_counts(pool, thresholds, _ALPHAS), E.family_counts(pool, thresholds, "line", "feature"), _discrimination(rows), thresholds, 5, [])
 
 

@@ -209,3 +209,11 @@ def test_components_leave_the_edges_of_hubs_in_their_tasks(spark, monkeypatch):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_thresholds_of_the_study_are_staged(spark, sf):
+    from sievegrid.plans import queries as Q
+
+    _, _, thresholds = Q._evaluated(spark, sf)
+    plan = thresholds._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and thresholds.count() == 15
