@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievegrid.sources import digests
 
 
 def read_release(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
@@ -46,19 +47,37 @@ def dense_rows(sparse: DataFrame, row: str, width: int) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*", known: DataFrame | None = None) -> DataFrame:
-    """(name, stat, digest) of files; digests of files whose size and time are as in ``known`` are taken from there."""
+    """(name, stat, digest) of files; digests of files whose size and time are as in ``known`` are taken from there.
+
+    Files of more than digests.PART bytes are read now, part by part; others where the result is read, one to a row.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    stat = F.concat_ws(":", "length", F.unix_micros("modificationTime"))
-    now = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), stat.alias("stat"), F.col("path"))
-    if known is not None:
-        old = now.join(known.select("name", "stat", "digest"), ["name", "stat"]).select("name", "stat", "digest")
-        fresh = now.join(known.select("name", "stat"), ["name", "stat"], "left_anti").select("path")
-        paths = [r.path for r in fresh.collect()]  # a row a source file
-        if not paths:
-            return old
-        read = spark.read.format("binaryFile").load(paths)
-        return old.unionByName(read.select(F.element_at(F.split("path", "/"), -1).alias("name"), stat.alias("stat"), F.sha2("content", 256).alias("digest")))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), stat.alias("stat"), F.sha2("content", 256).alias("digest"))
+    if known is None:
+        return _digested(files)
+    now = files.select(*_named(), F.col("path"))
+    old = now.join(known.select("name", "stat", "digest"), ["name", "stat"]).select("name", "stat", "digest")
+    fresh = now.join(known.select("name", "stat"), ["name", "stat"], "left_anti").select("path")
+    paths = [r.path for r in fresh.collect()]  # a row a source file
+    if not paths:
+        return old
+    return old.unionByName(_digested(spark.read.format("binaryFile").load(paths)))
+
+
+def _named() -> list[Column]:
+    return [F.element_at(F.split("path", "/"), -1).alias("name"), F.concat_ws(":", "length", F.unix_micros("modificationTime")).alias("stat")]
+
+
+def _digested(files: DataFrame) -> DataFrame:
+    spark, at = files.sparkSession, F.col("_metadata.file_path")
+    whole = files.select(*_named(), F.sha2("content", 256).alias("digest"))
+    large = files.where(F.col("length") > digests.PART).select("path", "length", at.alias("at"), F.expr(digests.FILE).alias("file"), *_named()).collect()  # a row a large file
+    large = [r for r in large if digests.in_parts(spark, r["path"])] if large and digests.can_chain() else []
+    if not large:
+        return whole
+    found = digests.chained_digests(spark, [(r["path"], r["length"], r["file"]) for r in large], digests.PART)
+    rows = spark.createDataFrame([(r["name"], r["stat"], d) for r, d in zip(large, found, strict=True)], "name string, stat string, digest string")
+    others = files.where(~at.isin([r["at"] for r in large]))  # by the files' list: large ones are not opened
+    return others.select(*_named(), F.sha2("content", 256).alias("digest")).unionByName(rows)
 
 
 def dataset_digest(digests: DataFrame) -> str:
