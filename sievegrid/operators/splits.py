@@ -12,6 +12,10 @@ from sievegrid.session import stage, unstage
 
 #: The draw's range, 2^32, is cut into 2^RANGE_BITS ranges of like size.
 RANGE_BITS = 10
+#: Ranges on both sides of where a cut is looked for first; sizes of groups that lie there are kept.
+AROUND = 16
+#: role_by_cuts() looks a draw's role up by so many of its bits.
+ROLE_BITS = 6
 
 
 def running_before(df: DataFrame, order: Column, tie: str, size: Column, out: str, groups: list[str] | None = None) -> DataFrame:
@@ -57,13 +61,50 @@ def role_cuts(sizes: DataFrame, attempts: Iterable[int], fit: float = 0.6, calib
     """
     attempts = list(attempts)
     tried = sizes.select("_group", "_size", F.posexplode("_orders").alias("_at", "_order")).withColumn("_attempt", F.array(*[F.lit(i) for i in attempts])[F.col("_at")]).drop("_at")
-    tried = tried.withColumn("_range", F.shiftright("_order", 32 - RANGE_BITS))
+    tried = tried.withColumn("_range", _range_of("_order"))
+    last = _cut_ranges(tried, fit, calibration)
+    out = _cuts(tried, last, attempts)
+    unstage(last)
+    return out
+
+
+def split_cuts(rows: DataFrame, group: str, seed: int, salt: int, attempt: int, fit: float = 0.6, calibration: float = 0.2) -> list[tuple]:
+    """The cuts of one attempt, as of role_cuts(), with no row a group.
+
+    Rows are counted by range of the draw; groups of their own are told apart only where the cuts are awaited, since draws are even.
+    Rows are read again where a cut lies elsewhere, as few or very unlike groups may have it.
+    """
+    near = [int(end * (1 << RANGE_BITS)) for end in (fit, fit + calibration)]
+    awaited = sorted({r for at in near for r in range(at - AROUND, at + AROUND + 1)})
+    drawn = rows.select(draw(seed, salt, attempt, F.col(group)).alias("_order"), F.col(group).alias("_group")).withColumn("_range", _range_of("_order"))
+    own = F.when(F.col("_range").isin(awaited), F.struct("_order", "_group")).alias("_own")
+    counts = stage(drawn.groupBy("_range", own).agg(F.count(F.lit(1)).alias("_size")).withColumn("_attempt", F.lit(attempt)), "range-sizes")
+    last = _cut_ranges(counts, fit, calibration)
+    found = [r["_range"] for r in last.select("_range").distinct().collect()]  # two at most
+    tried = counts.where(F.col("_own").isNotNull()).select("_attempt", "_range", "_own.*", "_size")
+    if not set(found) <= set(awaited):
+        tried = drawn.where(F.col("_range").isin(found)).groupBy("_range", "_order", "_group").agg(F.count(F.lit(1)).alias("_size")).withColumn("_attempt", F.lit(attempt))
+    cuts = _cuts(tried, last, [attempt])[attempt]
+    unstage(last)
+    unstage(counts)
+    return cuts
+
+
+def _range_of(order: str) -> Column:
+    return F.shiftright(order, 32 - RANGE_BITS)
+
+
+def _cut_ranges(tried: DataFrame, fit: float, calibration: float) -> DataFrame:
+    """(_attempt, _cut, _end, _total, _range, _start): the range in which each cut lies, staged."""
     per = Window.partitionBy("_attempt")
     totals = tried.groupBy("_attempt", "_range").agg(F.sum("_size").alias("_n"))  # at most 2^RANGE_BITS rows an attempt
     starts = totals.select("_attempt", "_range", F.coalesce(F.sum("_n").over(per.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(per).alias("_total"))
-    ends = sizes.sparkSession.createDataFrame([(0, fit), (1, fit + calibration)], "_cut int, _end double")
+    ends = tried.sparkSession.createDataFrame([(0, fit), (1, fit + calibration)], "_cut int, _end double")
     last = starts.crossJoin(ends).where(F.col("_start") / F.col("_total") < F.col("_end")).groupBy("_attempt", "_cut", "_end", "_total").agg(F.max_by(F.struct("_range", "_start"), "_range").alias("_at")).select("_attempt", "_cut", "_end", "_total", "_at.*")
-    last = stage(last, "cut-ranges")
+    return stage(last, "cut-ranges")
+
+
+def _cuts(tried: DataFrame, last: DataFrame, attempts: list[int]) -> dict[int, list[tuple]]:
     inside = Window.partitionBy("_attempt", "_cut").orderBy("_order", "_group").rowsBetween(Window.unboundedPreceding, -1)
     near = tried.join(F.broadcast(last), ["_attempt", "_range"]).withColumn("_before", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))  # last: two rows an attempt
     found = near.where(F.col("_before") / F.col("_total") >= F.col("_end")).groupBy("_attempt", "_cut").agg(F.min(F.struct("_order", "_group")).alias("_key"))
@@ -71,25 +112,31 @@ def role_cuts(sizes: DataFrame, attempts: Iterable[int], fit: float = 0.6, calib
     for r in last.join(found, ["_attempt", "_cut"], "left").collect():
         key = r["_key"]
         out[r["_attempt"]][r["_cut"]] = (key["_order"], key["_group"]) if key is not None else ((r["_range"] + 1) << (32 - RANGE_BITS), None)
-    unstage(last)
     return out
 
 
 def role_by_cuts(order: Column, own: Column, cuts: list[tuple]) -> Column:
-    """The role of a group by its draw and the attempt's cuts; the draw is made once."""
+    """The role of a group by its draw and the attempt's cuts. A draw's first bits tell it but for those of a cut; so the draw is made once for nearly all."""
+    before = [(order < at) if key is None else (order < at) | ((order == at) & F.coalesce(own < F.lit(key), own.isNull())) for at, key in cuts]
+    exact = F.when(before[0], F.lit("fit")).when(before[1], F.lit("calibration")).otherwise(F.lit("test"))
+    shift = 32 - ROLE_BITS
 
-    def role(o: Column) -> Column:
-        before = [(o < at) if key is None else (o < at) | ((o == at) & F.coalesce(own < F.lit(key), own.isNull())) for at, key in cuts]
-        return F.when(before[0], F.lit("fit")).when(before[1], F.lit("calibration")).otherwise(F.lit("test"))
+    def role(low: int, high: int) -> str | None:
+        """Of draws from low to high, if they have one; key or not, no cut's own draw is among them."""
+        (first, _), (second, _) = cuts
+        if high < first:
+            return "fit"
+        if low > first:
+            return "calibration" if high < second else "test" if low > second else None
+        return None
 
-    return F.transform(F.array(order), role)[0]
+    known = F.array(*[F.lit(role(i << shift, ((i + 1) << shift) - 1)).cast("string") for i in range(1 << ROLE_BITS)])
+    return F.coalesce(F.get(known, F.shiftright(order, shift).cast("int")), exact)
 
 
 def with_roles(rows: DataFrame, group: str, seed: int, salt: int, attempt: int, fit: float = 0.6, calibration: float = 0.2) -> DataFrame:
     """Rows with their group's role, as by a join with assign_roles(), without one; rows of no group are left out."""
-    sizes = sized_draws(rows, group, seed, salt, [attempt])
-    cuts = role_cuts(sizes, [attempt], fit, calibration)[attempt]
-    unstage(sizes)
+    cuts = split_cuts(rows, group, seed, salt, attempt, fit, calibration)
     return rows.where(F.col(group).isNotNull()).withColumn("role", role_by_cuts(draw(seed, salt, attempt, F.col(group)), F.col(group), cuts))
 
 

@@ -17,7 +17,7 @@ from sievegrid.operators.evaluation import calibrate, recall_at_fpr
 from sievegrid.operators.graph import connected_components
 from sievegrid.operators.ordering import shuffled_prefix
 from sievegrid.plans.stages import Stage, run_stages
-from sievegrid.session import new_path
+from sievegrid.session import new_path, stage
 from sievegrid.sources import readers
 
 
@@ -325,6 +325,27 @@ def test_a_large_holder_is_fitted_in_bounded_parts_that_keep_all_rows(spark):
         assert trace[-1]["loss"] < trace[0]["loss"] and weights[0] > 3 * np.abs(weights[1:3]).max()
 
 
+def test_roles_stage_few_rows_of_many_groups(spark, monkeypatch):
+    """Groups are told apart near the cuts only, and roles are as by a join, where cuts lie elsewhere too."""
+    staged = []
+
+    def counted(df, name, keep=False):
+        out = stage(df, name, keep)
+        staged.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "stage", counted)
+    many = spark.range(40_000).select(F.col("id").alias("group"), F.lit(1).alias("n"))
+    hot = many.where("group < 300").withColumn("n", F.when(F.col("group") == 7, 900).otherwise(F.col("n"))).unionByName(spark.createDataFrame([(None, 5)], "group long, n int"))
+    for groups, cuts, least in [(many, (0.6, 0.2), True), (many, (0.001, 0.998), True), (hot, (0.6, 0.2), False), (hot, (0.1, 0.1), False)]:
+        rows = groups.withColumn("i", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
+        staged.clear()
+        told = S.with_roles(rows, "group", 4, 0, 1, *cuts).groupBy("group", "role").count()
+        joined = rows.join(S.assign_roles(rows, "group", 4, 0, 1, *cuts), "group").groupBy("group", "role").count()
+        assert sum(staged) < 10_000 or not least
+        assert told.exceptAll(joined).count() == 0 and joined.exceptAll(told).count() == 0
+
+
 def test_sources_and_stages(spark, tmp_path):
     import gzip
 
