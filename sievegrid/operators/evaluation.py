@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.functions.primitives import any_of, higher_quantile, null_safe_join, quantile_of, safe_sum
+from sievegrid.functions.primitives import any_of, higher_quantile, is_finite, null_safe_join, quantile_of, safe_sum
 from sievegrid.operators.ordering import prefix_by_value, prefix_of, sums_by_value
-from sievegrid.session import stage
+from sievegrid.session import stage, unstage
 
 ARM = ["learner", "condition", "dose", "parameter", "tuning_value"]
+#: Bins of a group's scores.
+BINS = 4096
 POPULATIONS = ["benign", "known-family", "own-domain", "federation-wide"]
 
 
@@ -136,17 +138,42 @@ def average_precision(rows: DataFrame, groups: list[str], label: str = "label",
 
 
 def recall_at_fpr(rows: DataFrame, groups: list[str], fpr: float, label: str = "label", score: str = "score") -> DataFrame:
-    """(groups, recall): the ROC curve at exactly ``fpr``, interpolated between distinct scores."""
-    curve = class_curve(rows, groups, label, score, _passing(fpr))
+    """(groups, recall): the ROC curve at exactly ``fpr``, interpolated between distinct scores.
+
+    Classes are counted by bins of the score; scores are put in order only in a group's one bin in which the negatives' rate passes ``fpr``.
+    """
+    kept = stage(rows.where(F.col(score).isNotNull()).select(*groups, label, score), "scores")  # read for the bounds, the bins and one bin's scores
+    binned = kept.withColumn("_bin", _bin(kept, score))
+    own = Window.partitionBy(*groups)
+    above = own.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(*groups, "_bin").agg(*[m.alias(n) for n, m in _classes(label).items()])
+    bins = bins.withColumns({f"_{n}_above": F.coalesce(F.sum(n).over(above), F.lit(0)) for n in "pq"} | {f"_{n}_all": F.sum(n).over(own) for n in "pq"})
+    rate = lambda c: F.try_divide(c, F.col("_q_all"))
+    passed = bins.where((rate(F.col("_q_above")) <= fpr) & (rate(F.col("_q_above") + F.col("q")) > fpr))
+    passed = stage(passed.drop("p", "q"), "passed-bins")  # a row a group; so that Spark knows how few they are
+    curve = class_curve(null_safe_join(binned, passed, [*groups, "_bin"]), groups, label, score)
+    unstage(kept)
+    curve = null_safe_join(curve, passed, groups)
+    over = lambda n: F.col(f"_{n}_above") + F.col(f"{n}_all") - F.col(f"{n}_before")
     curve = curve.withColumns({
-        "y": F.try_divide(F.col("p_all") - F.col("p_before"), F.col("p_all")), "x": F.try_divide(F.col("q_all") - F.col("q_before"), F.col("q_all")),
-        "y0": F.try_divide(F.col("p_all") - F.col("p_before") - F.col("p"), F.col("p_all")), "x0": F.try_divide(F.col("q_all") - F.col("q_before") - F.col("q"), F.col("q_all")),
+        "y": F.try_divide(over("p"), F.col("_p_all")), "x": F.try_divide(over("q"), F.col("_q_all")),
+        "y0": F.try_divide(over("p") - F.col("p"), F.col("_p_all")), "x0": F.try_divide(over("q") - F.col("q"), F.col("_q_all")),
     })
     inside = curve.where((F.col("x0") <= fpr) & (F.col("x") > fpr))
     at = F.col("y0") + (F.col("y") - F.col("y0")) * (fpr - F.col("x0")) / (F.col("x") - F.col("x0"))
     return inside.select(*groups, at.alias("recall"))
 
 
+def _bin(rows: DataFrame, score: str) -> Column:
+    """A whole number that does not fall as the score grows: BINS of one width between the least and the largest finite score."""
+    value = F.col(score).cast("double")
+    finite = is_finite(value)
+    low, high = rows.agg(F.min(F.when(finite, value)), F.max(F.when(finite, value))).first()
+    width = high - low if low is not None else 0.0
+    place = F.least(F.floor((value - low) / width * BINS), F.lit(BINS - 1)) if 0 < width < float("inf") else F.lit(0)
+    return F.when(finite, place.cast("long")).when(value == float("-inf"), F.lit(-1)).otherwise(F.lit(BINS))
+
+
 def fpr_crossings(negatives: DataFrame, groups: list[str], fpr: float, score: str = "score") -> DataFrame:
     """(groups, crossing, crossing_below, crossing_at): the score at which the negatives' rate, from the top, passes ``fpr``, and the rates above and with it.
 

@@ -81,6 +81,43 @@ def test_recall_at_fpr(spark):
     assert got["s"] == 1.0 and got["e"] == pytest.approx(0.05, abs=0.01)
 
 
+def test_recall_puts_one_bin_in_order(spark, monkeypatch):
+    """Recalls are those of the whole curve, whatever the scores are; few scores are put in order."""
+    from sievegrid.operators import ordering
+
+    ordered = []
+
+    def counted(df, name):
+        out = stage(df, name)
+        ordered.append(out.count())
+        return out
+
+    monkeypatch.setattr(ordering, "stage", counted)
+    rng = np.random.default_rng(3)
+    even = [("even", int(rng.random() < 0.5), float(rng.random())) for _ in range(8000)]
+    odd = [(None, int(i % 3 == 0), x) for i, x in enumerate([float("-inf"), -1e308, -1e-300, -0.0, 0.0, 0.5, 0.5, 1e300, 1e308, float("inf"), float("inf"), float("nan"), float("nan"), None] * 20)]
+    flat = [("flat", i % 2, 0.25) for i in range(40)] + [("no negatives", 1, 0.5), ("no positives", 0, 0.5)]
+
+    def wanted(cells, fpr):
+        key = lambda x: (1, 0.0) if math.isnan(x) else (0, x)
+        cells = [(y, key(x)) for _, y, x in cells if x is not None]
+        p, q = sum(y for y, _ in cells), sum(1 - y for y, _ in cells)
+        y0 = x0 = 0
+        for value in sorted({v for _, v in cells}, reverse=True) if q else ():
+            y1, x1 = y0 + sum(y for y, v in cells if v == value), x0 + sum(1 - y for y, v in cells if v == value)
+            if x0 / q <= fpr < x1 / q:
+                return (y0 / p + (y1 / p - y0 / p) * (fpr - x0 / q) / (x1 / q - x0 / q)) if p else None
+            y0, x0 = y1, x1
+        return "none"
+
+    for rows, fpr in [(even, 0.05), (even + odd + flat, 0.05), (even + odd + flat, 0.4), (odd, 0.7)]:
+        ordered.clear()
+        got = {r.g: r.recall for r in recall_at_fpr(spark.createDataFrame(rows, "g string, label int, score double"), ["g"], fpr).collect()}
+        by = {g: wanted([r for r in rows if r[0] == g], fpr) for g in {r[0] for r in rows}}
+        assert got == {g: r if r is None else pytest.approx(r, abs=1e-12) for g, r in by.items() if r != "none"}
+        assert rows is not even or sum(ordered) < 100
+
+
 def summary(spark, rows):
     return spark.createDataFrame([("e", 1, 0, learner, condition, dose, 0.05, "m", value) for learner, condition, dose, value in rows], "experiment string, seed long, salt long, learner string, condition string, dose long, alpha double, metric string, value double")
 
